@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import mixing, simhash, token_counts
+from tallyspark.llm import mixing, secrets, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (simhash, mixing, token_counts):
+for module in (secrets, simhash, mixing, token_counts):
     QUERIES |= module.QUERIES
     ORACLES |= getattr(module, "ORACLES", {})
