@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that Arrow hands to a Python worker at once.
+BATCH_ROWS = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to BATCH_ROWS rows, so that a batch of very long texts or large groups fits a worker."""
+    name, session = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(session.conf.get(name)) <= BATCH_ROWS:
+        session.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: lineage ends and a lost executor costs nothing done before.
 

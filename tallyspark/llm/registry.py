@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import decontamination, mixing, secrets, simhash, token_counts
+from tallyspark.llm import decontamination, mixing, secrets, simhash, token_counts, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (secrets, simhash, mixing, token_counts, decontamination):
+for module in (secrets, simhash, mixing, token_counts, decontamination, vectors):
     QUERIES |= module.QUERIES
     ORACLES |= getattr(module, "ORACLES", {})

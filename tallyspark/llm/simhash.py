@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyspark.llm.common import connected_components, cut, in_blocks, table
+from tallyspark.llm.common import connected_components, cut, in_blocks, small_batches, table
 
 BITS = 64
 SEED = 42
@@ -58,7 +58,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row of ``docs``; fp is the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
 
 
 def past(planes: Iterable[np.ndarray], shape: tuple[int, ...], radius: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def links(distinct: DataFrame) -> DataFrame:
     buckets = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for t, m in enumerate(signed)))
     rows = distinct.select("fp", F.explode(buckets).alias("_b")).select("fp", "_b.t", "_b.bucket")
     groups = in_blocks(rows, ["t", "bucket"], ["fp"], "fp", BLOCK)
-    return groups.select("lo", "hi", "items").mapInArrow(_edges, "a long, b long")
+    return small_batches(groups.select("lo", "hi", "items")).mapInArrow(_edges, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

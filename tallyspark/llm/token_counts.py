@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table
+from tallyspark.llm.common import small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -151,7 +151,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    return docs.select("doc_id", "text", n_bytes).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return small_batches(docs.select("doc_id", "text", n_bytes)).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
