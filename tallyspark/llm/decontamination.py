@@ -18,27 +18,27 @@ SIMILARITY = 0.8
 BROADCAST_ROWS = 1_000_000
 
 
-def token_hashes(text: Column | str = "text") -> Column:
-    """Hashes of a whole text's words, letters folded and outer punctuation left out."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D\p{Punct}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+#: White space and punctuation between words. Listed one by one, they become a lookup table in Java's class of characters.
+BETWEEN = " \t\n\x0b\f\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPLITTER = "[" + "".join(f"\\x{ord(c):02X}" for c in BETWEEN) + "]+"
 
 
-def _seeds(tokens: Column) -> Column:
-    """The seed hashes of all masks and places, mask by mask; each mask has an entry for each token, null where it does not fit."""
+def words(text: Column | str = "text") -> Column:
+    """A whole text's words, letters folded; punctuation separates words. A text without words gives one empty word."""
+    return F.split(F.trim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BETWEEN)), SPLITTER)
 
-    def of(mask: tuple[int, ...]):
-        return lambda i: F.when(i + mask[-1] < F.size(tokens), F.xxhash64(F.lit(mask[-1]), *(F.get(tokens, i + k) for k in mask)))
 
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.concat(*(F.transform(places, of(m)) for m in MASKS))
+def _exploded(rows: DataFrame, keep: str) -> DataFrame:
+    """A row (keep, place, seed) for each seed of the texts in ``rows``.
 
-
-def _exploded(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row (keep, place, seed) for each seed of the texts in ``rows``."""
-    seeds = F.transform(F.array(token_hashes()), _seeds)[0]
-    found = rows.select(*keep, seeds.alias("_seeds")).select(*keep, (F.size("_seeds") / len(MASKS)).cast("int").alias("_n"), F.posexplode("_seeds").alias("_at", "seed"))
-    return found.where("seed is not null").select(*keep, F.expr("_at % _n").alias("place"), "seed")
+    The words are exploded before they are hashed: generator, hashes and the
+    join that follows are then one compiled stage, in which the array of words
+    is never copied.
+    """
+    places = rows.select(keep, words().alias("_words")).select(keep, "_words", F.posexplode("_words").alias("place", "_word"))
+    n = F.size("_words")
+    seeds = [F.when(F.col("place") + mask[-1] < n, F.xxhash64(*(F.get("_words", F.col("place") + k) for k in mask))) for mask in MASKS]
+    return places.select(keep, "place", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -63,19 +63,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out as null. Further columns are ignored; an empty table gives no rows.
     """
     found = hits(docs, benchmark)
-    items = benchmark.select("item_id", token_hashes().alias("_item")).where(F.size("_item") > 0)
-    items = items.select(F.col("item_id").alias("_iid"), "_item")
+    items = benchmark.select(F.col("item_id").alias("_iid"), words().alias("_item"))
     asked = found.join(items, found["item_id"].eqNullSafe(items["_iid"])).select(F.col("doc_id").alias("_did"), "item_id", "shift", "_item")
     rows = docs.select("doc_id", "text").join(asked.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_did")))
-    rows = rows.select("doc_id", "item_id", "shift", "_item", token_hashes().alias("_tokens"))
+    # Array functions bind what their inner functions use more than once, so that a text is split once a row.
     first = F.greatest(F.lit(0), -F.col("shift"))
-    there = F.slice("_tokens", F.col("shift") + first + 1, F.size("_item") - first)
-    equal = F.transform("_item", lambda x, i: (x == F.get("_there", i - first)).cast("int"))
-    rows = rows.withColumn("_there", there).select("doc_id", "item_id", F.transform(equal, lambda x: F.coalesce(x, F.lit(0))).alias("_equal"))
-    width = F.least(F.lit(WINDOW), F.size("_equal"))
+    theirs = F.slice("_item", first + 1, F.size("_item"))
+    ours = F.slice(words(), F.col("shift") + first + 1, F.size("_item") - first)
+    equal = F.concat(F.array_repeat(F.lit(0), first), F.zip_with(theirs, ours, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    windows = F.transform(F.sequence(F.lit(1), F.size("_equal") - width + 1), lambda k: total(F.slice("_equal", k, width)))
-    rows = rows.select("doc_id", "item_id", total(F.col("_equal")).alias("n_equal"), F.array_max(windows).alias("best"), width.alias("_width"))
+
+    def judged(equal: Column) -> Column:
+        width = F.least(F.lit(WINDOW), F.size(equal))
+        windows = F.transform(F.sequence(F.lit(1), F.size(equal) - width + 1), lambda k: total(F.slice(equal, k, width)))
+        return F.struct(total(equal).alias("n_equal"), F.array_max(windows).alias("best"), width.alias("_width"))
+
+    rows = rows.select("doc_id", "item_id", F.explode(F.transform(F.array(equal), judged)).alias("_at")).select("doc_id", "item_id", "_at.*")
     rows = rows.where(F.col("best") >= SIMILARITY * F.col("_width"))
     return rows.groupBy("doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("best").alias("best"))
 
@@ -91,12 +94,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    words = r"regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D[:punct:]]+')"
+    quoted = BETWEEN.replace("'", "''")
+    words = f"regexp_split_to_array(trim(lower(coalesce(text, '')), '{quoted}'), '{SPLITTER}')"
     seeds = lambda m: "[" + ", ".join(f"w[i + {k}]" for k in m) + "]"
     of = lambda t: " UNION ALL ".join(f"SELECT id, i, {n} AS m, {seeds(m)} AS s FROM (SELECT id, w, unnest(range(1, len(w) - {m[-1]} + 1)) AS i FROM {t})" for n, m in enumerate(MASKS))
     return rf"""
-WITH d AS (SELECT doc_id AS id, [x FOR x IN {words} IF x <> ''] AS w FROM documents),
-b AS (SELECT item_id AS id, [x FOR x IN {words} IF x <> ''] AS w FROM benchmark),
+WITH d AS (SELECT doc_id AS id, {words} AS w FROM documents),
+b AS (SELECT item_id AS id, {words} AS w FROM benchmark),
 h AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.i - y.i AS shift FROM ({of('d')}) x JOIN ({of('b')}) y ON x.m = y.m AND x.s = y.s),
 e AS (SELECT doc_id, item_id, [CASE WHEN i + shift >= 1 AND d.w[i + shift] = b.w[i] THEN 1 ELSE 0 END FOR i IN range(1, len(b.w) + 1)] AS q
       FROM h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id),
