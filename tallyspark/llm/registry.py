@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import decontamination, mixing, quality, secrets, simhash, token_counts, toxicity, vectors
+from tallyspark.llm import decontamination, line_dedup, mixing, quality, secrets, simhash, token_counts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (secrets, simhash, mixing, token_counts, decontamination, vectors, toxicity, quality):
+for module in (line_dedup, secrets, simhash, mixing, token_counts, decontamination, vectors, toxicity, quality):
     QUERIES |= module.QUERIES
     ORACLES |= getattr(module, "ORACLES", {})
