@@ -116,7 +116,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
             parts = specials.split(text) if specials else [text]
             out.append(len(parts) - 1)
             split.append([w for part in parts if part for w in pieces(normal(part))])
-        new = list({w for words in split for w in words} - known.keys())
+        new = list({w for words in split for w in words if w not in known})
         known.update(zip(new, merger.count(new), strict=True))
         return [n + sum(map(known.__getitem__, words)) for n, words in zip(out, split, strict=True)]
 
