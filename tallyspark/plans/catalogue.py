@@ -5,6 +5,548 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import calendar as cal
+from tallyspark.functions import money, text
+from tallyspark.operators import attribution, audit, blocking, calibration, evaluation, exceptions, forecast, linkage, matching, policy, waterfall
+from tallyspark.plans import adapters as ad
+from tallyspark.plans import questions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, books: bool = True):
+    """Register a query by its function's name; ``books`` puts the adapter views before its oracle, which may go on with a comma."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if oracle is not None:
+            ORACLES[function.__name__] = f"WITH {ad.SQL} {oracle}" if books else oracle
+        return function
+
+    return add
+
+
+# --- calendar and money -----------------------------------------------------
+
+
+@query("SELECT settles_on, member_count, amount_paise, mdr_paise, gst_paise, tds_paise, net_paise FROM expected")
+def settlement_expected_by_date(spark, d):
+    return ad.expected(spark, d)
+
+
+@query("SELECT ds, is_open, why_closed, bd_ord, settles_on, win_low, win_high FROM days")
+def calendar_dim(spark, d):
+    return ad.days(spark)
+
+
+@query("SELECT p.payment_id, b.bd_ord - a.bd_ord AS open_days FROM (SELECT payment_id, occurred_on, occurred_on + 10 AS later FROM payments) p JOIN days a ON a.ds = p.occurred_on JOIN days b ON b.ds = p.later")
+def business_days(spark, d):
+    rows = ad.payments(spark, d).select("payment_id", "occurred_on", F.date_add("occurred_on", 10).alias("later"))
+    return cal.business_days_between(rows, ad.days(spark), "occurred_on", "later", "open_days").select("payment_id", "open_days")
+
+
+@query("SELECT " + ", ".join(f"coalesce(sum(mdr_paise) FILTER (method = '{m}'), 0)::BIGINT AS {m}" for m in ad.METHODS) + ", strftime(settles_on, '%Y-%m') AS month FROM settled WHERE settles_on IS NOT NULL GROUP BY month")
+def fee_by_method_pivot(spark, d):
+    rows = ad.settled(spark, d).where("settles_on is not null").withColumn("month", F.date_format("settles_on", "yyyy-MM"))
+    return rows.groupBy("month").pivot("method", list(ad.METHODS)).agg(F.sum("mdr_paise").cast("long")).na.fill(0)
+
+
+@query("SELECT method, count(*) AS n, sum(amount_paise)::BIGINT AS gross_paise, round(sum(amount_paise) / sum(sum(amount_paise)) OVER (), 6) AS volume_share FROM payments GROUP BY method")
+def volume_share_by_method(spark, d):
+    sums = ad.payments(spark, d).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_paise").cast("long").alias("gross_paise"))
+    total = sums.agg(F.sum("gross_paise").alias("_t"))
+    return sums.crossJoin(F.broadcast(total)).withColumn("volume_share", F.round(F.col("gross_paise") / F.col("_t"), 6)).drop("_t")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, total_paise, f + CASE WHEN rn <= left_over THEN 1 ELSE 0 END AS share_paise FROM (
+  SELECT *, total_paise - sum(f) OVER (PARTITION BY l_orderkey) AS left_over, row_number() OVER (PARTITION BY l_orderkey ORDER BY r DESC, line_id) AS rn FROM (
+  SELECT *, (total_paise * w) // sum(w) OVER (PARTITION BY l_orderkey) AS f, (total_paise * w) % sum(w) OVER (PARTITION BY l_orderkey) AS r FROM (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_quantity::BIGINT AS w, p.amount_paise AS total_paise,
+    printf('%05d-%010d-%010d-%05d', l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity::BIGINT) || l.l_extendedprice::VARCHAR AS line_id FROM lineitem l JOIN payments p ON p.key = l.l_orderkey)))""")
+def allocate_largest_remainder(spark, d):
+    line = F.format_string("%05d-%010d-%010d-%05d", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long"))
+    rows = ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("w"), F.concat(line, F.col("l_extendedprice").cast("string")).alias("line_id"))
+    totals = ad.payments(spark, d).select(F.col("key").alias("l_orderkey"), F.col("amount_paise").alias("total_paise"))
+    return money.allocate(rows.join(totals, "l_orderkey"), ["l_orderkey"], "total_paise", "w", "line_id").select("l_orderkey", "l_linenumber", "l_partkey", "total_paise", "share_paise")
+
+
+@query()
+def rupee_display(spark, d):
+    return ad.payments(spark, d).select("payment_id", money.grouped_rupees("amount_paise").alias("written"), money.compact_rupees(F.col("amount_paise") * 100).alias("compact"))
+
+
+_STATEMENT = """SELECT key, CASE key % 8 WHEN 0 THEN 'Rs. ' || printf('%.2f', amount_paise / 100.0) WHEN 1 THEN '(' || printf('%.2f', amount_paise / 100.0) || ')'
+  WHEN 2 THEN printf('%.2f', amount_paise / 100.0) || ' Dr' WHEN 3 THEN '12.3.4' WHEN 4 THEN 'abc' WHEN 5 THEN '-' || printf('%.2f', amount_paise / 100.0) WHEN 6 THEN printf('%.2f', amount_paise / 100.0) || 'Cr' ELSE '' END AS amount_text,
+  CASE key % 5 WHEN 0 THEN strftime(occurred_on, '%Y-%m-%d') WHEN 1 THEN strftime(occurred_on, '%d/%m/%Y') WHEN 2 THEN strftime(occurred_on, '%d-%m-%Y') WHEN 3 THEN '31/02/2026' ELSE 'soon' END AS date_text,
+  amount_paise, occurred_on FROM payments"""
+
+
+@query(f"""SELECT key, CASE WHEN key % 8 IN (3, 4, 7) THEN NULL WHEN key % 8 IN (1, 2, 5) THEN -amount_paise ELSE amount_paise END AS parsed_paise,
+  CASE WHEN key % 5 < 3 THEN occurred_on END AS parsed_on,
+  CASE WHEN key % 8 IN (3, 4, 7) THEN 'amount' WHEN key % 5 >= 3 THEN 'date' END AS problem FROM ({_STATEMENT})""")
+def amount_and_date_parse(spark, d):
+    two = F.format_string("%d.%02d", F.expr("amount_paise div 100"), F.expr("amount_paise % 100"))
+    k = F.col("key") % 8
+    amount = (
+        F.when(k == 0, F.concat(F.lit("Rs. "), two)).when(k == 1, F.concat(F.lit("("), two, F.lit(")"))).when(k == 2, F.concat(two, F.lit(" Dr")))
+        .when(k == 3, "12.3.4").when(k == 4, "abc").when(k == 5, F.concat(F.lit("-"), two)).when(k == 6, F.concat(two, F.lit("Cr"))).otherwise("")
+    )
+    j = F.col("key") % 5
+    day = F.when(j == 0, F.date_format("occurred_on", "yyyy-MM-dd")).when(j == 1, F.date_format("occurred_on", "dd/MM/yyyy")).when(j == 2, F.date_format("occurred_on", "dd-MM-yyyy")).when(j == 3, "31/02/2026").otherwise("soon")
+    rows = ad.payments(spark, d).select("key", money.parse_paise(amount).alias("parsed_paise"), cal.statement_date(day).alias("parsed_on"))
+    return rows.withColumn("problem", F.when(F.col("parsed_paise").isNull(), "amount").when(F.col("parsed_on").isNull(), "date"))
+
+
+# --- text -------------------------------------------------------------------
+
+
+@query("SELECT invoice_id, counterparty, replace(upper(p.counterparty2), 'M/S ', '') AS name FROM (SELECT *, 'CUSTOMER ' || regexp_extract(counterparty, '[0-9]+') AS counterparty2 FROM invoices) p")
+def normalise_name(spark, d):
+    return ad.invoices(spark, d).select("invoice_id", "counterparty", text.normal_name("counterparty").alias("name"))
+
+
+@query()
+def name_keys(spark, d):
+    return ad.table(spark, d, "customer").select("c_custkey", text.name_key("c_name").alias("name_key"), text.name_tokens("c_name").alias("tokens"))
+
+
+_NARRATION = """SELECT o_orderkey AS key, CASE o_orderkey % 6 WHEN 0 THEN 'UPI/CR/' || (100000000000 + o_orderkey) || '/CUSTOMER ' || o_custkey || '/HDFC' WHEN 1 THEN 'NEFT-HDFC' || (200000000000 + o_orderkey) || '-CUSTOMER ' || o_custkey
+  WHEN 2 THEN 'RTGS/ICICR' || (300000000000 + o_orderkey) || '/CUSTOMER ' || o_custkey WHEN 3 THEN 'imps/P2A/' || (400000000000 + o_orderkey) || '/Customer ' || o_custkey
+  WHEN 4 THEN 'MISC CREDIT ' || (500000000000 + o_orderkey) || ' REF NA' ELSE 'SETTLEMENT PAYOUT' END AS narration FROM orders"""
+
+
+@query(f"""SELECT key, CASE key % 6 WHEN 0 THEN 'upi' WHEN 1 THEN 'neft' WHEN 2 THEN 'rtgs' WHEN 3 THEN 'imps' WHEN 4 THEN 'unknown' ELSE 'none' END AS rail,
+  regexp_extract(narration, '[0-9]{{12}}') AS utr, CASE WHEN key % 6 < 4 THEN regexp_extract(narration, '(?i)customer [0-9]+') ELSE '' END AS counterparty,
+  CASE WHEN key % 6 < 5 THEN (strpos(narration, regexp_extract(narration, '[0-9]{{12}}')) - 1)::INT END AS utr_start, key % 6 = 5 AS is_settlement, key % 6 < 4 AS complete FROM ({_NARRATION})""", books=False)
+def narration_parse(spark, d):
+    n = lambda base: F.concat((F.lit(base) + F.col("o_orderkey")).cast("string"))
+    c, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 6
+    narration = (
+        F.when(k == 0, F.concat(F.lit("UPI/CR/"), n(100000000000), F.lit("/CUSTOMER "), c, F.lit("/HDFC"))).when(k == 1, F.concat(F.lit("NEFT-HDFC"), n(200000000000), F.lit("-CUSTOMER "), c))
+        .when(k == 2, F.concat(F.lit("RTGS/ICICR"), n(300000000000), F.lit("/CUSTOMER "), c)).when(k == 3, F.concat(F.lit("imps/P2A/"), n(400000000000), F.lit("/Customer "), c))
+        .when(k == 4, F.concat(F.lit("MISC CREDIT "), n(500000000000), F.lit(" REF NA"))).otherwise("SETTLEMENT PAYOUT")
+    )
+    return ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), text.parse_narration(narration).alias("p")).select("key", "p.*")
+
+
+@query("SELECT page_id, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{n}' END" for n, p in text.INJECTIONS) + "] IF x IS NOT NULL], ',') AS found FROM pages", books=False)
+def injection_scan(spark, d):
+    return ad.table(spark, d, "pages").select("page_id", F.array_join(text.injections("html"), ",").alias("found"))
+
+
+# --- matching ---------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS survivor, l_partkey <> min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS is_duplicate FROM lineitem", books=False)
+def dedupe_exact(spark, d):
+    rows = ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return matching.mark_duplicates(rows, ["l_orderkey", "l_linenumber"], "l_partkey")
+
+
+@query("SELECT payment_id, invoice_id FROM payments p JOIN invoices i USING (reference, amount_paise)")
+def exact_key_match(spark, d):
+    left = ad.payments(spark, d).select("payment_id", "reference", "amount_paise")
+    right = ad.invoices(spark, d).select("invoice_id", "reference", "amount_paise")
+    return matching.unique_matches(left, right, "payment_id", "invoice_id", ["reference", "amount_paise"]).select("payment_id", "invoice_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)", books=False)
+def unmatched_left_anti(spark, d):
+    orders = ad.table(spark, d, "orders").select("o_orderkey")
+    return matching.unmatched(orders, ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)", books=False)
+def matched_left_semi(spark, d):
+    lines = ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return ad.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left_semi")
+
+
+@query("""SELECT l_id, r_id, w FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY w DESC, r_id) AS a, row_number() OVER (PARTITION BY r_id ORDER BY w DESC, l_id) AS b FROM (
+  SELECT p.payment_id AS l_id, i.invoice_id AS r_id, 100 - abs(p.amount_paise - i.amount_paise) % 7 AS w FROM payments p JOIN invoices i ON p.counterparty = regexp_replace(i.counterparty, 'M/S CUSTOMER ([0-9]+).*', 'Customer \\1') AND p.occurred_on = i.occurred_on)) WHERE a = 1 AND b = 1""")
+def mutual_best_links(spark, d):
+    p = ad.payments(spark, d).select(F.col("payment_id").alias("l_id"), F.col("amount_paise").alias("_a"), "occurred_on", text.normal_name("counterparty").alias("name"))
+    i = ad.invoices(spark, d).select(F.col("invoice_id").alias("r_id"), F.col("amount_paise").alias("_b"), "occurred_on", text.normal_name("counterparty").alias("name"))
+    pairs = p.join(i, ["name", "occurred_on"]).select("l_id", "r_id", (100 - F.abs(F.col("_a") - F.col("_b")) % 7).alias("w"))
+    return matching.mutual_best(pairs, "l_id", "r_id", "w").select("l_id", "r_id", "w")
+
+
+# --- blocking ---------------------------------------------------------------
+
+
+def _blocking_rows(spark, d):
+    p = ad.payments(spark, d).select(F.col("payment_id").alias("row_id"), F.lit("gateway").alias("source"), "reference", "amount_paise", "counterparty")
+    i = ad.invoices(spark, d).select(F.col("invoice_id").alias("row_id"), F.lit("ledger").alias("source"), "reference", "amount_paise", "counterparty")
+    return p.unionByName(i)
+
+
+def _strategies(spark, d):
+    rows = _blocking_rows(spark, d)
+    keys = {
+        "reference": F.array(F.concat(F.lit("ref:"), "reference")),
+        "amount": F.array(F.concat(F.lit("amt:"), F.abs("amount_paise").cast("string"))),
+        "counterparty": F.array(F.concat(F.lit("cp:"), F.array_join(F.array_sort(text.name_tokens("counterparty")), " "))),
+    }
+    return {n: blocking.keyed(rows.select("row_id", "source", k.alias("keys"))) for n, k in keys.items()}
+
+
+_KEYS = """, rows AS (SELECT payment_id AS row_id, 'gateway' AS source, reference, amount_paise, counterparty FROM payments UNION ALL SELECT invoice_id, 'ledger', reference, amount_paise, counterparty FROM invoices),
+keys AS (SELECT 'reference' AS strategy, row_id, source, 'ref:' || reference AS key FROM rows WHERE reference IS NOT NULL UNION ALL SELECT 'amount', row_id, source, 'amt:' || abs(amount_paise) FROM rows
+  UNION ALL SELECT 'counterparty', row_id, source, 'cp:' || CASE WHEN length(regexp_extract(counterparty, '[0-9]+')) > 1 THEN regexp_extract(counterparty, '[0-9]+') || ' ' ELSE '' END || 'CUSTOMER' FROM rows),
+sizes AS (SELECT strategy, key, count(*) AS size FROM keys GROUP BY ALL),
+pairs AS (SELECT DISTINCT a.strategy, a.row_id AS left_id, b.row_id AS right_id FROM keys a JOIN keys b ON a.strategy = b.strategy AND a.key = b.key AND a.source < b.source JOIN sizes s ON s.strategy = a.strategy AND s.key = a.key AND s.size <= 400)"""
+
+
+@query(f"{_KEYS} SELECT left_id, right_id FROM pairs WHERE strategy = 'reference'")
+def block_key_pairs(spark, d):
+    return blocking.block_pairs(_strategies(spark, d)["reference"])
+
+
+@query("SELECT 'nation:' || c_nationkey AS key, count(*) AS size FROM customer GROUP BY key HAVING count(*) > 8", books=False)
+def block_oversize(spark, d):
+    rows = ad.table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.lit("c").alias("source"), F.array(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string"))).alias("keys"))
+    return blocking.oversized(blocking.keyed(rows), 8)
+
+
+@query(f"{_KEYS} SELECT left_id, right_id, array_to_string(list_sort(list(DISTINCT strategy)), ',') AS why FROM pairs GROUP BY left_id, right_id")
+def blocking_union_why(spark, d):
+    union = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()})
+    return union.select("left_id", "right_id", F.array_join("why", ",").alias("why"))
+
+
+@query(f"""{_KEYS} SELECT candidates, possible, round(1 - candidates / possible, 6) AS reduction_ratio FROM (SELECT count(DISTINCT (left_id, right_id)) AS candidates FROM pairs),
+  (SELECT (count(*) FILTER (source = 'gateway') * count(*) FILTER (source = 'ledger'))::BIGINT AS possible FROM rows)""")
+def blocking_reduction_ratio(spark, d):
+    pairs = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()})
+    return blocking.reduction_ratio(pairs, _blocking_rows(spark, d))
+
+
+@query(f"""{_KEYS}, truth AS (SELECT payment_id AS left_id, invoice_id AS right_id FROM payments JOIN invoices USING (key))
+SELECT count(*) FILTER (p.left_id IS NOT NULL) AS found, count(*) AS true_pairs, round(count(*) FILTER (p.left_id IS NOT NULL) / count(*), 6) AS pair_completeness
+FROM truth t LEFT JOIN (SELECT DISTINCT left_id, right_id FROM pairs) p USING (left_id, right_id)""")
+def blocking_pair_completeness(spark, d):
+    pairs = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()})
+    p, i = ad.payments(spark, d).select("key", F.col("payment_id").alias("left_id")), ad.invoices(spark, d).select("key", F.col("invoice_id").alias("right_id"))
+    return blocking.pair_completeness(pairs, p.join(i, "key").select("left_id", "right_id"))
+
+
+@query("""WITH r AS (SELECT 'c' || c_custkey AS row_id, 'a' AS source, c_name AS t FROM customer UNION ALL SELECT 's' || s_suppkey, 'b', s_name FROM supplier),
+g AS (SELECT row_id, source, unnest([('  ' || lower(t) || '  ')[i:i + 2] FOR i IN range(1, length(t) + 3)]) AS gram FROM r),
+n AS (SELECT row_id, source, ('0x' || sha256(gram)[1:8])::BIGINT % 256 AS bucket, count(*)::DOUBLE AS n FROM g GROUP BY ALL),
+v AS (SELECT row_id, source, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY row_id)) AS w FROM n),
+s AS (SELECT a.row_id AS left_id, b.row_id AS right_id, round(sum(a.w * b.w), 6) AS similarity FROM v a JOIN v b ON a.bucket = b.bucket AND a.source < b.source GROUP BY ALL)
+SELECT left_id, right_id, similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) <= 8""", books=False)
+def ngram_topk(spark, d):
+    c = ad.table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("row_id"), F.lit("a").alias("source"), F.col("c_name").alias("t"))
+    s = ad.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("row_id"), F.lit("b").alias("source"), F.col("s_name").alias("t"))
+    return blocking.nearest(blocking.gram_vectors(c.unionByName(s), "t"))
+
+
+# --- linkage ----------------------------------------------------------------
+
+
+def _levels(spark, d):
+    p = ad.payments(spark, d).select("payment_id", F.col("reference").alias("r1"), F.col("amount_paise").alias("a1"), F.col("occurred_on").alias("d1"), F.col("counterparty").alias("c1"), "key")
+    i = ad.invoices(spark, d).select("invoice_id", F.col("reference").alias("r2"), F.col("amount_paise").alias("a2"), F.col("occurred_on").alias("d2"), text.normal_name("counterparty").alias("c2"))
+    pairs = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()}).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"))
+    rows = pairs.join(p, "payment_id").join(i, "invoice_id").withColumn("c1", text.normal_name("c1"))
+    return rows.select(
+        "payment_id", "invoice_id", linkage.reference_level("r1", "r2").alias("reference"), linkage.amount_level("a1", "a2").alias("amount"),
+        linkage.date_level("d1", "d2").alias("date"), linkage.name_level("c1", "c2").alias("counterparty"), F.lit(linkage.MISSING).alias("narration"),
+    )
+
+
+_LEVELS = f"""{_KEYS}, lv AS (SELECT p.payment_id, i.invoice_id,
+  CASE WHEN i.reference IS NULL THEN 4 WHEN p.reference = i.reference THEN 3 WHEN contains(p.reference, i.reference) OR contains(i.reference, p.reference) THEN 2
+    WHEN len([x FOR x IN range(1, length(p.reference) - 7) IF contains(i.reference, p.reference[x:x + 8])]) > 0 THEN 1 ELSE 0 END AS reference,
+  CASE WHEN p.amount_paise = 0 OR i.amount_paise = 0 THEN 4 WHEN p.amount_paise = i.amount_paise THEN 3 WHEN 100 * least(p.amount_paise, i.amount_paise) >= 97 * greatest(p.amount_paise, i.amount_paise) THEN 2
+    WHEN 4 * least(p.amount_paise, i.amount_paise) >= 3 * greatest(p.amount_paise, i.amount_paise) THEN 1 ELSE 0 END AS amount,
+  CASE WHEN abs(p.occurred_on - i.occurred_on) = 0 THEN 3 WHEN abs(p.occurred_on - i.occurred_on) <= 1 THEN 2 WHEN abs(p.occurred_on - i.occurred_on) <= 7 THEN 1 ELSE 0 END AS date,
+  regexp_extract(p.counterparty, '[0-9]+') AS n1, regexp_extract(i.counterparty, '[0-9]+') AS n2
+  FROM (SELECT DISTINCT left_id, right_id FROM pairs) JOIN payments p ON p.payment_id = left_id JOIN invoices i ON i.invoice_id = right_id),
+levels AS (SELECT payment_id, invoice_id, reference, amount, date, CASE WHEN n1 = n2 THEN 3 WHEN n1[1:6] = n2[1:6] THEN 2 ELSE 1 END AS counterparty, 4 AS narration FROM lv)"""
+
+
+@query(f"{_LEVELS} SELECT payment_id, invoice_id, reference, amount, date FROM levels")
+def comparison_levels(spark, d):
+    return _levels(spark, d).select("payment_id", "invoice_id", "reference", "amount", "date")
+
+
+@query(f"{_LEVELS} SELECT reference, amount, date, count(*) AS n FROM levels GROUP BY ALL")
+def pattern_counts(spark, d):
+    return linkage.pattern_counts(_levels(spark, d)).groupBy("reference", "amount", "date").agg(F.sum("n").alias("n"))
+
+
+@query()
+def linkage_scores(spark, d):
+    levels = _levels(spark, d)
+    counts = [(tuple(r[f] for f in linkage.FIELDS), r["n"]) for r in linkage.pattern_counts(levels).collect()]
+    scored = linkage.explain(linkage.score(levels, linkage.fit(counts)))
+    return scored.withColumn("band", linkage.band()).select("payment_id", "invoice_id", "bits", "probability", "band", "because")
+
+
+# --- attribution and waterfall ----------------------------------------------
+
+
+def _payments_due(spark, d):
+    return ad.settled(spark, d).select("payment_id", "occurred_on", "settles_on", "amount_paise", "net_paise", "method")
+
+
+@query("SELECT s.payment_id, c.credit_id, c.landed_on FROM settled s JOIN credits c ON c.landed_on BETWEEN s.win_low AND s.win_high")
+def settle_window_join(spark, d):
+    rows = ad.settled(spark, d).select("payment_id", "occurred_on")
+    found = attribution.window_candidates(rows, ad.credits(spark, d).select("credit_id", "landed_on"), ad.days(spark))
+    return found.select("payment_id", "credit_id", "landed_on")
+
+
+@query("""SELECT payment_id, credit_id, drift::INT AS drift_days FROM (SELECT s.payment_id, c.credit_id, c.landed_on, abs(c.landed_on - s.settles_on) AS drift FROM settled s JOIN credits c ON c.landed_on BETWEEN s.win_low AND s.win_high)
+QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY drift, landed_on, credit_id) = 1""")
+def nearest_credit(spark, d):
+    rows = ad.settled(spark, d).select("payment_id", "occurred_on")
+    return attribution.nearest_credit(attribution.window_candidates(rows, ad.credits(spark, d).select("credit_id", "landed_on"), ad.days(spark)))
+
+
+_SINGLE = """, alone AS (SELECT landed_on, min(credit_id) AS credit_id, sum(amount_paise)::BIGINT AS target_paise FROM credits GROUP BY landed_on HAVING count(*) = 1),
+single AS (SELECT a.landed_on, a.credit_id, a.target_paise, e.member_count AS members, e.amount_paise AS gross_paise, e.net_paise AS expected_paise, e.net_paise >= a.target_paise - (4 * e.member_count + 200) AS attributed
+  FROM alone a JOIN expected e ON e.settles_on = a.landed_on)"""
+
+
+@query(f"{_SINGLE} SELECT landed_on, credit_id, target_paise, members, gross_paise, expected_paise, attributed FROM single")
+def attribution_single_credit(spark, d):
+    return attribution.by_single_credit(_payments_due(spark, d), ad.credits(spark, d))
+
+
+@query()
+def attribution_multi(spark, d):
+    return attribution.by_several_credits(_payments_due(spark, d), ad.credits(spark, d))
+
+
+def _settlements(spark, d):
+    single = attribution.by_single_credit(_payments_due(spark, d), ad.credits(spark, d)).where("attributed").select("landed_on", F.col("credit_id").alias("settlement_id"), F.col("target_paise").alias("net_received_paise"))
+    members = ad.payments(spark, d).join(ad.settled(spark, d).select("payment_id", "settles_on"), "payment_id")
+    members = members.join(single.select(F.col("landed_on").alias("settles_on"), "settlement_id"), "settles_on")
+    sums = waterfall.totals(members, "settlement_id")
+    return waterfall.settle(sums, single.select("settlement_id", F.col("landed_on").alias("settled_on"), "net_received_paise"), "settlement_id")
+
+
+_SETTLEMENTS = f"""{_SINGLE}, fall0 AS (SELECT s.credit_id AS settlement_id, s.landed_on AS settled_on, s.target_paise AS net_received_paise, e.amount_paise AS gross_paise, e.mdr_paise, e.gst_paise, e.tds_paise, e.member_count,
+  s.target_paise - e.net_paise AS rest FROM single s JOIN expected e ON e.settles_on = s.landed_on WHERE attributed),
+fall1 AS (SELECT *, CASE WHEN rest = 0 THEN NULL WHEN gross_paise = 0 THEN 'unknown' WHEN abs(-rest * 10000 - gross_paise * 500) < gross_paise * 5 THEN 'rolling_reserve'
+  WHEN -rest * 1000 >= gross_paise * 3 AND -rest * 1000 <= gross_paise * 25 THEN 'chargeback_hold' WHEN rest < 0 THEN 'short_pay' ELSE 'over_pay' END AS remainder_type FROM fall0),
+fall2 AS (SELECT *, CASE WHEN remainder_type = 'chargeback_hold' THEN -rest ELSE 0 END AS chargeback_paise, CASE WHEN remainder_type = 'rolling_reserve' THEN -rest ELSE 0 END AS reserve_paise, 0 AS refunds_paise FROM fall1),
+settlements AS (SELECT *, gross_paise - mdr_paise - gst_paise - tds_paise - chargeback_paise - reserve_paise AS net_expected_paise,
+  gross_paise - mdr_paise - gst_paise - tds_paise - chargeback_paise - reserve_paise - net_received_paise AS residual_paise,
+  gross_paise - mdr_paise - gst_paise - tds_paise - chargeback_paise - reserve_paise = net_received_paise AS balanced FROM fall2),
+exceptions0 AS (SELECT 'exc_' || settlement_id AS exception_id, remainder_type AS exception_type, -rest AS amount_paise, settled_on AS as_of FROM settlements WHERE remainder_type IS NOT NULL
+  UNION ALL SELECT 'exc_' || credit_id, 'missing_in_ledger', amount_paise, landed_on FROM credits WHERE landed_on NOT IN (SELECT landed_on FROM single WHERE attributed)),
+exceptions AS (SELECT *, CASE WHEN exception_type IN ('missing_in_bank', 'missing_in_ledger') THEN 'high' WHEN exception_type IN ('rolling_reserve', 'chargeback_hold') THEN 'info'
+  WHEN abs(amount_paise) >= 10000000 THEN 'high' WHEN abs(amount_paise) >= 1000000 THEN 'medium' ELSE 'low' END AS severity, exception_type || ' of ' || as_of AS reason FROM exceptions0),
+cash AS (SELECT c.landed_on AS value_date, sum(c.amount_paise)::BIGINT AS credited_paise, count(*) AS credit_count, any_value(d.is_open) AS is_business_day FROM credits c JOIN days d ON d.ds = c.landed_on GROUP BY c.landed_on)"""
+
+
+@query(f"{_SETTLEMENTS} SELECT settlement_id, settled_on, gross_paise, net_expected_paise, net_received_paise, residual_paise, balanced, member_count, mdr_paise, gst_paise, tds_paise, chargeback_paise, reserve_paise, remainder_type FROM settlements")
+def waterfall_settlements(spark, d):
+    return _settlements(spark, d).select("settlement_id", "settled_on", "gross_paise", "net_expected_paise", "net_received_paise", "residual_paise", "balanced", "member_count", "mdr_paise", "gst_paise", "tds_paise", "chargeback_paise", "reserve_paise", "remainder_type")
+
+
+@query(f"""{_SETTLEMENTS} SELECT settlement_id, component, amount_paise FROM (SELECT settlement_id, unnest([{{'component': 'fee_mdr', 'amount_paise': -mdr_paise}}, {{'component': 'gst_on_fee', 'amount_paise': -gst_paise}}, {{'component': 'tds_194o', 'amount_paise': -tds_paise}},
+  {{'component': coalesce(remainder_type, 'unknown'), 'amount_paise': rest}}], recursive := true) FROM settlements) WHERE amount_paise <> 0 OR component IN ('fee_mdr', 'gst_on_fee', 'tds_194o')""")
+def waterfall_lines(spark, d):
+    return waterfall.lines(_settlements(spark, d), "settlement_id")
+
+
+@query()
+def fitted_rates(spark, d):
+    members = ad.payments(spark, d).join(ad.settled(spark, d).select("payment_id", "settles_on"), "payment_id")
+    received = ad.credits(spark, d).groupBy(F.col("landed_on").alias("settles_on")).agg(F.sum("amount_paise").alias("net_received_paise"))
+    design = waterfall.design(members.where("settles_on is not null"), received, "settles_on")
+    # Least squares needs the sums of products alone; the fit takes one bounded sample of settlements.
+    rows = [r.asDict() for r in design.orderBy(F.xxhash64("settles_on")).limit(5000).collect()]
+    fit = waterfall.fit_rates(rows)
+    return spark.createDataFrame([(m, round(b, 2), round(fit["shares"][m], 6), m in fit["identifiable"]) for m, b in fit.get("rates_bps", {}).items()], "method string, bps double, share double, identifiable boolean")
+
+
+# --- exceptions and questions -----------------------------------------------
+
+
+def _exceptions(spark, d):
+    fallen = _settlements(spark, d)
+    rest = fallen.where("remainder_type is not null").select(F.concat(F.lit("exc_"), "settlement_id").alias("exception_id"), F.col("remainder_type").alias("exception_type"), (-F.col("residual_before_naming_paise")).alias("amount_paise"), F.col("settled_on").alias("as_of"), F.lit("decompose").alias("stage"))
+    lost = ad.credits(spark, d).join(fallen.select(F.col("settled_on").alias("landed_on")), "landed_on", "left_anti")
+    lost = lost.select(F.concat(F.lit("exc_"), "credit_id").alias("exception_id"), F.lit("missing_in_ledger").alias("exception_type"), "amount_paise", F.col("landed_on").alias("as_of"), F.lit("attribution").alias("stage"))
+    rows = rest.unionByName(lost).withColumn("severity", exceptions.severity())
+    return rows.withColumns({"reason": F.concat_ws(" of ", "exception_type", F.col("as_of").cast("string")), "evidence_count": F.lit(1)})
+
+
+def _cash(spark, d):
+    rows = ad.credits(spark, d).groupBy(F.col("landed_on").alias("value_date")).agg(F.sum("amount_paise").alias("credited_paise"), F.count(F.lit(1)).alias("credit_count"))
+    return rows.join(F.broadcast(ad.days(spark).select(F.col("ds").alias("value_date"), F.col("is_open").alias("is_business_day"))), "value_date")
+
+
+def books_views(spark, d) -> None:
+    """The three views that questions are asked of, over the adapter tables."""
+    for name, rows in (("v_settlements", _settlements(spark, d)), ("v_exceptions", _exceptions(spark, d)), ("v_daily_cash", _cash(spark, d))):
+        rows.select(*questions.VIEWS[name]).createOrReplaceTempView(name)
+
+
+@query(f"{_SETTLEMENTS} SELECT exception_id, exception_type, amount_paise, as_of, severity FROM exceptions")
+def typed_exceptions(spark, d):
+    return _exceptions(spark, d).select("exception_id", "exception_type", "amount_paise", "as_of", "severity")
+
+
+def _question(name: str, **given):
+    sql = questions.TEMPLATES[name].replace("v_settlements", "settlements").replace("v_exceptions", "exceptions").replace("v_daily_cash", "cash")
+    for key, value in given.items():
+        sql = sql.replace(f":{key}", str(value) if isinstance(value, int) else f"'{value}'")
+
+    def ask(spark, d):
+        books_views(spark, d)
+        return questions.ask(spark, name, **given)
+
+    ask.__name__ = f"qa_{name}"
+    query(f"{_SETTLEMENTS} {sql}")(ask)
+
+
+for _name, _given in {
+    "settlement_detail": {"settlement_id": "cr_19970513_1"},
+    "settlement_on_date": {"as_of": "1997-05-13"},
+    "unbalanced_settlements": {"limit": 20},
+    "all_settlements": {"limit": 50},
+    "exceptions_by_type": {},
+    "exceptions_by_severity": {},
+    "largest_exceptions": {"limit": 10},
+    "total_fees": {},
+    "cash_by_day": {"limit": 30},
+    "cash_total": {},
+}.items():
+    _question(_name, **_given)
+
+
+# --- cash -------------------------------------------------------------------
+
+_SERIES = """, daily AS (SELECT occurred_on AS ds, sum(amount_paise)::BIGINT AS v FROM payments GROUP BY ALL),
+series AS (SELECT d.ds, coalesce(v, 0)::BIGINT AS v FROM days d LEFT JOIN daily USING (ds) WHERE d.ds BETWEEN (SELECT min(ds) FROM daily) AND (SELECT max(ds) FROM daily))"""
+
+
+@query(f"{_SERIES} SELECT ds, v FROM series")
+def cash_daily_spine(spark, d):
+    return forecast.spine(ad.daily_orders(spark, d))
+
+
+@query(f"{_SERIES} SELECT ds, v, " + ", ".join(f"lag(v, {n}) OVER (ORDER BY ds) AS lag_{n}" for n in forecast.LAGS) + ", " + ", ".join(f"round(avg(v) OVER (ORDER BY ds ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS mean_{n}" for n in (7, 28)) + " FROM series")
+def lag_features(spark, d):
+    return forecast.lag_features(forecast.spine(ad.daily_orders(spark, d)))
+
+
+@query("""SELECT ds, (isodow(ds) - 1)::INT AS dow, day(ds)::INT AS dom, month(ds)::INT AS month, ds = last_day(ds) AS is_month_end, day(ds) <= 3 OR (ds = last_day(ds) AND is_open) AS is_salary_window,
+  day(ds) BETWEEN 19 AND 21 OR day(ds) = 7 AS is_gst_window FROM days""")
+def calendar_features(spark, d):
+    days = ad.days(spark)
+    return days.select("ds", *(c.alias(n) for n, c in cal.features().items()))
+
+
+@query(f"""{_SERIES} SELECT round(avg(abs(v - p)), 6) AS mae, round(avg(greatest(0.5 * (v - p), -0.5 * (v - p))), 6) AS pinball_50, count(*) AS n FROM (SELECT v, lag(v, 7) OVER (ORDER BY ds) AS p FROM series) WHERE p IS NOT NULL""")
+def seasonal_naive_errors(spark, d):
+    return forecast.seasonal_naive_errors(forecast.spine(ad.daily_orders(spark, d)))
+
+
+@query("""SELECT due_on, amount_paise, label, due_paise, expected_paise, confident_paise, CASE WHEN expected_paise < due_paise THEN 'critical' WHEN confident_paise < due_paise THEN 'warn' WHEN confident_paise < 1.15 * due_paise THEN 'watch' ELSE 'ok' END AS severity FROM (
+  SELECT due_on, amount_paise, label, due_paise, (coalesce(sum(v), 0))::BIGINT AS expected_paise, (coalesce(sum(v // 2), 0))::BIGINT AS confident_paise FROM (
+    SELECT *, sum(amount_paise) OVER (ORDER BY due_on)::BIGINT AS due_paise FROM (SELECT make_date(2024, 1, x) AS due_on, 60000 * x AS amount_paise, 'due ' || x AS label FROM (SELECT unnest([5, 10, 20, 30])::BIGINT AS x))) o
+  LEFT JOIN (SELECT ts::DATE AS ds, sum(round(value * 100)::BIGINT)::BIGINT AS v FROM events GROUP BY ALL) e ON e.ds <= o.due_on GROUP BY ALL)""", books=False)
+def liquidity_alerts(spark, d):
+    daily = ad.table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("ds")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("point"))
+    due = spark.sql("SELECT make_date(2024, 1, x) AS due_on, CAST(60000 * x AS BIGINT) AS amount_paise, concat('due ', x) AS label FROM VALUES (5), (10), (20), (30) t(x)")
+    return forecast.cumulative_alerts(daily.withColumn("lower", F.expr("point div 2")), due, 0)
+
+
+@query()
+def forecast_ladder(spark, d):
+    series = forecast.spine(ad.daily_orders(spark, d)).orderBy(F.col("ds").desc()).limit(200)
+    return forecast.ladder(forecast.backtest(series), forecast.seasonal_naive_errors(series))
+
+
+# --- thresholds, policy, audit ----------------------------------------------
+
+_CLAIMS = """WITH claims AS (SELECT l.doc_id, (1 - (n_chars % 50) / 100)::DECIMAL(10, 2) AS confidence, quality = 1 AS correct FROM labels l JOIN documents USING (doc_id)),
+s AS (SELECT DISTINCT confidence, count(*) OVER w AS admitted, count(*) FILTER (NOT correct) OVER w AS errors, count(*) OVER () AS total FROM claims WINDOW w AS (ORDER BY confidence DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT s.*, alpha, alpha - (1 - alpha) / total AS budget FROM s, (SELECT unnest([{alphas}])::DOUBLE AS alpha)),
+t AS (SELECT alpha, total, max({{'a': admitted, 'c': confidence, 'e': errors}}) FILTER (total >= 30 AND budget > 0 AND errors <= budget * admitted) AS b FROM a GROUP BY alpha, total)
+SELECT alpha, b.c AS threshold, b.a AS admitted, b.e AS errors, total FROM t"""
+
+
+@query(_CLAIMS.format(alphas="0.1, 0.15, 0.2"), books=False)
+def conformal_threshold(spark, d):
+    return calibration.calibrate(ad.labelled_claims(spark, d), [0.1, 0.15, 0.2])
+
+
+@query(_CLAIMS.format(alphas=", ".join(map(str, calibration.alpha_grid()))), books=False)
+def alpha_grid(spark, d):
+    return calibration.calibrate(ad.labelled_claims(spark, d), calibration.alpha_grid())
+
+
+@query("""WITH c AS (SELECT l.doc_id, (1 - (n_chars % 50) / 100)::DECIMAL(10, 2) AS confidence, quality = 1 AS correct FROM labels l JOIN documents USING (doc_id)),
+r AS (SELECT c.*, t AS split, ('0x' || sha256((20260101 + 7919 * t)::VARCHAR || ':' || doc_id)[1:8])::BIGINT < 2147483648 AS half FROM c, (SELECT unnest(range(40))::INT AS t)),
+s AS (SELECT DISTINCT split, confidence, count(*) OVER w AS admitted, count(*) FILTER (NOT correct) OVER w AS errors, count(*) OVER (PARTITION BY split) AS total FROM r WHERE half WINDOW w AS (PARTITION BY split ORDER BY confidence DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT split, max({'a': admitted, 'c': confidence, 'e': errors}) FILTER (total >= 30 AND 0.2::DOUBLE - 0.8::DOUBLE / total > 0 AND errors <= (0.2::DOUBLE - 0.8::DOUBLE / total) * admitted).c AS threshold FROM s GROUP BY split)
+SELECT split, threshold, count(*) AS held_out, count(*) FILTER (confidence >= threshold) AS admitted, count(*) FILTER (confidence >= threshold AND NOT correct) AS errors FROM t JOIN r USING (split) WHERE NOT half GROUP BY split, threshold""", books=False)
+def split_validation(spark, d):
+    return calibration.validate(ad.labelled_claims(spark, d), "doc_id", 0.2)
+
+
+_REQUEST = "CASE WHEN key % 31 = 0 THEN 'move_money' ELSE 'post_entry' END AS action_class, CASE WHEN key % 37 = 0 THEN 'USD' ELSE 'INR' END AS currency, (100 - key % 20)::INT AS percent, CASE WHEN key % 41 = 0 THEN ' ' ELSE 'exact key' END AS reason, (key % 3)::INT AS evidence_count, key % 5 = 0 AS human_approved"
+
+
+@query(f"""SELECT payment_id, array_to_string(failed, ',') AS failed, CASE WHEN list_has_any(failed, ['kill_switch', 'no_money_movement', 'currency_allowed', 'reason_present', 'per_action_cap']) THEN 'denied'
+  WHEN len(failed) > 0 AND NOT human_approved THEN 'needs_human' WHEN human_approved THEN 'approved_by_human' ELSE 'auto_approved' END AS verdict FROM (
+  SELECT *, [x FOR x IN [CASE WHEN action_class = 'move_money' THEN 'no_money_movement' END, CASE WHEN currency <> 'INR' THEN 'currency_allowed' END, CASE WHEN trim(reason) = '' THEN 'reason_present' END,
+    CASE WHEN currency <> 'INR' OR amount_paise > 20000000 THEN 'per_action_cap' END, CASE WHEN currency <> 'INR' OR amount_paise > 2500000 THEN 'materiality' END, CASE WHEN percent < 90 THEN 'confidence' END,
+    CASE WHEN evidence_count < 1 THEN 'evidence_present' END] IF x IS NOT NULL] AS failed FROM (SELECT *, {_REQUEST} FROM payments))""")
+def policy_verdicts(spark, d):
+    return policy.rules(_requests(spark, d), policy.Policy()).select("payment_id", F.array_join("failed", ",").alias("failed"), "verdict")
+
+
+def _requests(spark, d):
+    k = F.col("key")
+    return ad.payments(spark, d).select(
+        "payment_id", "key", "amount_paise", F.when(k % 31 == 0, "move_money").otherwise("post_entry").alias("action_class"), F.when(k % 37 == 0, "USD").otherwise("INR").alias("currency"),
+        ((100 - k % 20) / 100).alias("confidence"), F.when(k % 41 == 0, " ").otherwise("exact key").alias("reason"), (k % 3).cast("int").alias("evidence_count"), (k % 5 == 0).alias("human_approved"),
+    )
+
+
+@query()
+def policy_run_budget(spark, d):
+    decided = policy.rules(_requests(spark, d), policy.Policy(run_cap_paise=2_000_000_000)).withColumns({"run_id": F.col("key") % 4, "seq": F.col("key")})
+    return policy.within_budget(decided, policy.Policy(run_cap_paise=2_000_000_000))
+
+
+@query("SELECT o_orderkey AS seq, sha256(unhex('00') || encode(o_orderkey || '|' || o_orderstatus)) AS leaf_hash FROM orders", books=False)
+def merkle_leaves(spark, d):
+    records = ad.table(spark, d, "orders").withColumn("record", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus"))
+    return audit.leaves(records, "o_orderkey", "record")
+
+
+@query()
+def merkle_root(spark, d):
+    keys = ad.table(spark, d, "orders").select("o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("record"))
+    least = keys.agg(F.min("o_orderkey").alias("_m"))
+    nodes = audit.leaves(keys.crossJoin(F.broadcast(least)).withColumn("n", F.col("o_orderkey") - F.col("_m")), "n", "record")
+    return audit.root(nodes, keys.count())
+
+
+@query("""SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (
+  SELECT count(*) FILTER (m.payment_id IS NOT NULL AND t.payment_id IS NOT NULL) AS tp, count(*) FILTER (t.payment_id IS NULL) AS fp, count(*) FILTER (m.payment_id IS NULL) AS fn
+  FROM (SELECT payment_id, invoice_id FROM payments JOIN invoices USING (reference, amount_paise)) m FULL JOIN (SELECT payment_id, invoice_id FROM payments JOIN invoices USING (key)) t USING (payment_id, invoice_id))""")
+def match_confusion(spark, d):
+    p, i = ad.payments(spark, d).select("key", "payment_id"), ad.invoices(spark, d).select("key", "invoice_id")
+    return evaluation.confusion(exact_key_match(spark, d), p.join(i, "key"), ["payment_id", "invoice_id"])
+
+
+@query("""SELECT key, fm AS false_matches, (fm * 45000 + CASE WHEN fm > 0 THEN (e * 5 + 50) // 100 ELSE 0 END)::BIGINT AS false_match_paise, fn * 3000 AS triage_paise, rv * 2000 AS review_paise, n * 500 AS manual_paise,
+  (fm * 45000 + CASE WHEN fm > 0 THEN (e * 5 + 50) // 100 ELSE 0 END + fn * 3000 + rv * 2000)::BIGINT AS total_paise FROM (SELECT key, key % 3 AS fm, amount_paise AS e, key % 7 AS fn, key % 11 AS rv, key % 50 AS n FROM payments)""")
+def cost_of_outcomes(spark, d):
+    rows = ad.payments(spark, d).selectExpr("key", "key % 3 AS false_matches", "amount_paise AS exposed_paise", "key % 7 AS false_non_matches", "key % 11 AS reviews", "key % 50 AS rows")
+    return evaluation.price(rows).select("key", "false_matches", "false_match_paise", "triage_paise", "review_paise", "manual_paise", "total_paise")
