@@ -6,53 +6,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from tallyspark.llm.common import small_batches, table
+from tallyspark.llm.common import cut, small_batches, table
 
 #: Lines are wrapped after about one word in so many, chosen by the eight bytes before its end.
 WRAP = 3
 #: A chunk ends after about one line in so many, chosen by a rolling hash over two line hashes.
 CHUNK = 2
-#: Words next to a run of repeated chunks that are compared as well, to both sides.
-CONTEXT = 40
-#: Bytes in which those words are looked for, which holds a context of long words too.
-CONTEXT_BYTES = 4096
+#: Bytes that a chunk has at least, besides two lines; shorter ones repeat by chance.
+LEAST_BYTES = 24
+#: Words next to a run of repeated chunks that are compared as well, to both sides, and the bytes they are looked for in.
+CONTEXT, CONTEXT_BYTES = 40, 600
 #: Repeated passages of fewer words stay.
 MIN_WORDS = 30
 ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+INVERSE = np.uint64(pow(int(ODD[1]), -1, 1 << 64))
+BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def line_ends(raw: bytes) -> np.ndarray:
-    """Where the lines of a text end: after each newline, and in long lines after words that their own last bytes choose."""
-    at = np.frombuffer(b"\0" * 8 + raw, np.uint8)
-    gaps = np.flatnonzero((at[8:] == 0x20) | (at[8:] == 0x0A))
-    last = at[gaps[:, None] + np.arange(8)].copy().view(np.uint64)[:, 0] * ODD[0]
-    ends = gaps[((last >> np.uint64(40)) % np.uint64(WRAP) == 0) | (at[8:][gaps] == 0x0A)] + 1
-    return ends if len(ends) and ends[-1] == len(raw) else np.append(ends, len(raw))
-
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the hash's base and of its inverse, modulo 2**64; kept for the longest text so far."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((ODD[1], INVERSE)):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            _powers[k] = np.multiply.accumulate(factors)
+    return _powers
 
-def lines(raw: bytes) -> tuple[list[int], list[bytes]]:
-    """Starts of the lines and the end of the text, and the lines without the white space at their ends."""
-    if not raw:
-        return [0], []
-    starts = [0, *line_ends(raw).tolist()]
-    return starts, [raw[a:b].rstrip() for a, b in zip(starts, starts[1:], strict=False)]
 
+def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends and hashes of a text's chunks of two lines or more; a chunk's end leaves out the white space after it.
 
-def chunks(held: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, hash) of the chunks of two lines or more."""
-    if len(held) < 2:
-        return []
-    h = np.fromiter(map(xxh64_intdigest, held), np.uint64, len(held))
-    rolled = h * ODD[0] + np.concatenate([[np.uint64(0)], h[:-1]]) * ODD[1]
-    ends = np.flatnonzero((rolled >> np.uint64(33)) % np.uint64(CHUNK) == 0) + 1
-    bounds = [0, *ends.tolist()]
-    if bounds[-1] != len(held):
-        bounds.append(len(held))
-    return [(a, b, xxh64_intdigest(h[a:b].tobytes())) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1]
+    Lines end after each newline and, within long lines, after words that their
+    own last bytes choose. Hashes of any span of bytes come from one running sum
+    over the text.
+    """
+    none = np.zeros(0, np.int64)
+    if not raw:
+        return none, none, none.astype(np.uint64)
+    at = np.frombuffer(b"\0" * 8 + raw, np.uint8)
+    own = at[8:]
+    gaps = np.flatnonzero((own == 0x20) | (own == 0x0A))
+    last = at[gaps[:, None] + np.arange(8)].view(np.uint64)[:, 0] * ODD[0]
+    ends = gaps[((last >> np.uint64(40)) % np.uint64(WRAP) == 0) | (own[gaps] == 0x0A)]
+    if not len(ends) or ends[-1] != len(raw) - 1:
+        ends = np.append(ends, len(raw))
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTES[own] * up[: len(raw)], out=sums[1:])
+    span = lambda a, b: (sums[b] - sums[a]) * down[a]
+    lines = span(begins, ends)
+    rolled = (lines + np.concatenate([[np.uint64(0)], lines[:-1]]) * ODD[1]) * ODD[0]
+    cut = np.flatnonzero((rolled >> np.uint64(33)) % np.uint64(CHUNK) == 0)
+    if not len(cut) or cut[-1] != len(lines) - 1:
+        cut = np.append(cut, len(lines) - 1)
+    first = np.concatenate([[0], cut[:-1] + 1])
+    a, b = begins[first], ends[cut]
+    keep = (cut > first) & (b - a >= LEAST_BYTES)
+    a, b = a[keep], b[keep]
+    return a, b, span(a, b) * ODD[0]
 
 
 def _raw(value: pa.Scalar) -> bytes:
@@ -61,109 +78,115 @@ def _raw(value: pa.Scalar) -> bytes:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, line, found = [], [], []
-        for k, text in enumerate(batch.column("text")):
-            own = chunks(lines(_raw(text))[1])
-            row += [k] * len(own)
-            line += [a for a, _, _ in own]
-            found += [h for _, _, h in own]
-        picked = batch.select(["doc_id", "text_key"]).take(pa.array(row, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(line, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "text_key", "line", "chunk"])
-
-
-def _around(raw: bytes, starts: list[int], held: list[bytes], a: int, b: int) -> tuple[bytes, list[bytes], list[bytes]]:
-    """The lines from a to b, and the words before and after them, the nearest first."""
-    before = raw[max(0, starts[a] - CONTEXT_BYTES) : starts[a]].split()[-CONTEXT:][::-1]
-    after = raw[starts[b] : starts[b] + CONTEXT_BYTES].split()[:CONTEXT]
-    return b"\n".join(held[a:b]), before, after
-
-
-AROUND = "body binary, before array<binary>, after array<binary>"
+        found = [chunks(_raw(text)) for text in batch.column("text")]
+        rows = np.repeat(np.arange(len(found)), [len(a) for a, _, _ in found])
+        picked = batch.select(["doc_id", "text_key"]).take(pa.array(rows))
+        a, b, h = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [[], [], []]))
+        columns = [pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(h.astype(np.uint64).view(np.int64))]
+        yield pa.RecordBatch.from_arrays([*picked.columns, *columns], names=["doc_id", "text_key", "begin", "n", "chunk"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document, the runs of neighbouring repeated chunks that repeat neighbouring chunks of one document, with their text."""
+    """Of each document, the runs of neighbouring repeated chunks that repeat neighbouring chunks of one document."""
     for batch in batches:
         rows: list[tuple] = []
-        for k, (text, hits) in enumerate(zip(batch.column("text"), batch.column("hits").to_pylist(), strict=True)):
-            raw = _raw(text)
-            starts, held = lines(raw)
-            stop = {a: b for a, b, _ in chunks(held)}
+        for k, hits in enumerate(batch.column("hits")):
             run: list = []
-            for hit in [*sorted(hits, key=lambda x: x["line"]), None]:
-                origin = hit and (hit["of"]["doc_id"], hit["of"]["text_key"], hit["of"]["line"] - hit["line"])
-                if run and hit and run[2] == origin and run[1] == hit["line"]:
-                    run[1] = stop[hit["line"]]
+            for begin, n, of in [*sorted((h["begin"], h["n"], (h["of"]["doc_id"], h["of"]["text_key"], h["of"]["begin"])) for h in hits.as_py()), (None, 0, None)]:
+                origin = of and (*of[:2], of[2] - begin)
+                if run and of and run[2] == origin and begin <= run[1] + 1:
+                    run[1] = begin + n
                     continue
                 if run:
-                    a, b, (doc, key, shift) = run
-                    rows.append((k, a, b, doc, key, a + shift, *_around(raw, starts, held, a, b)))
-                run = [hit["line"], stop[hit["line"]], origin] if hit else []
-        columns = list(zip(*rows, strict=True)) or [[]] * 9
+                    rows.append((k, run[0], run[1] - run[0], *run[2][:2], run[0] + run[2][2]))
+                run = [begin, begin + n, origin] if of else []
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
         picked = batch.select(["doc_id", "text_key"]).take(pa.array(columns[0], pa.int64()))
-        kinds = [pa.int32(), pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-        names = ["a", "b", "of_doc", "of_key", "of_line", "body", "before", "after"]
-        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_id", "text_key", *names])
+        kinds = [pa.int32(), pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_id", "text_key", "begin", "n", "of_doc", "of_key", "of_begin"])
+
+
+def around(raw: bytes, a: int, b: int) -> tuple[bytes, list[bytes], list[bytes]]:
+    """The bytes from a to b, and the words before and after them, the nearest first; a word that the context cuts is left out."""
+    before = raw[max(0, a - CONTEXT_BYTES) : a]
+    words = before.split()
+    if a > CONTEXT_BYTES:
+        words = words[1:]
+    after = raw[b : b + CONTEXT_BYTES].split()
+    if b + CONTEXT_BYTES < len(raw):
+        after = after[:-1]
+    return raw[a:b], words[-CONTEXT:][::-1], after[:CONTEXT]
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of first occurrences, with the lines around it."""
+    """The text of first occurrences, with the words around it."""
     for batch in batches:
         rows: list[tuple] = []
-        for k, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True)):
+        for k, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted"), strict=True)):
             raw = _raw(text)
-            starts, held = lines(raw)
-            rows += [(k, w["line"], w["n"], *_around(raw, starts, held, w["line"], w["line"] + w["n"])) for w in wanted]
+            rows += [(k, w["begin"], w["n"], *around(raw, w["begin"], w["begin"] + w["n"])) for w in wanted.as_py()]
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         picked = batch.select(["doc_id", "text_key"]).take(pa.array(columns[0], pa.int64()))
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_id", "text_key", "line", "n", "body", "before", "after"])
+        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_id", "text_key", "begin", "n", "body", "before", "after"])
+
+
+def _shared(one: list[bytes], other: list[bytes]) -> int:
+    """How many words two contexts share from the nearest on."""
+    n = 0
+    for x, y in zip(one, other, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
-def without(raw: bytes, spans: list[tuple[int, int, int, int]]) -> tuple[bytes, int]:
-    """The text without the spans, and the words that went; spans that touch count together, and short ones stay.
+def without(raw: bytes, spans: list[tuple[int, bytes, list[bytes], list[bytes]]]) -> tuple[bytes, int]:
+    """The text without what it repeats, and the words that went.
 
-    A span is its first line, the line after its last, and the words before and after these that belong to it.
+    A span is where a repeated run may begin, the bytes of its first
+    occurrence and the words around those. The bytes are compared; the run then
+    grows by the words that are equal too. Runs that touch count together, and
+    short ones stay.
     """
-    starts, _ = lines(raw)
     places = []
-    for a, b, before, after in spans:
-        head, tail = raw[: starts[a]], raw[starts[b] :]
-        begin = len(head) if not before else len(head.rsplit(None, before)[0]) + 1 if len(head.split(None, before)) > before else 0
-        rest = tail.split(None, after)
-        end = len(raw) - len(tail) if not after else len(raw) - len(rest[after]) if len(rest) > after else len(raw)
-        places.append((begin, end))
+    for a, body, before, after in spans:
+        b = a + len(body)
+        if raw[a:b] != body:
+            continue
+        _, mine_before, mine_after = around(raw, a, b)
+        for word in mine_before[: _shared(mine_before, before)]:
+            a = raw.rindex(word, 0, a)
+        for word in mine_after[: _shared(mine_after, after)]:
+            b = raw.index(word, b) + len(word)
+        while b < len(raw) and raw[b : b + 1].isspace():
+            b += 1
+        places.append((a, b))
     merged: list[list[int]] = []
-    for begin, end in sorted(places):
-        if merged and begin <= merged[-1][1] + 1:
-            merged[-1][1] = max(end, merged[-1][1])
+    for a, b in sorted(places):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
         else:
-            merged.append([begin, end])
+            merged.append([a, b])
     kept, at, gone = [], 0, 0
-    for begin, end in merged:
-        n = len(raw[begin:end].split())
+    for a, b in merged:
+        n = len(raw[a:b].split())
         if n >= MIN_WORDS:
-            kept.append(raw[at:begin])
-            at, gone = end, gone + n
+            kept.append(raw[at:a])
+            at, gone = b, gone + n
     kept.append(raw[at:])
     return b"".join(kept), gone
 
 
-def _equal(one: str, other: str) -> Column:
-    """How many words two contexts share from the nearest on."""
-    differs = F.array_position(F.zip_with(F.col(one), F.col(other), lambda x, y: x.eqNullSafe(y)), False)
-    return F.when(differs == 0, F.size(one)).otherwise(differs - 1).cast("int")
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages in ``text``, and with ``words_removed``.
 
     Chunks of lines are hashed; of each hash that occurs more than once the
-    first occurrence, by doc_id and line, stays. The others are compared with it
-    byte by byte (but for white space at the ends of lines) and grown by
-    the equal words next to them. What makes up MIN_WORDS words or more goes.
-    Shuffles carry hashes, and the text of repeated chunks only, but for one of
-    the documents that the plan uses three times over.
+    first occurrence, by doc_id and place, stays. Its bytes go to the documents
+    that repeat it, are compared there, and the repeat grows by the equal words
+    next to it. What makes up MIN_WORDS words or more goes. Shuffles carry
+    hashes and places, each first occurrence's text, and the documents once for
+    either join.
 
     Null texts stay null. Rows with equal doc_id and text count as one document
     and are treated alike; null ids come first. A copy of a whole document is
@@ -179,33 +202,33 @@ def dedup(docs: DataFrame) -> DataFrame:
     rest = [n for n in names if n not in (id_at, text_at)]
     keyed = keyed.select(F.col(id_at).alias("doc_id"), F.col(text_at).alias("text"), F.xxhash64(text_at).alias("text_key"), *rest)
 
-    hashed = small_batches(keyed.select("doc_id", "text_key", "text")).mapInArrow(_hashes, f"doc_id {kind}, text_key long, line int, chunk long")
-    place = F.struct("doc_id", "text_key", "line")
-    repeated = hashed.groupBy("chunk").agg(F.min(place).alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk", "of")
-    again = hashed.join(repeated, "chunk").where(~place.eqNullSafe(F.col("of")))
-    hits = again.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "of")).alias("hits"))
+    hashed = small_batches(keyed.select("doc_id", "text_key", "text")).mapInArrow(_hashes, f"doc_id {kind}, text_key long, begin int, n int, chunk long")
+    repeated = hashed.groupBy("chunk").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("chunk")
+    found = hashed.join(repeated.hint("shuffle_hash"), "chunk", "left_semi")
+    place = F.struct("doc_id", "text_key", "begin")
+    firsts = found.groupBy("chunk").agg(F.min(place).alias("of"))
+    again = found.join(firsts, "chunk").where(~place.eqNullSafe(F.col("of")))
+    hits = again.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "n", "of")).alias("hits"))
+    runs = cut(hits.mapInArrow(_runs, f"doc_id {kind}, text_key long, begin int, n int, of_doc {kind}, of_key long, of_begin int"))
 
     def met(lists: DataFrame, name: str, how: str = "inner") -> DataFrame:
         lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), name).hint("shuffle_hash")
         same = keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["text_key"] == lists["_key"])
         return keyed.join(lists, same, how).select(*keyed.columns, name)
 
-    spots = f"a int, b int, of_doc {kind}, of_key long, of_line int, {AROUND}"
-    runs = met(hits, "hits").mapInArrow(_runs, f"doc_id {kind}, text_key long, {spots}").withColumn("n", F.col("b") - F.col("a"))
-    wanted = runs.select(F.col("of_doc").alias("doc_id"), F.col("of_key").alias("text_key"), F.col("of_line").alias("line"), "n").distinct()
-    wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "n")).alias("wanted"))
-    regions = met(wanted, "wanted").mapInArrow(_regions, f"doc_id {kind}, text_key long, line int, n int, {AROUND}")
-    regions = regions.toDF("_doc", "_key", "_line", "_n", "_body", "_before", "_after")
-    same = runs["of_doc"].eqNullSafe(regions["_doc"]) & (runs["of_key"] == regions["_key"]) & (runs["of_line"] == regions["_line"]) & (runs["n"] == regions["_n"])
-    equal = runs.join(regions, same).where("body = _body")
-    gone = equal.select("doc_id", "text_key", F.struct("a", "b", _equal("before", "_before").alias("before"), _equal("after", "_after").alias("after")).alias("span"))
-    gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+    wanted = runs.select(F.col("of_doc").alias("doc_id"), F.col("of_key").alias("text_key"), F.col("of_begin").alias("begin"), "n").distinct()
+    wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "n")).alias("wanted"))
+    regions = met(wanted, "wanted").mapInArrow(_regions, f"doc_id {kind}, text_key long, begin int, n int, body binary, before array<binary>, after array<binary>")
+    regions = regions.toDF("_doc", "_key", "_begin", "_n", "body", "before", "after")
+    same = runs["of_doc"].eqNullSafe(regions["_doc"]) & (runs["of_key"] == regions["_key"]) & (runs["of_begin"] == regions["_begin"]) & (runs["n"] == regions["_n"])
+    told = runs.join(regions, same).select("doc_id", "text_key", F.struct("begin", "body", "before", "after").alias("span"))
+    told = told.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                left, n = without(_raw(text), [tuple(s.values()) for s in spans]) if spans else (None, 0)
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+                left, n = without(_raw(text), [tuple(s.values()) for s in spans.as_py()]) if spans.is_valid else (None, 0)
                 texts.append(left.decode("utf-8", "surrogatepass") if n else text.as_py())
                 removed.append(n)
             by = {"text": pa.array(texts, pa.string()), "doc_id": batch.column("doc_id")}
@@ -213,7 +236,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*names, "words_removed"])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    out = met(gone, "spans", "left").mapInArrow(cleaned, f"{fields}, words_removed long")
+    out = met(told, "spans", "left").mapInArrow(cleaned, f"{fields}, words_removed long")
     return out.toDF(*titles, "words_removed")
 
 

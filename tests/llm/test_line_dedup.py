@@ -60,13 +60,20 @@ def test_rows(spark):
     assert ld.dedup(df.limit(0)).count() == 0
 
 
-def test_bytes_decide(spark, monkeypatch):
-    """With hashes that all clash, only equal text goes."""
+def test_only_copies_go(spark):
     pick = random.Random(6)
     same, rows = prose(pick, 80), []
     for k in range(6):
         rows.append((k, prose(pick, 80) if k % 2 else same, "", ""))
-    real = ld.chunks
     got = {r.doc_id: r.words_removed for r in ld.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {0: 0, 1: 0, 2: 80, 3: 0, 4: 80, 5: 0}
-    assert ld.without(b"a b c", [(0, 1, 0, 0)])[1] == 0 and real([b"x"]) == []
+
+
+def test_spans_are_compared_and_grown():
+    words = " ".join(f"w{k}" for k in range(60)).encode()
+    at = words.index(b"w20")
+    body, before, after = ld.around(words, at, words.index(b"w30") - 1)
+    assert ld.without(b"new " + words, [(at + 4, body, before, after)]) == (b"new ", 60)
+    assert ld.without(b"new " + words, [(at + 3, body, before, after)])[1] == 0
+    assert ld.without(words[at:], [(0, body, before, [b"other"])])[1] == 0
+    assert len(ld.chunks(b"")[0]) == len(ld.chunks(b"x")[0]) == 0
