@@ -24,6 +24,7 @@ MIN_WORDS = 30
 ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 INVERSE = np.uint64(pow(int(ODD[1]), -1, 1 << 64))
 BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+IS_GAP = np.isin(np.arange(256), [0x20, 0x0A])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -48,18 +49,17 @@ def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if not raw:
         return none, none, none.astype(np.uint64)
-    at = np.frombuffer(b"\0" * 8 + raw, np.uint8)
-    own = at[8:]
-    gaps = np.flatnonzero((own == 0x20) | (own == 0x0A))
-    last = at[gaps[:, None] + np.arange(8)].view(np.uint64)[:, 0] * ODD[0]
-    ends = gaps[((last >> np.uint64(40)) % np.uint64(WRAP) == 0) | (own[gaps] == 0x0A)]
-    if not len(ends) or ends[-1] != len(raw) - 1:
-        ends = np.append(ends, len(raw))
-    begins = np.concatenate([[0], ends[:-1] + 1])
+    own = np.frombuffer(raw, np.uint8)
     up, down = powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTES[own] * up[: len(raw)], out=sums[1:])
     span = lambda a, b: (sums[b] - sums[a]) * down[a]
+    gaps = np.flatnonzero(IS_GAP[own])
+    last = span(np.maximum(gaps - 8, 0), gaps) * ODD[0]
+    ends = gaps[((last >> np.uint64(40)) % np.uint64(WRAP) == 0) | (own[gaps] == 0x0A)]
+    if not len(ends) or ends[-1] != len(raw) - 1:
+        ends = np.append(ends, len(raw))
+    begins = np.concatenate([[0], ends[:-1] + 1])
     lines = span(begins, ends)
     rolled = (lines + np.concatenate([[np.uint64(0)], lines[:-1]]) * ODD[1]) * ODD[0]
     cut = np.flatnonzero((rolled >> np.uint64(33)) % np.uint64(CHUNK) == 0)
