@@ -203,7 +203,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.array(*(F.lit(r.kind) for r in RULES))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["rank"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
+    of = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    counts = [of(rank).alias(f"n_{rule.kind}") for rank, rule in enumerate(BASE)]
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 

@@ -53,6 +53,9 @@ def test_queries_are_mandatory(pattern, match):
 
 
 def test_oracle(spark):
-    rows, off = compare(spark, secrets.QUERIES["op2_secrets"], secrets.ORACLES["op2_secrets"])
-    assert rows == 200 and not off
-    assert hashlib.sha256(b"").hexdigest() in {r.base_sha256 for r in secrets.QUERIES["op2_secrets"](spark, "/root/testdata/sf0.001").collect()}
+    sf_dir = "/root/testdata/sf0.01"
+    rows, off = compare(spark, secrets.QUERIES["op2_secrets"], secrets.ORACLES["op2_secrets"], sf_dir)
+    assert rows == 1000 and not off
+    found = secrets.QUERIES["op2_secrets"](spark, sf_dir).collect()
+    assert hashlib.sha256(b"").hexdigest() in {r.base_sha256 for r in found}
+    assert all(r.spans.count(f"{k}:") == r[f"n_{k}"] for r in found for k in ("assign", "access", "hex")) and sum(r.n_assign for r in found)
