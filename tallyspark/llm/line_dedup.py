@@ -17,8 +17,8 @@ WRAP = 3
 CHUNK = 2
 #: Bytes that a chunk has at least, besides two lines; shorter ones repeat by chance.
 LEAST_BYTES = 24
-#: Words next to a run of repeated chunks that are compared as well, to both sides, and the bytes they are looked for in.
-CONTEXT, CONTEXT_BYTES = 40, 600
+#: Bytes next to a run of repeated chunks whose words are compared as well, to both sides: some 25 words, where the next chunks of a passage lie closer.
+CONTEXT_BYTES = 160
 #: Repeated passages of fewer words stay.
 MIN_WORDS = 30
 ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -92,7 +92,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for k, hits in enumerate(batch.column("hits")):
             run: list = []
-            for begin, n, of in [*sorted((h["begin"], h["n"], (h["of"]["doc_id"], h["of"]["text_key"], h["of"]["begin"])) for h in hits.as_py()), (None, 0, None)]:
+            for begin, n, of in [*sorted((h["begin"], h["n"], (h["of"]["doc_key"], h["of"]["text_key"], h["of"]["begin"])) for h in hits.as_py()), (None, 0, None)]:
                 origin = of and (*of[:2], of[2] - begin)
                 if run and of and run[2] == origin and begin <= run[1] + 1:
                     run[1] = begin + n
@@ -101,21 +101,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((k, run[0], run[1] - run[0], *run[2][:2], run[0] + run[2][2]))
                 run = [begin, begin + n, origin] if of else []
         columns = list(zip(*rows, strict=True)) or [[]] * 6
-        picked = batch.select(["doc_id", "text_key"]).take(pa.array(columns[0], pa.int64()))
-        kinds = [pa.int32(), pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_id", "text_key", "begin", "n", "of_doc", "of_key", "of_begin"])
+        picked = batch.select(["doc_key", "text_key"]).take(pa.array(columns[0], pa.int64()))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_key", "text_key", "begin", "n", "of_doc", "of_key", "of_begin"])
 
 
-def around(raw: bytes, a: int, b: int) -> tuple[bytes, list[bytes], list[bytes]]:
-    """The bytes from a to b, and the words before and after them, the nearest first; a word that the context cuts is left out."""
-    before = raw[max(0, a - CONTEXT_BYTES) : a]
-    words = before.split()
+def around(raw: bytes, a: int, b: int) -> tuple[bytes, bytes, bytes]:
+    """The bytes from a to b, and those before and after them, without a word that the context cuts."""
+    before, after = raw[max(0, a - CONTEXT_BYTES) : a], raw[b : b + CONTEXT_BYTES]
     if a > CONTEXT_BYTES:
-        words = words[1:]
-    after = raw[b : b + CONTEXT_BYTES].split()
-    if b + CONTEXT_BYTES < len(raw):
-        after = after[:-1]
-    return raw[a:b], words[-CONTEXT:][::-1], after[:CONTEXT]
+        before = before[len(before.split(None, 1)[0]) if before.split() and not before[:1].isspace() else 0 :]
+    if b + CONTEXT_BYTES < len(raw) and after.split() and not after[-1:].isspace():
+        after = after[: len(after) - len(after.rsplit(None, 1)[-1])]
+    return raw[a:b], before, after
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +124,9 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = _raw(text)
             rows += [(k, w["begin"], w["n"], *around(raw, w["begin"], w["begin"] + w["n"])) for w in wanted.as_py()]
         columns = list(zip(*rows, strict=True)) or [[]] * 6
-        picked = batch.select(["doc_id", "text_key"]).take(pa.array(columns[0], pa.int64()))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_id", "text_key", "begin", "n", "body", "before", "after"])
+        picked = batch.select(["doc_key", "text_key"]).take(pa.array(columns[0], pa.int64()))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_key", "text_key", "begin", "n", "body", "before", "after"])
 
 
 def _shared(one: list[bytes], other: list[bytes]) -> int:
@@ -141,7 +139,7 @@ def _shared(one: list[bytes], other: list[bytes]) -> int:
     return n
 
 
-def without(raw: bytes, spans: list[tuple[int, bytes, list[bytes], list[bytes]]]) -> tuple[bytes, int]:
+def without(raw: bytes, spans: list[tuple[int, bytes, bytes, bytes]]) -> tuple[bytes, int]:
     """The text without what it repeats, and the words that went.
 
     A span is where a repeated run may begin, the bytes of its first
@@ -155,9 +153,11 @@ def without(raw: bytes, spans: list[tuple[int, bytes, list[bytes], list[bytes]]]
         if raw[a:b] != body:
             continue
         _, mine_before, mine_after = around(raw, a, b)
-        for word in mine_before[: _shared(mine_before, before)]:
+        words = mine_before.split()[::-1]
+        for word in words[: _shared(words, before.split()[::-1])]:
             a = raw.rindex(word, 0, a)
-        for word in mine_after[: _shared(mine_after, after)]:
+        words = mine_after.split()
+        for word in words[: _shared(words, after.split())]:
             b = raw.index(word, b) + len(word)
         while b < len(raw) and raw[b : b + 1].isspace():
             b += 1
@@ -200,29 +200,30 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.toDF(*names)
     id_at, text_at = (names[titles.index(c)] for c in ("doc_id", "text"))
     rest = [n for n in names if n not in (id_at, text_at)]
-    keyed = keyed.select(F.col(id_at).alias("doc_id"), F.col(text_at).alias("text"), F.xxhash64(text_at).alias("text_key"), *rest)
+    keyed = keyed.select(F.col(id_at).alias("doc_id"), F.col(text_at).alias("text"), F.xxhash64(id_at).alias("doc_key"), F.xxhash64(text_at).alias("text_key"), *rest)
 
     hashed = small_batches(keyed.select("doc_id", "text_key", "text")).mapInArrow(_hashes, f"doc_id {kind}, text_key long, begin int, n int, chunk long")
     repeated = hashed.groupBy("chunk").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("chunk")
     found = hashed.join(repeated.hint("shuffle_hash"), "chunk", "left_semi")
-    place = F.struct("doc_id", "text_key", "begin")
+    # The same columns in either use, so that one exchange serves both.
+    place = F.struct("doc_id", "text_key", "begin", "n")
     firsts = found.groupBy("chunk").agg(F.min(place).alias("of"))
     again = found.join(firsts, "chunk").where(~place.eqNullSafe(F.col("of")))
-    hits = again.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "n", "of")).alias("hits"))
-    runs = cut(hits.mapInArrow(_runs, f"doc_id {kind}, text_key long, begin int, n int, of_doc {kind}, of_key long, of_begin int"))
-
-    def met(lists: DataFrame, name: str, how: str = "inner") -> DataFrame:
-        lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), name).hint("shuffle_hash")
-        same = keyed["doc_id"].eqNullSafe(lists["_id"]) & (keyed["text_key"] == lists["_key"])
-        return keyed.join(lists, same, how).select(*keyed.columns, name)
-
-    wanted = runs.select(F.col("of_doc").alias("doc_id"), F.col("of_key").alias("text_key"), F.col("of_begin").alias("begin"), "n").distinct()
-    wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "n")).alias("wanted"))
-    regions = met(wanted, "wanted").mapInArrow(_regions, f"doc_id {kind}, text_key long, begin int, n int, body binary, before array<binary>, after array<binary>")
-    regions = regions.toDF("_doc", "_key", "_begin", "_n", "body", "before", "after")
-    same = runs["of_doc"].eqNullSafe(regions["_doc"]) & (runs["of_key"] == regions["_key"]) & (runs["of_begin"] == regions["_begin"]) & (runs["n"] == regions["_n"])
-    told = runs.join(regions, same).select("doc_id", "text_key", F.struct("begin", "body", "before", "after").alias("span"))
-    told = told.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
+    of = F.struct(F.xxhash64("of.doc_id").alias("doc_key"), "of.text_key", "of.begin")
+    again = again.select(F.xxhash64("doc_id").alias("doc_key"), "text_key", F.struct("begin", "n", of.alias("of")).alias("hit"))
+    hits = again.groupBy("doc_key", "text_key").agg(F.collect_list("hit").alias("hits"))
+    runs = cut(hits.mapInArrow(_runs, "doc_key long, text_key long, begin int, n int, of_doc long, of_key long, of_begin int"))
+
+    # Keys without nulls: what is gathered by document is then dealt out as the join with the documents needs it.
+    def met(lists: DataFrame, how: str = "inner") -> DataFrame:
+        return keyed.join(lists.hint("shuffle_hash"), ["doc_key", "text_key"], how).select(*keyed.columns, lists.columns[-1])
+
+    wanted = runs.select(F.col("of_doc").alias("doc_key"), F.col("of_key").alias("text_key"), F.col("of_begin").alias("begin"), "n").distinct()
+    wanted = wanted.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("begin", "n")).alias("wanted"))
+    regions = met(wanted).mapInArrow(_regions, "doc_key long, text_key long, begin int, n int, body binary, before binary, after binary")
+    regions = regions.toDF("of_doc", "of_key", "of_begin", "n", "body", "before", "after")
+    told = runs.join(regions, ["of_doc", "of_key", "of_begin", "n"]).select("doc_key", "text_key", F.struct("begin", "body", "before", "after").alias("span"))
+    told = told.groupBy("doc_key", "text_key").agg(F.collect_list("span").alias("spans"))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +237,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*names, "words_removed"])
 
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    out = met(told, "spans", "left").mapInArrow(cleaned, f"{fields}, words_removed long")
+    out = met(told, "left").mapInArrow(cleaned, f"{fields}, words_removed long")
     return out.toDF(*titles, "words_removed")
 
 

@@ -75,5 +75,5 @@ def test_spans_are_compared_and_grown():
     body, before, after = ld.around(words, at, words.index(b"w30") - 1)
     assert ld.without(b"new " + words, [(at + 4, body, before, after)]) == (b"new ", 60)
     assert ld.without(b"new " + words, [(at + 3, body, before, after)])[1] == 0
-    assert ld.without(words[at:], [(0, body, before, [b"other"])])[1] == 0
+    assert ld.without(words[at:], [(0, body, before, b" other words")])[1] == 0
     assert len(ld.chunks(b"")[0]) == len(ld.chunks(b"x")[0]) == 0
