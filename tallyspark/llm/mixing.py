@@ -20,6 +20,8 @@ SHARDS = 16
 SEED = 20260101
 #: A document's place in its source is 60 bits of a hash; each level of ranges splits by ten of them.
 PLACE_BITS, LEVEL_BITS = 60, 10
+#: Sources whose rows of a plan are broadcast at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 BLOCKS = 1 << LEVEL_BITS
 
 
@@ -84,11 +86,16 @@ def passes(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
         rows = rows.withColumn("_range", F.shiftright("_place", shift)).join(ends, ["_key", "_range"]).drop("_range")
     gap = F.col("rest") - F.col("taken")
     off = F.abs(F.col("_size") - gap)
-    extra = keyed.join(state.select("_key", "rest", "taken", "mark"), "_key").where((F.col("_place") > F.col("mark")) & (off < gap))
+    extra = keyed.join(_few(state).select("_key", "rest", "taken", "mark"), "_key").where((F.col("_place") > F.col("mark")) & (off < gap))
     extra = extra.groupBy("_key").agg(F.min(F.struct(off.alias("off"), F.col("_place").alias("place")))["place"].alias("extra"))
     return state.join(extra, "_key", "left").select("_key", "source_size", "target", "full", "rest", "mark", "extra")
 
 
+def _few(plan: DataFrame) -> DataFrame:
+    """A plan's rows, one a source, marked for broadcast if they are as few as sources mostly are; a hot source then stays where it is."""
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
 def leaf_quotas(counts: np.ndarray, shards: int, leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The draws that the splitting tree gives one shard, by source, and those that go to the shards before it.
 
@@ -157,7 +164,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     ends = shard_ends(plan.select("_key", "_draws"), shards, seed)
     step = _steps(seed)
     plan = plan.join(ends, "_key").withColumn("_step", step("_draws")).withColumn("_shift", F.pmod(F.xxhash64("_key", F.lit(seed)), F.greatest("_draws", F.lit(1))))
-    out = rows.join(plan, "_key")
+    out = rows.join(_few(plan), "_key")
     block = F.shiftright("_place", shift)
     again = (F.col("rest") > 0) & ((F.col("_place") <= F.col("mark")) | (F.col("_place") == F.coalesce("extra", F.lit(-1))))
     drawn = F.concat(

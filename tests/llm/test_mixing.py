@@ -65,3 +65,10 @@ def test_one_document_and_none(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     (r,) = mixing.mix(spark.createDataFrame([(1, "a b c d", "s", None, None)], SCHEMA)).collect()
     assert r.target == 6.0 and r.taken in (4, 8)
+
+
+def test_many_sources_without_broadcast(spark, monkeypatch):
+    rows = docs(200)
+    few = sorted(map(repr, mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect())) == few
