@@ -14,7 +14,7 @@ VIEWS = {
     "v_daily_cash": "value_date credited_paise credit_count is_business_day".split(),
 }
 
-#: The statements; parameters are bound by name, never written into the text.
+#: What each question returns, and in which order. Parameters are bound by name, never written into the text.
 TEMPLATES = {
     "settlement_detail": "SELECT settlement_id, settled_on, gross_paise, mdr_paise, gst_paise, tds_paise, refunds_paise, chargeback_paise, reserve_paise, net_expected_paise, net_received_paise, residual_paise, balanced FROM v_settlements WHERE settlement_id = :settlement_id",
     "settlement_on_date": "SELECT settlement_id, settled_on, gross_paise, net_received_paise, residual_paise, balanced, member_count FROM v_settlements WHERE settled_on = CAST(:as_of AS DATE) ORDER BY settlement_id",

@@ -9,12 +9,35 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources import statements
 
-#: The tools that may be called; all others are refused, these writing ones by name.
+#: The tools that may be called, and those that write; all that are not on the first list are refused.
 READABLE = frozenset(
-    "fetch_payment fetch_all_payments fetch_order fetch_all_orders fetch_refund fetch_all_refunds fetch_settlement_with_id fetch_all_settlements fetch_settlement_recon_details fetch_order_payments".split()
+    [
+        "fetch_all_settlements",
+        "fetch_settlement_with_id",
+        "fetch_settlement_recon_details",
+        "fetch_all_payments",
+        "fetch_payment",
+        "fetch_all_refunds",
+        "fetch_all_orders",
+        "fetch_order_payments",
+        "fetch_all_payouts",
+        "fetch_payout_by_id",
+    ]
 )
 WRITING = frozenset(
-    "capture_payment create_refund create_order create_payment_link update_payment update_refund update_order create_qr_code close_qr_code create_instant_settlement initiate_payment".split()
+    [
+        "create_order",
+        "create_payment_link",
+        "create_payment_link_upi",
+        "capture_payment",
+        "create_refund",
+        "update_refund",
+        "create_payout",
+        "create_qr_code",
+        "close_qr_code",
+        "update_order",
+        "edit_payment_link",
+    ]
 )
 
 
@@ -36,7 +59,7 @@ class FileRail:
         rows = lambda: statements.split(statements.read_gateway(spark, directory))[0]
         kind = lambda k: lambda: rows().where(F.col("kind") == k)
         self.tools: dict[str, Callable[[], DataFrame]] = {"fetch_all_payments": kind("payment"), "fetch_all_refunds": kind("refund"), "fetch_all_settlements": kind("settlement")}
-        self.by_id = {"fetch_payment": "payment", "fetch_refund": "refund", "fetch_settlement_with_id": "settlement"}
+        self.by_id = {"fetch_payment": "payment", "fetch_settlement_with_id": "settlement"}
         self.rows = rows
 
     def call(self, tool: str, first: str | None = None, last: str | None = None, id: str | None = None) -> DataFrame:
