@@ -17,14 +17,14 @@ WRAP = 3
 CHUNK = 2
 #: Bytes that a chunk has at least, besides two lines; shorter ones repeat by chance.
 LEAST_BYTES = 24
-#: Bytes next to a run of repeated chunks whose words are compared as well, to both sides: some 25 words, where the next chunks of a passage lie closer.
-CONTEXT_BYTES = 160
+#: Bytes before a gap that decide whether a line ends there.
+DECIDING = 8
 #: Repeated passages of fewer words stay.
 MIN_WORDS = 30
 ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 INVERSE = np.uint64(pow(int(ODD[1]), -1, 1 << 64))
 BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
-IS_GAP = np.isin(np.arange(256), [0x20, 0x0A])
+IS_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -39,37 +39,75 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, ends and hashes of a text's chunks of two lines or more; a chunk's end leaves out the white space after it.
+def _flat(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The text with one space for each gap between words and none around them, and the place of each of its bytes."""
+    own = np.frombuffer(raw, np.uint8)
+    gap = IS_GAP[own]
+    stays = ~gap
+    stays[1:] |= ~gap[:-1]
+    at = np.flatnonzero(stays)
+    flat = np.where(gap[at], np.uint8(0x20), own[at])
+    return (flat[:-1], at[:-1]) if len(flat) and flat[-1] == 0x20 else (flat, at)
+
 
-    Lines end after each newline and, within long lines, after words that their
-    own last bytes choose. Hashes of any span of bytes come from one running sum
-    over the text.
+class Layout:
+    """A text's lines and its chunks of two lines or more.
+
+    Lines end after words that their own last bytes choose. However the gaps
+    between words are written, equal words give equal lines and chunks. Hashes
+    of any span of bytes come from one running sum over the text. ``a`` and
+    ``b`` are where chunks begin and where the word after them does.
     """
-    none = np.zeros(0, np.int64)
-    if not raw:
-        return none, none, none.astype(np.uint64)
-    own = np.frombuffer(raw, np.uint8)
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTES[own] * up[: len(raw)], out=sums[1:])
-    span = lambda a, b: (sums[b] - sums[a]) * down[a]
-    gaps = np.flatnonzero(IS_GAP[own])
-    last = span(np.maximum(gaps - 8, 0), gaps) * ODD[0]
-    ends = gaps[((last >> np.uint64(40)) % np.uint64(WRAP) == 0) | (own[gaps] == 0x0A)]
-    if not len(ends) or ends[-1] != len(raw) - 1:
-        ends = np.append(ends, len(raw))
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    lines = span(begins, ends)
-    rolled = (lines + np.concatenate([[np.uint64(0)], lines[:-1]]) * ODD[1]) * ODD[0]
-    cut = np.flatnonzero((rolled >> np.uint64(33)) % np.uint64(CHUNK) == 0)
-    if not len(cut) or cut[-1] != len(lines) - 1:
-        cut = np.append(cut, len(lines) - 1)
-    first = np.concatenate([[0], cut[:-1] + 1])
-    a, b = begins[first], ends[cut]
-    keep = (cut > first) & (b - a >= LEAST_BYTES)
-    a, b = a[keep], b[keep]
-    return a, b, span(a, b) * ODD[0]
+
+    def __init__(self, raw: bytes):
+        self.size = len(raw)
+        flat, self.at = _flat(raw)
+        self.a, self.b, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        n = len(flat)
+        if not n:
+            return
+        up, down = powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTES[flat] * up[:n], out=sums[1:])
+        span = lambda a, b: (sums[b] - sums[a]) * down[a]
+        self.gaps = np.flatnonzero(flat == 0x20)
+        last = span(np.maximum(self.gaps - DECIDING, 0), self.gaps) * ODD[0]
+        ends = np.append(self.gaps[(last >> np.uint64(40)) % np.uint64(WRAP) == 0], n)
+        self.lines = np.concatenate([[0], ends[:-1] + 1])
+        lines = span(self.lines, ends)
+        rolled = (lines + np.concatenate([[np.uint64(0)], lines[:-1]]) * ODD[1]) * ODD[0]
+        cut = np.flatnonzero((rolled >> np.uint64(33)) % np.uint64(CHUNK) == 0)
+        if not len(cut) or cut[-1] != len(lines) - 1:
+            cut = np.append(cut, len(lines) - 1)
+        first = np.concatenate([[0], cut[:-1] + 1])
+        a, b = self.lines[first], ends[cut]
+        keep = (cut > first) & (b - a >= LEAST_BYTES)
+        a, b, self.first = a[keep], b[keep], first[keep]
+        self.hashes = span(a, b) * ODD[0]
+        self.a, self.b = self.at[a], np.append(self.at, [self.size] * 2)[b + 1]
+
+    def reach(self, a: int, b: int) -> tuple[int, int]:
+        """How far around the run from a to b its words need comparing.
+
+        After it, to the end of the next chunk; before it, to the begin of the
+        chunk there and to what decides that it begins there: two lines and the
+        bytes that end the line before. Text that is equal so far has that
+        chunk in common too, which is a repeat with a reach of its own.
+        """
+        k = int(np.searchsorted(self.a, b))
+        high = int(self.b[k]) if k < len(self.a) else self.size
+        k = int(np.searchsorted(self.b, a, "right")) - 1
+        line = int(self.first[k]) - 2 if k >= 0 else 0
+        if line <= 0:
+            return 0, high
+        g = int(np.searchsorted(self.gaps, self.lines[line] - 1 - DECIDING)) - 1
+        return int(self.at[self.gaps[g] + 1]) if g >= 0 else 0, high
+
+
+def chunks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends and hashes of a text's chunks of two lines or more; a chunk's end takes in the white space after it."""
+    found = Layout(raw)
+    return found.a, found.b, found.hashes
 
 
 def _raw(value: pa.Scalar) -> bytes:
@@ -92,28 +130,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for k, hits in enumerate(batch.column("hits")):
             run: list = []
-            for begin, n, of in [*sorted((h["begin"], h["n"], (h["of"]["doc_key"], h["of"]["text_key"], h["of"]["begin"])) for h in hits.as_py()), (None, 0, None)]:
+            for begin, n, of in [*sorted((h["begin"], h["n"], tuple(h["of"].values())) for h in hits.as_py()), (None, 0, None)]:
                 origin = of and (*of[:2], of[2] - begin)
-                if run and of and run[2] == origin and begin <= run[1] + 1:
-                    run[1] = begin + n
+                if run and of and run[2] == origin and begin <= run[1]:
+                    run[1], run[3] = begin + n, of[2] + of[3]
                     continue
                 if run:
-                    rows.append((k, run[0], run[1] - run[0], *run[2][:2], run[0] + run[2][2]))
-                run = [begin, begin + n, origin] if of else []
+                    rows.append((k, run[0], *run[2][:2], run[0] + run[2][2], run[3] - run[0] - run[2][2]))
+                run = [begin, begin + n, origin, of[2] + of[3]] if of else []
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         picked = batch.select(["doc_key", "text_key"]).take(pa.array(columns[0], pa.int64()))
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_key", "text_key", "begin", "n", "of_doc", "of_key", "of_begin"])
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_key", "text_key", "begin", "of_doc", "of_key", "of_begin", "n"])
 
 
-def around(raw: bytes, a: int, b: int) -> tuple[bytes, bytes, bytes]:
-    """The bytes from a to b, and those before and after them, without a word that the context cuts."""
-    before, after = raw[max(0, a - CONTEXT_BYTES) : a], raw[b : b + CONTEXT_BYTES]
-    if a > CONTEXT_BYTES:
-        before = before[len(before.split(None, 1)[0]) if before.split() and not before[:1].isspace() else 0 :]
-    if b + CONTEXT_BYTES < len(raw) and after.split() and not after[-1:].isspace():
-        after = after[: len(after) - len(after.rsplit(None, 1)[-1])]
-    return raw[a:b], before, after
+def around(raw: bytes, a: int, b: int, low: int = 0, high: int | None = None) -> tuple[bytes, bytes, bytes]:
+    """The bytes from a to b, those from low on before them and those up to high after them."""
+    return raw[a:b], raw[low:a], raw[b:high]
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +155,10 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for k, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted"), strict=True)):
             raw = _raw(text)
-            rows += [(k, w["begin"], w["n"], *around(raw, w["begin"], w["begin"] + w["n"])) for w in wanted.as_py()]
+            layout = Layout(raw)
+            for w in wanted.as_py():
+                a, b = w["begin"], w["begin"] + w["n"]
+                rows.append((k, a, w["n"], *around(raw, a, b, *layout.reach(a, b))))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         picked = batch.select(["doc_key", "text_key"]).take(pa.array(columns[0], pa.int64()))
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -143,37 +179,32 @@ def without(raw: bytes, spans: list[tuple[int, bytes, bytes, bytes]]) -> tuple[b
     """The text without what it repeats, and the words that went.
 
     A span is where a repeated run may begin, the bytes of its first
-    occurrence and the words around those. The bytes are compared; the run then
-    grows by the words that are equal too. Runs that touch count together, and
-    short ones stay.
+    occurrence and the bytes around those. Their words are compared; the run
+    then grows to the first word that is unequal. Runs that touch count
+    together, and short ones stay.
     """
+    mine = raw.split()
+    gap = IS_GAP[np.frombuffer(raw, np.uint8)]
+    begins = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]])) if raw else np.zeros(0, np.int64)
     places = []
     for a, body, before, after in spans:
-        b = a + len(body)
-        if raw[a:b] != body:
+        i, same = int(np.searchsorted(begins, a)), body.split()
+        j = i + len(same)
+        if i == len(mine) or begins[i] != a or mine[i:j] != same:
             continue
-        _, mine_before, mine_after = around(raw, a, b)
-        words = mine_before.split()[::-1]
-        for word in words[: _shared(words, before.split()[::-1])]:
-            a = raw.rindex(word, 0, a)
-        words = mine_after.split()
-        for word in words[: _shared(words, after.split())]:
-            b = raw.index(word, b) + len(word)
-        while b < len(raw) and raw[b : b + 1].isspace():
-            b += 1
-        places.append((a, b))
+        earlier, later = before.split()[::-1], after.split()
+        places.append((i - _shared(mine[max(0, i - len(earlier)) : i][::-1], earlier), j + _shared(mine[j : j + len(later)], later)))
     merged: list[list[int]] = []
-    for a, b in sorted(places):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
+    for i, j in sorted(places):
+        if merged and i <= merged[-1][1]:
+            merged[-1][1] = max(j, merged[-1][1])
         else:
-            merged.append([a, b])
+            merged.append([i, j])
     kept, at, gone = [], 0, 0
-    for a, b in merged:
-        n = len(raw[a:b].split())
-        if n >= MIN_WORDS:
-            kept.append(raw[at:a])
-            at, gone = b, gone + n
+    for i, j in merged:
+        if j - i >= MIN_WORDS:
+            kept.append(raw[at : begins[i]] if i else b"")
+            at, gone = int(begins[j]) if j < len(mine) else len(raw), gone + j - i
     kept.append(raw[at:])
     return b"".join(kept), gone
 
@@ -183,8 +214,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Chunks of lines are hashed; of each hash that occurs more than once the
     first occurrence, by doc_id and place, stays. Its bytes go to the documents
-    that repeat it, are compared there, and the repeat grows by the equal words
-    next to it. What makes up MIN_WORDS words or more goes. Shuffles carry
+    that repeat it, with those up to the next chunk to both sides; the words are
+    compared there, and the repeat grows to the first unequal word. What makes up MIN_WORDS words or more goes. Shuffles carry
     hashes and places, each first occurrence's text, and the documents once for
     either join.
 
@@ -209,10 +240,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_key", "begin", "n")
     firsts = found.groupBy("chunk").agg(F.min(place).alias("of"))
     again = found.join(firsts, "chunk").where(~place.eqNullSafe(F.col("of")))
-    of = F.struct(F.xxhash64("of.doc_id").alias("doc_key"), "of.text_key", "of.begin")
+    of = F.struct(F.xxhash64("of.doc_id").alias("doc_key"), "of.text_key", "of.begin", "of.n")
     again = again.select(F.xxhash64("doc_id").alias("doc_key"), "text_key", F.struct("begin", "n", of.alias("of")).alias("hit"))
     hits = again.groupBy("doc_key", "text_key").agg(F.collect_list("hit").alias("hits"))
-    runs = cut(hits.mapInArrow(_runs, "doc_key long, text_key long, begin int, n int, of_doc long, of_key long, of_begin int"))
+    runs = cut(hits.mapInArrow(_runs, "doc_key long, text_key long, begin int, of_doc long, of_key long, of_begin int, n int"))
 
     # Keys without nulls: what is gathered by document is then dealt out as the join with the documents needs it.
     def met(lists: DataFrame, how: str = "inner") -> DataFrame:

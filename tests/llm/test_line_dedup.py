@@ -77,3 +77,20 @@ def test_spans_are_compared_and_grown():
     assert ld.without(b"new " + words, [(at + 3, body, before, after)])[1] == 0
     assert ld.without(words[at:], [(0, body, before, b" other words")])[1] == 0
     assert len(ld.chunks(b"")[0]) == len(ld.chunks(b"x")[0]) == 0
+
+
+def test_a_run_grows_over_any_gap_to_the_first_unequal_word(spark):
+    pick = random.Random(8)
+    long = lambda n: " ".join("".join(pick.choice("abcdefghij") for _ in range(pick.randrange(4, 13))) for _ in range(n))
+    passages = [long(n) for n in (60, 80, 120) for _ in range(40)]
+    rows = [(k, f"{long(40)} {p} {long(40)}", "", "") for k, p in enumerate(passages)]
+    rows += [(1000 + k, f"{long(40)} {p} {long(40)}", "", "") for k, p in enumerate(passages)]
+    # A stretch without chunks that is far longer than any context, and gaps of other white space.
+    own = long(60)
+    rows += [(k, f"{long(40)} {own} {'x ' * 3000}{long(40)}", "", "") for k in (2000, 2001)]
+    rows += [(3000, f"{long(40)} {passages[99]} {long(40)}".replace(" ", "\t\r\n"), "", "")]
+    got = {r.doc_id: r.words_removed for r in ld.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k] == 0 for k in range(len(passages)))
+    whole = [got[1000 + k] == len(p.split()) for k, p in enumerate(passages)]
+    assert all(n in (0, len(p.split())) for n, p in zip((got[1000 + k] for k in range(len(passages))), passages)) and sum(whole) >= 118
+    assert got[2001] == 3060 and got[3000] == 120
