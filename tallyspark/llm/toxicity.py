@@ -29,8 +29,6 @@ TRAINED_BYTES, ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_000_000, 64_000
 LEVEL = 12
 #: Scores from here on count as toxic.
 THRESHOLD = 0.7
-#: A window can gain only if it begins with so many bytes of a word of the toxic dictionary; the others are not compressed.
-BEGIN = 4
 #: Windows whose gains a task remembers before it forgets them all.
 REMEMBERED = 500_000
 WORDS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -72,7 +70,7 @@ class Model:
     middle: float
 
     def gains(self) -> Callable[[list[bytes]], np.ndarray]:
-        """A function from windows to the bytes that the toxic dictionary saves against the ordinary one, on each window that can gain."""
+        """A function from windows to the bytes that the toxic dictionary saves against the ordinary one, on each window."""
         return _gains(self.ordinary, self.toxic)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -90,17 +88,15 @@ def _gains(*contents: bytes) -> Callable[[list[bytes]], np.ndarray]:
         dictionary.precompute_compress(compression_params=settings)
         packers.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress)
     one, other = packers
-    begins = {word[::STRETCH][:BEGIN] for word in contents[1][len(contents[0]) :].split(b"\n") if word}
     known: dict[bytes, int] = {}
 
     def gains(windows: list[bytes]) -> np.ndarray:
         if len(known) > REMEMBERED:
             known.clear()
-        able = [word for word in windows if word[:BEGIN] in begins]
-        for word in {word for word in able if word not in known}:
+        for word in {word for word in windows if word not in known}:
             text = stretched(word) + PAD
             known[word] = len(one(text)) - len(other(text))
-        return np.fromiter(map(known.__getitem__, able), np.int64, len(able))
+        return np.fromiter(map(known.__getitem__, windows), np.int64, len(windows))
 
     return gains
 

@@ -52,3 +52,9 @@ def test_one_class_finds_nothing():
     model = tx.train([("some text here", 0)] * 30)
     assert model.score(np.array([0.0, 50.0])).max() < tx.THRESHOLD
     assert tx.train([]).score(np.array([1.0])).max() < tx.THRESHOLD
+
+
+def test_every_window_is_compressed():
+    gains = tx.train(sample(500, 1)).gains()
+    found = gains([b"xscoundrel", b"archvillain", b"scoundrel", b"th", b"xscoundrel"])
+    assert len(found) == 5 and (found[[0, 1, 2, 4]] > 0).all() and found[3] <= 0
