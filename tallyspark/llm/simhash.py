@@ -187,6 +187,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return small_batches(groups.select("lo", "hi", "items")).mapInArrow(_edges, "a long, b long")
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, class, component_id) for each fingerprint: the smallest fingerprint and the smallest doc_id that links reach."""
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    members = connected_components(links(least.select("fp")))
+    classes = least.join(members, least["fp"] == members["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    smallest = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    return classes.join(smallest, "class").select("fp", "class", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``.
 
@@ -198,23 +207,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     further columns are ignored.
     """
     prints = cut(fingerprints(docs))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    members = connected_components(links(least.select("fp")))
-    classes = least.join(members, least["fp"] == members["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    smallest = classes.groupBy("class").agg(F.min("least").alias("component_id"))
-    of = classes.join(smallest, "class").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_classes(prints).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each near-duplicate class does: the one with the smallest doc_id.
+    """The rows of ``docs`` that stay when one of each near-duplicate class does: the one with the smallest doc_id, and of those the smallest text hash.
 
-    All columns stay. Of rows with the same doc_id one stays, any of equal rows;
-    rows with a null doc_id stay only where their class has no id at all.
+    All columns stay. The class is that of the row's own text, so rows that
+    share a doc_id, or have none, stay or go each for itself; a row without an
+    id stays only where its class has no id at all. Of rows with the same doc_id
+    and text, which are copies, any one stays.
     """
-    found = near_duplicates(docs)
-    firsts = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    # Keys without nulls: what the join deals out is then grouped by the same keys.
+    keys = {"_row_id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "_row_text": F.coalesce(F.sha2("text", 256), F.lit(""))}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = small_batches(docs.select("doc_id", "text", *(c.alias(n) for n, c in keys.items())))
+    prints = cut(rows.mapInArrow(_fingerprints, f"doc_id {kind}, _row_id string, _row_text string, fp long"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row_text", "_row_id")
+    least = prints.groupBy("fp").agg(F.min(place).alias("least"))
+    firsts = _classes(prints).join(least, "fp").groupBy("class").agg(F.min("least").alias("first")).select(*(f"first.{n}" for n in keys))
+    return docs.withColumns(keys).join(firsts, [*keys], "left_semi").dropDuplicates([*keys]).drop(*keys)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

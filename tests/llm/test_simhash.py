@@ -97,3 +97,10 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in connected_components(edges).collect()}
     assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+
+
+def test_keep_one_judges_each_row_by_its_own_text(spark):
+    one, two, three, four, five = ("words of the %s kind that only this one has" % " ".join(f"{n}{k}" for k in range(20)) for n in "abcde")
+    data = [(None, one, "x"), (None, two, "x"), (None, two, "x"), (None, three, "x"), (7, three, "x"), (1, four, "x"), (2, four, "x"), (2, five, "x"), (None, None, "x")]
+    kept = simhash.keep_one(spark.createDataFrame(data, DOCS)).collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == sorted([(0, one), (0, two), (7, three), (1, four), (2, five), (0, "")])
