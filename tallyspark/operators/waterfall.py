@@ -121,3 +121,46 @@ def fit_rates(rows: list[dict]) -> dict:
         "identifiable": [m for m, v in zip(used, shares, strict=True) if v >= LEAST_SHARE],
         "r2": 1 - float(((y - x @ w) ** 2).sum()) / spread if spread else 1.0,
     }
+
+
+def _from_products(gram: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A square system (x, y) with the given x'x and x'y, so with the same least squares."""
+    values, vectors = np.linalg.eigh(gram)
+    root = np.sqrt(np.where(values > 1e-12 * values.max(initial=0), values, 0.0))
+    return root[:, None] * vectors.T, np.divide(vectors.T @ product, root, out=np.zeros_like(root), where=root > 0)
+
+
+def fit_rates_over(rows: DataFrame) -> dict:
+    """What ``fit_rates`` gives for all rows of ``design``: each round sums products in Spark, and the driver solves a system as wide as there are methods."""
+    methods = sorted(MDR_BPS)
+    rows = rows.select(*(F.col(m).cast("double").alias(m) for m in methods), F.col("withheld_paise").cast("double").alias("y")).persist()
+    try:
+        sums = rows.agg(F.count(F.lit(1)).alias("n"), F.median(F.abs("y")).alias("middle"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"), *(F.sum(m).alias(m) for m in methods), *(F.max(m).alias(f"{m}_most") for m in methods)).first()
+        used = [m for m in methods if sums[f"{m}_most"]]
+        if not sums["n"] or sums["n"] < len(used):
+            return {}
+        scale, w = max(float(sums["middle"]), 1.0), None
+        x = [F.col(m) / scale for m in used]
+        y = F.col("y") / scale
+        pairs = [(i, j) for i in range(len(used)) for j in range(i, len(used))]
+        for _ in range(12):
+            miss = F.lit(0.0) if w is None else F.abs(y - sum((a * float(b) for a, b in zip(x, w, strict=True)), F.lit(0.0)))
+            weight = F.lit(1.0) if w is None else F.least(F.lit(1.0), 0.05 / F.greatest(miss, F.lit(1e-12)))
+            weighed = rows.withColumn("_w", weight)
+            found = list(weighed.agg(*(F.sum(F.col("_w") * x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(F.col("_w") * a * y).alias(f"b{i}") for i, a in enumerate(x))).first())
+            gram = np.zeros((len(used), len(used)))
+            for (i, j), v in zip(pairs, found, strict=False):
+                gram[i, j] = gram[j, i] = v
+            w = nonnegative_least_squares(*_from_products(gram, np.array(found[len(pairs) :])))
+        off = F.col("y") - sum((F.col(m) * float(v) for m, v in zip(used, w, strict=True)), F.lit(0.0))
+        lost = rows.agg(F.sum(off * off).alias("v")).first()["v"]
+    finally:
+        rows.unpersist()
+    shares = np.array([sums[m] for m in used]) / sum(sums[m] for m in used)
+    spread = sums["yy"] - sums["y"] ** 2 / sums["n"]
+    return {
+        "rates_bps": {m: float(v * 10_000) for m, v in zip(used, w, strict=True)},
+        "shares": {m: float(v) for m, v in zip(used, shares, strict=True)},
+        "identifiable": [m for m, v in zip(used, shares, strict=True) if v >= LEAST_SHARE],
+        "r2": 1 - lost / spread if spread else 1.0,
+    }

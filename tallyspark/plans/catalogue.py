@@ -363,9 +363,7 @@ def fitted_rates(spark, d):
     members = ad.payments(spark, d).join(ad.settled(spark, d).select("payment_id", "settles_on"), "payment_id")
     received = ad.credits(spark, d).groupBy(F.col("landed_on").alias("settles_on")).agg(F.sum("amount_paise").alias("net_received_paise"))
     design = waterfall.design(members.where("settles_on is not null"), received, "settles_on")
-    # Least squares needs the sums of products alone; the fit takes one bounded sample of settlements.
-    rows = [r.asDict() for r in design.orderBy(F.xxhash64("settles_on")).limit(5000).collect()]
-    fit = waterfall.fit_rates(rows)
+    fit = waterfall.fit_rates_over(design)
     return spark.createDataFrame([(m, round(b, 2), round(fit["shares"][m], 6), m in fit["identifiable"]) for m, b in fit.get("rates_bps", {}).items()], "method string, bps double, share double, identifiable boolean")
 
 
@@ -465,7 +463,7 @@ def liquidity_alerts(spark, d):
 
 @query()
 def forecast_ladder(spark, d):
-    series = forecast.spine(ad.daily_orders(spark, d)).orderBy(F.col("ds").desc()).limit(200)
+    series = forecast.spine(ad.daily_orders(spark, d))
     return forecast.ladder(forecast.backtest(series), forecast.seasonal_naive_errors(series))
 
 

@@ -1,5 +1,7 @@
 import pytest
 
+from tallyspark.operators import forecast
+from tallyspark.plans import adapters as ad
 from tallyspark.plans import catalogue
 from tests.oracle import SF_DIR, compare
 
@@ -46,3 +48,11 @@ def test_waterfall_closes(spark):
     ends = catalogue.QUERIES["waterfall_settlements"](spark, SF_DIR)
     assert ends.join(lines, "settlement_id").where("gross_paise + `sum(amount_paise)` != net_received_paise").count() == 0
     assert ends.where("balanced").count() > 0
+
+
+def test_the_ladder_covers_the_whole_series(spark):
+    series = forecast.spine(ad.daily_orders(spark, SF_DIR))
+    assert series.count() > 200
+    want = forecast.ladder(forecast.backtest(series, ("drift",)), forecast.seasonal_naive_errors(series)).first()
+    got = {r.model: r for r in catalogue.QUERIES["forecast_ladder"](spark, SF_DIR).collect()}
+    assert len(got) == len(forecast.MODELS) and got["drift"] == want

@@ -169,3 +169,15 @@ def test_interval_and_metrics():
     low, high = evaluation.proportion_interval(90, 100)
     assert 0.8 < low < 0.9 < high < 0.97 and evaluation.proportion_interval(0, 0) == (0.0, 0.0)
     assert evaluation.metrics_text({"b": 1 / 3, "a": 2}) == '{\n  "a": 2,\n  "b": 0.333333\n}\n'
+
+
+def test_rates_fit_all_settlements(spark):
+    pick, rows = np.random.default_rng(4), []
+    methods = sorted(waterfall.MDR_BPS)
+    for k in range(6000):
+        gross = pick.integers(10_000, 5_000_000, len(methods))
+        rows.append({m: int(g) for m, g in zip(methods, gross)} | {"withheld_paise": int(gross @ np.linspace(0.004, 0.03, len(methods))) + (3_000_000 if k % 17 == 0 else 0)})
+    want, got = waterfall.fit_rates(rows), waterfall.fit_rates_over(spark.createDataFrame(rows))
+    assert got["identifiable"] == want["identifiable"] and abs(got["r2"] - want["r2"]) < 1e-6
+    assert all(abs(got[x][m] - want[x][m]) < 1e-3 for x in ("rates_bps", "shares") for m in methods)
+    assert waterfall.fit_rates_over(spark.createDataFrame(rows[:2])) == {} == waterfall.fit_rates_over(spark.createDataFrame(rows).limit(0))
