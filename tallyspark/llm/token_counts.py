@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ LIMIT = 2048
 REMEMBERED = 500_000
 #: Symbols merged at once.
 AT_ONCE = 400_000
+#: Bytes from which a pre-token is merged by itself, by its changed places only, and is not remembered.
+LONG = 128
 NONE = np.iinfo(np.int32).max
 
 
@@ -47,16 +50,74 @@ class Merger:
 
     def count(self, words: list[str]) -> list[int]:
         """The number of tokens of each pre-token; none of them is empty."""
-        out: list[int] = []
+        raws = [w.encode() for w in words]
+        out = np.zeros(len(raws), np.int64)
+        short = [k for k, raw in enumerate(raws) if len(raw) < LONG]
         begin = 0
-        while begin < len(words):
+        while begin < len(short):
             size, stop = 0, begin
-            while stop < len(words) and (size < AT_ONCE):
-                size += len(words[stop])
+            while stop < len(short) and size < AT_ONCE:
+                size += len(raws[short[stop]])
                 stop += 1
-            out += self._count([w.encode() for w in words[begin:stop]]).tolist()
+            out[short[begin:stop]] = self._count([raws[k] for k in short[begin:stop]])
             begin = stop
-        return out
+        for k, raw in enumerate(raws):
+            if len(raw) >= LONG:
+                out[k] = self._count_long(raw)
+        return out.tolist()
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols, NONE if it does not merge, and its place in the table."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], NONE), at
+
+    def _count_long(self, word: bytes) -> int:
+        """As _count, for one long pre-token: each pass takes the places of the lowest rank and looks at their neighbours only."""
+        n = len(word)
+        symbols = self.inner[np.frombuffer(word, np.uint8)]
+        symbols[-1] = self.last[word[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, made = np.full(n, NONE, np.int32), np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            """Enter the pairs that begin at these places, and have a right side, under their ranks."""
+            found, at = self._pairs(symbols[places], symbols[after[places]])
+            rank[places], made[places] = found, self.made[at]
+            order = np.argsort(found, kind="stable")
+            order = order[found[order] != NONE]
+            for group in np.split(order, np.flatnonzero(np.diff(found[order])) + 1) if len(order) else ():
+                r = int(found[group[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(ranks, r)
+                waiting[r].append(places[group])
+
+        look(np.arange(n - 1))
+        left = n
+        while ranks:
+            r = heappop(ranks)
+            where = np.unique(np.concatenate(waiting.pop(r)))
+            where = where[rank[where] == r]
+            if len(where) > 1:
+                touching = after[where[:-1]] == where[1:]
+                if touching.any():
+                    # Of overlapping pairs every second one merges, from the left.
+                    first = np.concatenate([[True], ~touching])
+                    offset = np.arange(len(where)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+                    where = where[offset % 2 == 0]
+            if not len(where):
+                continue
+            gone = after[where]
+            symbols[where], rank[gone], rank[where] = made[where], NONE, NONE
+            after[where] = after[gone]
+            inside = after[where] < n
+            before[after[where[inside]]] = where[inside]
+            left -= len(where)
+            look(np.unique(np.concatenate([where[inside], before[where[before[where] >= 0]]])))
+        return left
 
     def _count(self, words: list[bytes]) -> np.ndarray:
         sizes = np.array([len(w) for w in words], np.int64)
@@ -66,10 +127,9 @@ class Merger:
         owner = np.repeat(np.arange(len(words)), sizes)
         out = np.zeros(len(words), np.int64)
         while len(symbols):
-            key = symbols[:-1] * self.width + symbols[1:]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             rank = np.full(len(symbols), NONE, np.int32)
-            rank[:-1] = np.where((self.key[at] == key) & (owner[:-1] == owner[1:]), self.rank[at], NONE)
+            found, at = self._pairs(symbols[:-1], symbols[1:])
+            rank[:-1] = np.where(owner[:-1] == owner[1:], found, NONE)
             starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             sizes = np.diff(np.append(starts, len(owner)))
             lowest = np.minimum.reduceat(rank, starts)
@@ -117,8 +177,9 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
             out.append(len(parts) - 1)
             split.append([w for part in parts if part for w in pieces(normal(part))])
         new = list({w for words in split for w in words if w not in known})
-        known.update(zip(new, merger.count(new), strict=True))
-        return [n + sum(map(known.__getitem__, words)) for n, words in zip(out, split, strict=True)]
+        found = dict(zip(new, merger.count(new), strict=True))
+        known.update((w, n) for w, n in found.items() if len(w) < LONG)
+        return [n + sum(known[w] if w in known else found[w] for w in words) for n, words in zip(out, split, strict=True)]
 
     return count
 

@@ -45,6 +45,37 @@ def test_planted_passages(spark):
     assert dc.overlaps(d.limit(0), b).count() == dc.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_short_items_against_brute_force(spark):
+    """Items of 1 to 12 words with every number of substitutions, among chance repeats of a few words."""
+    pick = random.Random(11)
+    word = lambda: "".join(pick.choice("ab") for _ in range(4))
+    items = {n: [word() for _ in range(n)] for n in range(1, 13)}
+    docs = {}
+    for n, item in items.items():
+        for gone in range(4):
+            for _ in range(6):
+                body = list(item)
+                for at in pick.sample(range(n), min(gone, n)):
+                    body[at] = "new" + word()
+                docs[len(docs)] = [word() for _ in range(pick.randrange(4))] + body + [word() for _ in range(pick.randrange(4))]
+    want = set()
+    for d, w in docs.items():
+        for n, item in items.items():
+            equal = max((sum(0 <= s + k < len(w) and w[s + k] == item[k] for k in range(n)) for s in range(-n, len(w))), default=0)
+            if equal >= dc.SIMILARITY * n:
+                want.add((d, n, equal))
+    d = spark.createDataFrame([(k, " ".join(w), "") for k, w in docs.items()], DOCS)
+    b = spark.createDataFrame([(n, " ".join(w), "") for n, w in items.items()], ITEMS)
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in dc.overlaps(d, b).collect()} == want
+
+
+def test_a_very_long_text_is_read_to_its_end(spark):
+    passage = " ".join(f"w{k}" for k in range(20))
+    d = spark.createDataFrame([(1, "x " * 200_000 + passage, ""), (2, "x " * 200_000, "")], DOCS)
+    b = spark.createDataFrame([(5, passage, ""), (6, "w1 w2 w3", "")], ITEMS)
+    assert {(r.doc_id, r.item_id) for r in dc.overlaps(d, b).collect()} == {(1, 5), (1, 6)}
+
+
 def test_without_broadcast(spark, monkeypatch):
     d, b = spark.createDataFrame([(1, "a b c d e f g h i j k l m", "")], DOCS), spark.createDataFrame([(5, "a b c d e f g h i j k l m", "")], ITEMS)
     monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)

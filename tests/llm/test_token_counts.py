@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -27,6 +28,17 @@ def test_counts_equal_the_library(library):
     assert tc.counter(PATH)(texts) == want(library, texts)
 
 
+def test_long_unbroken_words(library):
+    pick = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(pick.choice(some) for _ in range(n)) for n in (126, 127, 128, 129, 300, 5000) for some in (letters, "ab", "a", letters + "é日")]
+    texts.append("".join(pick.choice(letters + letters.upper()) for _ in range(200_000)))
+    began = time.monotonic()
+    got = tc.counter(PATH)(texts)
+    assert time.monotonic() - began < 30
+    assert got == want(library, texts)
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tc, "REMEMBERED", 3)
     monkeypatch.setattr(tc, "AT_ONCE", 40)
