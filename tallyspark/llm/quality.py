@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import cut, small_batches, table
 
-#: Labelled documents that the fit sees at most, the first by a hash of their ids; each comes to the driver as at most CONTENT sparse counts.
+#: Labelled documents that the fit sees at most, the first by a hash of their ids; each comes to the driver as at most CONTENT numbers.
 MOST_LABELLED = 3000
 ROUNDS = 3
 #: Confidence from which a view hands a pseudo-label to the other one.
@@ -50,15 +50,11 @@ CLASSES = _byte_classes()
 CONTENT = 64 * 64
 
 
-def pair_counts(raw: bytes) -> np.ndarray:
-    """How often each pair of neighbouring byte classes stands in a whole text."""
+def content_view(raw: bytes) -> np.ndarray:
+    """Root frequencies of the pairs of neighbouring byte classes of a whole text."""
     at = CLASSES[np.frombuffer(raw, np.uint8)]
-    return np.bincount(at[:-1] * 64 + at[1:], minlength=CONTENT) if len(at) > 1 else np.zeros(CONTENT, np.int64)
-
-
-def content_view(counts: np.ndarray) -> np.ndarray:
-    """Root frequencies of the pairs in each row of counts."""
-    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))).astype(np.float32)
+    counts = np.bincount(at[:-1] * 64 + at[1:], minlength=CONTENT) if len(at) > 1 else np.zeros(CONTENT)
+    return np.sqrt(counts / max(1, len(at) - 1)).astype(np.float32)
 
 
 def metadata_view(raw: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -97,21 +93,22 @@ class Space(NamedTuple):
     scales: tuple[Scale, Scale]
 
     @staticmethod
-    def of(counts: np.ndarray, metadata: np.ndarray) -> Space:
-        own = content_view(counts)
-        mean = own.mean(axis=0)
-        values, vectors = np.linalg.eigh((own - mean).T.astype(np.float64) @ (own - mean))
-        axes = vectors[:, np.argsort(-values, kind="stable")[:AXES]].astype(np.float32)
+    def of(content: np.ndarray, metadata: np.ndarray) -> Space:
+        mean = content.mean(axis=0)
+        axes = np.random.default_rng(8).normal(size=(CONTENT, AXES)).astype(np.float32)
+        for _ in range(12):  # subspace iteration
+            seen = content @ axes - mean @ axes
+            axes = np.linalg.qr(content.T @ seen - np.outer(mean, seen.sum(axis=0)))[0]
         space = Space(mean, axes, ())
-        return space._replace(scales=(Scale.of(space._content(own)), Scale.of(metadata)))
+        return space._replace(scales=(Scale.of(space._content(content)), Scale.of(metadata)))
 
     def _content(self, own: np.ndarray) -> np.ndarray:
         parts = own.astype(np.float64) ** 2
         entropy = -(parts * np.log(parts + 1e-12)).sum(axis=1)
-        return np.concatenate([(own - self.mean) @ self.axes, entropy[:, None], own.max(axis=1, keepdims=True)], axis=1)
+        return np.concatenate([own @ self.axes - self.mean @ self.axes, entropy[:, None], own.max(axis=1, keepdims=True)], axis=1)
 
-    def steps(self, counts: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.scales[0].steps(self._content(content_view(counts))), self.scales[1].steps(metadata)
+    def steps(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.scales[0].steps(self._content(content)), self.scales[1].steps(metadata)
 
 
 class Linear(NamedTuple):
@@ -174,11 +171,11 @@ class Model:
     #: The log odds of the classes themselves, which both views' odds hold.
     share: float = 0.0
 
-    def score(self, counts: np.ndarray, metadata: np.ndarray) -> np.ndarray:
+    def score(self, content: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         """A probability from the sum of both views' calibrated odds, as of views that are independent within a class; 0.5 of an unfitted model."""
         if self.space is None or self.views is None:
-            return np.full(len(counts), 0.5)
-        one, other = (view.odds(x) for view, x in zip(self.views, self.space.steps(counts, metadata), strict=True))
+            return np.full(len(content), 0.5)
+        one, other = (view.odds(x) for view, x in zip(self.views, self.space.steps(content, metadata), strict=True))
         return _sigmoid(one + other - self.share)
 
 
@@ -189,40 +186,37 @@ def _view_columns(docs: DataFrame) -> list:
 
 
 def _both(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Pair counts and metadata of a batch with the view columns."""
+    """Both views of a batch with the view columns."""
     raws = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("_text")]
     rest = (batch.column(c).to_pylist() for c in ("_lang", "_source", "_n_chars"))
     found = [metadata_view(raw, *own) for raw, own in zip(raws, zip(*rest, strict=True), strict=True)]
-    return np.stack([pair_counts(r) for r in raws]), np.stack(found)
+    return np.stack([content_view(r) for r in raws]), np.stack(found)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labels, with the pairs that occur, how often, and the metadata."""
+    """Labels, with the text view's places that are not zero, what stands there, and the metadata."""
     for batch in batches:
         if batch.num_rows:
-            counts, metadata = _both(batch)
-            places = [np.flatnonzero(row) for row in counts]
-            often = [row[at] for row, at in zip(counts, places, strict=True)]
-            columns = [pa.array([x.tolist() for x in xs], t) for xs, t in ((places, pa.list_(pa.int32())), (often, pa.list_(pa.int64())), (metadata, pa.list_(pa.float32())))]
-            yield pa.RecordBatch.from_arrays([batch.column("_quality"), *columns], names=["quality", "places", "often", "metadata"])
+            content, metadata = _both(batch)
+            places = [np.flatnonzero(row) for row in content]
+            parts = [[at.astype(np.int16).tobytes() for at in places], [row[at].tobytes() for row, at in zip(content, places, strict=True)], [row.tobytes() for row in metadata]]
+            yield pa.RecordBatch.from_arrays([batch.column("_quality"), *(pa.array(x, pa.binary()) for x in parts)], names=["quality", "places", "parts", "metadata"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pair counts, metadata and labels of at most MOST_LABELLED documents, one row for each doc_id."""
+    """Text view, metadata view and labels of at most MOST_LABELLED documents, one row for each doc_id."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_quality"))
     some = known.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(MOST_LABELLED)
     rows = docs.select("doc_id", *_view_columns(docs)).join(some, "doc_id")
     rows = rows.groupBy("doc_id", "_quality").agg(F.min(F.struct("_text", "_lang", "_source", "_n_chars")).alias("_row")).select("doc_id", "_quality", "_row.*")
-    found = small_batches(rows).mapInArrow(_labelled, "quality int, places array<int>, often array<long>, metadata array<float>").collect()
-    counts = np.zeros((len(found), CONTENT), np.int64)
-    for own, r in zip(counts, found, strict=True):
-        own[r["places"]] = r["often"]
+    found = small_batches(rows).mapInArrow(_labelled, "quality int, places binary, parts binary, metadata binary").collect()
     # In an order of their own, so that the split does not hang on partitions.
-    order = sorted(range(len(found)), key=lambda k: (found[k]["quality"], found[k]["metadata"], found[k]["places"], found[k]["often"]))
-    metadata = np.array([r["metadata"] for r in found], np.float32)
-    if not order:
-        return counts, metadata, np.zeros(0, np.int64)
-    return counts[order], metadata[order], np.array([found[k]["quality"] for k in order], np.int64)
+    found = sorted((r["quality"], bytes(r["metadata"]), bytes(r["places"]), bytes(r["parts"])) for r in found)
+    content = np.zeros((len(found), CONTENT), np.float32)
+    for own, (_, _, places, parts) in zip(content, found, strict=True):
+        own[np.frombuffer(places, np.int16)] = np.frombuffer(parts, np.float32)
+    metadata = np.stack([np.frombuffer(r[1], np.float32) for r in found]) if found else np.zeros((0, 0), np.float32)
+    return content, metadata, np.array([r[0] for r in found], np.int64)
 
 
 def _pool(docs: DataFrame, labels: DataFrame, space: Space) -> DataFrame:
@@ -281,14 +275,14 @@ def co_train(docs: DataFrame, labels: DataFrame) -> Model:
     round brings to the driver are sums of a fixed number. Without both
     classes the model is unfitted and scores 0.5.
     """
-    counts, metadata, y = training_rows(docs, labels)
+    content, metadata, y = training_rows(docs, labels)
     hold = np.zeros(len(y), bool)
     for label in (0, 1):
         hold[np.flatnonzero(y == label)[::4]] = True
     if min(((y == k) & h).sum() for k in (0, 1) for h in (hold, ~hold)) < 2 if len(y) else True:
         return Model()
-    space = Space.of(counts[~hold], metadata[~hold])
-    steps = space.steps(counts, metadata)
+    space = Space.of(content[~hold], metadata[~hold])
+    steps = space.steps(content, metadata)
     own = [[Sums.of(x[~hold & (y == label)]) for label in (0, 1)] for x in steps]
 
     def fitted(classes: list[list[Sums]]) -> tuple[Linear, Linear]:

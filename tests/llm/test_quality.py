@@ -64,7 +64,7 @@ def test_the_views_complete_each_other(spark):
     test = rows(200, 2000)
     assert right(spark, model, test) > 0.97
     raws = [r[1].encode() for r in test]
-    steps = model.space.steps(np.stack([q.pair_counts(x) for x in raws]), np.stack([q.metadata_view(x, r[2], r[4], r[5]) for x, r in zip(raws, test)]))
+    steps = model.space.steps(np.stack([q.content_view(x) for x in raws]), np.stack([q.metadata_view(x, r[2], r[4], r[5]) for x, r in zip(raws, test)]))
     y = np.array([r[0] % 4 != 0 for r in test])
     for view, x in zip(model.views, steps):
         assert ((view.odds(x) > 0)[~y]).mean() > 0.3
@@ -77,7 +77,7 @@ def test_exchanged_sums_equal_brute_force(spark):
     model = q.co_train(docs, labels)
     got = q._exchanged(q._pool(docs, labels, model.space).repartition(7), model.views)
     raws = [r[1].encode() for r in other]
-    steps = model.space.steps(np.stack([q.pair_counts(x) for x in raws]), np.stack([q.metadata_view(x, r[2], r[4], r[5]) for x, r in zip(raws, other)]))
+    steps = model.space.steps(np.stack([q.content_view(x) for x in raws]), np.stack([q.metadata_view(x, r[2], r[4], r[5]) for x, r in zip(raws, other)]))
     for k in (0, 1):
         p = 1 / (1 + np.exp(-model.views[1 - k].odds(steps[1 - k].astype(float))))
         for y, sure in enumerate((p <= 1 - q.SURE, p >= q.SURE)):
