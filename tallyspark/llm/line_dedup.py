@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import cut, small_batches, table
 
 #: Lines are wrapped after about one word in so many, chosen by the eight bytes before its end.
-WRAP = 3
-#: A chunk ends after about one line in so many, chosen by a rolling hash over two line hashes.
-CHUNK = 2
+WRAP = 2
 #: Bytes that a chunk has at least, besides two lines; shorter ones repeat by chance.
-LEAST_BYTES = 24
+LEAST_BYTES = 20
 #: Bytes before a gap that decide whether a line ends there.
 DECIDING = 8
 #: Repeated passages of fewer words stay.
@@ -53,10 +51,13 @@ def _flat(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Layout:
     """A text's lines and its chunks of two lines or more.
 
-    Lines end after words that their own last bytes choose. However the gaps
-    between words are written, equal words give equal lines and chunks. Hashes
-    of any span of bytes come from one running sum over the text. ``a`` and
-    ``b`` are where chunks begin and where the word after them does.
+    Lines end after words that their own last bytes choose, and chunks after
+    lines whose rolling hash, over the line and the one before, is less than
+    that of either neighbour, so that no line is left between chunks. However
+    the gaps between words are written, equal words give equal lines and
+    chunks. Hashes of any span of bytes come from one running sum over the
+    text. ``a`` and ``b`` are where chunks begin and where the word after them
+    does.
     """
 
     def __init__(self, raw: bytes):
@@ -76,28 +77,29 @@ class Layout:
         self.lines = np.concatenate([[0], ends[:-1] + 1])
         lines = span(self.lines, ends)
         rolled = (lines + np.concatenate([[np.uint64(0)], lines[:-1]]) * ODD[1]) * ODD[0]
-        cut = np.flatnonzero((rolled >> np.uint64(33)) % np.uint64(CHUNK) == 0)
-        if not len(cut) or cut[-1] != len(lines) - 1:
-            cut = np.append(cut, len(lines) - 1)
+        cut = np.flatnonzero((rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])) + 1
+        cut = np.append(cut, len(lines) - 1)
         first = np.concatenate([[0], cut[:-1] + 1])
         a, b = self.lines[first], ends[cut]
         keep = (cut > first) & (b - a >= LEAST_BYTES)
-        a, b, self.first = a[keep], b[keep], first[keep]
+        a, b, self.first, self.last = a[keep], b[keep], first[keep], cut[keep]
         self.hashes = span(a, b) * ODD[0]
-        self.a, self.b = self.at[a], np.append(self.at, [self.size] * 2)[b + 1]
+        beyond = np.append(self.at, [self.size] * 2)
+        self.a, self.b, self.after = self.at[a], beyond[b + 1], beyond[ends + 1]
 
     def reach(self, a: int, b: int) -> tuple[int, int]:
         """How far around the run from a to b its words need comparing.
 
-        After it, to the end of the next chunk; before it, to the begin of the
-        chunk there and to what decides that it begins there: two lines and the
-        bytes that end the line before. Text that is equal so far has that
-        chunk in common too, which is a repeat with a reach of its own.
+        After it, to the end of the line after the next chunk, which decides
+        where that ends; before it, to the begin of the chunk there and to what
+        decides that it begins there: three lines and the bytes that end the
+        line before. Text that is equal so far has that chunk in common too,
+        which is a repeat with a reach of its own.
         """
         k = int(np.searchsorted(self.a, b))
-        high = int(self.b[k]) if k < len(self.a) else self.size
+        high = int(self.after[min(int(self.last[k]) + 1, len(self.after) - 1)]) if k < len(self.a) else self.size
         k = int(np.searchsorted(self.b, a, "right")) - 1
-        line = int(self.first[k]) - 2 if k >= 0 else 0
+        line = int(self.first[k]) - 3 if k >= 0 else 0
         if line <= 0:
             return 0, high
         g = int(np.searchsorted(self.gaps, self.lines[line] - 1 - DECIDING)) - 1
@@ -118,10 +120,10 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [chunks(_raw(text)) for text in batch.column("text")]
         rows = np.repeat(np.arange(len(found)), [len(a) for a, _, _ in found])
-        picked = batch.select(["doc_id", "text_key"]).take(pa.array(rows))
+        picked = batch.select(["doc_id", "row_key"]).take(pa.array(rows))
         a, b, h = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [[], [], []]))
         columns = [pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(h.astype(np.uint64).view(np.int64))]
-        yield pa.RecordBatch.from_arrays([*picked.columns, *columns], names=["doc_id", "text_key", "begin", "n", "chunk"])
+        yield pa.RecordBatch.from_arrays([*picked.columns, *columns], names=["doc_id", "row_key", "begin", "n", "chunk"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,17 +133,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, hits in enumerate(batch.column("hits")):
             run: list = []
             for begin, n, of in [*sorted((h["begin"], h["n"], tuple(h["of"].values())) for h in hits.as_py()), (None, 0, None)]:
-                origin = of and (*of[:2], of[2] - begin)
+                origin = of and (of[0], of[1] - begin)
                 if run and of and run[2] == origin and begin <= run[1]:
-                    run[1], run[3] = begin + n, of[2] + of[3]
+                    run[1], run[3] = begin + n, of[1] + of[2]
                     continue
                 if run:
-                    rows.append((k, run[0], *run[2][:2], run[0] + run[2][2], run[3] - run[0] - run[2][2]))
-                run = [begin, begin + n, origin, of[2] + of[3]] if of else []
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        picked = batch.select(["doc_key", "text_key"]).take(pa.array(columns[0], pa.int64()))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_key", "text_key", "begin", "of_doc", "of_key", "of_begin", "n"])
+                    rows.append((k, run[0], run[2][0], run[0] + run[2][1], run[3] - run[0] - run[2][1]))
+                run = [begin, begin + n, origin, of[1] + of[2]] if of else []
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        picked = batch.column("row_key").take(pa.array(columns[0], pa.int64()))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([picked, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["row_key", "begin", "of_key", "of_begin", "n"])
 
 
 def around(raw: bytes, a: int, b: int, low: int = 0, high: int | None = None) -> tuple[bytes, bytes, bytes]:
@@ -160,9 +162,9 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = w["begin"], w["begin"] + w["n"]
                 rows.append((k, a, w["n"], *around(raw, a, b, *layout.reach(a, b))))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
-        picked = batch.select(["doc_key", "text_key"]).take(pa.array(columns[0], pa.int64()))
+        picked = batch.column("row_key").take(pa.array(columns[0], pa.int64()))
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["doc_key", "text_key", "begin", "n", "body", "before", "after"])
+        yield pa.RecordBatch.from_arrays([picked, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["row_key", "begin", "n", "body", "before", "after"])
 
 
 def _shared(one: list[bytes], other: list[bytes]) -> int:
@@ -209,15 +211,16 @@ def without(raw: bytes, spans: list[tuple[int, bytes, bytes, bytes]]) -> tuple[b
     return b"".join(kept), gone
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = _hashes) -> DataFrame:
     """``docs`` without repeated passages in ``text``, and with ``words_removed``.
 
-    Chunks of lines are hashed; of each hash that occurs more than once the
-    first occurrence, by doc_id and place, stays. Its bytes go to the documents
-    that repeat it, with those up to the next chunk to both sides; the words are
-    compared there, and the repeat grows to the first unequal word. What makes up MIN_WORDS words or more goes. Shuffles carry
-    hashes and places, each first occurrence's text, and the documents once for
-    either join.
+    Chunks of lines are hashed; of each hash the first occurrence, by doc_id
+    and place, stays. Its bytes go to the documents that repeat it, with those
+    up to the next chunk to both sides; the words are compared there, and the
+    repeat grows to the first unequal word. What makes up MIN_WORDS words or
+    more goes. Shuffles carry hashes and places, each first occurrence's text,
+    and the documents once for either join. Hashes only propose: chunks or rows
+    that share one by chance cost a comparison and change nothing.
 
     Null texts stay null. Rows with equal doc_id and text count as one document
     and are treated alike; null ids come first. A copy of a whole document is
@@ -231,30 +234,26 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.toDF(*names)
     id_at, text_at = (names[titles.index(c)] for c in ("doc_id", "text"))
     rest = [n for n in names if n not in (id_at, text_at)]
-    keyed = keyed.select(F.col(id_at).alias("doc_id"), F.col(text_at).alias("text"), F.xxhash64(id_at).alias("doc_key"), F.xxhash64(text_at).alias("text_key"), *rest)
-
-    hashed = small_batches(keyed.select("doc_id", "text_key", "text")).mapInArrow(_hashes, f"doc_id {kind}, text_key long, begin int, n int, chunk long")
-    repeated = hashed.groupBy("chunk").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("chunk")
-    found = hashed.join(repeated.hint("shuffle_hash"), "chunk", "left_semi")
-    # The same columns in either use, so that one exchange serves both.
-    place = F.struct("doc_id", "text_key", "begin", "n")
-    firsts = found.groupBy("chunk").agg(F.min(place).alias("of"))
-    again = found.join(firsts, "chunk").where(~place.eqNullSafe(F.col("of")))
-    of = F.struct(F.xxhash64("of.doc_id").alias("doc_key"), "of.text_key", "of.begin", "of.n")
-    again = again.select(F.xxhash64("doc_id").alias("doc_key"), "text_key", F.struct("begin", "n", of.alias("of")).alias("hit"))
-    hits = again.groupBy("doc_key", "text_key").agg(F.collect_list("hit").alias("hits"))
-    runs = cut(hits.mapInArrow(_runs, "doc_key long, text_key long, begin int, of_doc long, of_key long, of_begin int, n int"))
-
-    # Keys without nulls: what is gathered by document is then dealt out as the join with the documents needs it.
+    keyed = keyed.select(F.col(id_at).alias("doc_id"), F.col(text_at).alias("text"), F.xxhash64(F.col(id_at).isNull(), id_at, text_at).alias("row_key"), *rest)
+
+    hashed = small_batches(keyed.select("doc_id", "row_key", "text")).mapInArrow(hashes, f"doc_id {kind}, row_key long, begin int, n int, chunk long")
+    # One exchange and one sort give each occurrence of a chunk the first one.
+    in_order = Window.partitionBy("chunk").orderBy("doc_id", "row_key", "begin")
+    again = hashed.select("row_key", "begin", "n", F.first(F.struct("row_key", "begin", "n")).over(in_order).alias("of"))
+    again = again.where((F.col("row_key") != F.col("of.row_key")) | (F.col("begin") != F.col("of.begin")))
+    hits = again.groupBy("row_key").agg(F.collect_set(F.struct("begin", "n", "of")).alias("hits"))
+    runs = cut(hits.mapInArrow(_runs, "row_key long, begin int, of_key long, of_begin int, n int"))
+
+    # A key without nulls: what is gathered by document is then dealt out as the join with the documents needs it.
     def met(lists: DataFrame, how: str = "inner") -> DataFrame:
-        return keyed.join(lists.hint("shuffle_hash"), ["doc_key", "text_key"], how).select(*keyed.columns, lists.columns[-1])
-
-    wanted = runs.select(F.col("of_doc").alias("doc_key"), F.col("of_key").alias("text_key"), F.col("of_begin").alias("begin"), "n").distinct()
-    wanted = wanted.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("begin", "n")).alias("wanted"))
-    regions = met(wanted).mapInArrow(_regions, "doc_key long, text_key long, begin int, n int, body binary, before binary, after binary")
-    regions = regions.toDF("of_doc", "of_key", "of_begin", "n", "body", "before", "after")
-    told = runs.join(regions, ["of_doc", "of_key", "of_begin", "n"]).select("doc_key", "text_key", F.struct("begin", "body", "before", "after").alias("span"))
-    told = told.groupBy("doc_key", "text_key").agg(F.collect_list("span").alias("spans"))
+        return keyed.join(lists.hint("shuffle_hash"), ["row_key"], how).select(*keyed.columns, lists.columns[-1])
+
+    wanted = runs.select(F.col("of_key").alias("row_key"), F.col("of_begin").alias("begin"), "n").distinct()
+    wanted = wanted.groupBy("row_key").agg(F.collect_list(F.struct("begin", "n")).alias("wanted"))
+    regions = met(wanted).mapInArrow(_regions, "row_key long, begin int, n int, body binary, before binary, after binary")
+    regions = regions.toDF("of_key", "of_begin", "n", "body", "before", "after")
+    told = runs.join(regions, ["of_key", "of_begin", "n"]).select("row_key", F.struct("begin", "body", "before", "after").alias("span"))
+    told = told.groupBy("row_key").agg(F.collect_list("span").alias("spans"))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
