@@ -61,6 +61,67 @@ def business_days_between(df: DataFrame, days: DataFrame, start: str, end: str,
     return out.withColumn(name, F.col("_o2") - F.col("_o1")).drop("_d1", "_d2", "_o1", "_o2")
 
 
+def with_closures(days: DataFrame, most: int = 10) -> DataFrame:
+    """``days`` with closed_before, the closed dates that end the day before (``most`` at most), and open_in_week, the open ones of its ISO week."""
+    last_open = F.max(F.when(F.col("is_open"), F.col("ds"))).over(W.orderBy("ds").rowsBetween(W.unboundedPreceding, -1))
+    out = days.withColumn("_last", F.coalesce(last_open, F.date_sub(F.min("ds").over(W.partitionBy()), 1)))
+    week = W.partitionBy(F.date_trunc("week", "ds"))
+    return out.withColumns({"closed_before": F.least(F.datediff("ds", "_last") - 1, F.lit(most)), "open_in_week": F.count_if("is_open").over(week).cast("int")}).drop("_last")
+
+
+def all_features(days: DataFrame) -> DataFrame:
+    """(ds and fourteen features): all that a date knows about itself: opening, weekdays as shares of one, place in the month and the tax dates."""
+    rows = with_closures(days)
+    last = F.dayofmonth(F.last_day("ds")) == F.dayofmonth("ds")
+    return rows.select(
+        "ds",
+        F.col("is_open").cast("int").alias("is_open"),
+        *((F.weekday("ds") == k).cast("int").alias(f"weekday_{k}") for k in range(6)),
+        F.dayofmonth("ds").alias("day_of_month"),
+        (F.dayofmonth("ds") <= 3).cast("int").alias("month_start"),
+        last.cast("int").alias("month_end"),
+        ((F.dayofmonth("ds") <= 3) | (last & F.col("is_open"))).cast("int").alias("salary_window"),
+        (F.dayofmonth("ds").between(19, 21) | (F.dayofmonth("ds") == 7)).cast("int").alias("gst_window"),
+        F.col("closed_before").alias("closed_before"),
+        "open_in_week",
+    )
+
+
+def next_open(days: DataFrame) -> DataFrame:
+    """``days`` with next_open, the first open date after each."""
+    later = W.orderBy("ds").rowsBetween(1, W.unboundedFollowing)
+    return days.withColumn("next_open", F.min(F.when(F.col("is_open"), F.col("ds"))).over(later))
+
+
+def add_open_days(df: DataFrame, days: DataFrame, start: str, n: int, name: str) -> DataFrame:
+    """``df`` with the date ``n`` open days after ``start``, which counts from the next open date where it is closed; 0 is that date itself."""
+    if n < 0:
+        raise ValueError("n is negative")
+    own = days.select(F.col("ds").alias("_d"), (F.col("bd_ord") + F.when(F.col("is_open"), 0).otherwise(1) + n).alias("_o"))
+    target = days.where("is_open").select(F.col("bd_ord").alias("_o"), F.col("ds").alias(name))
+    return df.join(F.broadcast(own.join(target, "_o", "left").drop("_o")), F.col(start) == F.col("_d"), "left").drop("_d")
+
+
+def value_date(settled: str = "settled_on", occurred: str = "occurred_on") -> Column:
+    """The date on which money counts: when it settled, or else when it came about."""
+    return F.coalesce(F.col(settled), F.col(occurred))
+
+
+def day_bounds(day: Column | str, zone: str = "Asia/Kolkata") -> Column:
+    """The half-open interval of instants that a date covers in a zone."""
+    at = F.to_date(F.col(day) if isinstance(day, str) else day)
+    start = lambda d: F.to_utc_timestamp(d.cast("timestamp"), zone)
+    return F.struct(start(at).alias("start"), start(F.date_add(at, 1)).alias("end"))
+
+
+def zoned_timestamp(text: Column | str, zone: str = "Asia/Kolkata") -> Column:
+    """The instant that an ISO date or time names; one without an offset is local to ``zone``; null of none. The session's zone is UTC."""
+    raw = F.trim(F.col(text) if isinstance(text, str) else text)
+    stated = raw.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & (F.length(raw) > 10)
+    parsed = F.try_to_timestamp(raw)
+    return F.when(stated, parsed).otherwise(F.to_utc_timestamp(parsed, zone))
+
+
 #: Date formats of statements, tried in this order: day first before month first.
 STATEMENT_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "d-MMM-yyyy", "d MMM yyyy", "d/M/yy", "M/d/yyyy")
 

@@ -23,6 +23,12 @@ GST_PERCENT = 18
 TDS_BPS = 10
 
 
+def of_currency(amount: Column, currency: Column | str, allowed: str = "INR") -> Column:
+    """The amount, if its currency is the one that is counted in; any other stops the query."""
+    code = F.col(currency) if isinstance(currency, str) else currency
+    return F.when(F.coalesce(code == allowed, F.lit(False)), amount).otherwise(F.raise_error(F.concat(F.lit("not in " + allowed + ": "), F.coalesce(code, F.lit("no currency")))).cast("long"))
+
+
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -49,6 +55,21 @@ def with_fees(df: DataFrame, paise: str = "amount_paise", method: str = "method"
     return df.withColumn("net_paise", F.expr(f"{paise} - mdr_paise - gst_paise - tds_paise")).drop("_bps")
 
 
+#: Part of a target in percent, and paise, that a sum may fall short of or exceed.
+TOLERANCE_PERCENT, TOLERANCE_PAISE = 6, 100
+
+
+def within_rate(total: Column, target: Column) -> Column:
+    """Whether a sum meets a target less at most the tolerated part, and no more than the tolerated paise over it."""
+    upper = F.floor(F.abs(target) * TOLERANCE_PERCENT / 100) + TOLERANCE_PAISE
+    return total.between(target - upper, target + TOLERANCE_PAISE)
+
+
+def conserved(gross: Column, explained: Column, net: Column, tolerance: int = 0) -> Column:
+    """Whether gross less what is explained is the net, within a tolerance in paise."""
+    return F.abs(gross - explained - net) <= tolerance
+
+
 def deducted_share(df: DataFrame, paise: str = "amount_paise") -> Column:
     """The part of gross that the fees take; null of nothing."""
     return F.try_divide(F.expr(f"CAST({paise} - net_paise AS DOUBLE)"), F.expr(f"CAST({paise} AS DOUBLE)"))

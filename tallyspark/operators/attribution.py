@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 #: Rounding that a settlement may add for each payment, in paise, and for itself.
@@ -50,6 +52,21 @@ def confidence(on_time: str, members: str, explained: str, expected: str, gross:
     return f"round(0.50 + 0.30 * {on_time} / {members} + 0.17 * {fit} + IF({optimal}, 0.02, 0.0), 4)"
 
 
+def groups(members: DataFrame, paid: DataFrame) -> DataFrame:
+    """One row a credit: members, those on time, sums, the invoices that the members pay, and the confidence.
+
+    ``members`` has credit_id, payment_id, settles_on, landed_on, amount_paise,
+    net_paise and target_paise; ``paid`` has payment_id and invoice_id.
+    """
+    sums = members.groupBy("credit_id").agg(
+        F.count(F.lit(1)).alias("member_count"), F.count_if(F.col("settles_on") == F.col("landed_on")).alias("on_time"), F.sum("amount_paise").alias("gross_paise"),
+        (F.sum("amount_paise") - F.max("target_paise")).alias("explained_paise"), (F.sum("amount_paise") - F.sum("net_paise")).alias("withheld_paise"),
+    )
+    invoices = members.select("credit_id", "payment_id").join(paid, "payment_id").groupBy("credit_id").agg(F.array_sort(F.collect_set("invoice_id")).alias("invoice_ids"))
+    rows = sums.join(invoices, "credit_id", "left").withColumn("invoice_ids", F.coalesce("invoice_ids", F.array().cast("array<string>")))
+    return rows.withColumn("confidence", F.expr(confidence("on_time", "member_count", "explained_paise", "withheld_paise", "gross_paise", "true")).cast("double"))
+
+
 def subset_reaching(amounts: np.ndarray, low: int, high: int) -> list[int] | None:
     """Indices of a subset whose sum lies in [low, high], the one with most items; meets in the middle, for up to EXACT_ITEMS items."""
     if len(amounts) > EXACT_ITEMS:
@@ -118,64 +135,100 @@ def assign_one_to_one(weights: np.ndarray, abstain: float) -> list[tuple[int, in
     return sorted((int(owner[c]), c) for c in range(columns) if owner[c] >= 0)
 
 
-def _solve(targets: np.ndarray, nets: np.ndarray) -> tuple[np.ndarray, bool]:
-    """For each payment the credit that takes it, or -1; exact when two credits split few payments."""
-    slack = SLACK_EACH * len(nets) + SLACK
-    taken = np.full(len(nets), -1)
-    if len(targets) == 2 and len(nets) <= EXACT_ITEMS:
-        for a, b in ((0, 1), (1, 0)):
-            some = subset_reaching(nets, int(targets[a]) - slack, int(targets[a]) + slack)
-            if some is not None:
-                taken[some] = a
-                rest = np.flatnonzero(taken < 0)
-                if nets[rest].sum() >= targets[b] - slack:
-                    taken[rest] = b
-                return taken, True
-    left = targets.astype(np.int64).copy()
-    for k in np.argsort(-nets, kind="stable"):
-        room = np.where(left >= nets[k] - slack, left - nets[k], np.iinfo(np.int64).max)
-        best = int(np.argmin(room))
-        if room[best] != np.iinfo(np.int64).max:
-            taken[k] = best
-            left[best] -= nets[k]
-    for _ in range(8):
-        moved = False
-        for k in range(len(nets)):
-            for b in range(len(targets)):
-                a = taken[k]
-                if a == b:
-                    continue
-                gain = abs(left[b]) - abs(left[b] - nets[k]) + (abs(left[a]) - abs(left[a] + nets[k]) if a >= 0 else 0)
-                if gain > 0:
-                    taken[k], moved = b, True
-                    left[b] -= nets[k]
-                    if a >= 0:
-                        left[a] += nets[k]
-        if not moved:
-            break
-    for b in range(len(targets)):
-        if left[b] > slack:
-            taken[taken == b] = -1
-    return taken, False
+def reach(amounts: np.ndarray, need: int, slack: int) -> np.ndarray | None:
+    """Indices of a subset whose sum is within ``slack`` of ``need``.
 
+    Up to EXACT_ITEMS amounts all subsets are tried. Of more, whole amounts are
+    taken until about half of a pool of EXACT_ITEMS others is missing, and all
+    subsets of the pool are tried for that; then come other pools. A pool has
+    so many subsets that with amounts of whole paise one nearly always fits.
+    """
+    if len(amounts) <= EXACT_ITEMS:
+        some = subset_reaching(amounts, need - slack, need + slack)
+        return None if some is None else np.array(some, int)
+    for first in range(0, len(amounts), EXACT_ITEMS):
+        order = np.roll(np.arange(len(amounts)), -first)
+        pool, rest = order[:EXACT_ITEMS], order[EXACT_ITEMS:]
+        sums = np.concatenate([[0], np.cumsum(amounts[rest])])
+        take = max(0, int(np.searchsorted(sums, need - int(amounts[pool].sum()) // 2, "right")) - 1)
+        some = subset_reaching(amounts[pool], need - int(sums[take]) - slack, need - int(sums[take]) + slack)
+        if some is not None:
+            return np.concatenate([rest[:take], pool[some]])
+    return None
+
+
+def split(amounts: np.ndarray, needs: list[int], slack: int) -> np.ndarray | None:
+    """For each amount the part that takes it: a part for each need, which its amounts meet within ``slack``, and one more for what is left."""
+    part, free = np.full(len(amounts), len(needs)), np.arange(len(amounts))
+    for k, need in enumerate(needs):
+        some = reach(amounts[free], need, slack)
+        if some is None:
+            return None
+        part[free[some]] = k
+        free = np.delete(free, some)
+    return part
+
+
+#: Payments of a date that are gathered at once, about.
+GATHERED = 1000
 
-def by_several_credits(payments: DataFrame, credits: DataFrame) -> DataFrame:
-    """(payment_id, credit_id, exact) for dates with several credits, one date to a group.
 
-    A date's payments are bounded by a merchant's day; each group is solved by
-    itself, and a payment goes to one credit at most.
+def by_several_credits(payments: DataFrame, credits: DataFrame) -> DataFrame:
+    """(payment_id, credit_id) for dates with several credits; ``exact`` is true of all.
+
+    Every credit but a date's last takes payments that add up to it but for
+    rounding, and the last one all others, if they reach it. A date's payments
+    are dealt into buckets of about GATHERED, whose sums are laid end to end
+    over the credits. A bucket that lies within one credit goes there whole and
+    is never gathered; only buckets across a credit's end are, and their
+    payments are split. Credits next to an end where no split is found, or that
+    are not reached, get nothing.
     """
-    several = credits.groupBy("landed_on").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("landed_on")
-    left = payments.withColumn("landed_on", F.col("settles_on")).join(several, "landed_on", "left_semi").select("landed_on", "payment_id", "net_paise").groupBy("landed_on")
-    right = credits.join(several, "landed_on", "left_semi").select("landed_on", "credit_id", "amount_paise").groupBy("landed_on")
-
-    def solve(own: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        own, targets = own.sort_values("payment_id"), targets.sort_values("credit_id")
-        none = pd.DataFrame({"payment_id": pd.Series(dtype=object), "credit_id": pd.Series(dtype=object), "exact": pd.Series(dtype=bool)})
-        if own.empty or targets.empty:
-            return none
-        taken, exact = _solve(targets["amount_paise"].to_numpy(), own["net_paise"].to_numpy())
-        hit = taken >= 0
-        return pd.DataFrame({"payment_id": own["payment_id"].to_numpy()[hit], "credit_id": targets["credit_id"].to_numpy()[taken[hit]], "exact": exact})
-
-    return left.cogroup(right).applyInPandas(solve, "payment_id string, credit_id string, exact boolean")
+    order = W.partitionBy("landed_on").orderBy("credit_id")
+    ends = credits.select("landed_on", "credit_id", "amount_paise", F.sum("amount_paise").over(order).alias("end"))
+    plan = ends.groupBy("landed_on").agg(F.array_sort(F.collect_list(F.struct("credit_id", "end", F.col("amount_paise").alias("amount")))).alias("plan")).where(F.size("plan") > 1)
+    own = payments.select(F.col("settles_on").alias("landed_on"), "payment_id", "net_paise").join(plan.select("landed_on"), "landed_on", "left_semi")
+    sizes = own.groupBy("landed_on").agg(F.count(F.lit(1)).alias("n"), F.sum("net_paise").alias("total"))
+    own = own.join(sizes, "landed_on").withColumn("bucket", F.pmod(F.xxhash64("payment_id"), F.ceil(F.col("n") / GATHERED)).cast("int"))
+    sums = own.groupBy("landed_on", "bucket", "n", "total").agg(F.sum("net_paise").alias("sum")).withColumn("after", F.sum("sum").over(W.partitionBy("landed_on").orderBy("bucket")))
+    met = sums.withColumn("before", F.col("after") - F.col("sum")).join(plan, "landed_on")
+    last = F.element_at("plan", -1)
+    inner = F.slice("plan", 1, F.size("plan") - 1)
+    met = met.withColumns(
+        {
+            "crossed": F.filter(inner, lambda c: (c["end"] > F.col("before")) & (c["end"] < F.col("after"))),
+            "whole": F.coalesce(F.get(F.filter(inner, lambda c: c["end"] >= F.col("after")), F.lit(0))["credit_id"], last["credit_id"]),
+            "slack": SLACK_EACH * F.col("n") + SLACK,
+        }
+    )
+    missed = met.where(F.col("total") < last["end"] - F.col("slack")).select("landed_on", last["credit_id"].alias("credit_id")).distinct()
+    at = own.select("landed_on", "bucket", "payment_id", "net_paise")
+    inside = at.join(met.where(F.size("crossed") == 0).select("landed_on", "bucket", "whole"), ["landed_on", "bucket"]).select("landed_on", "payment_id", F.col("whole").alias("credit_id"))
+    across = met.where(F.size("crossed") > 0).select("landed_on", "bucket", "before", "after", "total", "slack", "crossed", "whole", "plan")
+    gathered = at.join(across.select("landed_on", "bucket"), ["landed_on", "bucket"]).groupBy("landed_on", "bucket").agg(F.array_sort(F.collect_list(F.struct("payment_id", "net_paise"))).alias("own"))
+
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for r in batch.itertuples():
+                ids, nets = [p["payment_id"] for p in r.own], np.array([p["net_paise"] for p in r.own], np.int64)
+                crossed = [(c["credit_id"], int(c["end"])) for c in r.crossed]
+                starts = [int(r.before), *(end for _, end in crossed)]
+                takers, needs = [c for c, _ in crossed] + [r.whole], [b - a for a, b in zip(starts, starts[1:], strict=False)]
+                part = split(nets, needs, int(r.slack))
+                if part is None and r.before == 0 and r.after == r.total:
+                    # The whole date is here, so that another credit may as well be the one that takes what is left.
+                    credits_of = [(c["credit_id"], int(c["amount"])) for c in r.plan][::-1]
+                    takers, part = [c for c, _ in credits_of], split(nets, [n for _, n in credits_of[:-1]], int(r.slack))
+                    if part is not None and nets[part == len(takers) - 1].sum() < credits_of[-1][1] - int(r.slack):
+                        part = None
+                if part is None:
+                    rows += [(r.landed_on, None, c) for c in takers]
+                else:
+                    rows += [(r.landed_on, i, takers[k]) for i, k in zip(ids, part, strict=True)]
+            yield pd.DataFrame(rows, columns=["landed_on", "payment_id", "credit_id"])
+
+    split_up = gathered.join(across, ["landed_on", "bucket"]).mapInPandas(divide, "landed_on date, payment_id string, credit_id string")
+    failed = split_up.where("payment_id IS NULL").select("landed_on", "credit_id").unionByName(missed).distinct()
+    found = inside.unionByName(split_up.where("payment_id IS NOT NULL")).join(failed, ["landed_on", "credit_id"], "left_anti")
+    return found.select("payment_id", "credit_id", F.lit(True).alias("exact"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 EMPTY_ROOT = hashlib.sha256(b"").hexdigest()
 
@@ -25,18 +27,30 @@ def leaves(records: DataFrame, seq: str, record: str) -> DataFrame:
     return records.select(F.col(seq).cast("long").alias("seq"), leaf_hash(record).alias("leaf_hash"))
 
 
-def level_up(nodes: DataFrame) -> DataFrame:
-    """The next level of the tree: neighbours hashed together; an odd last node is carried up."""
-    pairs = nodes.groupBy(F.expr("seq div 2").alias("_p")).agg(F.min_by("leaf_hash", "seq").alias("a"), F.max_by("leaf_hash", "seq").alias("b"), F.count(F.lit(1)).alias("n"))
-    return pairs.select(F.col("_p").alias("seq"), F.when(F.col("n") == 2, _node(F.col("a"), F.col("b"))).otherwise(F.col("a")).alias("leaf_hash"))
+#: Levels of the tree that one aggregation climbs.
+CLIMB = 10
+
+
+def _level(nodes: Column) -> Column:
+    """The next level over an array of nodes: neighbours hashed together; an odd last node is carried up."""
+    pair = lambda i: F.when(2 * i + 1 < F.size(nodes), _node(F.get(nodes, 2 * i), F.get(nodes, 2 * i + 1))).otherwise(F.get(nodes, 2 * i))
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(nodes) / 2).cast("int") - 1), pair)
+
+
+def subtree_roots(nodes: DataFrame) -> DataFrame:
+    """(seq, leaf_hash) of the subtrees over 2**CLIMB neighbouring nodes each, in one aggregation."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("seq", "leaf_hash"))), lambda x: x["leaf_hash"])
+    gathered = nodes.groupBy(F.expr(f"seq div {1 << CLIMB}").alias("seq")).agg(own.alias("_nodes"))
+    climbed = F.aggregate(F.sequence(F.lit(1), F.lit(CLIMB)), F.col("_nodes"), lambda nodes, _: _level(nodes))
+    return gathered.select("seq", F.get(climbed, F.lit(0)).alias("leaf_hash"))
 
 
 def root(nodes: DataFrame, count: int) -> DataFrame:
-    """One row with the root over ``count`` leaves: one narrow aggregation a level."""
+    """One row with the root over ``count`` leaves: one narrow aggregation for each CLIMB levels."""
     if count == 0:
         return nodes.sparkSession.createDataFrame([(EMPTY_ROOT,)], "root string")
     while count > 1:
-        nodes, count = level_up(nodes), (count + 1) // 2
+        nodes, count = subtree_roots(nodes), (count + (1 << CLIMB) - 1) >> CLIMB
     return nodes.select(F.col("leaf_hash").alias("root"))
 
 
@@ -77,3 +91,114 @@ def sign_head(size: int, root_hex: str, at: str, key: bytes) -> str:
 
 def verify_head(size: int, root_hex: str, at: str, key: bytes, signature: str) -> bool:
     return hmac.compare_digest(sign_head(size, root_hex, at, key), signature)
+
+
+def _peaks(first: int, last: int) -> list[tuple[int, int]]:
+    """Begins and sizes of the largest whole subtrees that cover the leaves from first up to last."""
+    out = []
+    while first < last:
+        size = first & -first if first else 1 << (last.bit_length() - 1)
+        while first + size > last:
+            size //= 2
+        out.append((first, size))
+        first += size
+    return out
+
+
+def _subtree(hashes: list[bytes]) -> bytes:
+    while len(hashes) > 1:
+        hashes = [_hash_pair(*hashes[k : k + 2]) if k + 1 < len(hashes) else hashes[k] for k in range(0, len(hashes), 2)]
+    return hashes[0]
+
+
+def _bagged(peaks: list[bytes]) -> bytes:
+    out = peaks[-1]
+    for left in reversed(peaks[:-1]):
+        out = _hash_pair(left, out)
+    return out
+
+
+def consistency_path(hashes: list[bytes], old: int) -> tuple[list[bytes], list[bytes]]:
+    """What shows that a log of ``old`` leaves begins this one: the roots of its whole subtrees, and of those that the later leaves make."""
+    return tuple([_subtree(hashes[a : a + n]) for a, n in _peaks(*ends)] for ends in ((0, old), (old, len(hashes))))
+
+
+def verify_consistency(old: int, old_root: bytes, size: int, new_root: bytes, path: tuple[list[bytes], list[bytes]]) -> bool:
+    """Whether the path gives both roots: the old subtrees alone, and with the later ones, neighbours of one size joined."""
+    if not 0 <= old <= size:
+        return False
+    begun, later = path
+    places = _peaks(0, old), _peaks(old, size)
+    if (len(begun), len(later)) != tuple(map(len, places)):
+        return False
+    if old and not hmac.compare_digest(_bagged(begun), old_root):
+        return False
+    if not old and old_root != bytes.fromhex(EMPTY_ROOT):
+        return False
+    stack: list[tuple[int, bytes]] = []
+    for (_, n), node in zip([*places[0], *places[1]], [*begun, *later], strict=True):
+        while stack and stack[-1][0] == n:
+            n, node = 2 * n, _hash_pair(stack.pop()[1], node)
+        stack.append((n, node))
+    return hmac.compare_digest(_bagged([node for _, node in stack]) if stack else bytes.fromhex(EMPTY_ROOT), new_root)
+
+
+#: Numbers of ``order`` that are counted together when records are numbered.
+NUMBERED_AT_ONCE = 100_000
+
+
+def numbered(records: DataFrame, order: str, first: int = 0) -> DataFrame:
+    """``records`` with seq, dense from ``first`` in the order of a distinct whole number.
+
+    Stretches of ``order`` are counted, and a row's place is its place in its
+    stretch after all rows of the earlier ones; only the counts, one for each
+    stretch, are summed in one task.
+    """
+    rows = records.withColumn("_at", F.floor(F.col(order) / NUMBERED_AT_ONCE))
+    counts = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_at", (F.sum("_n").over(W.orderBy("_at")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_at").orderBy(order)) - 1 + F.col("_before") + first
+    return rows.join(offsets, "_at").withColumn("seq", place.cast("long")).drop("_at", "_before")
+
+
+def append(spark: SparkSession, folder: str, records: DataFrame, order: str, run: str, at: str, key: bytes) -> int:
+    """Append a run's records (``order`` and record) to the log in a folder, with a signed head; its size then.
+
+    A run is one folder of Parquet, and is refused if it is there; nothing that
+    was written is touched again.
+    """
+    size = log_size(spark, folder)
+    new = numbered(records.select(order, "record"), order, size).select("seq", "record", leaf_hash("record").alias("leaf_hash"), F.lit(at).alias("at"))
+    new.write.mode("error").parquet(f"{folder}/log/run={run}")
+    rows = read_log(spark, folder)
+    size = rows.count()
+    top = root(rows.select("seq", "leaf_hash"), size).first()["root"]
+    spark.createDataFrame([(size, top, at, sign_head(size, top, at, key))], "size long, root string, at string, signature string").write.mode("append").parquet(f"{folder}/heads")
+    return size
+
+
+def read_log(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("seq long, record string, leaf_hash string, at string, run string").parquet(f"{folder}/log")
+
+
+def log_size(spark: SparkSession, folder: str) -> int:
+    try:
+        return spark.read.parquet(f"{folder}/heads").agg(F.max("size").alias("n")).first()["n"] or 0
+    except AnalysisException:  # no head yet
+        return 0
+
+
+def page(log: DataFrame, run: str, after: int = -1, size: int = 100) -> DataFrame:
+    """The next records of a run after a number, in order."""
+    return log.where((F.col("run") == run) & (F.col("seq") > after)).orderBy("seq").limit(size)
+
+
+def verify(spark: SparkSession, folder: str, key: bytes) -> dict:
+    """What holds of a log: records against leaves, numbers without gaps, and each head's signature and root."""
+    log = read_log(spark, folder)
+    bad = first_tampered(log, "record").first()["first_tampered"]
+    heads = spark.read.parquet(f"{folder}/heads").orderBy("size").collect()
+    signed = all(verify_head(h["size"], h["root"], h["at"], key, h["signature"]) for h in heads)
+    rooted = all(root(log.where(F.col("seq") < h["size"]).select("seq", "leaf_hash"), h["size"]).first()["root"] == h["root"] for h in heads)
+    whole = bool(heads) and log.count() == heads[-1]["size"]
+    return {"sound": bad is None and signed and rooted and whole, "first_tampered": bad, "signatures": signed, "roots": rooted, "whole": whole}

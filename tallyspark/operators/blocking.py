@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -18,6 +21,19 @@ def keyed(rows: DataFrame, keys: str = "keys") -> DataFrame:
     return rows.select("row_id", "source", F.explode(F.array_distinct(keys)).alias("key")).where("key is not null and key != ''")
 
 
+def window_keys(anchor: str, low: str, high: str, settled: str, slack: int = 1) -> Column:
+    """Keys of the dates on which a row may meet its settlement.
+
+    A payment has the dates of its window. A row that is dated at the
+    settlement itself has its own date, the ``slack`` + 1 before it, and every
+    second one after it, from the next on.
+    """
+    day = F.col(anchor)
+    near = [F.date_add(day, n) for n in sorted({0, *(-k for k in range(1, slack + 2)), *(2 * k - 1 for k in range(1, slack + 2))})]
+    dates = F.when(F.col(settled), F.array(*near)).when(F.col(low).isNotNull() & F.col(high).isNotNull(), F.sequence(low, high))
+    return F.transform(dates, lambda d: F.concat(F.lit("win:"), d.cast("string")))
+
+
 def block_sizes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
 
@@ -73,13 +89,48 @@ def gram_vectors(rows: DataFrame, text: str) -> DataFrame:
     return counts.join(norms, "row_id").select("row_id", "source", "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
+#: Rows of a side that one task multiplies at once.
+BLOCK_ROWS = 2048
+
+
 def nearest(vectors: DataFrame, k: int = 8, least: float = 0.30, places: int = 6) -> DataFrame:
     """(left_id, right_id, similarity): for each row, its most similar rows of each alphabetically later source.
 
-    Products meet on dimensions; equal similarities go to the smaller id.
+    Each source is cut into blocks of about BLOCK_ROWS sparse rows. A task
+    multiplies two blocks and hands on the first k of each of its rows, so that
+    no pair but those leaves it; the k of all blocks are then chosen. Equal
+    similarities go to the smaller id.
     """
-    left = vectors.select(F.col("row_id").alias("left_id"), F.col("source").alias("_ls"), "bucket", F.col("weight").alias("_l"))
-    right = vectors.select(F.col("row_id").alias("right_id"), F.col("source").alias("_rs"), "bucket", F.col("weight").alias("_r"))
-    scored = left.join(right, "bucket").where("_ls < _rs").groupBy("left_id", "right_id", "_rs").agg(F.round(F.sum(F.col("_l") * F.col("_r")), places).alias("similarity"))
+    kind = dict(vectors.dtypes)["row_id"]
+    sizes = vectors.groupBy("source").agg(F.ceil(F.count_distinct("row_id") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = vectors.groupBy("row_id", "source").agg(F.collect_list(F.struct("bucket", "weight")).alias("own")).join(F.broadcast(sizes), "source")
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")).groupBy("source", "block").agg(F.collect_list(F.struct("row_id", "own")).alias("rows"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    later, earlier = sizes.toDF("_rs", "_rn"), sizes.toDF("_ls", "_ln")
+    left = blocks.toDF("_ls", "_lb", "_left").join(F.broadcast(later), F.col("_ls") < F.col("_rs")).select("_ls", "_lb", "_rs", each("_rn").alias("_rb"), "_left")
+    right = blocks.toDF("_rs", "_rb", "_right").join(F.broadcast(earlier), F.col("_ls") < F.col("_rs")).select("_rs", "_rb", "_ls", each("_ln").alias("_lb"), "_right")
+    pairs = left.join(right.hint("shuffle_hash"), ["_ls", "_lb", "_rs", "_rb"])
+
+    def matrix(side: list[dict], dimensions: dict[int, int]) -> np.ndarray:
+        out = np.zeros((len(side), len(dimensions)))
+        for at, row in enumerate(side):
+            for entry in row["own"]:
+                out[at, dimensions[entry["bucket"]]] = entry["weight"]
+        return out
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                left, right = (batch.column(c)[at].as_py() for c in ("_left", "_right"))
+                right.sort(key=lambda r: r["row_id"])
+                dimensions = {b: i for i, b in enumerate(sorted({e["bucket"] for side in (left, right) for r in side for e in r["own"]}))}
+                s = np.round(matrix(left, dimensions) @ matrix(right, dimensions).T, places)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(s, order, axis=1)
+                i, j = np.nonzero(top >= least)
+                columns = [[left[x]["row_id"] for x in i], [right[x]["row_id"] for x in order[i, j]], [batch.column("_rs")[at].as_py()] * len(i), top[i, j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["left_id", "right_id", "_rs", "similarity"])
+
+    scored = pairs.select("_rs", "_left", "_right").mapInArrow(best, f"left_id {kind}, right_id {kind}, _rs string, similarity double")
     order = W.partitionBy("left_id", "_rs").orderBy(F.col("similarity").desc(), "right_id")
-    return scored.where(F.col("similarity") >= least).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select("left_id", "right_id", "similarity")
+    return scored.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select("left_id", "right_id", "similarity")

@@ -50,6 +50,12 @@ def calibrate(claims: DataFrame, alphas: list[float], *groups: str) -> DataFrame
     return out.select(*groups, "alpha", F.col("b.confidence").alias("threshold"), F.col("b.admitted").alias("admitted"), F.col("b.errors").alias("errors"), "total")
 
 
+def best_point(points: DataFrame, wrong_paise: int, review_paise: int) -> DataFrame:
+    """The available bound that costs least, a wrong post and a review priced; the smallest of equals."""
+    cost = (F.col("errors") * wrong_paise + (F.col("total") - F.col("admitted")) * review_paise).cast("long")
+    return points.where("threshold is not null").withColumn("cost_paise", cost).orderBy("cost_paise", "alpha").limit(1)
+
+
 def in_calibration_half(claim_id: str, seed: Column | int) -> Column:
     """A claim's half, by a hash of the seed and its id."""
     seed = F.lit(seed) if isinstance(seed, int) else seed

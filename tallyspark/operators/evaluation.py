@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,53 @@ def price(outcomes: DataFrame) -> DataFrame:
     return out.withColumn("total_paise", F.expr("false_match_paise + triage_paise + review_paise"))
 
 
+def break_even(outcomes: DataFrame) -> DataFrame:
+    """``outcomes`` with break_even: how many false matches may happen before automation costs more than it saves.
+
+    Columns: rows, exceptions, reviews, missed and exposed_paise, the mean
+    amount of a wrong match. The manual baseline is reading all rows and
+    triaging all exceptions; without a budget no false match may happen.
+    """
+    manual = f"rows * {work_paise(str(MINUTES_MANUAL_ROW))} + exceptions * {work_paise(str(MINUTES_TRIAGE))}"
+    spent = f"missed * {work_paise(str(MINUTES_TRIAGE))} + reviews * {work_paise(str(MINUTES_REVIEW))}"
+    each = f"{work_paise(str(MINUTES_FALSE_MATCH))} + (abs(exposed_paise) * {LOST_PERCENT} + 50) div 100"
+    budget = f"greatest({manual} - ({spent}), 0)"
+    return outcomes.withColumn("break_even", F.expr(f"round(CAST({budget} AS DECIMAL(38, 6)) / ({each}), 2)").cast("double"))
+
+
+#: The low, base and high case of what a close costs by hand.
+PROBLEM_SIZE = {
+    "transactions_per_day": (200, 600, 2000),
+    "percent_unmatched": (2, 5, 10),
+    "minutes_per_exception": (2, 4, 8),
+    "rupees_per_hour": (400, 600, 1000),
+    "days_per_month": (22, 24, 26),
+}
+
+
+def problem_size(spark: SparkSession) -> DataFrame:
+    """A row for each case: exceptions and minutes a day, and rupees a day, month and year."""
+    cases = ", ".join(f"('{case}', {', '.join(str(v[k]) for v in PROBLEM_SIZE.values())})" for k, case in enumerate(("low", "base", "high")))
+    rows = spark.sql(f"SELECT * FROM VALUES {cases} t(case, {', '.join(PROBLEM_SIZE)})")
+    rows = rows.withColumn("exceptions_per_day", F.expr("transactions_per_day * percent_unmatched / 100D")).withColumn("minutes_per_day", F.expr("exceptions_per_day * minutes_per_exception"))
+    rows = rows.withColumn("cost_per_day", F.expr("minutes_per_day * rupees_per_hour / 60D"))
+    return rows.withColumns({"cost_per_month": F.expr("cost_per_day * days_per_month"), "cost_per_year": F.expr("cost_per_day * days_per_month * 12")}).drop(*PROBLEM_SIZE)
+
+
+def run_metrics(rows: DataFrame, matched: DataFrame, posted: DataFrame, truth: DataFrame, residue: DataFrame) -> DataFrame:
+    """One row: match rate, coverage and precision of what was posted, and the rate of rows that nothing placed.
+
+    ``rows``, ``matched`` and ``residue`` have row_id; ``posted`` and ``truth``
+    have left_id and right_id. A rate without a denominator is 0.
+    """
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = n(rows.select("row_id").distinct(), "rows").crossJoin(n(matched.select("row_id").distinct(), "matched")).crossJoin(n(residue.select("row_id").distinct(), "residue"))
+    right = posted.select("left_id", "right_id").distinct()
+    out = out.crossJoin(n(right, "posted")).crossJoin(n(right.join(truth.select("left_id", "right_id").distinct(), ["left_id", "right_id"], "left_semi"), "posted_right")).crossJoin(n(truth.distinct(), "claims"))
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return out.withColumns({"match_rate": rate("matched", "rows"), "residue_rate": rate("residue", "rows"), "post_coverage": rate("posted", "claims"), "post_precision": rate("posted_right", "posted")})
+
+
 def metrics_text(metrics: dict[str, float | int]) -> str:
     """Metrics in one canonical form: sorted keys, six places, nothing of the time of the run."""
     return json.dumps({k: round(v, 6) if isinstance(v, float) else v for k, v in metrics.items()}, sort_keys=True, indent=2) + "\n"

@@ -44,6 +44,28 @@ def consensus(votes: DataFrame, most: int = 3, least_agreement: float = 0.67) ->
     return rows.select("row_id", decision.alias("decision"), agreement.alias("agreement"))
 
 
+def listed(rows: DataFrame, kind: str | None = None, severity: str | None = None, limit: int = 50) -> DataFrame:
+    """The largest exceptions of a type and severity, of all where none is named; equal amounts go by id."""
+    for column, value in (("exception_type", kind), ("severity", severity)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows.orderBy(F.abs("amount_paise").desc(), "exception_id").limit(limit)
+
+
+def review_queue(scored: DataFrame, most: int = 50, *ids: str) -> DataFrame:
+    """The pairs of the review band that a person sees, the most likely first."""
+    return scored.where("band = 'review'").orderBy(F.col("bits").desc(), *ids).limit(most)
+
+
+def routed(rows: DataFrame, most: int = 50, order: str = "row_id") -> DataFrame:
+    """``rows`` with route: the first ``most`` rows go to a model, the others are typed by rule.
+
+    The first ones are picked by a top-k and joined back, so that no task sorts all rows.
+    """
+    first = rows.select(order).distinct().orderBy(order).limit(most).withColumn("_m", F.lit(True))
+    return rows.join(F.broadcast(first), order, "left").withColumn("route", F.when(F.col("_m"), "model").otherwise("rule")).drop("_m")
+
+
 def residue(rows: DataFrame, *placed: DataFrame) -> DataFrame:
     """Rows in none of the ``placed`` tables of txn_id."""
     for taken in placed:

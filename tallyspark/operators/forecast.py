@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -51,6 +51,42 @@ def cumulative_alerts(forecast: DataFrame, due: DataFrame, opening: int) -> Data
     )
 
 
+#: What falls due each month: label, day (0 is the last) and the part of the payroll, as a divisor.
+COMMITMENTS = (("monthly payroll", 0, 1), ("GST return", 20, 5), ("TDS deposit", 7, 20))
+
+
+def commitments(spark: SparkSession, first: str, days: int, payroll_paise: int) -> DataFrame:
+    """(due_on, amount_paise, label) of all that falls due from ``first`` to ``days`` days later."""
+    dates = spark.sql(f"SELECT explode(sequence(DATE '{first}', date_add(DATE '{first}', {days}))) AS due_on")
+    due = [F.when(F.col("due_on") == (F.last_day("due_on") if not day else F.date_add(F.trunc("due_on", "month"), day - 1)), F.struct(F.lit(payroll_paise // part).cast("long").alias("amount_paise"), F.lit(label).alias("label"))) for label, day, part in COMMITMENTS]
+    return dates.select("due_on", F.explode(F.array_compact(F.array(*due))).alias("c")).select("due_on", "c.amount_paise", "c.label")
+
+
+def coverage(bands: DataFrame) -> DataFrame:
+    """One row: how many values their bands hold, the mean width, and the standard error of the share.
+
+    ``bands`` has v, lower and upper.
+    """
+    held = F.col("v").between(F.col("lower"), F.col("upper")).cast("int")
+    rows = bands.agg(F.count(F.lit(1)).alias("n"), F.sum(held).alias("held"), F.round(F.avg(F.col("upper") - F.col("lower")), 6).alias("mean_width"))
+    share = F.coalesce(F.try_divide("held", "n"), F.lit(0.0))
+    return rows.withColumns({"coverage": F.round(share, 6), "standard_error": F.round(F.coalesce(F.sqrt(F.try_divide(share * (1 - share), F.col("n"))), F.lit(0.0)), 6)})
+
+
+def held_out_bands(series: DataFrame, nominal: float = 0.90) -> DataFrame:
+    """(ds, v, lower, upper) of the last quarter of a daily series: last week's value, widened by a quantile of the errors of the three quarters before.
+
+    The quantile is the smallest error that a share ``nominal`` of n errors,
+    counted as n + 1, does not exceed, so that the bands hold for new days.
+    """
+    order = W.orderBy("ds")
+    rows = series.select("ds", "v", F.lag("v", SEASON).over(order).alias("point"), (F.percent_rank().over(order) <= 0.75).alias("fit")).where("point is not null")
+    errors = rows.where("fit").select(F.abs(F.col("v") - F.col("point")).alias("e"))
+    ranked = errors.select("e", F.row_number().over(W.orderBy("e")).alias("k"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
+    width = ranked.where(F.col("k") >= F.least(F.ceil((F.col("n") + 1) * nominal), F.col("n"))).agg(F.min("e").alias("width"))
+    return rows.where("NOT fit").crossJoin(F.broadcast(width)).select("ds", "v", (F.col("point") - F.col("width")).alias("lower"), (F.col("point") + F.col("width")).alias("upper"))
+
+
 def _naive(v: np.ndarray, h: int) -> np.ndarray:
     return np.resize(v[-SEASON:], h)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import name_key, name_tokens
+from tallyspark.functions.text import bucket_similarity, name_key, name_tokens, normal_name
 
 FIELDS = ("reference", "amount", "date", "counterparty", "narration")
 DIFFER, WEAK, STRONG, EXACT, MISSING = range(5)
@@ -58,9 +59,21 @@ def name_level(a: str, b: str) -> Column:
     return F.when(_missing(x, y), MISSING).when(x == y, EXACT).when((name_key(x) != "") & (name_key(x) == name_key(y)), STRONG).when(F.arrays_overlap(name_tokens(x), name_tokens(y)), WEAK).otherwise(DIFFER)
 
 
-def similarity_level(similarity: str) -> Column:
-    s = F.col(similarity)
-    return F.when(s.isNull(), MISSING).when(s >= 0.75, STRONG).when(s >= 0.40, WEAK).otherwise(DIFFER)
+def named(name: str, at: int) -> list[Column]:
+    """What comparing names needs of one row, once: the normal name, its key and its words, numbered ``at``."""
+    return [normal_name(name).alias(f"c{at}"), name_key(name).alias(f"ck{at}"), name_tokens(name).alias(f"ct{at}")]
+
+
+def named_level(a: int, b: int) -> Column:
+    """name_level of two rows with the columns of ``named``."""
+    x, y, keys = F.col(f"c{a}"), F.col(f"c{b}"), (F.col(f"ck{a}"), F.col(f"ck{b}"))
+    return F.when(_missing(x, y), MISSING).when(x == y, EXACT).when((keys[0] != "") & (keys[0] == keys[1]), STRONG).when(F.arrays_overlap(f"ct{a}", f"ct{b}"), WEAK).otherwise(DIFFER)
+
+
+def narration_level(a: str, b: str) -> Column:
+    """How alike two narrations are, given the dimensions of their grams."""
+    alike = F.round(bucket_similarity(a, b), 6)
+    return F.when(alike.isNull(), MISSING).when(alike >= 0.75, STRONG).when(alike >= 0.40, WEAK).otherwise(DIFFER)
 
 
 def pattern_counts(levels: DataFrame) -> DataFrame:
@@ -91,35 +104,33 @@ class Model:
 def fit(counts: list[tuple[tuple[int, ...], int]]) -> Model:
     """Expectation maximisation over pattern counts, which is the same as over their pairs.
 
-    ``counts`` are the rows of pattern_counts; patterns are taken in order, so
-    that sums do not depend on partitions. Without pairs the model is uniform.
+    ``counts`` are the rows of pattern_counts, at most 5**5. A pattern is a row
+    of zeros and ones over all levels of all fields, so that a round is two
+    matrix products: the patterns' log odds, and the expected level counts.
+    Patterns are taken in order, so that sums do not depend on partitions.
+    Without pairs the model is uniform.
     """
-    counts = sorted((tuple(p), n) for p, n in counts)
-    width = len(counts[0][0]) if counts else len(FIELDS)
     if not counts:
-        return Model([[0.25] * 4] * width, [[0.25] * 4] * width, SEED_SHARE)
-    model, total = Model([list(SEED_M) for _ in range(width)], [list(SEED_U) for _ in range(width)], SEED_SHARE), sum(n for _, n in counts)
+        return Model([[0.25] * 4] * len(FIELDS), [[0.25] * 4] * len(FIELDS), SEED_SHARE)
+    counts = sorted((tuple(p), n) for p, n in counts)
+    patterns, n = np.array([p for p, _ in counts]), np.array([n for _, n in counts], float)
+    width = patterns.shape[1]
+    shown = (patterns[:, :, None] == np.arange(4)).reshape(len(n), width * 4).astype(float)
+    chances, share = np.stack([np.tile(SEED_M, width), np.tile(SEED_U, width)]), SEED_SHARE
+    likelihood, done = -math.inf, False
     for rounds in range(1, MOST_ROUNDS + 1):
-        likelihood, matches = 0.0, 0.0
-        m, u = ([[SMOOTHING] * 4 for _ in range(width)] for _ in range(2))
-        for pattern, n in counts:
-            known = [(i, level) for i, level in enumerate(pattern) if level != MISSING]
-            one = math.log(model.share) + sum(math.log(max(model.m[i][x], 1e-12)) for i, x in known)
-            other = math.log(1 - model.share) + sum(math.log(max(model.u[i][x], 1e-12)) for i, x in known)
-            top = max(one, other)
-            whole = math.exp(one - top) + math.exp(other - top)
-            likely = math.exp(one - top) / whole
-            likelihood += n * (top + math.log(whole))
-            matches += n * likely
-            for i, x in known:
-                m[i][x] += n * likely
-                u[i][x] += n * (1 - likely)
-        m, u = ([[x / sum(row) for x in row] for row in part] for part in (m, u))
-        done = abs(likelihood - model.log_likelihood) < TOLERANCE * max(abs(model.log_likelihood), 1.0)
-        model = Model(m, u, min(max(matches / total, 1e-6), 1 - 1e-6), rounds, done, likelihood)
+        joint = shown @ np.log(np.maximum(chances, 1e-12)).T + np.log([share, 1 - share])
+        whole = np.logaddexp(joint[:, 0], joint[:, 1])
+        parts = np.exp(joint - whole[:, None]) * n[:, None]
+        expected = (parts.T @ shown + SMOOTHING).reshape(2, width, 4)
+        before, likelihood = likelihood, float(n @ whole)
+        chances = (expected / expected.sum(axis=2, keepdims=True)).reshape(2, -1)
+        share = min(max(float(parts[:, 0].sum() / n.sum()), 1e-6), 1 - 1e-6)
+        done = abs(likelihood - before) < TOLERANCE * max(abs(before), 1.0)
         if done:
             break
-    return model
+    m, u = chances.reshape(2, width, 4).tolist()
+    return Model(m, u, share, rounds, done, likelihood)
 
 
 def score(levels: DataFrame, model: Model) -> DataFrame:

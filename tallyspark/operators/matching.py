@@ -39,6 +39,18 @@ def unique_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return pairs if accept is None else pairs.where(accept)
 
 
+def first_accepted(left: DataFrame, right: DataFrame, left_id: str, on: list[str], accept: Column) -> DataFrame:
+    """Pairs of a left row and the only right row of its key, if ``accept`` holds; of several such left rows the first takes it.
+
+    A key with several right rows matches nothing, whatever ``accept`` would
+    say; a left row that is refused leaves the right row to the next one.
+    """
+    single = right.where(" AND ".join(f"{k} IS NOT NULL" for k in on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    pairs = left.join(right.join(single, on, "left_semi"), on).where(accept)
+    first = pairs.groupBy(*on).agg(F.min(left_id).alias("_first"))
+    return pairs.join(first, on).where(F.col(left_id) == F.col("_first")).drop("_first")
+
+
 def mutual_best(pairs: DataFrame, left: str, right: str, weight: str) -> DataFrame:
     """Pairs that are the heaviest of both their rows; equal weights go to the smaller ids."""
     best = lambda own, other: F.min_by(other, F.struct(-F.col(weight), other))

@@ -40,6 +40,18 @@ def totals(payments: DataFrame, by: str, refunds: DataFrame | None = None) -> Da
     return sums.join(back, by, "left").withColumn("refunds_paise", F.coalesce("refunds_paise", F.lit(0)).cast("long"))
 
 
+def refunds_by_date(refunds: DataFrame, settlements: DataFrame, by: str) -> DataFrame:
+    """Refunds with the settlement of their date; ``settlements`` has one row a date. Sums come first, so that a date's refunds meet as one row."""
+    return refunds.groupBy(by).agg(F.sum("amount_paise").alias("amount_paise")).join(settlements, by)
+
+
+def component_sums(rows: DataFrame, by: str) -> DataFrame:
+    """The lines of each settlement in one row: absolute sums of the fees by name, and of all else as the remainder."""
+    named = F.when(F.col("component").isin("fee_mdr", "gst_on_fee", "tds_194o", "refund_offset"), F.col("component")).otherwise("remainder")
+    summed = rows.withColumn("component", named).groupBy(by).pivot("component", ["fee_mdr", "gst_on_fee", "tds_194o", "refund_offset", "remainder"]).agg(F.sum(F.abs("amount_paise")))
+    return summed.na.fill(0)
+
+
 def settle(sums: DataFrame, received: DataFrame, by: str) -> DataFrame:
     """One row a settlement: expected and received net, and the remainder by what it looks like.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.calendar import calendar
 from tallyspark.functions.money import GST_PERCENT, MDR_BPS, TDS_BPS, with_fees
 
-FIRST, LAST = "1994-12-01", "2002-12-31"
+#: Days of the calendar before the first payment and after the last one: more than any settlement takes.
+MARGIN_DAYS = 31
 METHODS = ("upi", "card_credit", "netbanking", "wallet", "card_debit")
 
 
@@ -16,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def days(spark: SparkSession) -> DataFrame:
-    return calendar(spark, FIRST, LAST)
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar around the dates of all payments."""
+    ends = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")).first()
+    today = date(2000, 1, 1)
+    margin = timedelta(days=MARGIN_DAYS)
+    return calendar(spark, str((ends["a"] or today) - margin), str((ends["b"] or today) + margin))
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments with their fees and the date they settle on."""
-    due = F.broadcast(days(spark).select(F.col("ds").alias("occurred_on"), "settles_on", "win_low", "win_high"))
+    due = F.broadcast(days(spark, sf_dir).select(F.col("ds").alias("occurred_on"), "settles_on", "win_low", "win_high"))
     return with_fees(payments(spark, sf_dir)).join(due, "occurred_on")
 
 
@@ -63,7 +70,7 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the bank shows for each settlement date, with damage by the date's number: late, short, held back, split in two."""
     sums = expected(spark, sf_dir).withColumn("n", F.datediff("settles_on", F.lit("1970-01-01").cast("date")))
-    late = days(spark).where("is_open").select(F.col("ds").alias("settles_on"), F.col("bd_ord"))
+    late = days(spark, sf_dir).where("is_open").select(F.col("ds").alias("settles_on"), F.col("bd_ord"))
     after = late.select((F.col("bd_ord") - 1).alias("bd_ord"), F.col("settles_on").alias("next_open"))
     rows = sums.join(F.broadcast(late.join(after, "bd_ord").drop("bd_ord")), "settles_on")
     amount = F.expr("CASE WHEN n % 13 = 1 THEN net_paise - amount_paise div 20 WHEN n % 13 = 2 THEN net_paise - amount_paise div 100 WHEN n % 13 = 3 THEN net_paise - amount_paise div 10 ELSE net_paise END")
@@ -90,7 +97,8 @@ _RATES = " ".join(f"WHEN '{m}' THEN {b}" for m, b in MDR_BPS.items())
 _METHOD = " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in enumerate(METHODS, 1))
 #: The same in DuckDB's SQL: with-clauses that queries' oracles start with.
 SQL = f"""
-days0 AS (SELECT d::DATE AS ds FROM generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY) t(d)),
+ends0 AS (SELECT min(o_orderdate)::DATE - {MARGIN_DAYS} AS a, max(o_orderdate)::DATE + {MARGIN_DAYS} AS b FROM orders),
+days0 AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS ds FROM ends0),
 days1 AS (SELECT ds, CASE WHEN isodow(ds) = 7 THEN 'Sunday'
   WHEN isodow(ds) = 6 AND (day(ds) + 6) // 7 IN (2, 4) THEN CASE WHEN (day(ds) + 6) // 7 = 2 THEN '2nd' ELSE '4th' END || ' Saturday (Indian banks closed)'
   WHEN strftime(ds, '%m-%d') IN ('01-26', '04-01', '08-15', '10-02') THEN 'bank holiday' END AS why_closed FROM days0),

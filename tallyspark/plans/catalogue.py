@@ -39,13 +39,13 @@ def settlement_expected_by_date(spark, d):
 
 @query("SELECT ds, is_open, why_closed, bd_ord, settles_on, win_low, win_high FROM days")
 def calendar_dim(spark, d):
-    return ad.days(spark)
+    return ad.days(spark, d)
 
 
 @query("SELECT p.payment_id, b.bd_ord - a.bd_ord AS open_days FROM (SELECT payment_id, occurred_on, occurred_on + 10 AS later FROM payments) p JOIN days a ON a.ds = p.occurred_on JOIN days b ON b.ds = p.later")
 def business_days(spark, d):
     rows = ad.payments(spark, d).select("payment_id", "occurred_on", F.date_add("occurred_on", 10).alias("later"))
-    return cal.business_days_between(rows, ad.days(spark), "occurred_on", "later", "open_days").select("payment_id", "open_days")
+    return cal.business_days_between(rows, ad.days(spark, d), "occurred_on", "later", "open_days").select("payment_id", "open_days")
 
 
 @query("SELECT " + ", ".join(f"coalesce(sum(mdr_paise) FILTER (method = '{m}'), 0)::BIGINT AS {m}" for m in ad.METHODS) + ", strftime(settles_on, '%Y-%m') AS month FROM settled WHERE settles_on IS NOT NULL GROUP BY month")
@@ -73,7 +73,13 @@ def allocate_largest_remainder(spark, d):
     return money.allocate(rows.join(totals, "l_orderkey"), ["l_orderkey"], "total_paise", "w", "line_id").select("l_orderkey", "l_linenumber", "l_partkey", "total_paise", "share_paise")
 
 
-@query()
+_STEPS = "CASE WHEN r > 5 * p OR (r = 5 * p AND q % 2 = 1) THEN q + 1 ELSE q END"
+
+
+@query(f"""SELECT payment_id, '₹' || CASE WHEN length(w) <= 3 THEN w ELSE reverse(rtrim(regexp_replace(reverse(w[:-4]), '([0-9]{{1,2}})', '\\1,', 'g'), ',')) || ',' || w[-3:] END || '.' || printf('%02d', amount_paise % 100) AS written,
+  CASE WHEN big >= 10000000 THEN '₹' || printf('%d.%02d', {_STEPS} // 100, {_STEPS} % 100) || CASE WHEN big >= 1000000000 THEN ' Cr' ELSE ' L' END
+    ELSE '₹' || CASE WHEN length(v) <= 3 THEN v ELSE reverse(rtrim(regexp_replace(reverse(v[:-4]), '([0-9]{{1,2}})', '\\1,', 'g'), ',')) || ',' || v[-3:] END || '.00' END AS compact
+  FROM (SELECT *, big // (10 * p) AS q, big % (10 * p) AS r FROM (SELECT payment_id, amount_paise, (amount_paise // 100)::VARCHAR AS w, amount_paise::VARCHAR AS v, amount_paise * 100 AS big, CASE WHEN amount_paise * 100 >= 1000000000 THEN 1000000 ELSE 10000 END AS p FROM payments))""")
 def rupee_display(spark, d):
     return ad.payments(spark, d).select("payment_id", money.grouped_rupees("amount_paise").alias("written"), money.compact_rupees(F.col("amount_paise") * 100).alias("compact"))
 
@@ -108,7 +114,8 @@ def normalise_name(spark, d):
     return ad.invoices(spark, d).select("invoice_id", "counterparty", text.normal_name("counterparty").alias("name"))
 
 
-@query()
+@query("""SELECT c_custkey, 'CSTMR ' || (n[1] || array_to_string(list_filter(string_split(n[2:], ''), lambda x, i: i = 1 OR x <> n[i]), ''))[1:6] AS name_key, ['CUSTOMER', n] AS tokens
+FROM (SELECT c_custkey, regexp_extract(c_name, '[0-9]+') AS n FROM customer)""", books=False)
 def name_keys(spark, d):
     return ad.table(spark, d, "customer").select("c_custkey", text.name_key("c_name").alias("name_key"), text.name_tokens("c_name").alias("tokens"))
 
@@ -249,35 +256,40 @@ def ngram_topk(spark, d):
 
 
 def _levels(spark, d):
-    p = ad.payments(spark, d).select("payment_id", F.col("reference").alias("r1"), F.col("amount_paise").alias("a1"), F.col("occurred_on").alias("d1"), F.col("counterparty").alias("c1"), "key")
-    i = ad.invoices(spark, d).select("invoice_id", F.col("reference").alias("r2"), F.col("amount_paise").alias("a2"), F.col("occurred_on").alias("d2"), text.normal_name("counterparty").alias("c2"))
+    p = ad.payments(spark, d).select("payment_id", F.col("reference").alias("r1"), F.col("amount_paise").alias("a1"), F.col("occurred_on").alias("d1"), *linkage.named("counterparty", 1), text.gram_buckets("counterparty").alias("n1"))
+    i = ad.invoices(spark, d).select("invoice_id", F.col("reference").alias("r2"), F.col("amount_paise").alias("a2"), F.col("occurred_on").alias("d2"), *linkage.named("counterparty", 2), text.gram_buckets("counterparty").alias("n2"))
     pairs = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()}).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"))
-    rows = pairs.join(p, "payment_id").join(i, "invoice_id").withColumn("c1", text.normal_name("c1"))
+    rows = pairs.join(p, "payment_id").join(i, "invoice_id")
     return rows.select(
         "payment_id", "invoice_id", linkage.reference_level("r1", "r2").alias("reference"), linkage.amount_level("a1", "a2").alias("amount"),
-        linkage.date_level("d1", "d2").alias("date"), linkage.name_level("c1", "c2").alias("counterparty"), F.lit(linkage.MISSING).alias("narration"),
+        linkage.date_level("d1", "d2").alias("date"), linkage.named_level(1, 2).alias("counterparty"), linkage.narration_level("n1", "n2").alias("narration"),
     )
 
 
+#: A text's hashed grams, and how many of two texts' grams meet.
+_GRAMS = "[('0x' || sha256(('  ' || lower({t}) || '  ')[x:x + 2])[1:8])::BIGINT % 256 FOR x IN range(1, length({t}) + 3)]"
+_ALIKE = "list_sum([len([y FOR y IN {b} IF y = x]) FOR x IN {a}])"
+
 _LEVELS = f"""{_KEYS}, lv AS (SELECT p.payment_id, i.invoice_id,
   CASE WHEN i.reference IS NULL THEN 4 WHEN p.reference = i.reference THEN 3 WHEN contains(p.reference, i.reference) OR contains(i.reference, p.reference) THEN 2
     WHEN len([x FOR x IN range(1, length(p.reference) - 7) IF contains(i.reference, p.reference[x:x + 8])]) > 0 THEN 1 ELSE 0 END AS reference,
   CASE WHEN p.amount_paise = 0 OR i.amount_paise = 0 THEN 4 WHEN p.amount_paise = i.amount_paise THEN 3 WHEN 100 * least(p.amount_paise, i.amount_paise) >= 97 * greatest(p.amount_paise, i.amount_paise) THEN 2
     WHEN 4 * least(p.amount_paise, i.amount_paise) >= 3 * greatest(p.amount_paise, i.amount_paise) THEN 1 ELSE 0 END AS amount,
   CASE WHEN abs(p.occurred_on - i.occurred_on) = 0 THEN 3 WHEN abs(p.occurred_on - i.occurred_on) <= 1 THEN 2 WHEN abs(p.occurred_on - i.occurred_on) <= 7 THEN 1 ELSE 0 END AS date,
-  regexp_extract(p.counterparty, '[0-9]+') AS n1, regexp_extract(i.counterparty, '[0-9]+') AS n2
+  regexp_extract(p.counterparty, '[0-9]+') AS n1, regexp_extract(i.counterparty, '[0-9]+') AS n2, {_GRAMS.format(t='p.counterparty')} AS g1, {_GRAMS.format(t='i.counterparty')} AS g2
   FROM (SELECT DISTINCT left_id, right_id FROM pairs) JOIN payments p ON p.payment_id = left_id JOIN invoices i ON i.invoice_id = right_id),
-levels AS (SELECT payment_id, invoice_id, reference, amount, date, CASE WHEN n1 = n2 THEN 3 WHEN n1[1:6] = n2[1:6] THEN 2 ELSE 1 END AS counterparty, 4 AS narration FROM lv)"""
+levels AS (SELECT payment_id, invoice_id, reference, amount, date, CASE WHEN n1 = n2 THEN 3 WHEN n1[1:6] = n2[1:6] THEN 2 ELSE 1 END AS counterparty,
+  CASE WHEN s >= 0.75 THEN 2 WHEN s >= 0.4 THEN 1 ELSE 0 END AS narration FROM (SELECT *, round({_ALIKE.format(a='g1', b='g2')} / sqrt({_ALIKE.format(a='g1', b='g1')}::DOUBLE * {_ALIKE.format(a='g2', b='g2')}), 6) AS s FROM lv))"""
 
 
-@query(f"{_LEVELS} SELECT payment_id, invoice_id, reference, amount, date FROM levels")
+@query(f"{_LEVELS} SELECT payment_id, invoice_id, reference, amount, date, counterparty, narration FROM levels")
 def comparison_levels(spark, d):
-    return _levels(spark, d).select("payment_id", "invoice_id", "reference", "amount", "date")
+    return _levels(spark, d)
 
 
-@query(f"{_LEVELS} SELECT reference, amount, date, count(*) AS n FROM levels GROUP BY ALL")
+@query(f"{_LEVELS} SELECT reference, amount, date, counterparty, narration, count(*) AS n FROM levels GROUP BY ALL")
 def pattern_counts(spark, d):
-    return linkage.pattern_counts(_levels(spark, d)).groupBy("reference", "amount", "date").agg(F.sum("n").alias("n"))
+    return linkage.pattern_counts(_levels(spark, d))
 
 
 @query()
@@ -288,6 +300,17 @@ def linkage_scores(spark, d):
     return scored.withColumn("band", linkage.band()).select("payment_id", "invoice_id", "bits", "probability", "band", "because")
 
 
+#: Fixed weights: chances of each level among matches and among other pairs, and the share of matches, for scores that need no fit.
+FIXED_WEIGHTS = linkage.Model([list(linkage.SEED_M)] * 5, [list(linkage.SEED_U)] * 5, linkage.SEED_SHARE)
+_BITS = " + ".join(f"[{', '.join(repr(FIXED_WEIGHTS.bits(k, x)) for x in range(5))}][{f} + 1]" for k, f in enumerate(linkage.FIELDS))
+
+
+@query(f"""{_LEVELS} SELECT payment_id, invoice_id, bits, round(2 ** (bits + {FIXED_WEIGHTS.prior_bits!r}) / (1 + 2 ** (bits + {FIXED_WEIGHTS.prior_bits!r})), 6) AS probability,
+  CASE WHEN bits >= 6 THEN 'link' WHEN bits >= 0 THEN 'review' ELSE 'reject' END AS band FROM (SELECT payment_id, invoice_id, round(({_BITS})::DOUBLE, 6) AS bits FROM levels)""")
+def linkage_scores_fixed(spark, d):
+    return linkage.score(_levels(spark, d), FIXED_WEIGHTS).withColumn("band", linkage.band()).select("payment_id", "invoice_id", "bits", "probability", "band")
+
+
 # --- attribution and waterfall ----------------------------------------------
 
 
@@ -298,7 +321,7 @@ def _payments_due(spark, d):
 @query("SELECT s.payment_id, c.credit_id, c.landed_on FROM settled s JOIN credits c ON c.landed_on BETWEEN s.win_low AND s.win_high")
 def settle_window_join(spark, d):
     rows = ad.settled(spark, d).select("payment_id", "occurred_on")
-    found = attribution.window_candidates(rows, ad.credits(spark, d).select("credit_id", "landed_on"), ad.days(spark))
+    found = attribution.window_candidates(rows, ad.credits(spark, d).select("credit_id", "landed_on"), ad.days(spark, d))
     return found.select("payment_id", "credit_id", "landed_on")
 
 
@@ -306,7 +329,7 @@ def settle_window_join(spark, d):
 QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY drift, landed_on, credit_id) = 1""")
 def nearest_credit(spark, d):
     rows = ad.settled(spark, d).select("payment_id", "occurred_on")
-    return attribution.nearest_credit(attribution.window_candidates(rows, ad.credits(spark, d).select("credit_id", "landed_on"), ad.days(spark)))
+    return attribution.nearest_credit(attribution.window_candidates(rows, ad.credits(spark, d).select("credit_id", "landed_on"), ad.days(spark, d)))
 
 
 _SINGLE = """, alone AS (SELECT landed_on, min(credit_id) AS credit_id, sum(amount_paise)::BIGINT AS target_paise FROM credits GROUP BY landed_on HAVING count(*) = 1),
@@ -381,7 +404,7 @@ def _exceptions(spark, d):
 
 def _cash(spark, d):
     rows = ad.credits(spark, d).groupBy(F.col("landed_on").alias("value_date")).agg(F.sum("amount_paise").alias("credited_paise"), F.count(F.lit(1)).alias("credit_count"))
-    return rows.join(F.broadcast(ad.days(spark).select(F.col("ds").alias("value_date"), F.col("is_open").alias("is_business_day"))), "value_date")
+    return rows.join(F.broadcast(ad.days(spark, d).select(F.col("ds").alias("value_date"), F.col("is_open").alias("is_business_day"))), "value_date")
 
 
 def books_views(spark, d) -> None:
@@ -442,7 +465,7 @@ def lag_features(spark, d):
 @query("""SELECT ds, (isodow(ds) - 1)::INT AS dow, day(ds)::INT AS dom, month(ds)::INT AS month, ds = last_day(ds) AS is_month_end, day(ds) <= 3 OR (ds = last_day(ds) AND is_open) AS is_salary_window,
   day(ds) BETWEEN 19 AND 21 OR day(ds) = 7 AS is_gst_window FROM days""")
 def calendar_features(spark, d):
-    days = ad.days(spark)
+    days = ad.days(spark, d)
     return days.select("ds", *(c.alias(n) for n, c in cal.features().items()))
 
 
@@ -515,7 +538,11 @@ def _requests(spark, d):
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {ad.SQL}, q AS (SELECT key % 4 AS run_id, key AS seq, amount_paise, action_class <> 'move_money' AND currency = 'INR' AND trim(reason) <> '' AND amount_paise <= 20000000 AND (human_approved OR (amount_paise <= 2500000 AND percent >= 90 AND evidence_count >= 1)) AS fits FROM (SELECT *, {_REQUEST} FROM payments)),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM q),
+f AS (SELECT run_id, 0::BIGINT AS k, 0::BIGINT AS total, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BOOLEAN AS posted FROM (SELECT DISTINCT run_id FROM o)
+  UNION ALL SELECT run_id, k, total + CASE WHEN ok THEN amount_paise ELSE 0 END, n + ok::INT, seq, ok FROM (SELECT o.run_id, o.k, o.seq, o.amount_paise, f.total, f.n, o.fits AND f.total + o.amount_paise <= 2000000000 AND f.n < 5000 AS ok FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k + 1))
+SELECT run_id, seq, posted FROM f WHERE seq IS NOT NULL""", books=False)
 def policy_run_budget(spark, d):
     decided = policy.rules(_requests(spark, d), policy.Policy(run_cap_paise=2_000_000_000)).withColumns({"run_id": F.col("key") % 4, "seq": F.col("key")})
     return policy.within_budget(decided, policy.Policy(run_cap_paise=2_000_000_000))
@@ -527,7 +554,11 @@ def merkle_leaves(spark, d):
     return audit.leaves(records, "o_orderkey", "record")
 
 
-@query()
+#: The tree level by level; more levels than leaves need change nothing.
+_TREE = ", ".join(f"l{k + 1} AS (SELECT seq // 2 AS seq, CASE WHEN count(*) = 2 THEN sha256(unhex('01') || unhex(min_by(h, seq)) || unhex(max_by(h, seq))) ELSE min(h) END AS h FROM l{k} GROUP BY seq // 2)" for k in range(34))
+
+
+@query(f"WITH l0 AS (SELECT o_orderkey - (SELECT min(o_orderkey) FROM orders) AS seq, sha256(unhex('00') || encode(o_orderkey || '|' || o_orderstatus)) AS h FROM orders), {_TREE} SELECT h AS root FROM l34", books=False)
 def merkle_root(spark, d):
     keys = ad.table(spark, d, "orders").select("o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("record"))
     least = keys.agg(F.min("o_orderkey").alias("_m"))

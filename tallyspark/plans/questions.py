@@ -8,10 +8,11 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The views and their columns.
 VIEWS = {
-    "v_settlements": "settlement_id settled_on gross_paise net_expected_paise net_received_paise residual_paise balanced member_count mdr_paise gst_paise tds_paise refunds_paise chargeback_paise reserve_paise".split(),
-    "v_exceptions": "exception_id exception_type severity amount_paise as_of reason evidence_count stage".split(),
-    "v_daily_cash": "value_date credited_paise credit_count is_business_day".split(),
+    "v_settlements": ["settlement_id", "settled_on", "gross_paise", "net_expected_paise", "net_received_paise", "residual_paise", "balanced", "member_count", "mdr_paise", "gst_paise", "tds_paise", "refunds_paise", "chargeback_paise", "reserve_paise"],
+    "v_exceptions": ["exception_id", "exception_type", "severity", "amount_paise", "as_of", "reason", "evidence_count", "stage"],
+    "v_daily_cash": ["value_date", "credited_paise", "credit_count", "is_business_day"],
 }
 
 #: What each question returns, and in which order. Parameters are bound by name, never written into the text.
@@ -42,7 +43,7 @@ INTENTS = (
     ("cash_by_day", r"cash.*(by|per|each) day|daily cash"),
     ("cash_total", r"\b(cash|credited|received)\b"),
     ("all_settlements", r"settlements?"),
-    ("total_fees", r"refund|chargeback|dispute|reserve|withheld"),
+    ("total_fees", r"\b(disputed?|held back|withheld|reserves?|chargebacks?|refund(s|ed)?)\b"),
 )
 TOPIC = re.compile(r"settle|exception|cash|fee|mdr|gst|tds|credit|refund|chargeback|reserve|withheld|balance|receiv|urgent|setl_|cr_\d", re.I)
 SPECULATION = re.compile(r"\b(will|predict|forecast|should (we|i)|next (week|month|year)|what if|guess)\b", re.I)

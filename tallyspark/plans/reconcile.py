@@ -29,12 +29,12 @@ def candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def levels(pairs: DataFrame, payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    p = payments.select("payment_id", F.col("reference").alias("r1"), F.col("amount_paise").alias("a1"), F.col("occurred_on").alias("d1"), text.normal_name("counterparty").alias("c1"))
-    i = invoices.select("invoice_id", F.col("reference").alias("r2"), F.col("amount_paise").alias("a2"), F.col("occurred_on").alias("d2"), text.normal_name("counterparty").alias("c2"))
+    p = payments.select("payment_id", F.col("reference").alias("r1"), F.col("amount_paise").alias("a1"), F.col("occurred_on").alias("d1"), *linkage.named("counterparty", 1), text.gram_buckets("counterparty").alias("n1"))
+    i = invoices.select("invoice_id", F.col("reference").alias("r2"), F.col("amount_paise").alias("a2"), F.col("occurred_on").alias("d2"), *linkage.named("counterparty", 2), text.gram_buckets("counterparty").alias("n2"))
     rows = pairs.join(p, "payment_id").join(i, "invoice_id")
     return rows.select(
         "payment_id", "invoice_id", linkage.reference_level("r1", "r2").alias("reference"), linkage.amount_level("a1", "a2").alias("amount"),
-        linkage.date_level("d1", "d2").alias("date"), linkage.name_level("c1", "c2").alias("counterparty"), F.lit(linkage.MISSING).alias("narration"),
+        linkage.date_level("d1", "d2").alias("date"), linkage.named_level(1, 2).alias("counterparty"), linkage.narration_level("n1", "n2").alias("narration"),
     )
 
 

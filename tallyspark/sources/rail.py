@@ -45,30 +45,43 @@ class ToolRefused(PermissionError):
     pass
 
 
-def assert_readable(tool: str) -> None:
-    if tool in WRITING:
-        raise ToolRefused(f"{tool} writes")
+def allowed(tool: str) -> str:
+    """The tool's name, if it is on the list of those that read."""
     if tool not in READABLE:
-        raise ToolRefused(f"{tool} is not on the list")
+        raise ToolRefused(f"{tool} {'writes' if tool in WRITING else 'is unknown here'}")
+    return tool
 
 
 class FileRail:
-    """The rail over files: the same tools, read by Spark, with filters that reach the scan."""
+    """The rail over files: the same tools, read by Spark, with filters that reach the scan.
+
+    Each tool is a kind of gateway row, taken as a list, by its own id or by
+    the id of what it belongs to; orders and payouts are rows of their kinds,
+    and empty where an export holds none.
+    """
+
+    #: Tool, kind of row, and the column that a given id is compared with.
+    TOOLS = {
+        "fetch_all_payments": ("payment", None),
+        "fetch_all_refunds": ("refund", None),
+        "fetch_all_settlements": ("settlement", None),
+        "fetch_all_orders": ("order", None),
+        "fetch_all_payouts": ("payout", None),
+        "fetch_payment": ("payment", "external_id"),
+        "fetch_settlement_with_id": ("settlement", "external_id"),
+        "fetch_payout_by_id": ("payout", "external_id"),
+        "fetch_order_payments": ("payment", "reference"),
+        "fetch_settlement_recon_details": ("settlement", "external_id"),
+    }
 
     def __init__(self, spark: SparkSession, directory: str) -> None:
-        rows = lambda: statements.split(statements.read_gateway(spark, directory))[0]
-        kind = lambda k: lambda: rows().where(F.col("kind") == k)
-        self.tools: dict[str, Callable[[], DataFrame]] = {"fetch_all_payments": kind("payment"), "fetch_all_refunds": kind("refund"), "fetch_all_settlements": kind("settlement")}
-        self.by_id = {"fetch_payment": "payment", "fetch_settlement_with_id": "settlement"}
-        self.rows = rows
+        self.rows: Callable[[], DataFrame] = lambda: statements.split(statements.read_gateway(spark, directory))[0]
 
     def call(self, tool: str, first: str | None = None, last: str | None = None, id: str | None = None) -> DataFrame:
-        assert_readable(tool)
-        if tool in self.by_id:
-            return self.rows().where((F.col("kind") == self.by_id[tool]) & (F.col("external_id") == id))
+        kind, by = self.TOOLS[allowed(tool)]
+        rows = self.rows().where(F.col("kind") == kind)
+        if by is not None:
+            rows = rows.where(F.col(by) == id)
         if tool == "fetch_settlement_recon_details":
-            return self.rows().where((F.col("kind") == "settlement") & (F.col("external_id") == id)).select("external_id", "amount_paise", "metadata", "settled_on")
-        if tool not in self.tools:
-            raise ToolRefused(f"{tool} has no files")
-        out = self.tools[tool]()
-        return statements.within(out, first, last) if first and last else out
+            rows = rows.select("external_id", "amount_paise", "metadata", "settled_on")
+        return statements.within(rows, first, last) if first and last and by is None else rows

@@ -44,11 +44,14 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("problem IS NULL").drop("problem", "raw"), rows.where("problem IS NOT NULL").select("source", "external_id", "problem", "raw")
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Every column as text, a byte-order mark understood; a file that is not there has no rows."""
+def read_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """Every column as text, a byte-order mark understood; a file that is not there has no rows.
+
+    Files are split among tasks, unless fields may hold line breaks (``multi_line``).
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     try:
-        rows = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).schema(schema).csv(path)
+        rows = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multi_line).schema(schema).csv(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
     return rows.withColumn("_raw", F.to_json(F.struct(*columns)))
@@ -114,6 +117,27 @@ def read_gateway(spark: SparkSession, directory: str) -> DataFrame:
     return payments.unionByName(refunds).unionByName(settlements)
 
 
+def read_holidays(spark: SparkSession, path: str) -> DataFrame:
+    """(ds) from a JSON list of dates or of {date} objects; a file that is not there has none."""
+    try:
+        rows = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], "ds date")
+    dates = F.regexp_extract_all("value", F.lit(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(0))
+    return rows.select(F.explode(dates).alias("d")).select(F.try_to_date("d").alias("ds")).where("ds IS NOT NULL").distinct()
+
+
+def ids_of(rows: DataFrame, external: DataFrame, source: str) -> DataFrame:
+    """``external`` (external_id) with the txn_id of a source's rows."""
+    return external.join(rows.where(F.col("source") == source).select("external_id", "txn_id"), "external_id", "left")
+
+
+def narration_statistics(rows: DataFrame) -> DataFrame:
+    """One row: lines, complete parses, lines without a reference, and settlements, of bank lines."""
+    parsed = rows.where("kind = 'bank_line'").select(text.parse_narration("raw_narration").alias("p"))
+    return parsed.agg(F.count(F.lit(1)).alias("lines"), F.count_if("p.complete").alias("complete"), F.count_if(F.col("p.utr") == "").alias("without_reference"), F.count_if("p.is_settlement").alias("settlements"))
+
+
 def date_range(rows: DataFrame) -> DataFrame:
     return rows.agg(F.min("occurred_on").alias("first_day"), F.max("occurred_on").alias("last_day"))
 

@@ -5,6 +5,8 @@ from pathlib import Path
 
 import pytest
 
+from tallyspark.functions import calendar as cal
+from tallyspark.functions import text
 from tallyspark.plans import catalogue, questions
 from tallyspark.sources import rail, statements
 from tallyspark.streaming import intake
@@ -41,6 +43,8 @@ def test_rail_only_reads(spark, tmp_path):
     files = rail.FileRail(spark, str(tmp_path))
     assert files.call("fetch_all_payments").count() == 1 and files.call("fetch_payment", id="pay_1").count() == 1
     assert files.call("fetch_all_payments", first="2026-01-01", last="2026-01-02").count() == 0
+    assert files.call("fetch_order_payments", id="order_1").count() == 1 and files.call("fetch_all_payouts").count() == 0
+    assert set(files.TOOLS) == rail.READABLE and all(files.call(t, id="none").count() == 0 for t in ("fetch_payout_by_id", "fetch_settlement_with_id"))
     for tool in ("create_refund", "anything"):
         with pytest.raises(rail.ToolRefused):
             files.call(tool)
@@ -86,3 +90,21 @@ def test_nothing_outside_needs_the_corpus_operators():
     code = "import sys; sys.modules['tallyspark.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 40 and out[1] == "False"
+
+
+def test_holidays_ids_and_narrations(spark, tmp_path):
+    (tmp_path / "holidays.json").write_text('["2026-03-04", {"date": "2026-03-05"}, "2026-02-31"]')
+    found = statements.read_holidays(spark, str(tmp_path / "holidays.json"))
+    assert sorted(str(r.ds) for r in found.collect()) == ["2026-03-04", "2026-03-05"] and statements.read_holidays(spark, str(tmp_path / "none.json")).count() == 0
+    days = cal.calendar(spark, "2026-03-01", "2026-03-10", found)
+    assert [str(r.ds) for r in days.where("why_closed = 'bank holiday'").orderBy("ds").collect()] == ["2026-03-04", "2026-03-05"]
+    books(tmp_path)
+    bank = statements.read_bank(spark, str(tmp_path / "bank.csv"))
+    named = statements.ids_of(bank, spark.createDataFrame([("TR1",), ("none",)], "external_id string"), "bank").collect()
+    assert {r.external_id: r.txn_id is not None for r in named} == {"TR1": True, "none": False}
+    row = statements.narration_statistics(bank).first()
+    assert (row.lines, row.complete, row.settlements) == (4, 1, 0)
+    rows = bank.select(text.opaque_id("external_id", "s").alias("a"), text.opaque_id("external_id", "t").alias("b")).first()
+    assert rows.a != rows.b and rows.a.startswith("row_") and len(rows.a) == 20
+    late = bank.select(cal.value_date().alias("v"), "occurred_on").first()
+    assert late.v == late.occurred_on

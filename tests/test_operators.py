@@ -1,11 +1,17 @@
+import datetime
+import hashlib
 import itertools
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from tallyspark.functions import money
 from tallyspark.operators import attribution, audit, blocking, calibration, evaluation, exceptions, forecast, linkage, matching, policy, waterfall
+from tallyspark.sources import sinks
 
 
 def test_assignment_beats_greedy_and_abstains():
@@ -39,8 +45,37 @@ def test_subset_sum_matches_brute_force(items, low, width):
 
 def test_two_credits_split_exactly():
     nets = np.array([1000, 3000, 5000, 700, 11000])
-    taken, exact = attribution._solve(np.array([4700, 16000]), nets)
-    assert exact and abs(nets[taken == 0].sum() - 4700) <= 300
+    part = attribution.split(nets, [4700], 0)
+    assert nets[part == 0].sum() == 4700 and nets[part == 1].sum() == 16000
+    assert attribution.split(nets, [4701], 0) is None
+
+
+@pytest.mark.parametrize("n, ways", [(5, 2), (30, 3), (200, 2), (900, 4), (4500, 3)])
+def test_many_payments_over_several_credits(spark, n, ways):
+    """Payments of one date, dealt at random: each credit gets payments that add up to it, however many there are."""
+    pick = np.random.default_rng(n)
+    nets = pick.integers(10_000, 5_000_000, n)
+    owner = pick.integers(0, ways, n)
+    owner[:ways] = np.arange(ways)
+    day = datetime.date(2026, 1, 5)
+    payments = spark.createDataFrame([(f"p{k:05d}", day, int(x)) for k, x in enumerate(nets)], "payment_id string, settles_on date, net_paise long")
+    targets = {f"c{w}": int(nets[owner == w].sum()) for w in range(ways)}
+    credits = spark.createDataFrame([(c, day, t) for c, t in targets.items()] + [("alone", datetime.date(2026, 1, 6), 5)], "credit_id string, landed_on date, amount_paise long")
+    found = attribution.by_several_credits(payments, credits).collect()
+    assert len({r.payment_id for r in found}) == len(found) == n
+    got = {c: sum(int(nets[int(r.payment_id[1:])]) for r in found if r.credit_id == c) for c in targets}
+    slack = attribution.SLACK_EACH * n + attribution.SLACK
+    assert all(abs(got[c] - t) <= ways * slack for c, t in targets.items())
+
+
+def test_credits_that_cannot_be_met_get_nothing(spark):
+    day = datetime.date(2026, 1, 5)
+    payments = spark.createDataFrame([("a", day, 100_000), ("b", day, 300_000)], "payment_id string, settles_on date, net_paise long")
+    one = spark.createDataFrame([("c1", day, 200_000), ("c2", day, 200_000)], "credit_id string, landed_on date, amount_paise long")
+    assert attribution.by_several_credits(payments, one).count() == 0
+    other = spark.createDataFrame([("c1", day, 100_000), ("c2", day, 900_000)], "credit_id string, landed_on date, amount_paise long")
+    assert [tuple(r)[:2] for r in attribution.by_several_credits(payments, other).collect()] == [("a", "c1")]
+    assert attribution.by_several_credits(payments.limit(0), one).count() == 0
 
 
 def test_levels(spark):
@@ -181,3 +216,80 @@ def test_rates_fit_all_settlements(spark):
     assert got["identifiable"] == want["identifiable"] and abs(got["r2"] - want["r2"]) < 1e-6
     assert all(abs(got[x][m] - want[x][m]) < 1e-3 for x in ("rates_bps", "shares") for m in methods)
     assert waterfall.fit_rates_over(spark.createDataFrame(rows[:2])) == {} == waterfall.fit_rates_over(spark.createDataFrame(rows).limit(0))
+
+
+def test_consistency_proofs():
+    leaves = [hashlib.sha256(bytes([0, k])).digest() for k in range(41)]
+    for size in range(0, 42, 3):
+        new = audit._subtree(leaves[:size]) if size else bytes.fromhex(audit.EMPTY_ROOT)
+        for old in range(size + 1):
+            was = audit._subtree(leaves[:old]) if old else bytes.fromhex(audit.EMPTY_ROOT)
+            path = audit.consistency_path(leaves[:size], old)
+            assert audit.verify_consistency(old, was, size, new, path)
+            if old:
+                assert not audit.verify_consistency(old, hashlib.sha256(b"x").digest(), size, new, path)
+            if 0 < old < size:
+                forged = ([hashlib.sha256(b"y").digest(), *path[0][1:]], path[1])
+                assert not audit.verify_consistency(old, was, size, new, forged)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1023, 1024, 1025, 3000])
+def test_root_by_subtrees_equals_the_plain_tree(spark, n):
+    rows = spark.createDataFrame([(k, f"r{k}") for k in range(n)], "seq long, record string")
+    plain = [hashlib.sha256(b"\x00" + f"r{k}".encode()).digest() for k in range(n)]
+    want = audit._subtree(plain).hex() if n else audit.EMPTY_ROOT
+    assert audit.root(audit.leaves(rows, "seq", "record"), n).first()["root"] == want
+
+
+def test_append_only_log(spark, tmp_path):
+    folder, key = str(tmp_path / "books"), b"k"
+    rows = spark.createDataFrame([(k * 7, f"r{k}") for k in range(30)], "at_no long, record string")
+    assert audit.append(spark, folder, rows.where("at_no < 100"), "at_no", "one", "2026-01-01", key) == 15
+    assert audit.append(spark, folder, rows.where("at_no >= 100"), "at_no", "two", "2026-01-02", key) == 30
+    with pytest.raises(AnalysisException):
+        audit.append(spark, folder, rows, "at_no", "two", "2026-01-03", key)
+    assert audit.verify(spark, folder, key) == {"sound": True, "first_tampered": None, "signatures": True, "roots": True, "whole": True}
+    assert [r.seq for r in audit.page(audit.read_log(spark, folder), "two", 17, 5).collect()] == [18, 19, 20, 21, 22]
+    assert not audit.verify(spark, folder, b"other")["signatures"]
+    changed = audit.read_log(spark, folder).withColumn("record", F.when(F.col("seq") == 4, "forged").otherwise(F.col("record"))).cache()
+    assert audit.first_tampered(changed, "record").first()["first_tampered"] == 4
+
+
+def test_currency_is_asserted(spark):
+    rows = spark.createDataFrame([(5, "INR"), (7, "USD")], "a long, c string")
+    assert rows.where("c = 'INR'").select(money.of_currency(F.col("a"), "c").alias("x")).first().x == 5
+    with pytest.raises(Exception, match="not in INR: USD"):
+        rows.select(money.of_currency(F.col("a"), "c").alias("x")).collect()
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    names = [(f"c{k}", "a", f"Customer {k % 37} {chr(97 + k % 5)}") for k in range(120)] + [(f"s{k}", "b", f"Supplier {k}") for k in range(50)] + [(f"t{k}", "c", f"Trader {k} {chr(97 + k % 5)}") for k in range(20)]
+    vectors = blocking.gram_vectors(spark.createDataFrame(names, "row_id string, source string, t string"), "t").cache()
+    whole = sorted(map(tuple, blocking.nearest(vectors, 4).collect()))
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", 16)
+    assert sorted(map(tuple, blocking.nearest(vectors, 4).collect())) == whole
+    own: dict = {}
+    for r in vectors.collect():
+        own.setdefault((r.source, r.row_id), {})[r.bucket] = r.weight
+    want = []
+    for (source, row), v in own.items():
+        for other in {s for s, _ in own if s > source}:
+            near = [(-round(sum(w * u.get(b, 0) for b, w in v.items()), 6), i) for (s, i), u in own.items() if s == other]
+            want += [(row, i, -x) for x, i in sorted(near)[:4] if -x >= 0.30]
+    assert [x[:2] for x in sorted(want)] == [x[:2] for x in whole]
+
+
+def test_data_sets_and_history(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "concat('n', id) AS name")
+    manifest = {r.table: r for r in sinks.write_dataset({"a": rows, "b": rows.limit(0)}, str(tmp_path / "set")).collect()}
+    assert manifest["a"].rows == 10 and manifest["b"].rows == 0 and manifest["a"].digest == sinks.digest(rows.repartition(3))
+    assert spark.read.json(str(tmp_path / "set" / "manifest")).count() == 2
+    history = str(tmp_path / "history")
+    assert [sinks.append_history(spark, history, m, x) for m, x in (("m1", "{}"), ("m1", "{}"), ("m2", "{}"))] == [True, False, True]
+    sinks.write_forecast(spark.createDataFrame([(1,)], "point long"), rows, str(tmp_path / "forecast"))
+    assert not sinks.is_stale(spark, rows, str(tmp_path / "forecast")) and sinks.is_stale(spark, rows.limit(9), str(tmp_path / "forecast"))
+
+
+def test_review_queue(spark):
+    rows = spark.createDataFrame([(k, float(k), "review" if k % 2 else "link") for k in range(20)], "p long, bits double, band string")
+    assert [r.p for r in exceptions.review_queue(rows, 3, "p").collect()] == [19, 17, 15]
