@@ -94,7 +94,7 @@ class Space(NamedTuple):
 
     @staticmethod
     def of(content: np.ndarray, metadata: np.ndarray) -> Space:
-        mean = content.mean(axis=0)
+        mean = content.mean(axis=0, dtype=np.float64).astype(np.float32)
         axes = np.random.default_rng(8).normal(size=(CONTENT, AXES)).astype(np.float32)
         for _ in range(12):  # subspace iteration
             seen = content @ axes - mean @ axes
@@ -103,9 +103,14 @@ class Space(NamedTuple):
         return space._replace(scales=(Scale.of(space._content(content)), Scale.of(metadata)))
 
     def _content(self, own: np.ndarray) -> np.ndarray:
-        parts = own.astype(np.float64) ** 2
-        entropy = -(parts * np.log(parts + 1e-12)).sum(axis=1)
-        return np.concatenate([own @ self.axes - self.mean @ self.axes, entropy[:, None], own.max(axis=1, keepdims=True)], axis=1)
+        out = np.empty((len(own), self.axes.shape[1] + 2))
+        for k in range(0, len(own), 256):  # so that no large array is made beside the view
+            some = own[k : k + 256]
+            parts = some.astype(np.float64) ** 2
+            out[k : k + 256, :-2] = some @ self.axes - self.mean @ self.axes
+            out[k : k + 256, -2] = -(parts * np.log(parts + 1e-12)).sum(axis=1)
+            out[k : k + 256, -1] = some.max(axis=1)
+        return out
 
     def steps(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.scales[0].steps(self._content(content)), self.scales[1].steps(metadata)
