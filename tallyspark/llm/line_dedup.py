@@ -129,21 +129,21 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document, the runs of neighbouring repeated chunks that repeat neighbouring chunks of one document."""
     for batch in batches:
-        rows: list[tuple] = []
-        for k, hits in enumerate(batch.column("hits")):
-            run: list = []
-            for begin, n, of in [*sorted((h["begin"], h["n"], tuple(h["of"].values())) for h in hits.as_py()), (None, 0, None)]:
-                origin = of and (of[0], of[1] - begin)
-                if run and of and run[2] == origin and begin <= run[1]:
-                    run[1], run[3] = begin + n, of[1] + of[2]
-                    continue
-                if run:
-                    rows.append((k, run[0], run[2][0], run[0] + run[2][1], run[3] - run[0] - run[2][1]))
-                run = [begin, begin + n, origin, of[1] + of[2]] if of else []
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        picked = batch.column("row_key").take(pa.array(columns[0], pa.int64()))
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([picked, *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=["row_key", "begin", "of_key", "of_begin", "n"])
+        if not batch.num_rows:
+            continue
+        hits = batch.column("hits")
+        flat, of = hits.flatten(), hits.flatten().field("of")
+        begin, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("begin", "n"))
+        key, of_begin, of_n = (of.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row_key", "begin", "n"))
+        row = np.repeat(np.arange(batch.num_rows), hits.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.lexsort((of_begin, key, n, begin, row))
+        row, begin, n, key, of_begin, of_n = (x[order] for x in (row, begin, n, key, of_begin, of_n))
+        goes_on = (row[1:] == row[:-1]) & (key[1:] == key[:-1]) & (of_begin[1:] - begin[1:] == of_begin[:-1] - begin[:-1]) & (begin[1:] <= begin[:-1] + n[:-1])
+        first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+        last = np.append(first[1:], len(row)) - 1
+        columns = [batch.column("row_key").take(pa.array(row[first])), pa.array(begin[first].astype(np.int32)), pa.array(key[first])]
+        columns += [pa.array(x.astype(np.int32)) for x in (of_begin[first], of_begin[last] + of_n[last] - of_begin[first])]
+        yield pa.RecordBatch.from_arrays(columns, names=["row_key", "begin", "of_key", "of_begin", "n"])
 
 
 def around(raw: bytes, a: int, b: int, low: int = 0, high: int | None = None) -> tuple[bytes, bytes, bytes]:
