@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from tallyspark.functions.text import gram_bucket, grams
@@ -101,7 +102,7 @@ def nearest(vectors: DataFrame, k: int = 8, least: float = 0.30, places: int = 6
     no pair but those leaves it; the k of all blocks are then chosen. Equal
     similarities go to the smaller id.
     """
-    kind = dict(vectors.dtypes)["row_id"]
+    kind, id_type = dict(vectors.dtypes)["row_id"], to_arrow_type(vectors.schema["row_id"].dataType)
     sizes = vectors.groupBy("source").agg(F.ceil(F.count_distinct("row_id") / BLOCK_ROWS).cast("int").alias("blocks"))
     rows = vectors.groupBy("row_id", "source").agg(F.collect_list(F.struct("bucket", "weight")).alias("own")).join(F.broadcast(sizes), "source")
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")).groupBy("source", "block").agg(F.collect_list(F.struct("row_id", "own")).alias("rows"))
@@ -129,7 +130,7 @@ def nearest(vectors: DataFrame, k: int = 8, least: float = 0.30, places: int = 6
                 top = np.take_along_axis(s, order, axis=1)
                 i, j = np.nonzero(top >= least)
                 columns = [[left[x]["row_id"] for x in i], [right[x]["row_id"] for x in order[i, j]], [batch.column("_rs")[at].as_py()] * len(i), top[i, j]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["left_id", "right_id", "_rs", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, id_type, pa.string(), pa.float64()), strict=True)], names=["left_id", "right_id", "_rs", "similarity"])
 
     scored = pairs.select("_rs", "_left", "_right").mapInArrow(best, f"left_id {kind}, right_id {kind}, _rs string, similarity double")
     order = W.partitionBy("left_id", "_rs").orderBy(F.col("similarity").desc(), "right_id")
