@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ SCALE, SHIFT = 64, 1_000_000
 #: Entries of x beyond this, in either direction, are held at it.
 LARGEST = 1e15
 LONG_MAX = 2**63 - 1
+#: Bits of the pieces in which whole numbers are summed.
+PIECE = 12
 
 
 def whole_numbers(vector: str) -> Column:
@@ -38,7 +42,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _summed(fit: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of ``of(x)``, an array of fixed length for each batch of rows, over all rows of ``fit``: one partial sum a task, added up by place."""
+    """The sum of ``of(x)``, an array of fixed length for each batch of rows, over all rows of ``fit``.
+
+    Each task makes one partial sum; about the square root of their number meet
+    in each of as many tasks, whose sums the driver adds up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -47,14 +55,18 @@ def _summed(fit: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarra
                 part = of(_matrix(batch.column("x")))
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["task", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(t, p) for b in batches for t, p in zip(b.column("task").to_pylist(), _matrix(b.column("part")), strict=True)]
+        if parts:
+            # In the order of the tasks, so that reruns round alike.
+            total = np.sum([p for _, p in sorted(parts, key=lambda x: x[0])], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([min(t for t, _ in parts)]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["task", "part"])
 
-    parts = fit.mapInArrow(run, "part array<double>").select(F.posexplode("part").alias("at", "value"))
-    rows = parts.groupBy("at").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r["at"]] = r["value"]
-    return out
+    parts = fit.mapInArrow(run, "task long, part array<double>")
+    met = parts.repartition(ceil(sqrt(fit.sparkSession.sparkContext.defaultParallelism)), "task").mapInArrow(add, "task long, part array<double>")
+    return np.sum([r["part"] for r in sorted(met.collect(), key=lambda r: r["task"])], axis=0)
 
 
 @dataclass(frozen=True)
@@ -100,8 +112,13 @@ def _centred(x: np.ndarray, n: int, sums: tuple[int, ...]) -> np.ndarray:
 
 def _exact_sums(fit: DataFrame) -> tuple[int, tuple[int, ...]]:
     """The number of rows and the sum of each dimension, in whole numbers of any size."""
-    rows = fit.select(F.posexplode("x").alias("at", "value")).groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(38,0)")).alias("s")).orderBy("at").collect()
-    return (rows[0]["n"], tuple(int(r["s"]) for r in rows)) if rows else (0, ())
+    n = fit.count()
+    if not n:
+        return 0, ()
+    # In pieces of PIECE bits, whose sums doubles hold exactly for up to 2**(53 - PIECE) rows.
+    shifts = range(0, 5 * PIECE, PIECE)
+    pieces = _summed(fit, lambda x: np.concatenate([((x >> s) % (1 << PIECE) if s < shifts[-1] else x >> s).sum(axis=0) for s in shifts]).astype(np.float64))
+    return n, tuple(sum(int(p) << s for p, s in zip(own, shifts, strict=True)) for own in pieces.reshape(len(shifts), -1).T)
 
 
 def fit_whitening(fit: DataFrame, components: int = COMPONENTS) -> Whitening | None:
