@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyspark.operators import subsets
+from tallyspark.session import cut
 
 #: Rounding that a settlement may add for each payment, in paise, and for itself.
 SLACK_EACH, SLACK = 4, 200
-#: Payments up to which all splits over two credits are tried, in two halves.
+#: Payments up to which ``subset_reaching`` tries all choices, in two halves, for the one with most items.
 EXACT_ITEMS = 34
 
 
@@ -135,100 +137,200 @@ def assign_one_to_one(weights: np.ndarray, abstain: float) -> list[tuple[int, in
     return sorted((int(owner[c]), c) for c in range(columns) if owner[c] >= 0)
 
 
-def reach(amounts: np.ndarray, need: int, slack: int) -> np.ndarray | None:
-    """Indices of a subset whose sum is within ``slack`` of ``need``.
+#: Distinct amounts of a date that are searched together, about; beyond, whole buckets of amounts are laid end to end over the credits.
+GATHERED = 50_000
+#: Open days with credits that are searched together where payments reach over several days; an even number of such windows never shares a payment with the next even one.
+WINDOW_DATES = 10
+#: Parts into which the payments of one amount are dealt when they are numbered.
+SALTS = 64
 
-    Up to EXACT_ITEMS amounts all subsets are tried. Of more, whole amounts are
-    taken until about half of a pool of EXACT_ITEMS others is missing, and all
-    subsets of the pool are tried for that; then come other pools. A pool has
-    so many subsets that with amounts of whole paise one nearly always fits.
-    """
-    if len(amounts) <= EXACT_ITEMS:
-        some = subset_reaching(amounts, need - slack, need + slack)
-        return None if some is None else np.array(some, int)
-    for first in range(0, len(amounts), EXACT_ITEMS):
-        order = np.roll(np.arange(len(amounts)), -first)
-        pool, rest = order[:EXACT_ITEMS], order[EXACT_ITEMS:]
-        sums = np.concatenate([[0], np.cumsum(amounts[rest])])
-        take = max(0, int(np.searchsorted(sums, need - int(amounts[pool].sum()) // 2, "right")) - 1)
-        some = subset_reaching(amounts[pool], need - int(sums[take]) - slack, need - int(sums[take]) + slack)
-        if some is not None:
-            return np.concatenate([rest[:take], pool[some]])
-    return None
-
-
-def split(amounts: np.ndarray, needs: list[int], slack: int) -> np.ndarray | None:
-    """For each amount the part that takes it: a part for each need, which its amounts meet within ``slack``, and one more for what is left."""
-    part, free = np.full(len(amounts), len(needs)), np.arange(len(amounts))
-    for k, need in enumerate(needs):
-        some = reach(amounts[free], need, slack)
-        if some is None:
-            return None
-        part[free[some]] = k
-        free = np.delete(free, some)
-    return part
-
-
-#: Payments of a date that are gathered at once, about.
-GATHERED = 1000
+TAKES = "array<struct<low: date, high: date, net_paise: long, credit_id: string, first: long, n: long>>"
 
 
-def by_several_credits(payments: DataFrame, credits: DataFrame) -> DataFrame:
-    """(payment_id, credit_id) for dates with several credits; ``exact`` is true of all.
-
-    Every credit but a date's last takes payments that add up to it but for
-    rounding, and the last one all others, if they reach it. A date's payments
-    are dealt into buckets of about GATHERED, whose sums are laid end to end
-    over the credits. A bucket that lies within one credit goes there whole and
-    is never gathered; only buckets across a credit's end are, and their
-    payments are split. Credits next to an end where no split is found, or that
-    are not reached, get nothing.
+def _placed(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """``rows`` with place, from 0 within ``key``: counted by parts, so that a key with very many rows is numbered in many tasks."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int"))
+    before = F.sum("_n").over(W.partitionBy(*key).orderBy("_salt")) - F.col("_n")
+    counts = rows.groupBy(*key, "_salt").agg(F.count(F.lit(1)).alias("_n")).select(*key, "_salt", before.alias("_before"))
+    place = F.row_number().over(W.partitionBy(*key, "_salt").orderBy(order)) - 1 + F.col("_before")
+    return rows.join(counts, [*key, "_salt"]).withColumn("place", place).drop("_salt", "_before")
+
+
+def _taken(payments: DataFrame, solved: DataFrame, low: str, high: str) -> DataFrame:
+    """(payment_id, credit_id, exact): the payments of the counts that credits take; equal payments go in the order of their ids."""
+    key = ["low", "high", "net_paise"]
+    takes = solved.select(F.explode("takes").alias("t"), (F.col("method") != "greedy").alias("exact")).select("t.*", "exact")
+    totals = payments.select(F.col(low).alias("low"), F.col(high).alias("high"), "net_paise", "payment_id")
+    met = totals.join(takes.select(*key).distinct(), key, "left_semi")
+    return _placed(met, key, "payment_id").join(takes, key).where("place >= first AND place < first + n").select("payment_id", "credit_id", "exact")
+
+
+def _searched(groups: DataFrame) -> DataFrame:
+    """What a search finds in each group: group, takes, method, status, tried and space, a row for each window of credits.
+
+    ``groups`` has group, own (array of low, high, net_paise and n), credits
+    (array of credit_id, amount_paise, landed_on and room, in order), reaching
+    (whether payments are limited to the credits from low to high) and slack.
+    Room is how much of the credit the group's payments stand for. Amounts of
+    zero or less are left out of the search.
     """
-    order = W.partitionBy("landed_on").orderBy("credit_id")
-    ends = credits.select("landed_on", "credit_id", "amount_paise", F.sum("amount_paise").over(order).alias("end"))
-    plan = ends.groupBy("landed_on").agg(F.array_sort(F.collect_list(F.struct("credit_id", "end", F.col("amount_paise").alias("amount")))).alias("plan")).where(F.size("plan") > 1)
-    own = payments.select(F.col("settles_on").alias("landed_on"), "payment_id", "net_paise").join(plan.select("landed_on"), "landed_on", "left_semi")
-    sizes = own.groupBy("landed_on").agg(F.count(F.lit(1)).alias("n"), F.sum("net_paise").alias("total"))
-    own = own.join(sizes, "landed_on").withColumn("bucket", F.pmod(F.xxhash64("payment_id"), F.ceil(F.col("n") / GATHERED)).cast("int"))
-    sums = own.groupBy("landed_on", "bucket", "n", "total").agg(F.sum("net_paise").alias("sum")).withColumn("after", F.sum("sum").over(W.partitionBy("landed_on").orderBy("bucket")))
-    met = sums.withColumn("before", F.col("after") - F.col("sum")).join(plan, "landed_on")
-    last = F.element_at("plan", -1)
-    inner = F.slice("plan", 1, F.size("plan") - 1)
-    met = met.withColumns(
-        {
-            "crossed": F.filter(inner, lambda c: (c["end"] > F.col("before")) & (c["end"] < F.col("after"))),
-            "whole": F.coalesce(F.get(F.filter(inner, lambda c: c["end"] >= F.col("after")), F.lit(0))["credit_id"], last["credit_id"]),
-            "slack": SLACK_EACH * F.col("n") + SLACK,
-        }
-    )
-    missed = met.where(F.col("total") < last["end"] - F.col("slack")).select("landed_on", last["credit_id"].alias("credit_id")).distinct()
-    at = own.select("landed_on", "bucket", "payment_id", "net_paise")
-    inside = at.join(met.where(F.size("crossed") == 0).select("landed_on", "bucket", "whole"), ["landed_on", "bucket"]).select("landed_on", "payment_id", F.col("whole").alias("credit_id"))
-    across = met.where(F.size("crossed") > 0).select("landed_on", "bucket", "before", "after", "total", "slack", "crossed", "whole", "plan")
-    gathered = at.join(across.select("landed_on", "bucket"), ["landed_on", "bucket"]).groupBy("landed_on", "bucket").agg(F.array_sort(F.collect_list(F.struct("payment_id", "net_paise"))).alias("own"))
 
-    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
             for r in batch.itertuples():
-                ids, nets = [p["payment_id"] for p in r.own], np.array([p["net_paise"] for p in r.own], np.int64)
-                crossed = [(c["credit_id"], int(c["end"])) for c in r.crossed]
-                starts = [int(r.before), *(end for _, end in crossed)]
-                takers, needs = [c for c, _ in crossed] + [r.whole], [b - a for a, b in zip(starts, starts[1:], strict=False)]
-                part = split(nets, needs, int(r.slack))
-                if part is None and r.before == 0 and r.after == r.total:
-                    # The whole date is here, so that another credit may as well be the one that takes what is left.
-                    credits_of = [(c["credit_id"], int(c["amount"])) for c in r.plan][::-1]
-                    takers, part = [c for c, _ in credits_of], split(nets, [n for _, n in credits_of[:-1]], int(r.slack))
-                    if part is not None and nets[part == len(takers) - 1].sum() < credits_of[-1][1] - int(r.slack):
-                        part = None
-                if part is None:
-                    rows += [(r.landed_on, None, c) for c in takers]
-                else:
-                    rows += [(r.landed_on, i, takers[k]) for i, k in zip(ids, part, strict=True)]
-            yield pd.DataFrame(rows, columns=["landed_on", "payment_id", "credit_id"])
-
-    split_up = gathered.join(across, ["landed_on", "bucket"]).mapInPandas(divide, "landed_on date, payment_id string, credit_id string")
-    failed = split_up.where("payment_id IS NULL").select("landed_on", "credit_id").unionByName(missed).distinct()
-    found = inside.unionByName(split_up.where("payment_id IS NOT NULL")).join(failed, ["landed_on", "credit_id"], "left_anti")
-    return found.select("payment_id", "credit_id", F.lit(True).alias("exact"))
+                own = [p for p in r.own if p["net_paise"] > 0]
+                values, counts = (np.array([p[c] for p in own], np.int64) for c in ("net_paise", "n"))
+                allowed = [np.array([p["low"] <= c["landed_on"] <= p["high"] for p in own], bool) for c in r.credits] if r.reaching else None
+                first = np.zeros(len(values), np.int64)
+                for begin, parts, method, status, tried in subsets.attribute_in_windows(values, counts, [int(c["room"]) for c in r.credits], int(r.slack), allowed):
+                    takes = []
+                    for k, part in enumerate(parts):
+                        for at in () if part is None else np.flatnonzero(part):
+                            p = own[at]
+                            takes.append({"low": p["low"], "high": p["high"], "net_paise": int(values[at]), "credit_id": r.credits[begin + k]["credit_id"], "first": int(first[at]), "n": int(part[at])})
+                            first[at] += part[at]
+                    met = [r.credits[begin + k]["credit_id"] for k, part in enumerate(parts) if part is not None]
+                    rows.append((r.group, takes, met, len(parts), method, status, tried, subsets.space(counts)))
+            yield pd.DataFrame(rows, columns=["group", "takes", "met", "asked", "method", "status", "tried", "space"])
+
+    return groups.select("group", "own", "credits", "reaching", "slack").mapInPandas(run, f"group string, takes {TAKES}, met array<string>, asked int, method string, status string, tried long, space double")
+
+
+def solve_dates(payments: DataFrame, credits: DataFrame) -> DataFrame:
+    """The search on each date with several credits, over its amounts with their counts; see ``by_several_credits``.
+
+    Of a date with more than about GATHERED distinct amounts, amounts are dealt
+    into buckets whose sums are laid end to end over the credits: a bucket that
+    lies within one credit goes there whole, and only buckets across a credit's
+    end are searched, each for what the credits on it still miss.
+    """
+    order = W.partitionBy("landed_on").orderBy("credit_id")
+    ends = credits.select("landed_on", "credit_id", "amount_paise", F.sum("amount_paise").over(order).alias("end"))
+    item = F.struct("credit_id", "amount_paise", "end", F.col("landed_on"))
+    plan = ends.groupBy("landed_on").agg(F.array_sort(F.collect_list(item)).alias("plan")).where(F.size("plan") > 1)
+    own = payments.select(F.col("settles_on").alias("landed_on"), "net_paise").join(plan.select("landed_on"), "landed_on", "left_semi")
+    amounts = own.groupBy("landed_on", "net_paise").agg(F.count(F.lit(1)).alias("n"))
+    sizes = amounts.groupBy("landed_on").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("members"))
+    amounts = amounts.join(sizes, "landed_on").withColumn("bucket", F.pmod(F.xxhash64("net_paise"), F.ceil(F.col("distinct") / GATHERED)).cast("int"))
+    gathered = amounts.groupBy("landed_on", "bucket", "members").agg(
+        F.sum(F.col("net_paise") * F.col("n")).alias("sum"), F.array_sort(F.collect_list(F.struct("net_paise", F.col("landed_on").alias("low"), F.col("landed_on").alias("high"), "n"))).alias("own")
+    )
+    laid = gathered.withColumn("after", F.sum("sum").over(W.partitionBy("landed_on").orderBy("bucket"))).withColumn("before", F.col("after") - F.col("sum")).join(plan, "landed_on")
+    last = F.element_at("plan", -1)["credit_id"]
+    # Each credit's part of the bucket: where their stretches overlap; the last credit has all that is left.
+    room = lambda c: F.least(F.when(c["credit_id"] == last, F.greatest(c["end"], F.col("after"))).otherwise(c["end"]), F.col("after")) - F.greatest(c["end"] - c["amount_paise"], F.col("before"))
+    only = (F.col("before") == 0) & (F.col("sum") == F.sum("sum").over(W.partitionBy("landed_on")))
+    parts = F.filter(F.transform("plan", lambda c: F.struct(c["credit_id"].alias("credit_id"), c["amount_paise"].alias("amount_paise"), c["landed_on"].alias("landed_on"), room(c).alias("room"))), lambda c: c["room"] > 0)
+    every = F.transform("plan", lambda c: F.struct(c["credit_id"].alias("credit_id"), c["amount_paise"].alias("amount_paise"), c["landed_on"].alias("landed_on"), c["amount_paise"].alias("room")))
+    slack = SLACK_EACH * F.col("members") + SLACK
+    groups = laid.select(
+        F.concat_ws(" ", F.col("landed_on").cast("string"), F.col("bucket").cast("string")).alias("group"), "own", F.when(only, every).otherwise(parts).alias("credits"), F.lit(False).alias("reaching"), slack.alias("slack")
+    )
+    return _searched(groups)
+
+
+def by_several_credits(payments: DataFrame, credits: DataFrame) -> DataFrame:
+    """(payment_id, credit_id, exact) for dates with several credits.
+
+    Each credit takes payments that add up to it but for rounding, and one of
+    them, the last if that can be, all others, if they reach it. Where no such
+    split exists, the credits that payments add up to at all are met, and where
+    this fails too, each credit takes the largest payments that fit, if they
+    come close to it. Only the last kind is not ``exact``. Payments of equal
+    amounts stand for each other, so a search sees amounts and counts; see
+    ``solve_dates`` for what it saw, by date.
+    """
+    return _taken(payments, cut(solve_dates(payments, credits)), "settles_on", "settles_on")
+
+
+def by_whole_dates(payments: DataFrame, credits: DataFrame) -> DataFrame:
+    """(credit_id, settles_on, landed_on, drift_days, members): credits that a whole settlement date's payments add up to, but for rounding.
+
+    The credit may land on any date of the payments' window, so a late one finds
+    the payments of the day before. A date and a credit belong together if each
+    is the other's nearest by days, then by paise, then by their order.
+    """
+    blocks = payments.groupBy("settles_on", "win_low", "win_high").agg(F.sum("net_paise").alias("sum"), F.count(F.lit(1)).alias("members"))
+    blocks = blocks.groupBy("settles_on").agg(F.sum("sum").alias("sum"), F.sum("members").alias("members"), F.max("win_low").alias("low"), F.min("win_high").alias("high"))
+    near = blocks.select("*", F.explode(F.sequence("low", "high")).alias("landed_on")).join(credits.select("landed_on", "credit_id", "amount_paise"), "landed_on")
+    gap = F.abs(F.col("sum") - F.col("amount_paise"))
+    pairs = near.where(gap <= SLACK_EACH * F.col("members") + SLACK).withColumns({"drift_days": F.datediff("landed_on", "settles_on"), "gap": gap})
+    pairs = pairs.select("settles_on", "credit_id", "landed_on", "drift_days", "members", F.struct(F.abs("drift_days").alias("days"), "gap").alias("far"))
+    for own, other in (("settles_on", "credit_id"), ("credit_id", "settles_on")):
+        best = pairs.groupBy(own).agg(F.min(F.struct("far", other)).alias(f"best_{other}"))
+        pairs = pairs.join(best, own)
+    kept = pairs.where((F.col("best_credit_id.credit_id") == F.col("credit_id")) & (F.col("best_settles_on.settles_on") == F.col("settles_on")))
+    return kept.select("credit_id", "settles_on", "landed_on", "drift_days", "members")
+
+
+def solve_windows(payments: DataFrame, credits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((payment_id, credit_id, exact), what was searched) where payments may reach credits of several days.
+
+    Credits hang together over the payments whose windows hold both, and as a
+    window is a few days, that is a matter of neighbouring dates: dates with
+    credits fall apart where no payment reaches from one to the next, which a
+    running sum over one row a date finds. Longer stretches are cut into windows
+    of WINDOW_DATES dates. Two rounds search them, every second one first, as
+    those share no payment; the others choose from what is left.
+    """
+    spans = payments.groupBy("win_low", "win_high").agg(F.count(F.lit(1)).alias("n"))
+    dates = credits.select("landed_on").distinct()
+    touched = spans.select("win_low", "win_high", F.explode(F.sequence("win_low", "win_high")).alias("landed_on")).join(dates, "landed_on")
+    # The last credit date that a payment which reaches this date reaches too.
+    ends = touched.groupBy("win_low", "win_high").agg(F.max("landed_on").alias("end"))
+    reach = touched.join(ends, ["win_low", "win_high"]).groupBy("landed_on").agg(F.max("end").alias("reach"))
+    order = W.orderBy("landed_on")
+    begun = F.coalesce((F.max("reach").over(order.rowsBetween(W.unboundedPreceding, -1)) < F.col("landed_on")).cast("int"), F.lit(1))
+    islands = reach.withColumn("island", F.sum(begun).over(order))
+    windows = islands.withColumn("window", ((F.row_number().over(W.partitionBy("island").orderBy("landed_on")) - 1) / WINDOW_DATES).cast("int"))
+    windows = cut(windows.select("landed_on", "island", "window"))
+    placed = credits.join(windows, "landed_on").withColumn("group", F.concat_ws(" ", F.col("island").cast("string"), F.col("window").cast("string")))
+    taken, seen = None, None
+    for turn in (0, 1):
+        own = placed.where(F.col("window") % 2 == turn)
+        item = F.struct("landed_on", "credit_id", "amount_paise", F.col("amount_paise").alias("room"))
+        asked = own.groupBy("group").agg(F.array_sort(F.collect_list(item)).alias("credits"))
+        reached = own.select("group", "landed_on").distinct().join(touched, "landed_on").select("group", "win_low", "win_high").distinct()
+        left = payments if taken is None else payments.join(taken.select("payment_id"), "payment_id", "left_anti")
+        amounts = left.groupBy("win_low", "win_high", "net_paise").agg(F.count(F.lit(1)).alias("n")).join(reached, ["win_low", "win_high"])
+        gathered = amounts.groupBy("group").agg(
+            F.array_sort(F.collect_list(F.struct("net_paise", F.col("win_low").alias("low"), F.col("win_high").alias("high"), "n"))).alias("own"), (SLACK_EACH * F.sum("n") + SLACK).alias("slack")
+        )
+        solved = cut(_searched(gathered.join(asked, "group").withColumn("reaching", F.lit(True))))
+        some = cut(_taken(left, solved, "win_low", "win_high"))
+        taken = some if taken is None else taken.unionByName(some)
+        seen = solved if seen is None else seen.unionByName(solved)
+    return taken, seen
+
+
+def search_report(solved: DataFrame) -> DataFrame:
+    """(method, status, searches, asked, met, tried, largest_space): what searches there were, how many credits they asked for and met, and the largest number of choices, as a power of two."""
+    return solved.groupBy("method", "status").agg(
+        F.count(F.lit(1)).alias("searches"), F.sum("asked").alias("asked"), F.sum(F.size("met")).cast("long").alias("met"), F.sum("tried").alias("tried"), F.max("space").alias("largest_space")
+    )
+
+
+def attribute(payments: DataFrame, credits: DataFrame) -> DataFrame:
+    """(payment_id, credit_id, stage, exact): payments and the credits that they settle into, by stages that take what the earlier ones left.
+
+    Whole dates, on time or late; dates with one open credit, which takes all
+    payments of the date that it is reached by; dates with several; and what is
+    left within windows over several dates. ``payments`` has settles_on,
+    win_low, win_high and net_paise. A payment belongs to one credit at most.
+    """
+    columns = ["payment_id", "credit_id", "stage", "exact"]
+    whole = by_whole_dates(payments, credits)
+    taken = cut(payments.join(whole.select("settles_on", "credit_id"), "settles_on").select("payment_id", "credit_id", F.lit("whole_date").alias("stage"), F.lit(True).alias("exact")))
+
+    def left() -> tuple[DataFrame, DataFrame]:
+        return payments.join(taken.select("payment_id"), "payment_id", "left_anti"), credits.join(taken.select("credit_id").distinct(), "credit_id", "left_anti")
+
+    open_payments, open_credits = left()
+    alone = by_single_credit(open_payments, open_credits).where("attributed").select(F.col("landed_on").alias("settles_on"), "credit_id")
+    single = open_payments.join(alone, "settles_on").select("payment_id", "credit_id", F.lit("single").alias("stage"), F.lit(True).alias("exact"))
+    taken = cut(taken.unionByName(single))
+    several = by_several_credits(*left()).withColumn("stage", F.lit("several"))
+    taken = cut(taken.unionByName(several.select(*columns)))
+    late, _ = solve_windows(*left())
+    return taken.unionByName(late.withColumn("stage", F.lit("window")).select(*columns))

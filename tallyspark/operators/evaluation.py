@@ -63,13 +63,14 @@ def break_even(outcomes: DataFrame) -> DataFrame:
 
     Columns: rows, exceptions, reviews, missed and exposed_paise, the mean
     amount of a wrong match. The manual baseline is reading all rows and
-    triaging all exceptions; without a budget no false match may happen.
+    triaging all exceptions; without a budget no false match may happen. The
+    quotient is rounded once, half up, in whole hundredths.
     """
     manual = f"rows * {work_paise(str(MINUTES_MANUAL_ROW))} + exceptions * {work_paise(str(MINUTES_TRIAGE))}"
     spent = f"missed * {work_paise(str(MINUTES_TRIAGE))} + reviews * {work_paise(str(MINUTES_REVIEW))}"
     each = f"{work_paise(str(MINUTES_FALSE_MATCH))} + (abs(exposed_paise) * {LOST_PERCENT} + 50) div 100"
     budget = f"greatest({manual} - ({spent}), 0)"
-    return outcomes.withColumn("break_even", F.expr(f"round(CAST({budget} AS DECIMAL(38, 6)) / ({each}), 2)").cast("double"))
+    return outcomes.withColumn("break_even", F.expr(f"(200 * {budget} + ({each})) div (2 * ({each}))") / 100)
 
 
 #: The low, base and high case of what a close costs by hand.

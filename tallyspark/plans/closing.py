@@ -120,7 +120,7 @@ def run_metrics(spark, d):
     return evaluation.run_metrics(rows, matched, found, truth, matching.unmatched(rows, matched, "row_id"))
 
 
-@query("""SELECT key, round(greatest(n * 500 + e * 3000 - (m * 3000 + r * 2000), 0)::DECIMAL(38, 6) / (45000 + (x * 5 + 50) // 100), 2)::DOUBLE AS break_even FROM (SELECT key, key % 500 AS n, key % 40 AS e, key % 11 AS r, key % 7 AS m, amount_paise AS x FROM payments)""")
+@query("""SELECT key, (200 * greatest(n * 500 + e * 3000 - (m * 3000 + r * 2000), 0) + 45000 + (x * 5 + 50) // 100) // (2 * (45000 + (x * 5 + 50) // 100)) / 100 AS break_even FROM (SELECT key, key % 500 AS n, key % 40 AS e, key % 11 AS r, key % 7 AS m, amount_paise AS x FROM payments)""")
 def break_even(spark, d):
     rows = ad.payments(spark, d).selectExpr("key", "key % 500 AS rows", "key % 40 AS exceptions", "key % 11 AS reviews", "key % 7 AS missed", "amount_paise AS exposed_paise")
     return evaluation.break_even(rows).select("key", "break_even")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,3 +25,11 @@ def local_session(app: str, cores: str = "*", memory: str = "8g", shuffle_partit
     spark = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, ``spark.checkpoint.dir``, and read from there: its lineage ends. A temporary folder stands in where the setting is missing, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
+    return df.checkpoint(eager=True)

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyspark.functions import money
-from tallyspark.operators import attribution, audit, blocking, calibration, evaluation, exceptions, forecast, linkage, matching, policy, waterfall
+from tallyspark.operators import attribution, audit, blocking, calibration, evaluation, exceptions, forecast, linkage, matching, policy, subsets, waterfall
 from tallyspark.sources import sinks
 
 
@@ -45,9 +45,100 @@ def test_subset_sum_matches_brute_force(items, low, width):
 
 def test_two_credits_split_exactly():
     nets = np.array([1000, 3000, 5000, 700, 11000])
-    part = attribution.split(nets, [4700], 0)
-    assert nets[part == 0].sum() == 4700 and nets[part == 1].sum() == 16000
-    assert attribution.split(nets, [4701], 0) is None
+    done = subsets.split(nets, np.ones(5, np.int64), [4700], 0)
+    assert done.status == "found" and (nets * done.parts[0]).sum() == 4700
+    assert subsets.split(nets, np.ones(5, np.int64), [4701], 0).status == "none"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 3)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.integers(0, 150), st.integers(0, 4))
+def test_all_choices_are_seen(items, low, width):
+    values, counts = (np.array(x, np.int64) for x in zip(*items))
+    every = {c for c in itertools.product(*(range(n + 1) for n in counts)) if low <= sum(a * b for a, b in zip(c, values)) <= low + width}
+    found = [tuple(x.tolist()) for x in subsets.subsets(values, counts, low, low + width)]
+    assert len(found) == len(every) and set(found) == every
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=2, max_size=7), st.integers(1, 3), st.integers(0, 10**6), st.integers(0, 1))
+def test_splits_are_found_if_there_are_any(items, ways, seed, slack):
+    pick = np.random.default_rng(seed)
+    needs = [int(x) for x in pick.integers(1, max(2, sum(items) // ways), ways)]
+    values, counts = np.unique(items, return_counts=True)
+    possible = any(all(abs(sum(x for x, o in zip(items, owner) if o == k) - need) <= slack for k, need in enumerate(needs)) for owner in itertools.product(range(ways + 1), repeat=len(items)))
+    done = subsets.split(values, counts, needs, slack)
+    assert done.status == ("found" if possible else "none")
+    if possible:
+        assert all(abs(int((values * p).sum()) - n) <= slack for p, n in zip(done.parts, needs)) and (sum(done.parts) <= counts).all()
+
+
+def test_round_amounts_among_many_others_and_proofs_of_none(monkeypatch):
+    values = np.array([111_111, 222_222, 333_333, 1_000_000])
+    for others in (30, 97, 4000):
+        assert next(subsets.subsets(values, np.array([1, 1, 1, others]), 666_566, 666_766)).tolist() == [1, 1, 1, 0]
+        assert subsets.split(values, np.array([1, 1, 1, others]), [777_777], 100).status == "none"
+    odd = np.random.default_rng(3).integers(10**12, 10**13, 60)
+    monkeypatch.setattr(subsets, "MOST_SUMS", 1 << 16)
+    assert subsets.split(odd, np.ones(60, np.int64), [int(odd.sum()) // 3], 0).status == "limit"
+
+
+@pytest.mark.parametrize("kind, n, ways", [("round", 12, 3), ("round", 12, 4), ("any", 12, 4), ("any", 30, 3), ("any", 60, 3), ("round", 40, 4), ("any", 300, 3)])
+def test_no_solvable_date_is_left(kind, n, ways):
+    for seed in range(40 if n <= 12 else 3):
+        pick = np.random.default_rng(seed)
+        nets = pick.integers(1, 60, n) * 100_000 if kind == "round" else pick.integers(10_000, 5_000_000, n)
+        owner = pick.integers(0, ways, n)
+        owner[:ways] = np.arange(ways)
+        targets = [int(nets[owner == w].sum()) for w in range(ways)]
+        values, counts = np.unique(nets, return_counts=True)
+        parts, method, status, _ = subsets.attribute(values, counts, targets, 4 * n + 200)
+        assert (method, status) == ("all", "found") and (sum(parts) == counts).all()
+        assert all(abs(int((values * p).sum()) - t) <= ways * (4 * n + 200) for p, t in zip(parts, targets))
+
+
+def test_credits_beyond_a_window_take_what_is_left():
+    values, counts = np.array([100, 200, 300]), np.array([30, 30, 5])
+    targets = [100] * 25 + [200] * 25 + [300] * 5
+    got = subsets.attribute_in_windows(values, counts, targets, 0)
+    assert [w[0] for w in got] == [0, 20, 40] and all(w[2] in ("some", "all") for w in got)
+    assert sum(int((values * p).sum()) for w in got for p in w[1] if p is not None) >= sum(targets) and (sum(p for w in got for p in w[1]) <= counts).all()
+
+
+def test_several_days_share_windows(spark):
+    day = lambda k: datetime.date(2026, 1, 1) + datetime.timedelta(k)
+    pick = np.random.default_rng(5)
+    rows, credits = [], []
+    for k in range(40):
+        nets = pick.integers(100_000, 9_000_000, 9).tolist()
+        # A credit of each day takes four payments of it and two of the day before.
+        rows += [(f"p{k:02d}_{j}", day(k), day(k), day(k + 1), int(x)) for j, x in enumerate(nets)]
+        before = [r[4] for r in rows if r[0].startswith(f"p{k - 1:02d}_")][4:6]
+        if k != 20:
+            credits.append((f"c{k:02d}", day(k), sum(nets[:4]) + sum(before)))
+    payments = spark.createDataFrame(rows, "payment_id string, settles_on date, win_low date, win_high date, net_paise long")
+    asked = spark.createDataFrame(credits, "credit_id string, landed_on date, amount_paise long")
+    taken, seen = attribution.solve_windows(payments, asked)
+    found = taken.collect()
+    net = {r[0]: r for r in rows}
+    assert len({r.payment_id for r in found}) == len(found)
+    sums, slack = {}, 10_000
+    for r in found:
+        p, c = net[r.payment_id], dict((c[0], c[1:]) for c in credits)[r.credit_id]
+        assert p[2] <= c[0] <= p[3]
+        sums[r.credit_id] = sums.get(r.credit_id, 0) + p[4]
+    assert all(abs(sums.get(c, 0) - t) <= slack for c, _, t in credits if c in sums) and len(sums) >= 35
+    report = {(r.method, r.status): r for r in attribution.search_report(seen).collect()}
+    assert sum(r.asked for r in report.values()) == len(credits) and report["some", "found"].met >= 30
+
+
+def test_late_credits_win_the_payments_of_the_day_before(spark):
+    day = lambda k: datetime.date(2026, 1, k)
+    rows = [("a", 5, 1000_00), ("b", 5, 500_00), ("c", 6, 700_00), ("d", 6, 900_00), ("e", 8, 900_00), ("f", 8, 910_00), ("g", 9, 400_00)]
+    payments = spark.createDataFrame([(i, day(k), day(k - 1), day(k + 1), n) for i, k, n in rows], "payment_id string, settles_on date, win_low date, win_high date, net_paise long").withColumn("amount_paise", F.col("net_paise"))
+    credits = spark.createDataFrame([("late", day(6), 1500_00), ("own", day(6), 1600_01), ("short", day(8), 1700_00), ("far", day(15), 400_00)], "credit_id string, landed_on date, amount_paise long")
+    got = {r.payment_id: (r.credit_id, r.stage) for r in attribution.attribute(payments, credits).collect()}
+    assert got == {"a": ("late", "whole_date"), "b": ("late", "whole_date"), "c": ("own", "whole_date"), "d": ("own", "whole_date"), "e": ("short", "single"), "f": ("short", "single")}
+    assert attribution.attribute(payments.limit(0), credits).count() == 0 and attribution.attribute(payments, credits.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("n, ways", [(5, 2), (30, 3), (200, 2), (900, 4), (4500, 3)])
@@ -65,7 +156,7 @@ def test_many_payments_over_several_credits(spark, n, ways):
     assert len({r.payment_id for r in found}) == len(found) == n
     got = {c: sum(int(nets[int(r.payment_id[1:])]) for r in found if r.credit_id == c) for c in targets}
     slack = attribution.SLACK_EACH * n + attribution.SLACK
-    assert all(abs(got[c] - t) <= ways * slack for c, t in targets.items())
+    assert all(abs(got[c] - t) <= ways * slack for c, t in targets.items()) and all(r.exact for r in found)
 
 
 def test_credits_that_cannot_be_met_get_nothing(spark):
@@ -293,3 +384,9 @@ def test_data_sets_and_history(spark, tmp_path):
 def test_review_queue(spark):
     rows = spark.createDataFrame([(k, float(k), "review" if k % 2 else "link") for k in range(20)], "p long, bits double, band string")
     assert [r.p for r in exceptions.review_queue(rows, 3, "p").collect()] == [19, 17, 15]
+
+
+def test_break_even_rounds_once(spark):
+    """268500 / 2334790 is 0.11499964: six places first would make it 0.115 and then 0.12."""
+    rows = spark.createDataFrame([(537, 0, 0, 0, (2334790 - 45000) * 20)], "rows long, exceptions long, reviews long, missed long, exposed_paise long")
+    assert evaluation.break_even(rows).first()["break_even"] == 0.11
