@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and U+0009 to U+000D.
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, *dropped: str) -> Column:
+    """All columns of ``df`` but the dropped ones in one struct, ``row``: beside it an operator's own names clash with none, and ``row.*`` brings them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in dropped)).alias("row")
+
+
 #: Rows that Arrow hands to a Python worker at once.
 BATCH_ROWS = 256
 

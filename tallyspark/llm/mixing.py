@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyspark.llm.common import cut, table
+from tallyspark.llm.common import cut, packed, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -149,9 +149,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     other partitions, agree. Columns of ``docs`` that are called like the new
     ones are replaced; an empty table gives no rows.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "places")
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    rows = placed(docs, seed).withColumn("_key", key)
+    own = packed(docs, "size", "source_size", "target", "taken", "places")
+    rows = placed(docs.select("doc_id", "text", key.alias("_key"), own), seed).select("row", "_key", "_size", "_place")
     keyed = cut(rows.groupBy("_key", "_place").agg(F.sum("_size").alias("_size")))
     sizes = keyed.groupBy("_key").agg(F.sum("_size").alias("source_size"))
     named = sizes.select(F.when(F.col("_key") != "", F.substring("_key", 2, 1 << 30)).alias("source"), "source_size")
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     places = F.transform(drawn, lambda d, k: F.struct(shard(d).alias("shard"), position(d, k).alias("position")))
     out = out.withColumn("places", places)
     taken = (F.col("_size") * F.size("places")).alias("taken")
-    return out.select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", taken, "places")
+    return out.select("row.*", F.col("_size").alias("size"), "source_size", "target", taken, "places")
 
 
 def _steps(seed: int):
@@ -195,7 +195,7 @@ def _steps(seed: int):
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row of ``docs`` for each time it is taken, with its shard and its position in the shard."""
     columns = [F.col(c) for c in docs.columns if c not in ("shard", "position")]
-    return mix(docs, **options).select(*columns, F.explode("places").alias("_at")).select(*columns, "_at.shard", "_at.position")
+    return mix(docs, **options).select(*columns, F.inline("places"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

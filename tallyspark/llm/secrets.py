@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table
+from tallyspark.llm.common import packed, table
 
 try:
     from re import _constants as codes
@@ -149,10 +149,14 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     terms = []
     for rule in rules:
         for number, clause in enumerate(sorted(trigram_query(rule.pattern), key=sorted)):
-            terms += [(rule.kind, number, len(clause), 1 << k, t) for k, t in enumerate(sorted(clause))]
-    asked = index.sparkSession.createDataFrame(terms, "rule string, clause int, need int, bit long, trigram string")
-    met = index.join(F.broadcast(asked), "trigram").groupBy("doc_id", "rule", "clause").agg(F.bit_or("bit").alias("_bits"), F.max("need").alias("_need"))
-    met = met.where(F.bit_count("_bits") == F.col("_need"))
+            terms += [(rule.kind, number, k // 60, len(clause), 1 << k % 60, t) for k, t in enumerate(sorted(clause))]
+    asked = index.sparkSession.createDataFrame(terms, "rule string, clause int, word int, need int, bit long, trigram string")
+    met = index.join(F.broadcast(asked), "trigram").groupBy("doc_id", "rule", "clause")
+    # A bit for each trigram of the clause, 60 to a word.
+    words = range(1 + max(t[2] for t in terms))
+    met = met.agg(*(F.bit_or(F.when(F.col("word") == w, F.col("bit"))).alias(f"_bits{w}") for w in words), F.max("need").alias("_need"))
+    held = reduce(lambda a, b: a + b, (F.coalesce(F.bit_count(f"_bits{w}"), F.lit(0)) for w in words))
+    met = met.where(held == F.col("_need"))
     return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
@@ -162,16 +166,20 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     whole, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
     held = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     rows = F.zip_with(F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"))), held, lambda x, g: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.length(g).alias("own")))
-    none = F.array().cast("array<struct<start:int,rank:int,stop:int,own:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    ends = _running_sums(F.transform(rows, lambda x: x["gap"] + x["n"]))
+    spans = F.zip_with(rows, ends, lambda x, end: F.struct((end - x["n"]).alias("start"), F.lit(rank).alias("rank"), end.alias("stop"), x["own"].alias("own")))
+    return F.filter(spans, lambda s: s["own"] >= rule.least)
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["n"]).alias("stop"), x["own"].alias("own"))
-        return F.struct((begin + x["n"]).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    spans = F.aggregate(rows, start, step, lambda state: state["spans"])
-    return F.filter(spans, lambda s: s["own"] >= rule.least)
+def _running_sums(numbers: Column) -> Column:
+    """The running sums of an array: its shifts by 1, 2, 4, ... are added to it, so that many matches of one text take few steps each."""
+    size = F.size(numbers)
+
+    def add(sums: Column, k: Column) -> Column:
+        by = F.least(F.pow(F.lit(2), k).cast("int"), size)
+        return F.zip_with(sums, F.concat(F.array_repeat(F.lit(0), by), F.slice(sums, 1, size - by)), lambda x, y: x + y)
+
+    return F.when(size > 1, F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(size)).cast("int") - 1), numbers, add)).otherwise(numbers)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -181,22 +189,23 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     in ``rules``. Rules with mandatory trigrams are verified on the documents
     that the index gives, the others on all. A null text counts as empty. Rows
     that share a doc_id, or have none, share candidates and are verified each by
-    itself. A column called spans is replaced; an empty table gives no rows.
+    itself. A column called spans is replaced, others stay whatever their names;
+    an empty table gives no rows.
     """
     asked = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = tuple(r for r in rules if frozenset() not in asked[r.kind])
-    rows = docs.drop("spans")
-    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(packed(docs, "spans"), F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("whole"))
+    text = F.col("whole")
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,own:int>>")
     if indexed:
         vocabulary = sorted({t for r in indexed for clause in asked[r.kind] for t in clause})
         found = candidates(postings(docs, vocabulary), indexed).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-        rows = rows.join(found.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(found["_id"]), "left")
+        rows = rows.join(found.hint("shuffle_hash"), rows["key"].eqNullSafe(found["_id"]), "left")
     spans = []
     for rank, rule in enumerate(rules):
         own = _spans(text, rule, rank)
         spans.append(F.when(F.array_contains("_rules", rule.kind), own).otherwise(none) if rule in indexed else own)
-    return rows.select(*(c for c in docs.columns if c != "spans"), F.array_sort(F.concat(*spans)).alias("spans"))
+    return rows.select("row.*", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

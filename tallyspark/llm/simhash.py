@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyspark.llm.common import connected_components, cut, in_blocks, small_batches, table
+from tallyspark.llm.common import connected_components, cut, in_blocks, packed, small_batches, table
 
 BITS = 64
 SEED = 42
@@ -226,7 +226,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row_text", "_row_id")
     least = prints.groupBy("fp").agg(F.min(place).alias("least"))
     firsts = _classes(prints).join(least, "fp").groupBy("class").agg(F.min("least").alias("first")).select(*(f"first.{n}" for n in keys))
-    return docs.withColumns(keys).join(firsts, [*keys], "left_semi").dropDuplicates([*keys]).drop(*keys)
+    own = docs.select(packed(docs), *(c.alias(n) for n, c in keys.items()))
+    return own.join(firsts, [*keys], "left_semi").dropDuplicates([*keys]).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
