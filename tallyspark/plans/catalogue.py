@@ -139,7 +139,7 @@ def narration_parse(spark, d):
     return ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), text.parse_narration(narration).alias("p")).select("key", "p.*")
 
 
-@query("SELECT page_id, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{n}' END" for n, p in text.INJECTIONS) + "] IF x IS NOT NULL], ',') AS found FROM pages", books=False)
+@query(f"SELECT page_id, {text.injection_sql('html')} AS found FROM pages", books=False)
 def injection_scan(spark, d):
     return ad.table(spark, d, "pages").select("page_id", F.array_join(text.injections("html"), ",").alias("found"))
 
