@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +56,30 @@ def block_pairs(keys: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
     return left.join(right, "key").where("_ls < _rs").select("left_id", "right_id").distinct()
 
 
-def union_strategies(strategies: dict[str, DataFrame]) -> DataFrame:
-    """(left_id, right_id, why): the union of candidate sets, with the strategies that propose each pair."""
-    tagged = [df.select("left_id", "right_id", F.lit(name).alias("strategy")) for name, df in strategies.items()]
-    both = reduce(DataFrame.unionByName, tagged)
-    return both.groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("strategy")).alias("why"))
+def candidates(rows: DataFrame, strategies: dict[str, Column], most: int = MAX_BLOCK) -> DataFrame:
+    """(left_id, right_id, why): the union of all strategies' pairs, with the strategies that propose each one.
+
+    ``rows`` has row_id and source; a strategy is an array of keys. All keys come
+    from one scan and meet in one join, as blocks of a strategy and a key; see
+    ``block_pairs`` for their size.
+    """
+    each = F.array(*(F.struct(F.lit(name).alias("strategy"), F.array_distinct(keys).alias("keys")) for name, keys in strategies.items()))
+    spread = rows.select("row_id", "source", F.explode(each).alias("_s")).select("row_id", "source", "_s.strategy", F.explode("_s.keys").alias("key")).where("key is not null and key != ''")
+    fits = spread.groupBy("strategy", "key").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") > 1) & (F.col("size") <= most)).select("strategy", "key")
+    spread = spread.join(fits, ["strategy", "key"], "left_semi")
+    left = spread.select("strategy", "key", F.col("row_id").alias("left_id"), F.col("source").alias("_ls"))
+    right = spread.select("strategy", "key", F.col("row_id").alias("right_id"), F.col("source").alias("_rs"))
+    pairs = left.join(right, ["strategy", "key"]).where("_ls < _rs")
+    return pairs.groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("strategy")).alias("why"))
+
+
+def by_strategy(union: DataFrame, truth: DataFrame) -> DataFrame:
+    """(strategy, candidates, found, pair_completeness) of ``candidates`` against the true pairs: what each strategy brings by itself."""
+    each = union.select("left_id", "right_id", F.explode("why").alias("strategy"))
+    right = truth.select("left_id", "right_id", F.lit(True).alias("_true"))
+    counts = each.join(right, ["left_id", "right_id"], "left").groupBy("strategy").agg(F.count(F.lit(1)).alias("candidates"), F.count("_true").alias("found"))
+    total = truth.agg(F.count(F.lit(1)).alias("_n"))
+    return counts.crossJoin(F.broadcast(total)).select("strategy", "candidates", "found", F.round(F.try_divide("found", "_n"), 6).alias("pair_completeness"))
 
 
 def possible_pairs(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import bucket_similarity, name_key, name_tokens, normal_name
+from tallyspark.functions.text import bucket_similarity, gram_buckets, name_key, name_tokens, normal_name
 
 FIELDS = ("reference", "amount", "date", "counterparty", "narration")
 DIFFER, WEAK, STRONG, EXACT, MISSING = range(5)
@@ -76,6 +76,25 @@ def narration_level(a: str, b: str) -> Column:
     return F.when(alike.isNull(), MISSING).when(alike >= 0.75, STRONG).when(alike >= 0.40, WEAK).otherwise(DIFFER)
 
 
+def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """(left_id, right_id, and the level of each of FIELDS) for ``pairs`` of ids.
+
+    Both sides have reference, amount_paise, occurred_on and counterparty. Names
+    are compared once for each two that meet, however many rows bear them: what
+    a name needs for it is worked out once a name, and levels come back by a
+    join.
+    """
+    side = lambda df, own, k: df.select(own, F.col("reference").alias(f"r{k}"), F.col("amount_paise").alias(f"a{k}"), F.col("occurred_on").alias(f"d{k}"), F.col("counterparty").alias(f"x{k}"))
+    rows = pairs.select(left_id, right_id).join(side(left, left_id, 1), left_id).join(side(right, right_id, 2), right_id)
+    names = lambda df, k: df.select(F.col("counterparty").alias(f"y{k}")).distinct().select(f"y{k}", *named(f"y{k}", k), gram_buckets(f"y{k}").alias(f"n{k}"))
+    meet = rows.select("x1", "x2").distinct()
+    for df, k in ((left, 1), (right, 2)):
+        meet = meet.join(names(df, k), F.col(f"x{k}").eqNullSafe(F.col(f"y{k}")))
+    meet = meet.select(F.col("x1").alias("y1"), F.col("x2").alias("y2"), named_level(1, 2).alias("counterparty"), narration_level("n1", "n2").alias("narration"))
+    rows = rows.join(meet, F.col("x1").eqNullSafe(F.col("y1")) & F.col("x2").eqNullSafe(F.col("y2")))
+    return rows.select(left_id, right_id, reference_level("r1", "r2").alias("reference"), amount_level("a1", "a2").alias("amount"), date_level("d1", "d2").alias("date"), "counterparty", "narration")
+
+
 def pattern_counts(levels: DataFrame) -> DataFrame:
     """How often each combination of levels occurs: all that fitting needs, and at most 5**5 rows."""
     return levels.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n"))

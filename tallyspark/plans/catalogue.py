@@ -197,7 +197,11 @@ def _strategies(spark, d):
         "amount": F.array(F.concat(F.lit("amt:"), F.abs("amount_paise").cast("string"))),
         "counterparty": F.array(F.concat(F.lit("cp:"), F.array_join(F.array_sort(text.name_tokens("counterparty")), " "))),
     }
-    return {n: blocking.keyed(rows.select("row_id", "source", k.alias("keys"))) for n, k in keys.items()}
+    return rows, keys
+
+
+def _candidates(spark, d):
+    return blocking.candidates(*_strategies(spark, d))
 
 
 _KEYS = """, rows AS (SELECT payment_id AS row_id, 'gateway' AS source, reference, amount_paise, counterparty FROM payments UNION ALL SELECT invoice_id, 'ledger', reference, amount_paise, counterparty FROM invoices),
@@ -209,7 +213,8 @@ pairs AS (SELECT DISTINCT a.strategy, a.row_id AS left_id, b.row_id AS right_id
 
 @query(f"{_KEYS} SELECT left_id, right_id FROM pairs WHERE strategy = 'reference'")
 def block_key_pairs(spark, d):
-    return blocking.block_pairs(_strategies(spark, d)["reference"])
+    rows, keys = _strategies(spark, d)
+    return blocking.block_pairs(blocking.keyed(rows.select("row_id", "source", keys["reference"].alias("keys"))))
 
 
 @query("SELECT 'nation:' || c_nationkey AS key, count(*) AS size FROM customer GROUP BY key HAVING count(*) > 8", books=False)
@@ -220,14 +225,14 @@ def block_oversize(spark, d):
 
 @query(f"{_KEYS} SELECT left_id, right_id, array_to_string(list_sort(list(DISTINCT strategy)), ',') AS why FROM pairs GROUP BY left_id, right_id")
 def blocking_union_why(spark, d):
-    union = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()})
+    union = _candidates(spark, d)
     return union.select("left_id", "right_id", F.array_join("why", ",").alias("why"))
 
 
 @query(f"""{_KEYS} SELECT candidates, possible, round(1 - candidates / possible, 6) AS reduction_ratio FROM (SELECT count(DISTINCT (left_id, right_id)) AS candidates FROM pairs),
   (SELECT (count(*) FILTER (source = 'gateway') * count(*) FILTER (source = 'ledger'))::BIGINT AS possible FROM rows)""")
 def blocking_reduction_ratio(spark, d):
-    pairs = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()})
+    pairs = _candidates(spark, d)
     return blocking.reduction_ratio(pairs, _blocking_rows(spark, d))
 
 
@@ -235,11 +240,18 @@ def blocking_reduction_ratio(spark, d):
 SELECT count(*) FILTER (p.left_id IS NOT NULL) AS found, count(*) AS true_pairs, round(count(*) FILTER (p.left_id IS NOT NULL) / count(*), 6) AS pair_completeness
 FROM truth t LEFT JOIN (SELECT DISTINCT left_id, right_id FROM pairs) p USING (left_id, right_id)""")
 def blocking_pair_completeness(spark, d):
-    pairs = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()})
+    pairs = _candidates(spark, d)
     p, i = ad.payments(spark, d).select("key", F.col("payment_id").alias("left_id")), ad.invoices(spark, d).select("key", F.col("invoice_id").alias("right_id"))
     return blocking.pair_completeness(pairs, p.join(i, "key").select("left_id", "right_id"))
 
 
+@query(f"""{_KEYS}, truth AS (SELECT payment_id AS left_id, invoice_id AS right_id, true AS t FROM payments JOIN invoices USING (key))
+SELECT strategy, count(*) AS candidates, count(t) AS found, round(count(t) / (SELECT count(*) FROM truth), 6) AS pair_completeness FROM pairs LEFT JOIN truth USING (left_id, right_id) GROUP BY strategy""")
+def blocking_by_strategy(spark, d):
+    p, i = ad.payments(spark, d).select("key", F.col("payment_id").alias("left_id")), ad.invoices(spark, d).select("key", F.col("invoice_id").alias("right_id"))
+    return blocking.by_strategy(_candidates(spark, d), p.join(i, "key").select("left_id", "right_id"))
+
+
 @query("""WITH r AS (SELECT 'c' || c_custkey AS row_id, 'a' AS source, c_name AS t FROM customer UNION ALL SELECT 's' || s_suppkey, 'b', s_name FROM supplier),
 g AS (SELECT row_id, source, unnest([('  ' || lower(t) || '  ')[i:i + 2] FOR i IN range(1, length(t) + 3)]) AS gram FROM r),
 n AS (SELECT row_id, source, ('0x' || sha256(gram)[1:8])::BIGINT % 256 AS bucket, count(*)::DOUBLE AS n FROM g GROUP BY ALL),
@@ -256,14 +268,8 @@ def ngram_topk(spark, d):
 
 
 def _levels(spark, d):
-    p = ad.payments(spark, d).select("payment_id", F.col("reference").alias("r1"), F.col("amount_paise").alias("a1"), F.col("occurred_on").alias("d1"), *linkage.named("counterparty", 1), text.gram_buckets("counterparty").alias("n1"))
-    i = ad.invoices(spark, d).select("invoice_id", F.col("reference").alias("r2"), F.col("amount_paise").alias("a2"), F.col("occurred_on").alias("d2"), *linkage.named("counterparty", 2), text.gram_buckets("counterparty").alias("n2"))
-    pairs = blocking.union_strategies({n: blocking.block_pairs(k) for n, k in _strategies(spark, d).items()}).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"))
-    rows = pairs.join(p, "payment_id").join(i, "invoice_id")
-    return rows.select(
-        "payment_id", "invoice_id", linkage.reference_level("r1", "r2").alias("reference"), linkage.amount_level("a1", "a2").alias("amount"),
-        linkage.date_level("d1", "d2").alias("date"), linkage.named_level(1, 2).alias("counterparty"), linkage.narration_level("n1", "n2").alias("narration"),
-    )
+    pairs = _candidates(spark, d).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"))
+    return linkage.compared(pairs, ad.payments(spark, d), ad.invoices(spark, d), "payment_id", "invoice_id")
 
 
 #: A text's hashed grams, and how many of two texts' grams meet.

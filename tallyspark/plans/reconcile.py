@@ -10,32 +10,17 @@ from tallyspark.functions.money import with_fees
 from tallyspark.operators import attribution, blocking, exceptions, linkage, matching, waterfall
 
 
-def _keys(payments: DataFrame, invoices: DataFrame) -> dict[str, DataFrame]:
+def candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """(payment_id, invoice_id, why): pairs that share a reference, an amount or a name."""
     rows = payments.select(F.col("payment_id").alias("row_id"), F.lit("gateway").alias("source"), "reference", "amount_paise", "counterparty").unionByName(
         invoices.select(F.col("invoice_id").alias("row_id"), F.lit("ledger").alias("source"), "reference", "amount_paise", "counterparty")
     )
     keys = {
-        "reference": [F.concat(F.lit("ref:"), text.normal_reference("reference"))],
-        "amount": [F.concat(F.lit("amt:"), F.abs("amount_paise").cast("string"))],
-        "counterparty": [F.concat(F.lit("cp:"), F.array_join(F.array_sort(text.name_tokens("counterparty")), " ")), F.concat(F.lit("ph:"), text.name_key("counterparty"))],
+        "reference": F.array(F.concat(F.lit("ref:"), text.normal_reference("reference"))),
+        "amount": F.array(F.concat(F.lit("amt:"), F.abs("amount_paise").cast("string"))),
+        "counterparty": F.array(F.concat(F.lit("cp:"), F.array_join(F.array_sort(text.name_tokens("counterparty")), " ")), F.concat(F.lit("ph:"), text.name_key("counterparty"))),
     }
-    return {name: blocking.keyed(rows.select("row_id", "source", F.array(*k).alias("keys"))) for name, k in keys.items()}
-
-
-def candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    """(payment_id, invoice_id, why)."""
-    union = blocking.union_strategies({name: blocking.block_pairs(keys) for name, keys in _keys(payments, invoices).items()})
-    return union.select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"), "why")
-
-
-def levels(pairs: DataFrame, payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    p = payments.select("payment_id", F.col("reference").alias("r1"), F.col("amount_paise").alias("a1"), F.col("occurred_on").alias("d1"), *linkage.named("counterparty", 1), text.gram_buckets("counterparty").alias("n1"))
-    i = invoices.select("invoice_id", F.col("reference").alias("r2"), F.col("amount_paise").alias("a2"), F.col("occurred_on").alias("d2"), *linkage.named("counterparty", 2), text.gram_buckets("counterparty").alias("n2"))
-    rows = pairs.join(p, "payment_id").join(i, "invoice_id")
-    return rows.select(
-        "payment_id", "invoice_id", linkage.reference_level("r1", "r2").alias("reference"), linkage.amount_level("a1", "a2").alias("amount"),
-        linkage.date_level("d1", "d2").alias("date"), linkage.named_level(1, 2).alias("counterparty"), linkage.narration_level("n1", "n2").alias("narration"),
-    )
+    return blocking.candidates(rows, keys).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"), "why")
 
 
 def close(payments: DataFrame, invoices: DataFrame, credits: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
@@ -52,7 +37,7 @@ def close(payments: DataFrame, invoices: DataFrame, credits: DataFrame, days: Da
     exact = matching.unique_matches(live.select("payment_id", "reference", "amount_paise"), invoices.select("invoice_id", "reference", "amount_paise"), "payment_id", "invoice_id", ["reference", "amount_paise"])
     exact = exact.select("payment_id", "invoice_id", F.lit("exact").alias("stage"), F.lit(1.0).alias("probability"))
 
-    compared = levels(candidates(live, invoices).select("payment_id", "invoice_id"), live, invoices)
+    compared = linkage.compared(candidates(live, invoices), live, invoices, "payment_id", "invoice_id")
     counts = [(tuple(r[f] for f in linkage.FIELDS), r["n"]) for r in linkage.pattern_counts(compared).collect()]
     scored = linkage.score(compared, linkage.fit(counts)).withColumn("band", linkage.band())
     open_pairs = scored.join(exact.select("payment_id"), "payment_id", "left_anti").join(exact.select("invoice_id"), "invoice_id", "left_anti")
