@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyspark.session import cut
+
 EMPTY_ROOT = hashlib.sha256(b"").hexdigest()
 
 
@@ -67,17 +71,6 @@ def _hash_pair(a: bytes, b: bytes) -> bytes:
     return hashlib.sha256(b"\x01" + a + b).digest()
 
 
-def inclusion_path(hashes: list[bytes], at: int) -> list[tuple[str, bytes]]:
-    """The siblings from a leaf to the root, each with its side; for proofs over a log's own leaves, on demand."""
-    path, level = [], list(hashes)
-    while len(level) > 1:
-        if (at ^ 1) < len(level):
-            path.append(("left" if at % 2 else "right", level[at ^ 1]))
-        level = [_hash_pair(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        at //= 2
-    return path
-
-
 def verify_inclusion(leaf: bytes, path: list[tuple[str, bytes]], expected: bytes) -> bool:
     for side, other in path:
         leaf = _hash_pair(other, leaf) if side == "left" else _hash_pair(leaf, other)
@@ -105,12 +98,6 @@ def _peaks(first: int, last: int) -> list[tuple[int, int]]:
     return out
 
 
-def _subtree(hashes: list[bytes]) -> bytes:
-    while len(hashes) > 1:
-        hashes = [_hash_pair(*hashes[k : k + 2]) if k + 1 < len(hashes) else hashes[k] for k in range(0, len(hashes), 2)]
-    return hashes[0]
-
-
 def _bagged(peaks: list[bytes]) -> bytes:
     out = peaks[-1]
     for left in reversed(peaks[:-1]):
@@ -118,11 +105,6 @@ def _bagged(peaks: list[bytes]) -> bytes:
     return out
 
 
-def consistency_path(hashes: list[bytes], old: int) -> tuple[list[bytes], list[bytes]]:
-    """What shows that a log of ``old`` leaves begins this one: the roots of its whole subtrees, and of those that the later leaves make."""
-    return tuple([_subtree(hashes[a : a + n]) for a, n in _peaks(*ends)] for ends in ((0, old), (old, len(hashes))))
-
-
 def verify_consistency(old: int, old_root: bytes, size: int, new_root: bytes, path: tuple[list[bytes], list[bytes]]) -> bool:
     """Whether the path gives both roots: the old subtrees alone, and with the later ones, neighbours of one size joined."""
     if not 0 <= old <= size:
@@ -161,31 +143,186 @@ def numbered(records: DataFrame, order: str, first: int = 0) -> DataFrame:
     return rows.join(offsets, "_at").withColumn("seq", place.cast("long")).drop("_at", "_before")
 
 
+# --- a stored tree ----------------------------------------------------------
+#
+# A node (level, index) stands for the leaves from index * 2**level up to the
+# next node's. It is stored once all of these are in the log and never changes
+# then; what the last leaves hang on is put together from the whole subtrees.
+
+NODES = "level int, index long, hash string"
+
+
+def _complete(nodes: Column) -> Column:
+    """The next level over an array of nodes, of whole pairs only."""
+    pair = lambda i: _node(F.get(nodes, 2 * i), F.get(nodes, 2 * i + 1))
+    return F.when(F.size(nodes) > 1, F.transform(F.sequence(F.lit(0), F.floor(F.size(nodes) / 2).cast("int") - 1), pair)).otherwise(F.array().cast("array<string>"))
+
+
+def _numbered_nodes(level: int, nodes: str, begin: Column) -> Column:
+    return F.transform(nodes, lambda h, i: F.struct(F.lit(level).alias("level"), (begin + i).alias("index"), h.alias("hash")))
+
+
+def new_nodes(leaves: DataFrame, first: int, size: int, stored: DataFrame | None = None) -> DataFrame:
+    """(level, index, hash): the nodes that the leaves from ``first`` up to ``size`` complete.
+
+    ``leaves`` has seq and leaf_hash; ``stored`` the nodes of the leaves before,
+    of which no more than 2**CLIMB neighbours at the right edge are read for each
+    CLIMB levels. So the work grows with the new leaves, not with the log.
+    """
+    base, level, out = leaves.select(F.col("seq").alias("index"), F.col("leaf_hash").alias("hash")), 0, []
+    while True:
+        begun, done = first >> level, size >> level
+        edge = begun >> CLIMB << CLIMB
+        if level == 0:
+            out.append(base.select(F.lit(0).alias("level"), "index", "hash"))
+        if done <= 1 or begun == done:
+            break
+        if stored is not None and edge < begun:
+            base = base.unionByName(stored.where((F.col("level") == level) & (F.col("index") >= edge) & (F.col("index") < begun)).select("index", "hash"))
+        own = F.transform(F.array_sort(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"])
+        groups = base.groupBy(F.expr(f"index div {1 << CLIMB}").alias("group")).agg(own.alias("l0"))
+        for k in range(1, CLIMB + 1):
+            groups = groups.withColumn(f"l{k}", _complete(F.col(f"l{k - 1}")))
+        each = [_numbered_nodes(level + k, f"l{k}", F.col("group") * (1 << (CLIMB - k))) for k in range(1, CLIMB + 1)]
+        climbed = groups.select(F.explode(F.concat(*each)).alias("n")).select("n.*")
+        # Nodes of old leaves only come out of the edge again.
+        climbed = cut(climbed.where(F.expr(f"(index + 1) * shiftleft(1L, level) > {first}")))
+        out.append(climbed)
+        level += CLIMB
+        base = climbed.where(F.col("level") == level).select("index", "hash")
+    return reduce(DataFrame.unionByName, out).select(F.col("level").cast("int").alias("level"), F.col("index").cast("long").alias("index"), "hash")
+
+
+def nodes_at(tree: DataFrame, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], bytes]:
+    """Some nodes by (level, index): a read that the files' statistics prune to where they lie."""
+    if not wanted:
+        return {}
+    levels: dict[int, list[int]] = {}
+    for level, index in sorted(wanted):
+        levels.setdefault(level, []).append(index)
+    held = reduce(or_, ((F.col("level") == level) & F.col("index").isin(*found) for level, found in levels.items()))
+    got = {(r["level"], r["index"]): bytes.fromhex(r["hash"]) for r in tree.where(held).collect()}
+    if missing := wanted - got.keys():
+        raise ValueError(f"the tree lacks nodes: {sorted(missing)[:5]}")
+    return got
+
+
+def _peak_nodes(first: int, last: int) -> list[tuple[int, int]]:
+    return [(n.bit_length() - 1, at >> (n.bit_length() - 1)) for at, n in _peaks(first, last)]
+
+
+def root_of(tree: DataFrame, size: int) -> str:
+    """The root over the first ``size`` leaves, from at most log2(size) nodes."""
+    places = _peak_nodes(0, size)
+    got = nodes_at(tree, set(places))
+    return _bagged([got[p] for p in places]).hex() if places else EMPTY_ROOT
+
+
+def inclusion_proofs(tree: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(seq, path) for the leaves ``wanted`` (seq): the siblings up to the root over ``size`` leaves, structs of side and hash.
+
+    Up to the root of its whole subtree, a leaf's siblings are stored nodes; then
+    come the other whole subtrees, those to the right as one. Nothing is gathered
+    but a path for each leaf.
+    """
+    places = _peak_nodes(0, size)
+    got = nodes_at(tree, set(places))
+    hashes, tails = [got[p] for p in places], []
+    for k, (level, index) in enumerate(places):
+        right = [("right", _bagged(hashes[k + 1 :]).hex())] if k + 1 < len(places) else []
+        tails.append((index << level, (index + 1) << level, level, right + [("left", h.hex()) for h in reversed(hashes[:k])]))
+    spark = tree.sparkSession
+    peaks = spark.createDataFrame(tails, "_from long, _to long, _top int, _tail array<struct<side: string, hash: string>>")
+    rows = wanted.select("seq").distinct().join(F.broadcast(peaks), (F.col("seq") >= F.col("_from")) & (F.col("seq") < F.col("_to")))
+    steps = rows.where("_top > 0").select("seq", F.explode(F.sequence(F.lit(0), F.col("_top") - 1)).alias("level"))
+    steps = steps.select("seq", "level", F.expr("shiftright(seq, level) ^ 1").alias("index"), F.when(F.expr("shiftright(seq, level) & 1") == 1, "left").otherwise("right").alias("side"))
+    inner = steps.join(tree.select("level", "index", "hash"), ["level", "index"]).groupBy("seq")
+    inner = inner.agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "side", "hash"))), lambda x: F.struct(x["side"].alias("side"), x["hash"].alias("hash"))).alias("_inner"))
+    none = F.array().cast("array<struct<side: string, hash: string>>")
+    return rows.join(inner, "seq", "left").select("seq", F.concat(F.coalesce("_inner", none), "_tail").alias("path"))
+
+
+def proven_root(leaf: str, path: str) -> Column:
+    """The root that a leaf and its path give."""
+    step = lambda h, s: F.when(s["side"] == "right", _node(h, s["hash"])).otherwise(_node(s["hash"], h))
+    return F.aggregate(path, F.col(leaf), step)
+
+
+def consistency_proof(tree: DataFrame, old: int, size: int) -> tuple[list[bytes], list[bytes]]:
+    """What shows that a log of ``old`` leaves begins that of ``size``: the roots of its whole subtrees, and of those that the later leaves make."""
+    places = _peak_nodes(0, old), _peak_nodes(old, size)
+    got = nodes_at(tree, {p for own in places for p in own})
+    return tuple([got[p] for p in own] for own in places)
+
+
+# --- the log in a folder ----------------------------------------------------
+
+HEADS = "size long, root string, at string, signature string, run string"
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What is stored at a path; no rows if there is nothing yet."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_log(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, f"{folder}/log", "seq long, record string, leaf_hash string, at string, run string")
+
+
+def read_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, f"{folder}/tree", f"{NODES}, run string")
+
+
+def read_heads(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, f"{folder}/heads", HEADS)
+
+
+def log_size(spark: SparkSession, folder: str) -> int:
+    return read_heads(spark, folder).agg(F.max("size").alias("n")).first()["n"] or 0
+
+
 def append(spark: SparkSession, folder: str, records: DataFrame, order: str, run: str, at: str, key: bytes) -> int:
-    """Append a run's records (``order`` and record) to the log in a folder, with a signed head; its size then.
+    """Append a run's records (``order`` and record) to the log in a folder, with its nodes and a signed head; the log's size then.
 
     A run is one folder of Parquet, and is refused if it is there; nothing that
-    was written is touched again.
+    was written is touched again. First the records are written, then the nodes
+    that they complete, then the head. What a crash in between has left without
+    a head gets its nodes and its head before a further run begins. Of the log
+    only the new run is read, of the tree its right edge.
     """
-    size = log_size(spark, folder)
+    size = repair(spark, folder, at, key)
     new = numbered(records.select(order, "record"), order, size).select("seq", "record", leaf_hash("record").alias("leaf_hash"), F.lit(at).alias("at"))
     new.write.mode("error").parquet(f"{folder}/log/run={run}")
-    rows = read_log(spark, folder)
-    size = rows.count()
-    top = root(rows.select("seq", "leaf_hash"), size).first()["root"]
-    spark.createDataFrame([(size, top, at, sign_head(size, top, at, key))], "size long, root string, at string, signature string").write.mode("append").parquet(f"{folder}/heads")
-    return size
+    return _seal(spark, folder, run, size, at, key)
 
 
-def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("seq long, record string, leaf_hash string, at string, run string").parquet(f"{folder}/log")
+def repair(spark: SparkSession, folder: str, at: str, key: bytes) -> int:
+    """Give runs of the log that have no head their nodes and their head; the log's size then."""
+    heads = read_heads(spark, folder).select("run", "size").collect()
+    size = max((h["size"] for h in heads), default=0)
+    # The runs are folders, so that those with a head are not read.
+    left = read_log(spark, folder).where(~F.col("run").isin([h["run"] for h in heads])).groupBy("run").agg(F.min("seq").alias("first")).orderBy("first").collect()
+    for r in left:
+        size = _seal(spark, folder, r["run"], size, at, key)
+    return size
 
 
-def log_size(spark: SparkSession, folder: str) -> int:
-    try:
-        return spark.read.parquet(f"{folder}/heads").agg(F.max("size").alias("n")).first()["n"] or 0
-    except AnalysisException:  # no head yet
-        return 0
+def _seal(spark: SparkSession, folder: str, run: str, first: int, at: str, key: bytes) -> int:
+    leaves = read_log(spark, folder).where(F.col("run") == run).select("seq", "leaf_hash")
+    held = leaves.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    size = first + held["n"]
+    if held["n"]:
+        if (held["low"], held["high"]) != (first, size - 1):
+            raise ValueError(f"run {run} is not whole: {held['n']} records from {held['low']} to {held['high']}, after {first}")
+        nodes = new_nodes(leaves, first, size, read_tree(spark, folder).where(F.col("run") != run))
+        nodes.repartitionByRange("level", "index").sortWithinPartitions("level", "index").write.mode("overwrite").parquet(f"{folder}/tree/run={run}")
+    top = root_of(read_tree(spark, folder), size)
+    spark.createDataFrame([(size, top, at, sign_head(size, top, at, key), run)], HEADS).coalesce(1).write.mode("append").parquet(f"{folder}/heads")
+    return size
 
 
 def page(log: DataFrame, run: str, after: int = -1, size: int = 100) -> DataFrame:
@@ -193,12 +330,29 @@ def page(log: DataFrame, run: str, after: int = -1, size: int = 100) -> DataFram
     return log.where((F.col("run") == run) & (F.col("seq") > after)).orderBy("seq").limit(size)
 
 
-def verify(spark: SparkSession, folder: str, key: bytes) -> dict:
-    """What holds of a log: records against leaves, numbers without gaps, and each head's signature and root."""
-    log = read_log(spark, folder)
-    bad = first_tampered(log, "record").first()["first_tampered"]
-    heads = spark.read.parquet(f"{folder}/heads").orderBy("size").collect()
+def verify(spark: SparkSession, folder: str, key: bytes, trusted: tuple[int, str] | None = None) -> dict:
+    """What holds of a log: records against leaves, numbers without gaps, nodes against leaves, and each head's signature and root.
+
+    ``trusted`` is the size and root of a head that was verified before: then
+    only the runs after it are read, and the tree must still give that root.
+    """
+    begun, known = trusted or (0, EMPTY_ROOT)
+    heads = read_heads(spark, folder).where(F.col("size") >= begun).orderBy("size", "at").collect()
+    later = [h for h in heads if h["size"] > begun]
+    runs = [h["run"] for h in later]
+    log = read_log(spark, folder).where(F.col("run").isin(runs))
+    tree = read_tree(spark, folder)
+    size = max((h["size"] for h in heads), default=0)
+    bad = first_tampered(log.withColumn("seq", F.col("seq") - begun), "record").first()["first_tampered"]
+    whole = bool(heads) and log.count() == size - begun and (trusted is not None or begun == 0)
     signed = all(verify_head(h["size"], h["root"], h["at"], key, h["signature"]) for h in heads)
-    rooted = all(root(log.where(F.col("seq") < h["size"]).select("seq", "leaf_hash"), h["size"]).first()["root"] == h["root"] for h in heads)
-    whole = bool(heads) and log.count() == heads[-1]["size"]
-    return {"sound": bad is None and signed and rooted and whole, "first_tampered": bad, "signatures": signed, "roots": rooted, "whole": whole}
+    rooted = nodes = True
+    try:
+        rooted = root_of(tree, begun) == known and all(root_of(tree, h["size"]) == h["root"] for h in later)
+        made = new_nodes(log.select("seq", "leaf_hash"), begun, size, tree.where(~F.col("run").isin(runs)))
+        stored = tree.where(F.col("run").isin(runs)).select("level", "index", F.col("hash").alias("stored"))
+        nodes = not made.join(stored, ["level", "index"], "full_outer").where(~F.col("hash").eqNullSafe(F.col("stored"))).limit(1).count()
+    except ValueError:
+        rooted = False
+    bad = bad if bad is None else bad + begun
+    return {"sound": bad is None and signed and rooted and nodes and whole, "first_tampered": bad, "signatures": signed, "roots": rooted, "nodes": nodes, "whole": whole}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import attribution
+from tallyspark.operators import attribution, audit
 from tallyspark.plans import adapters as ad
-from tallyspark.plans.catalogue import query
+from tallyspark.plans.catalogue import _TREE, query
+from tallyspark.session import cut
 
 
 def _due(spark, d):
@@ -33,3 +34,16 @@ def attribution_stages(spark, d):
 def attribution_searches(spark, d):
     """What the search on dates with several credits came to, by method."""
     return attribution.search_report(attribution.solve_dates(_due(spark, d), ad.credits(spark, d)))
+
+
+@query(f"""WITH l0 AS (SELECT o_orderkey - (SELECT min(o_orderkey) FROM orders) AS seq, sha256(unhex('00') || encode(o_orderkey || '|' || o_orderstatus)) AS h FROM orders), {_TREE},
+n AS (SELECT count(*) AS n FROM l0)
+SELECT seq, len([l FOR l IN range(0, 34) IF xor(seq >> l, 1) < (n.n + (1::BIGINT << l) - 1) >> l])::INT AS steps, (SELECT h FROM l34) AS root FROM l0, n""", books=False)
+def merkle_proofs(spark, d):
+    """For every record of a log how many steps prove it, and the root that they lead to."""
+    records = ad.table(spark, d, "orders").select("o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("record"))
+    least = records.agg(F.min("o_orderkey").alias("_m"), F.count(F.lit(1)).alias("_n")).first()
+    leaves = audit.leaves(records.withColumn("seq", F.col("o_orderkey") - F.lit(least["_m"] or 0)), "seq", "record")
+    tree = cut(audit.new_nodes(leaves, 0, least["_n"]))
+    proofs = audit.inclusion_proofs(tree, leaves, least["_n"]).join(leaves, "seq")
+    return proofs.select("seq", F.size("path").alias("steps"), audit.proven_root("leaf_hash", "path").alias("root"))

@@ -252,23 +252,34 @@ def test_policy_boundaries_and_budget(spark):
     assert {r.verdict for r in policy.rules(rows, policy.Policy(kill_switch=True)).collect()} == {"denied"}
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 8, 13])
-def test_merkle_root_and_proofs(spark, n):
-    import hashlib
+def plain_root(hashes):
+    while len(hashes) > 1:
+        hashes = [hashlib.sha256(b"\x01" + hashes[k] + hashes[k + 1]).digest() if k + 1 < len(hashes) else hashes[k] for k in range(0, len(hashes), 2)]
+    return hashes[0] if hashes else hashlib.sha256(b"").digest()
+
 
-    hashes = [hashlib.sha256(b"\x00" + f"r{k}".encode()).digest() for k in range(n)]
+def plain_leaves(n):
+    return [hashlib.sha256(b"\x00" + f"r{k}".encode()).digest() for k in range(n)]
 
-    def plain(level):
-        while len(level) > 1:
-            level = [hashlib.sha256(b"\x01" + level[k] + level[k + 1]).digest() if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        return level[0] if level else hashlib.sha256(b"").digest()
 
-    nodes = audit.leaves(spark.createDataFrame([(k, f"r{k}") for k in range(n)], "n long, record string"), "n", "record")
-    expected = plain(hashes)
-    assert audit.root(nodes, n).first().root == expected.hex()
-    for k in range(n):
-        path = audit.inclusion_path(hashes, k)
-        assert audit.verify_inclusion(hashes[k], path, expected) and not audit.verify_inclusion(b"x" * 32, path, expected)
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 13, 1030])
+def test_merkle_root_and_proofs(spark, n):
+    hashes = plain_leaves(n)
+    leaves = audit.leaves(spark.createDataFrame([(k, f"r{k}") for k in range(n)], "n long, record string"), "n", "record")
+    expected = plain_root(hashes)
+    assert audit.root(leaves, n).first().root == expected.hex()
+    tree = audit.new_nodes(leaves, 0, n).cache()
+    assert audit.root_of(tree, n) == expected.hex()
+    got = {r.seq: [(s.side, bytes.fromhex(s.hash)) for s in r.path] for r in audit.inclusion_proofs(tree, leaves, n).collect()}
+    assert sorted(got) == list(range(n))
+    for k, path in got.items():
+        assert audit.verify_inclusion(hashes[k], path, expected) and not audit.verify_inclusion(b"x" * 32, path, expected) and len(path) <= max(n - 1, 0).bit_length()
+    proven = audit.inclusion_proofs(tree, leaves, n).join(leaves, "seq").select(audit.proven_root("leaf_hash", "path").alias("root")).distinct().collect()
+    assert [r.root for r in proven] == ([expected.hex()] if n else [])
+    for size in {0, 1, n // 3, n // 2, n}:
+        if size <= n:
+            was = plain_root(hashes[:size])
+            assert audit.root_of(tree, size) == was.hex() and audit.verify_consistency(size, was, n, expected, audit.consistency_proof(tree, size, n))
 
 
 def test_tampering_is_located(spark):
@@ -309,26 +320,27 @@ def test_rates_fit_all_settlements(spark):
     assert waterfall.fit_rates_over(spark.createDataFrame(rows[:2])) == {} == waterfall.fit_rates_over(spark.createDataFrame(rows).limit(0))
 
 
-def test_consistency_proofs():
-    leaves = [hashlib.sha256(bytes([0, k])).digest() for k in range(41)]
-    for size in range(0, 42, 3):
-        new = audit._subtree(leaves[:size]) if size else bytes.fromhex(audit.EMPTY_ROOT)
-        for old in range(size + 1):
-            was = audit._subtree(leaves[:old]) if old else bytes.fromhex(audit.EMPTY_ROOT)
-            path = audit.consistency_path(leaves[:size], old)
-            assert audit.verify_consistency(old, was, size, new, path)
-            if old:
-                assert not audit.verify_consistency(old, hashlib.sha256(b"x").digest(), size, new, path)
-            if 0 < old < size:
-                forged = ([hashlib.sha256(b"y").digest(), *path[0][1:]], path[1])
-                assert not audit.verify_consistency(old, was, size, new, forged)
+def test_consistency_proofs(spark):
+    hashes = plain_leaves(41)
+    tree = audit.new_nodes(spark.createDataFrame([(k, f"r{k}") for k in range(41)], "seq long, record string").select("seq", audit.leaf_hash("record").alias("leaf_hash")), 0, 41)
+    held = tree.coalesce(1).cache()
+    for size in (0, 3, 17, 32, 41):
+        new = plain_root(hashes[:size])
+        for old in {0, 1, 2, size // 2, max(size - 1, 0), size}:
+            if old <= size:
+                was, path = plain_root(hashes[:old]), audit.consistency_proof(held, old, size)
+                assert audit.verify_consistency(old, was, size, new, path)
+                if old:
+                    assert not audit.verify_consistency(old, hashlib.sha256(b"x").digest(), size, new, path)
+                if 0 < old < size:
+                    forged = ([hashlib.sha256(b"y").digest(), *path[0][1:]], path[1])
+                    assert not audit.verify_consistency(old, was, size, new, forged)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 1023, 1024, 1025, 3000])
 def test_root_by_subtrees_equals_the_plain_tree(spark, n):
     rows = spark.createDataFrame([(k, f"r{k}") for k in range(n)], "seq long, record string")
-    plain = [hashlib.sha256(b"\x00" + f"r{k}".encode()).digest() for k in range(n)]
-    want = audit._subtree(plain).hex() if n else audit.EMPTY_ROOT
+    want = plain_root(plain_leaves(n)).hex()
     assert audit.root(audit.leaves(rows, "seq", "record"), n).first()["root"] == want
 
 
@@ -339,13 +351,38 @@ def test_append_only_log(spark, tmp_path):
     assert audit.append(spark, folder, rows.where("at_no >= 100"), "at_no", "two", "2026-01-02", key) == 30
     with pytest.raises(AnalysisException):
         audit.append(spark, folder, rows, "at_no", "two", "2026-01-03", key)
-    assert audit.verify(spark, folder, key) == {"sound": True, "first_tampered": None, "signatures": True, "roots": True, "whole": True}
+    assert audit.verify(spark, folder, key) == {"sound": True, "first_tampered": None, "signatures": True, "roots": True, "nodes": True, "whole": True}
     assert [r.seq for r in audit.page(audit.read_log(spark, folder), "two", 17, 5).collect()] == [18, 19, 20, 21, 22]
     assert not audit.verify(spark, folder, b"other")["signatures"]
     changed = audit.read_log(spark, folder).withColumn("record", F.when(F.col("seq") == 4, "forged").otherwise(F.col("record"))).cache()
     assert audit.first_tampered(changed, "record").first()["first_tampered"] == 4
 
 
+def test_append_and_verify_go_on_from_the_last_head(spark, tmp_path):
+    folder, key = str(tmp_path / "books"), b"k"
+    rows = lambda a, b: spark.createDataFrame([(k, f"r{k}") for k in range(a, b)], "at_no long, record string")
+    ends = [0, 1, 1027, 1030, 2500]
+    for run, (a, b) in enumerate(itertools.pairwise(ends)):
+        assert audit.append(spark, folder, rows(a, b), "at_no", f"run{run}", "now", key) == b
+        assert audit.root_of(audit.read_tree(spark, folder), b) == plain_root(plain_leaves(b)).hex()
+    heads = {r["size"]: r["root"] for r in audit.read_heads(spark, folder).collect()}
+    stored = audit.read_tree(spark, folder).groupBy("level", "index").count()
+    assert stored.where("count > 1").count() == 0 and stored.count() == sum(2500 >> k for k in range(12))
+    assert audit.verify(spark, folder, key)["sound"] and audit.verify(spark, folder, key, (1030, heads[1030]))["sound"]
+    assert not audit.verify(spark, folder, key, (1030, heads[1027]))["roots"]
+    # A crash before the head: the records are there, their nodes perhaps, the head is not.
+    audit.numbered(rows(2500, 2600), "at_no", 2500).select("seq", "record", audit.leaf_hash("record").alias("leaf_hash"), F.lit("now").alias("at")).write.parquet(f"{folder}/log/run=lost")
+    assert audit.append(spark, folder, rows(2600, 2610), "at_no", "next", "later", key) == 2610
+    got = audit.verify(spark, folder, key, (2500, heads[2500]))
+    assert got["sound"] and {r.run for r in audit.read_heads(spark, folder).where("size > 2500").collect()} == {"lost", "next"}
+    assert audit.verify(spark, folder, key)["sound"]
+    # A record changed after the trusted head is found by reading the later runs only; one before it by reading all.
+    late = audit.read_log(spark, folder).where("run = 'next'").withColumn("record", F.when(F.col("seq") == 2605, "forged").otherwise(F.col("record"))).drop("run").collect()
+    spark.createDataFrame(late, "seq long, record string, leaf_hash string, at string").write.mode("overwrite").parquet(f"{folder}/log/run=next")
+    assert audit.verify(spark, folder, key, (2500, heads[2500]))["first_tampered"] == 2605
+    assert audit.append(spark, folder, rows(0, 0), "at_no", "none", "later", key) == 2610
+
+
 def test_currency_is_asserted(spark):
     rows = spark.createDataFrame([(5, "INR"), (7, "USD")], "a long, c string")
     assert rows.where("c = 'INR'").select(money.of_currency(F.col("a"), "c").alias("x")).first().x == 5
