@@ -1,10 +1,12 @@
-"""Spelling variants: words at distance one of each other, found by walking tries along Levenshtein automata."""
+"""Spelling variants: words at distance one of each other, found by walking broadcast tries along Levenshtein automata."""
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import ceil
 
 import pyarrow as pa
@@ -22,9 +24,9 @@ LEAST_LENGTH, LEAST_COUNT = 7, 2
 #: A word's form is at least so many times as frequent.
 TIMES = 10
 #: Words in a trie, about; a task builds one.
-SHARD_WORDS = 50_000
-#: Bytes of packed tries that are broadcast at once; further ones follow in rounds of their own.
-BROADCAST_BYTES = 64 << 20
+SHARD_WORDS = 500_000
+#: Bytes that the tries of a broadcast take in a task, NODE_BYTES a node; further ones follow in rounds of their own.
+BROADCAST_BYTES, NODE_BYTES = 256 << 20, 14
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -44,26 +46,28 @@ def words(docs: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """A trie in flat arrays, level by level: ``label`` of each node, where its children begin, and ``n`` of the word that ends there, or 0."""
+    """A trie of words of one length in flat arrays, level by level.
 
-    def __init__(self, label: str, children: array, n: array):
-        self.label, self.n = label, n
-        self.first = [1]
-        for k in children:
-            self.first.append(self.first[-1] + k)
+    ``label`` has each node's character, ``first`` where the children of each
+    node above the last level begin, and ``n`` the occurrences of the words,
+    which are the nodes of the last level in order. Children of neighbours are
+    neighbours, too.
+    """
+
+    def __init__(self, length: int, label: str, children: array, n: array):
+        self.length, self.label, self.n = length, label, n
+        self.first = array("q", accumulate(children, initial=1))
+        self.words = len(label) - len(n)
 
     @classmethod
-    def pack(cls, rows: list[tuple[str, int]]) -> bytes:
-        """The packed trie of (word, n), each word once, in order."""
-        label, children, n = ["\0"], array("H"), array("q")
+    def pack(cls, rows: list[tuple[str, int]]) -> tuple[int, bytes]:
+        """The number of nodes and the packed trie of (word, n): words of one length, each once, in order."""
+        length, label, children = len(rows[0][0]), ["\0"], array("H")
         level = [(0, len(rows))]
-        depth = 0
-        while level:
+        for depth in range(length):
             below = []
             for begin, end in level:
-                ends = len(rows[begin][0]) == depth if begin < end else False
-                n.append(rows[begin][1] if ends else 0)
-                begin, count = begin + ends, 0
+                count = 0
                 while begin < end:
                     c, stop = rows[begin][0][depth], begin + 1
                     while stop < end and rows[stop][0][depth] == c:
@@ -72,82 +76,125 @@ class Trie:
                     below.append((begin, stop))
                     begin, count = stop, count + 1
                 children.append(count)
-            level, depth = below, depth + 1
-        parts = ["".join(label).encode(), children.tobytes(), n.tobytes()]
-        return zlib.compress(b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts))
+            level = below
+        parts = ["".join(label).encode(), children.tobytes(), array("q", [n for _, n in rows]).tobytes()]
+        head = b"".join(x.to_bytes(8, "little") for x in (length, len(parts[0]), len(parts[1])))
+        return len(label), zlib.compress(head + b"".join(parts))
 
     @classmethod
     def unpack(cls, packed: bytes) -> Trie:
         raw = zlib.decompress(packed)
-        a, b = (int.from_bytes(raw[k : k + 8], "little") for k in (0, 8))
+        length, a, b = (int.from_bytes(raw[k : k + 8], "little") for k in (0, 8, 16))
         children, n = array("H"), array("q")
         children.frombytes(raw[24 + a : 24 + a + b])
         n.frombytes(raw[24 + a + b :])
-        return cls(raw[24 : 24 + a].decode(), children, n)
+        return cls(length, raw[24 : 24 + a].decode(), children, n)
 
     def near(self, word: str) -> Iterator[tuple[str, int]]:
         """(neighbour, n) of the words at distance one, depth first along the word's automaton.
 
-        At a depth the automaton is in at most four states: so far all equal
-        (``same``), or one edit spent with as many characters of the word read
-        as of the path, one less or one more (``spent``). A branch is left as
-        soon as no state lives; with the edit spent only the characters that
-        come next in the word are looked up.
+        The lengths say which edit it is. The automaton is in one of two states:
+        so far all equal, or edit spent, when the path must spell what is left
+        of the word. At each node where all is equal the edit is spent on every
+        child that it may be, and each of these branches is followed down until
+        a character is missing; children of all of them that begin the rest are
+        looked up at once, as they are neighbours.
         """
-        label, first, n, size = self.label, self.first, self.n, len(word)
-        path: list[str] = []
-        stack: list[tuple[int, int, bool, tuple[int, ...]]] = [(0, 0, True, ())]
-        while stack:
-            node, depth, same, spent = stack.pop()
-            if depth:
-                del path[depth - 1 :]
-                path.append(label[node])
-            if n[node] and (size in spent or (same and depth == size - 1)) and not (same and depth == size):
-                yield "".join(path), n[node]
-            begin, end = first[node], first[node + 1]
-            if begin == end:
-                continue
-            if same:
-                equal = word[depth] if depth < size else ""
-                skipped = word[depth + 1] if depth + 1 < size else ""
-                for child in range(begin, end):
-                    c = label[child]
-                    # One more on the path; one other; one less, where the word's next but one follows.
-                    after = {depth} | ({depth + 1} if depth < size else set()) | ({depth + 2} if c == skipped else set())
-                    after.update(i + 1 for i in spent if i < size and word[i] == c)
-                    stack.append((child, depth + 1, c == equal, tuple(after)))
-            else:
-                for c in {word[i] for i in spent if i < size}:
-                    child = label.find(c, begin, end)
-                    if child >= 0:
-                        stack.append((child, depth + 1, False, tuple(i + 1 for i in spent if i < size and word[i] == c)))
+        more = self.length - len(word)
+        if not -1 <= more <= 1:
+            return
+        label, first, find, size = self.label, self.first, self.label.find, len(word)
+        node = 0
+        for depth in range(size + 1):
+            own = word[depth] if depth < size else ""
+            if more < 0:
+                # A character less: of equal ones in a row only the last is left out.
+                if own and word[depth + 1 : depth + 2] != own:
+                    at = self._spelt(node, word, depth + 1)
+                    if at >= 0:
+                        yield self._word(at)
+            elif own or more:
+                begin, end = first[node], first[node + 1]
+                rest = depth + 1 - more
+                if rest == size:
+                    # Nothing is left to spell: the children are words.
+                    for at in range(begin, end):
+                        if label[at] != own:
+                            yield self._word(at)
+                else:
+                    same = find(own, begin, end) if own else -1
+                    skip = (first[same], first[same + 1]) if same >= 0 else (-1, -1)
+                    low, high, c = first[begin], first[end], word[rest]
+                    at = find(c, low, high)
+                    while at >= 0:
+                        if not skip[0] <= at < skip[1]:
+                            got = self._spelt(at, word, rest + 1)
+                            if got >= 0:
+                                yield self._word(got)
+                        at = find(c, at + 1, high)
+            if not own or depth == self.length:
+                break
+            node = find(own, first[node], first[node + 1])
+            if node < 0:
+                break
+
+    def _spelt(self, node: int, word: str, at: int) -> int:
+        """The node that the word's characters from ``at`` lead to, or -1."""
+        first, find = self.first, self.label.find
+        for k in range(at, len(word)):
+            node = find(word[k], first[node], first[node + 1])
+            if node < 0:
+                return -1
+        return node
+
+    def _word(self, node: int) -> tuple[str, int]:
+        n, out = self.n[node - self.words], []
+        while node:
+            out.append(self.label[node])
+            node = bisect_right(self.first, node) - 1
+        return "".join(reversed(out)), n
 
 
 def shards(vocabulary: DataFrame, count: int) -> DataFrame:
-    """(shard, bytes, trie): packed tries over ranges of ``vocabulary``'s words, about SHARD_WORDS each; ``count`` is the number of words."""
+    """(shard, length, bytes, trie): packed tries of one word length each, over ranges of about SHARD_WORDS words by length and word, and what they take unpacked.
+
+    ``count`` is the number of words of ``vocabulary``.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((w, n) for b in batches for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True))
-        if rows:
-            packed = Trie.pack(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([len(packed)], pa.int64()), pa.array([packed], pa.binary())], names=["shard", "bytes", "trie"])
+        by_length: dict[int, list[tuple[str, int]]] = {}
+        for b in batches:
+            for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+                by_length.setdefault(len(w), []).append((w, n))
+        for length, rows in by_length.items():
+            rows.sort()
+            nodes, packed = Trie.pack(rows)
+            columns = [pa.array([f"{length:09d} {rows[0][0]}"]), pa.array([length], pa.int32()), pa.array([nodes * NODE_BYTES], pa.int64()), pa.array([packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "length", "bytes", "trie"])
 
-    return vocabulary.repartitionByRange(ceil(count / SHARD_WORDS), "word").mapInArrow(build, "shard string, bytes long, trie binary")
+    parts = ceil(count / SHARD_WORDS)
+    dealt = vocabulary.withColumn("length", F.length("word")).repartitionByRange(parts, "length", "word").coalesce(parts)
+    return dealt.select("word", "n").mapInArrow(build, "shard string, length int, bytes long, trie binary")
 
 
 def _walk(vocabulary: DataFrame, tries: Broadcast) -> DataFrame:
     """(word, n_near, best): each word's neighbours in the broadcast tries, counted, with the most frequent one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [Trie.unpack(t) for t in tries.value]
+        own: dict[int, list[Trie]] = {}
+        for t in tries.value:
+            trie = Trie.unpack(t)
+            own.setdefault(trie.length, []).append(trie)
         for batch in batches:
             rows = []
             for word in batch.column("word").to_pylist():
                 count, best = 0, (0, "")
-                for trie in own:
-                    for other, n in trie.near(word):
-                        count += 1
-                        best = min(best, (-n, other))
+                # Tries of other lengths leave the automaton no state.
+                for length in (len(word) - 1, len(word), len(word) + 1):
+                    for trie in own.get(length, ()):
+                        for other, n in trie.near(word):
+                            count += 1
+                            best = min(best, (-n, other))
                 if count:
                     rows.append((word, count, -best[0], best[1]))
             if rows:
@@ -178,8 +225,8 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
         rounds[-1].append(shard)
         room -= size
     found = None
-    # Twice as many tasks as the words' own partitions may be: walking is the work, reading is not.
-    dealt = vocabulary.repartition(max(2 * spark.sparkContext.defaultParallelism, ceil(count / SHARD_WORDS)), "word")
+    # Walking is the work, not reading: tasks of about a tenth of a shard's words.
+    dealt = vocabulary.repartition(max(spark.sparkContext.defaultParallelism, ceil(10 * count / SHARD_WORDS)), "word")
     for names in rounds:
         tries = spark.sparkContext.broadcast([bytes(r["trie"]) for r in built.where(F.col("shard").between(names[0], names[-1])).select("trie").collect()])
         some = cut(_walk(dealt, tries))

@@ -68,17 +68,19 @@ def test_variants_match_plain_search(spark):
 def test_many_small_shards_and_rounds_give_the_same(spark, monkeypatch):
     data = rows()
     monkeypatch.setattr(spelling, "SHARD_WORDS", 40)
-    monkeypatch.setattr(spelling, "BROADCAST_BYTES", 600)
+    monkeypatch.setattr(spelling, "BROADCAST_BYTES", 6000)
     assert shown(spark, data) == plain(data)
 
 
 def test_tries_pack_and_walk():
     pick = random.Random(8)
-    words = sorted({"".join(pick.choice("abÿ") for _ in range(pick.randrange(0, 7))) for _ in range(600)})
-    trie = spelling.Trie.unpack(spelling.Trie.pack([(w, k + 1) for k, w in enumerate(words)]))
-    for word in [*words[:200], "aaaaaaaaaa", "zz", "", "bÿz"]:
-        got = sorted(trie.near(word))
-        assert got == sorted((x, words.index(x) + 1) for x in neighbours(word, "abÿ") if x in words), word
+    words = sorted({"".join(pick.choice("abÿ") for _ in range(pick.randrange(1, 7))) for _ in range(600)})
+    place = {w: k + 1 for k, w in enumerate(words)}
+    tries = [spelling.Trie.unpack(spelling.Trie.pack([(w, place[w]) for w in words if len(w) == n])[1]) for n in range(1, 7)]
+    assert [t.length for t in tries] == [1, 2, 3, 4, 5, 6]
+    for word in [*words[:300], "aaaaaaaaaa", "zz", "", "bÿz", "aabbaa"]:
+        got = sorted(x for t in tries for x in t.near(word))
+        assert got == sorted((x, place[x]) for x in neighbours(word, "abÿ") if x in place), word
 
 
 def test_very_long_runs(spark):
