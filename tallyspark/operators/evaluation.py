@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,32 @@ def proportion_interval(hits: int, n: int, level: float = 0.95, resamples: int =
     return float(np.quantile(drawn, (1 - level) / 2)), float(np.quantile(drawn, (1 + level) / 2))
 
 
+def ratio_interval(rows: DataFrame, part: str, whole: str, level: float = 0.95, resamples: int = 2000, seed: int = 20260101) -> tuple[float, float] | None:
+    """A bootstrap interval of sum(part) / sum(whole) over rows of any kind; None without rows.
+
+    In place of drawing rows, every row gets a Poisson weight in each resample,
+    so that all resamples are sums of one pass. Equal rows are counted first,
+    and the weight of n of them is one draw, seeded by their values: the result
+    hangs neither on partitions nor on their order. A mean has 1 as whole.
+    """
+    counts = rows.groupBy(F.col(part).cast("double").alias("a"), F.col(whole).cast("double").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    seeded = counts.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", "n", F.xxhash64("a", "b").alias("key"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, resamples))
+        for batch in batches:
+            for a, b, n, key in batch.itertuples(index=False):
+                weight = np.random.Generator(np.random.PCG64([seed, key & (2**64 - 1)])).poisson(n, resamples)
+                total += np.outer([a, b], weight)
+        yield pd.DataFrame({"slot": np.arange(resamples), "a": total[0], "b": total[1]})
+
+    sums = seeded.mapInPandas(draw, "slot int, a double, b double").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    drawn = np.array([r["a"] / r["b"] for r in sums.where("b != 0").collect()])
+    if not len(drawn):
+        return None
+    return float(np.quantile(drawn, (1 - level) / 2)), float(np.quantile(drawn, (1 + level) / 2))
+
+
 #: Minutes of work, what an hour costs in paise, and the part of a wrongly matched amount that is lost, in percent.
 HOUR_PAISE = 60_000
 MINUTES_FALSE_MATCH, MINUTES_TRIAGE, MINUTES_REVIEW, MINUTES_MANUAL_ROW = 45.0, 3.0, 2.0, 0.5

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyspark.session import cut
+
 
 def mark_duplicates(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """``df`` with survivor, the first ``order`` of the rows that share the key, and is_duplicate.
@@ -81,6 +83,36 @@ def refuse_claimed(groups: DataFrame, earlier: DataFrame) -> DataFrame:
     return groups.join(taken, "match_id", "left_anti")
 
 
+def merged(groups: DataFrame, claimed: DataFrame, order: list[Column]) -> DataFrame:
+    """(match_id, accepted): which groups of a stage stay if they are taken in ``order`` and one whose claims are made already is refused.
+
+    ``claimed`` has match_id, relation and row_id; ``order`` are columns of
+    ``groups``, and equals go by match_id. In a round every group that is the
+    first on all its claims is accepted, and all that share a claim with it are
+    refused, until none is undecided: the same as one after the other, as a
+    group is only decided when all before it that it meets are. A claim that
+    very many groups make is one minimum. Groups without claims are accepted, null claims are none,
+    and of rows that share a match_id the first counts.
+    """
+    place = F.struct(*(c.alias(f"_{k}") for k, c in enumerate(order)), "match_id").alias("place")
+    own = claimed.where("relation IS NOT NULL AND row_id IS NOT NULL").select("match_id", "relation", "row_id").distinct()
+    placed = groups.select("match_id", place).groupBy("match_id").agg(F.min("place").alias("place"))
+    left = cut(placed.join(own, "match_id"))
+    accepted, refused = placed.select("match_id").join(own, "match_id", "left_anti"), None
+    while left.limit(1).count():
+        first = left.groupBy("relation", "row_id").agg(F.min("place").alias("_first"))
+        held = left.join(first, ["relation", "row_id"])
+        won = held.groupBy("match_id").agg(F.bool_and(F.col("place") == F.col("_first")).alias("_all")).where("_all").select("match_id")
+        won = cut(won)
+        taken = left.join(won, "match_id", "left_semi").select("relation", "row_id").distinct()
+        lost = cut(left.join(won, "match_id", "left_anti").join(taken, ["relation", "row_id"], "left_semi").select("match_id").distinct())
+        accepted = accepted.unionByName(won)
+        refused = lost if refused is None else refused.unionByName(lost)
+        left = cut(left.join(won.unionByName(lost), "match_id", "left_anti"))
+    out = accepted.select("match_id", F.lit(True).alias("accepted"))
+    return out if refused is None else out.unionByName(refused.select("match_id", F.lit(False).alias("accepted")))
+
+
 def claimed_pairs(groups: DataFrame) -> DataFrame:
     """(left_id, right_id) that groups claim: their links, and each member with its credit."""
     links = groups.select(F.explode("links").alias("l")).select(F.col("l.gateway_id").alias("a"), F.col("l.ledger_id").alias("b"))

@@ -8,6 +8,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tallyspark.session import cut
 
 
 @dataclass(frozen=True)
@@ -55,27 +58,94 @@ def rules(requests: DataFrame, policy: Policy) -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
+#: Width of the stretches of ``order`` whose sums are added up before their rows' own.
+STRETCH = 100_000
+#: Requests of a run that are decided one after the other in one task; of more, running sums decide first.
+FOLDED = 100_000
+#: Rounds of running sums before what is left is decided one after the other, however much it is.
+ROUNDS = 40
+
+
+def _running(rows: DataFrame, run: str, order: str) -> DataFrame:
+    """``rows`` (run, order, size) with ``upto`` and ``place``, the running sum and count of the run: by stretches first, so that one run is many tasks."""
+    rows = rows.withColumn("_at", F.floor(F.col(order) / STRETCH))
+    before = W.partitionBy(run).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(run, "_at").agg(F.sum("size").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    sums = sums.select(run, "_at", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_sum"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_count"))
+    inside = W.partitionBy(run, "_at").orderBy(order)
+    rows = rows.join(sums, [run, "_at"])
+    return rows.select(run, order, "size", (F.col("_sum") + F.sum("size").over(inside)).alias("upto"), (F.col("_count") + F.row_number().over(inside)).alias("place"))
+
+
 def within_budget(decided: DataFrame, policy: Policy, run: str = "run_id", order: str = "seq") -> DataFrame:
     """(run, order, posted): which approved requests a run's caps let through, in their order.
 
-    A request that is refused uses nothing of the budget, so this is a fold over
-    the run's requests, not a running sum. Rows arrive sorted by run and order,
-    in batches; only the two totals of the run at hand are kept.
+    ``order`` is a whole number, distinct within a run. A request that is refused
+    uses nothing of the budget, so later, smaller ones may still pass. In a
+    round, running sums post all requests up to the first that does not fit;
+    this one and all later ones that are larger than what is left are refused;
+    the others go into the next round. A run with no more than FOLDED requests
+    left is decided one after the other, in one task, as are those that still
+    have some after ROUNDS rounds: the result is the same either way.
     """
+    kinds = dict(decided.dtypes)
+    size = F.abs("amount_paise").alias("size")
+    fits = F.col("verdict").isin("auto_approved", "approved_by_human")
+    left = decided.where(fits).select(run, order, size)
+    spent = left.select(run).distinct().select(run, F.lit(0).cast("long").alias("spent"), F.lit(0).cast("long").alias("count"))
+    posted = None
+    for _ in range(ROUNDS):
+        # One row a run: how many requests it has left.
+        most = left.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        if most <= FOLDED:
+            break
+        rows = cut(_running(left, run, order).join(spent, run))
+        passes = (F.col("spent") + F.col("upto") <= policy.run_cap_paise) & (F.col("count") + F.col("place") <= policy.run_cap_count)
+        stops = rows.where(~passes).groupBy(run).agg(F.min(order).alias("_stop"))
+        rows = rows.join(stops, run, "left")
+        taken = rows.where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))
+        some = cut(taken.select(run, order, "size"))
+        posted = some if posted is None else posted.unionByName(some)
+        gained = some.groupBy(run).agg(F.sum("size").alias("_s"), F.count(F.lit(1)).alias("_n"))
+        spent = spent.join(gained, run, "left").select(run, (F.col("spent") + F.coalesce("_s", F.lit(0))).alias("spent"), (F.col("count") + F.coalesce("_n", F.lit(0))).alias("count"))
+        spent = cut(spent)
+        later = rows.where(F.col(order) > F.col("_stop")).select(run, order, "size").join(spent, run)
+        room = (F.col("spent") + F.col("size") <= policy.run_cap_paise) & (F.col("count") < policy.run_cap_count)
+        left = cut(later.where(room).select(run, order, "size"))
+    kept = _folded(left.join(spent, run), policy, run, order, kinds)
+    posted = kept if posted is None else posted.select(run, order).unionByName(kept)
+    every = decided.select(run, order)
+    return every.join(posted.withColumn("_p", F.lit(True)), [run, order], "left").select(run, order, F.coalesce("_p", F.lit(False)).alias("posted"))
+
+
+def _folded(rows: DataFrame, policy: Policy, run: str, order: str, kinds: dict[str, str]) -> DataFrame:
+    """(run, order) of the requests that pass one after the other; rows come sorted, in batches, and only a run's two totals are kept."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, total, count = None, 0, 0
         for batch in batches:
-            posted = []
-            for key, amount, fits in zip(batch[run], batch["amount_paise"], batch["_fits"], strict=True):
+            passed = []
+            for key, size, spent, n in zip(batch[run], batch["size"], batch["spent"], batch["count"], strict=True):
                 if key != current:
-                    current, total, count = key, 0, 0
-                ok = bool(fits) and total + abs(amount) <= policy.run_cap_paise and count < policy.run_cap_count
-                posted.append(ok)
-                total, count = (total + abs(amount), count + 1) if ok else (total, count)
-            yield batch[[run, order]].assign(posted=posted)
+                    current, total, count = key, spent, n
+                ok = total + size <= policy.run_cap_paise and count < policy.run_cap_count
+                passed.append(ok)
+                total, count = (total + size, count + 1) if ok else (total, count)
+            yield batch.loc[passed, [run, order]]
 
-    kinds = dict(decided.dtypes)
-    rows = decided.select(run, order, "amount_paise", F.col("verdict").isin("auto_approved", "approved_by_human").alias("_fits"))
-    rows = rows.repartition(run).sortWithinPartitions(run, order)
-    return rows.mapInPandas(fold, f"{run} {kinds[run]}, {order} {kinds[order]}, posted boolean")
+    dealt = rows.repartition(run).sortWithinPartitions(run, order)
+    return dealt.mapInPandas(fold, f"{run} {kinds[run]}, {order} {kinds[order]}")
+
+
+def verdicts(requests: DataFrame, policy: Policy, run: str = "run_id", order: str = "seq") -> DataFrame:
+    """``requests`` with ``failed`` and ``verdict`` by all rules, the caps of the run among them.
+
+    A request that the run's caps refuse breaks run_caps, which denies; a
+    request that another rule stops uses nothing of them and is not held
+    against them.
+    """
+    decided = rules(requests, policy)
+    posted = within_budget(decided, policy, run, order)
+    capped = F.col("verdict").isin("auto_approved", "approved_by_human") & ~F.col("posted")
+    rows = decided.join(posted, [run, order]).withColumn("_capped", capped)
+    return rows.withColumns({"failed": F.when(F.col("_capped"), F.concat("failed", F.array(F.lit("run_caps")))).otherwise(F.col("failed")), "verdict": F.when(F.col("_capped"), "denied").otherwise(F.col("verdict"))}).drop("_capped", "posted")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import attribution, audit
+from tallyspark.operators import attribution, audit, evaluation, matching
 from tallyspark.plans import adapters as ad
 from tallyspark.plans.catalogue import _TREE, query
 from tallyspark.session import cut
@@ -47,3 +47,25 @@ def merkle_proofs(spark, d):
     tree = cut(audit.new_nodes(leaves, 0, least["_n"]))
     proofs = audit.inclusion_proofs(tree, leaves, least["_n"]).join(leaves, "seq")
     return proofs.select("seq", F.size("path").alias("steps"), audit.proven_root("leaf_hash", "path").alias("root"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber AS match_id, 'as ' || min(l_returnflag) AS m, 'at ' || min(l_tax) AS t, max(l_extendedprice) AS price FROM lineitem GROUP BY l_orderkey, l_linenumber),
+g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY price DESC, match_id) AS k FROM n),
+f AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS k, []::VARCHAR[] AS held, NULL::VARCHAR AS match_id, NULL::BOOLEAN AS accepted FROM g
+  UNION ALL SELECT g.l_orderkey, g.k, CASE WHEN list_has_any(held, [m, t]) THEN held ELSE held || [m, t] END, g.match_id, NOT list_has_any(held, [m, t]) FROM f JOIN g ON g.l_orderkey = f.l_orderkey AND g.k = f.k + 1)
+SELECT match_id, accepted FROM f WHERE match_id IS NOT NULL""", books=False)
+def stage_merge(spark, d):
+    """Lines of an order as groups of one stage that claim one of the order's flags and taxes: the dearest first, each claim once."""
+    lines = ad.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_tax").cast("string").alias("tax"), F.max("l_extendedprice").alias("price"))
+    lines = cut(lines.withColumn("match_id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))))
+    claim = lambda prefix, c: F.struct(F.concat(F.lit(prefix), F.col("l_orderkey").cast("string")).alias("relation"), F.col(c).alias("row_id"))
+    claims = lines.select("match_id", F.explode(F.array(claim("as ", "flag"), claim("at ", "tax"))).alias("c")).select("match_id", "c.*")
+    return matching.merged(lines.select("match_id", "price"), claims, [-F.col("price")])
+
+
+@query()
+def returned_share_interval(spark, d):
+    """A bootstrap interval of the returned lines' share of all lines' value."""
+    lines = ad.table(spark, d, "lineitem").select((F.col("l_extendedprice") * (F.col("l_returnflag") == "R").cast("int")).alias("returned"), F.col("l_extendedprice").alias("value"))
+    low, high = evaluation.ratio_interval(lines, "returned", "value") or (None, None)
+    return spark.createDataFrame([(low, high)], "low double, high double")

@@ -252,6 +252,61 @@ def test_policy_boundaries_and_budget(spark):
     assert {r.verdict for r in policy.rules(rows, policy.Policy(kill_switch=True)).collect()} == {"denied"}
 
 
+@pytest.mark.parametrize("folded, rounds", [(0, 40), (0, 2), (10**6, 40)])
+def test_budgets_by_running_sums_equal_the_fold(spark, monkeypatch, folded, rounds):
+    monkeypatch.setattr(policy, "FOLDED", folded)
+    monkeypatch.setattr(policy, "ROUNDS", rounds)
+    monkeypatch.setattr(policy, "STRETCH", 7)
+    pick = np.random.default_rng(6)
+    rows = [(r, int(k) * 3, int(pick.integers(1, 400)) * (-1) ** k, "auto_approved" if pick.random() < 0.8 else "denied") for r in range(3) for k in range(60)]
+    caps = policy.Policy(run_cap_paise=3000, run_cap_count=18)
+    want, state = {}, {}
+    for r, k, a, v in sorted(rows):
+        total, n = state.get(r, (0, 0))
+        want[r, k] = v == "auto_approved" and total + abs(a) <= 3000 and n < 18
+        state[r] = (total + abs(a), n + 1) if want[r, k] else (total, n)
+    decided = spark.createDataFrame(rows, "run_id int, seq long, amount_paise long, verdict string")
+    assert {(r.run_id, r.seq): r.posted for r in policy.within_budget(decided, caps).collect()} == want
+    assert policy.within_budget(decided.limit(0), caps).count() == 0
+
+
+def test_run_caps_join_the_verdict(spark):
+    columns = "run_id int, seq long, amount_paise long, currency string, confidence double, reason string, evidence_count int, human_approved boolean, action_class string"
+    rows = spark.createDataFrame([(1, k, a, "INR", 0.95, "r", 1, False, "post_entry") for k, a in enumerate([60, 50, 3_000_000, 40, 1])], columns)
+    got = {r.seq: (r.failed, r.verdict) for r in policy.verdicts(rows, policy.Policy(run_cap_paise=100)).collect()}
+    assert got == {0: ([], "auto_approved"), 1: (["run_caps"], "denied"), 2: (["materiality"], "needs_human"), 3: ([], "auto_approved"), 4: (["run_caps"], "denied")}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merging_a_stage_equals_one_after_the_other(spark, seed):
+    pick = np.random.default_rng(seed)
+    groups = [(f"m{k:03d}", float(pick.integers(0, 5))) for k in range(120)]
+    claims = {m: {(f"r{pick.integers(2)}", f"x{pick.integers(60)}") for _ in range(pick.integers(0, 4))} for m, _ in groups}
+    want, held = {}, set()
+    for m, _ in sorted(groups, key=lambda g: (-g[1], g[0])):
+        want[m] = not claims[m] & held
+        held |= claims[m] if want[m] else set()
+    df = spark.createDataFrame(groups, "match_id string, confidence double")
+    claimed = spark.createDataFrame([(m, *c) for m, own in claims.items() for c in own], "match_id string, relation string, row_id string")
+    assert {r.match_id: r.accepted for r in matching.merged(df, claimed, [-F.col("confidence")]).collect()} == want
+    assert matching.merged(df.limit(0), claimed, [-F.col("confidence")]).count() == 0
+
+
+def test_bootstrap_of_a_ratio_is_close_to_drawing_rows(spark):
+    pick = np.random.default_rng(9)
+    whole = pick.integers(1, 50, 3000)
+    part = pick.binomial(whole, 0.3)
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(part, whole)], "a long, b long")
+    low, high = evaluation.ratio_interval(rows.repartition(7), "a", "b")
+    assert (low, high) == evaluation.ratio_interval(rows.repartition(1), "a", "b")
+    at = pick.integers(0, 3000, (2000, 3000))
+    drawn = part[at].sum(axis=1) / whole[at].sum(axis=1)
+    assert abs(low - np.quantile(drawn, 0.025)) < 0.0015 and abs(high - np.quantile(drawn, 0.975)) < 0.0015
+    assert evaluation.ratio_interval(rows.limit(0), "a", "b") is None
+    same = evaluation.ratio_interval(spark.createDataFrame([(1, 1)] * 100, "a long, b long"), "a", "b")
+    assert same == (1.0, 1.0)
+
+
 def plain_root(hashes):
     while len(hashes) > 1:
         hashes = [hashlib.sha256(b"\x01" + hashes[k] + hashes[k + 1]).digest() if k + 1 < len(hashes) else hashes[k] for k in range(0, len(hashes), 2)]
