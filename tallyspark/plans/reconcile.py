@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.functions.money import with_fees
-from tallyspark.operators import attribution, blocking, exceptions, linkage, matching, waterfall
+from tallyspark.operators import attribution, blocking, evaluation, exceptions, linkage, matching, waterfall
+from tallyspark.session import cut
 
 
 def candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -23,50 +24,112 @@ def candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
     return blocking.candidates(rows, keys).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"), "why")
 
 
-def close(payments: DataFrame, invoices: DataFrame, credits: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
-    """All that a close finds: duplicates, links (payment to invoice), attributed (payment to credit), settlements, review and exceptions.
+def utr_stage(settlements: DataFrame, credits: DataFrame, days: DataFrame, most_days: int = 2) -> DataFrame:
+    """(settlement_id, credit_id): a gateway's settlements and the only credit of their reference, of the same amount and at most some open days later.
 
-    Each stage takes what the earlier ones left open, and every input row ends
-    in exactly one place. The fit sees all candidate pairs, as counts of at most
-    5**5 patterns; the driver sees nothing else.
+    ``settlements`` has settlement_id, reference, amount_paise and occurred_on;
+    ``credits`` credit_id, reference, amount_paise and landed_on.
     """
-    marked = matching.mark_duplicates(payments, ["reference", "amount_paise", "occurred_on"], "payment_id")
+    dated = lambda df, on, name: df.join(F.broadcast(days.select(F.col("ds").alias("_ds"), F.col("bd_ord").alias(name))), F.col(on) == F.col("_ds")).drop("_ds")
+    left = dated(settlements.select("settlement_id", text.normal_reference("reference").alias("utr"), F.col("amount_paise").alias("settled_paise"), "occurred_on"), "occurred_on", "_from").where("utr != ''")
+    right = dated(credits.select("credit_id", text.normal_reference("reference").alias("utr"), "amount_paise", "landed_on"), "landed_on", "_to")
+    accept = (F.col("amount_paise") == F.col("settled_paise")) & (F.col("_to") - F.col("_from")).between(0, most_days)
+    return matching.first_accepted(left, right, "settlement_id", ["utr"], accept).select("settlement_id", "credit_id")
+
+
+def _claims(groups: DataFrame) -> DataFrame:
+    """(match_id, relation, row_id): what the groups of a stage claim: an invoice's and a payment's only link, and a payment's only settlement."""
+    links = groups.where("relation = 'pays_invoice'").select("match_id", "relation", F.explode(F.array(F.concat(F.lit("p:"), "payment_id"), F.concat(F.lit("i:"), "invoice_id"))).alias("row_id"))
+    return links.unionByName(groups.where("relation = 'settles_into'").select("match_id", "relation", F.col("payment_id").alias("row_id")))
+
+
+def add_stage(made: DataFrame | None, stage: str, found: DataFrame) -> DataFrame:
+    """``made`` with what a stage adds to it: nothing that it claims already, and of the stage's own groups the first on each claim.
+
+    Groups have match_id, relation, payment_id, invoice_id, credit_id and
+    confidence; the stage's groups go by confidence, then by id.
+    """
+    found = cut(found.withColumn("stage", F.lit(stage)))
+    if made is not None:
+        taken = _claims(made).select("relation", "row_id").distinct()
+        found = found.join(_claims(found).join(taken, ["relation", "row_id"], "left_semi").select("match_id").distinct(), "match_id", "left_anti")
+    kept = matching.merged(found, _claims(found), [-F.col("confidence")]).where("accepted").select("match_id")
+    found = cut(found.join(kept, "match_id"))
+    return found if made is None else made.unionByName(found)
+
+
+def close(payments: DataFrame, invoices: DataFrame, credits: DataFrame, days: DataFrame, refunds: DataFrame | None = None, settlements: DataFrame | None = None, truth: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All that a close finds, a table for each part of it.
+
+    duplicates; links (payment to invoice); review; utr (a gateway's settlements
+    and their bank lines, where ``settlements`` is given and credits have a
+    reference); attributed (payment to credit, by stages); groups (a credit's
+    members with its confidence); settlements (with ``refunds``: amount_paise and
+    landed_on, which the first credit of their date bears); residue (what nothing placed, with its type); exceptions; and
+    metrics, where ``truth`` (payment_id, invoice_id) is given.
+
+    Each stage takes what the earlier ones left open and may only add, and every
+    input row ends in exactly one place. The fit sees all candidate pairs, as
+    counts of at most 5**5 patterns; the driver sees nothing else.
+    """
+    marked = cut(matching.mark_duplicates(payments, ["reference", "amount_paise", "occurred_on"], "payment_id"))
     duplicates = marked.where("is_duplicate").select("payment_id", "survivor", "amount_paise", "occurred_on")
     live = marked.where("NOT is_duplicate").drop("survivor", "is_duplicate")
 
+    link = lambda df, probability: df.select(
+        F.concat_ws(" ", "payment_id", "invoice_id").alias("match_id"), F.lit("pays_invoice").alias("relation"), "payment_id", "invoice_id", F.lit(None).cast("string").alias("credit_id"), probability.cast("double").alias("confidence")
+    )
     exact = matching.unique_matches(live.select("payment_id", "reference", "amount_paise"), invoices.select("invoice_id", "reference", "amount_paise"), "payment_id", "invoice_id", ["reference", "amount_paise"])
-    exact = exact.select("payment_id", "invoice_id", F.lit("exact").alias("stage"), F.lit(1.0).alias("probability"))
+    made = add_stage(None, "exact", link(exact, F.lit(1.0)))
 
-    compared = linkage.compared(candidates(live, invoices), live, invoices, "payment_id", "invoice_id")
+    compared = cut(linkage.compared(candidates(live, invoices), live, invoices, "payment_id", "invoice_id"))
     counts = [(tuple(r[f] for f in linkage.FIELDS), r["n"]) for r in linkage.pattern_counts(compared).collect()]
     scored = linkage.score(compared, linkage.fit(counts)).withColumn("band", linkage.band())
-    open_pairs = scored.join(exact.select("payment_id"), "payment_id", "left_anti").join(exact.select("invoice_id"), "invoice_id", "left_anti")
+    open_pairs = scored.join(made.select("payment_id"), "payment_id", "left_anti").join(made.select("invoice_id"), "invoice_id", "left_anti")
     linked = matching.mutual_best(open_pairs.where("band = 'link'"), "payment_id", "invoice_id", "bits")
-    links = exact.unionByName(linked.select("payment_id", "invoice_id", F.lit("linkage").alias("stage"), "probability"))
+    made = add_stage(made, "linkage", link(linked, F.col("probability")))
     review = open_pairs.where("band = 'review'").select("payment_id", "invoice_id", "bits", "probability")
 
-    due = with_fees(live).join(F.broadcast(days.select(F.col("ds").alias("occurred_on"), "settles_on")), "occurred_on")
-    single = attribution.by_single_credit(due, credits)
-    alone = single.where("attributed").select(F.col("landed_on").alias("settles_on"), "credit_id")
-    attributed = due.join(alone, "settles_on").select("payment_id", "credit_id", F.lit(True).alias("exact"))
-    attributed = attributed.unionByName(attribution.by_several_credits(due, credits))
+    fees = with_fees(live).join(F.broadcast(days.select(F.col("ds").alias("occurred_on"), "settles_on", "win_low", "win_high")), "occurred_on")
+    due = cut(fees.where("settles_on IS NOT NULL AND win_low IS NOT NULL AND win_high IS NOT NULL"))
+    found = attribution.attribute(due, credits.select("credit_id", "landed_on", "amount_paise"))
+    settles = found.select(
+        F.concat_ws(" ", "payment_id", "credit_id").alias("match_id"), F.lit("settles_into").alias("relation"), "payment_id", F.lit(None).cast("string").alias("invoice_id"), "credit_id",
+        F.when(F.col("exact"), 1.0).otherwise(0.5).alias("confidence"), F.col("stage").alias("how"), "exact",
+    )
+    made = add_stage(made, "attribution", settles.drop("how", "exact"))
+    links = made.where("relation = 'pays_invoice'").select("payment_id", "invoice_id", "stage", F.col("confidence").alias("probability"))
+    attributed = cut(made.where("relation = 'settles_into'").select("match_id").join(settles, "match_id").select("payment_id", "credit_id", "exact", F.col("how").alias("stage")))
 
-    members = live.join(attributed.select("payment_id", "credit_id"), "payment_id")
     received = credits.select("credit_id", F.col("landed_on").alias("settled_on"), F.col("amount_paise").alias("net_received_paise"))
-    settlements = waterfall.settle(waterfall.totals(members, "credit_id"), received, "credit_id")
+    members = due.join(attributed.select("payment_id", "credit_id"), "payment_id").join(received, "credit_id").withColumnsRenamed({"settled_on": "landed_on", "net_received_paise": "target_paise"})
+    groups = attribution.groups(members, links)
+    taken = None if refunds is None else waterfall.refunds_by_date(refunds, received.groupBy(F.col("settled_on").alias("landed_on")).agg(F.min("credit_id").alias("credit_id")), "landed_on")
+    fallen = waterfall.settle(waterfall.totals(members, "credit_id", taken), received, "credit_id")
+
+    residue = matching.unmatched(live, attributed, "payment_id").select(F.col("payment_id").alias("row_id"), F.lit("payment").alias("kind"), F.lit("credit").alias("direction"), "amount_paise", F.col("occurred_on").alias("as_of"))
+    for df, placed, on, kind, day in ((credits, attributed, "credit_id", "bank_line", "landed_on"), (invoices, links, "invoice_id", "invoice", "occurred_on")):
+        residue = residue.unionByName(matching.unmatched(df, placed, on).select(F.col(on).alias("row_id"), F.lit(kind).alias("kind"), F.lit("credit").alias("direction"), "amount_paise", F.col(day).alias("as_of")))
+    residue = cut(residue.withColumn("exception_type", exceptions.residue_type("kind", "direction", "amount_paise")))
 
-    found = [
+    raised = [
         duplicates.select(F.array("payment_id", "survivor").alias("source_ids"), F.lit("duplicate").alias("exception_type"), "amount_paise", F.col("occurred_on").alias("as_of")),
-        matching.unmatched(live, attributed, "payment_id").select(F.array("payment_id"), F.lit("missing_in_bank"), "amount_paise", "occurred_on"),
-        matching.unmatched(credits, attributed, "credit_id").select(F.array("credit_id"), F.lit("missing_in_ledger"), "amount_paise", "landed_on"),
-        matching.unmatched(invoices, links, "invoice_id").select(F.array("invoice_id"), F.lit("missing_in_gateway"), "amount_paise", "occurred_on"),
-        settlements.where("remainder_type IS NOT NULL").select(F.array("credit_id"), "remainder_type", -F.col("residual_before_naming_paise"), "settled_on"),
+        residue.select(F.array("row_id"), "exception_type", "amount_paise", "as_of"),
+        fallen.where("remainder_type IS NOT NULL").select(F.array("credit_id"), "remainder_type", -F.col("residual_before_naming_paise"), "settled_on"),
     ]
-    every = found[0]
-    for rows in found[1:]:
+    every = raised[0]
+    for rows in raised[1:]:
         every = every.union(rows)
     every = every.withColumn("severity", exceptions.severity()).withColumn("exception_id", exceptions.exception_id("exception_type", "source_ids", "as_of", "amount_paise"))
-    return {"duplicates": duplicates, "links": links, "review": review, "attributed": attributed, "settlements": settlements, "exceptions": every}
+    out = {"duplicates": duplicates, "links": links, "review": review, "attributed": attributed, "groups": groups, "settlements": fallen, "residue": residue, "exceptions": every}
+    if settlements is not None and "reference" in credits.columns:
+        out["utr"] = utr_stage(settlements, credits, days)
+    if truth is not None:
+        rows = live.select(F.col("payment_id").alias("row_id")).unionByName(invoices.select(F.col("invoice_id").alias("row_id")))
+        matched = links.select(F.col("payment_id").alias("row_id")).unionByName(links.select(F.col("invoice_id").alias("row_id")))
+        posted, right = links.toDF("left_id", "right_id", "stage", "probability").select("left_id", "right_id"), truth.where("payment_id IS NOT NULL AND invoice_id IS NOT NULL").select(F.col("payment_id").alias("left_id"), F.col("invoice_id").alias("right_id"))
+        out["metrics"] = evaluation.run_metrics(rows, matched, posted, right, matching.unmatched(rows, matched, "row_id"))
+    return out
 
 
 def report(closed: dict[str, DataFrame]) -> DataFrame:

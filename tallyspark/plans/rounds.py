@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import attribution, audit, evaluation, matching
 from tallyspark.plans import adapters as ad
+from tallyspark.plans import reconcile
 from tallyspark.plans.catalogue import _TREE, query
 from tallyspark.session import cut
 
@@ -69,3 +70,12 @@ def returned_share_interval(spark, d):
     lines = ad.table(spark, d, "lineitem").select((F.col("l_extendedprice") * (F.col("l_returnflag") == "R").cast("int")).alias("returned"), F.col("l_extendedprice").alias("value"))
     low, high = evaluation.ratio_interval(lines, "returned", "value") or (None, None)
     return spark.createDataFrame([(low, high)], "low double, high double")
+
+
+@query()
+def close_report(spark, d):
+    """A whole close over the books: how much each part of it holds."""
+    p, i = ad.payments(spark, d), ad.invoices(spark, d)
+    truth = p.select("key", "payment_id").join(i.select("key", "invoice_id"), "key").select("payment_id", "invoice_id")
+    refunds = p.where("key % 50 = 0").select(F.date_add("occurred_on", 2).alias("landed_on"), F.expr("amount_paise div 10").alias("amount_paise"))
+    return reconcile.report(reconcile.close(p, i, ad.credits(spark, d), ad.days(spark, d), refunds=refunds, truth=truth))

@@ -6,13 +6,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from tallyspark.functions import calendar as cal
 from tallyspark.functions import money, text
 
 TXN = [
     "txn_id", "source", "kind", "external_id", "amount_paise", "currency", "direction", "occurred_at", "occurred_on", "settled_on", "method",
-    "counterparty", "raw_counterparty", "reference", "raw_reference", "raw_narration", "parent_id", "metadata", "problem", "raw",
+    "counterparty", "raw_counterparty", "reference", "raw_reference", "raw_narration", "parent_id", "metadata", "file", "row_number", "problem", "raw",
 ]
 #: The books' time zone.
 ZONE = "+05:30"
@@ -35,26 +36,46 @@ def _complete(rows: DataFrame, source: str, **given: Column) -> DataFrame:
     """All columns of a transaction; what a source does not have is null."""
     rows = rows.withColumns({**given, "source": F.lit(source)}).withColumn("txn_id", txn_id(source))
     have = set(rows.columns)
-    kinds = {"settled_on": "date", "occurred_at": "timestamp", "metadata": "map<string,string>"}
+    kinds = {"row_number": "long", "settled_on": "date", "occurred_at": "timestamp", "metadata": "map<string,string>"}
     return rows.select(*(F.col(c) if c in have else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in TXN))
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows without the columns of the quarantine, and the quarantine: source, external_id, problem and raw row."""
-    return rows.where("problem IS NULL").drop("problem", "raw"), rows.where("problem IS NOT NULL").select("source", "external_id", "problem", "raw")
+    """Good rows without the columns of the quarantine, and the quarantine: source, external_id, file, row_number, problem and raw row."""
+    return rows.where("problem IS NULL").drop("problem", "raw"), rows.where("problem IS NOT NULL").select("source", "external_id", "file", "row_number", "problem", "raw")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
     """Every column as text, a byte-order mark understood; a file that is not there has no rows.
 
-    Files are split among tasks, unless fields may hold line breaks (``multi_line``).
+    Files are split among tasks, unless fields may hold line breaks
+    (``multi_line``). ``file`` and ``row_number`` say where a row stands, the
+    first one after the header being 0. ``_raw`` is the row as it was read: its
+    own line where it has too few or too many fields, which ``_broken`` says.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_line"]])
     try:
-        rows = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multi_line).schema(schema).csv(path)
+        rows = spark.read.options(header=True, encoding="UTF-8", multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_line").schema(schema).csv(path)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
-    return rows.withColumn("_raw", F.to_json(F.struct(*columns)))
+        return spark.createDataFrame([], T.StructType([*schema.fields[:-1], *(T.StructField(n, t) for n, t in (("file", T.StringType()), ("row_number", T.LongType()), ("_raw", T.StringType()), ("_broken", T.BooleanType())))]))
+    rows = numbered_rows(rows)
+    broken = F.col("_line").isNotNull()
+    return rows.withColumns({"_raw": F.when(broken, F.col("_line")).otherwise(F.to_json(F.struct(*columns))), "_broken": broken}).drop("_line")
+
+
+def numbered_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` of files with ``file`` and ``row_number``, a row's place in its file from 0.
+
+    A file is read in splits by many tasks. Rows of a split follow each other
+    within a task, so their own numbers are counted from the split's first row;
+    the splits' sizes, one row a split, are summed up to where each begins.
+    """
+    split = {"file": F.col("_metadata.file_path"), "_begin": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+    rows = rows.select("*", *(c.alias(n) for n, c in split.items()))
+    sizes = rows.groupBy("file", "_begin").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("file").orderBy("_begin")) - F.col("_n")
+    places = sizes.select("file", "_begin", "_first", before.alias("_before"))
+    return rows.join(places, ["file", "_begin"]).withColumn("row_number", F.col("_at") - F.col("_first") + F.col("_before")).drop("_begin", "_at", "_first", "_before")
 
 
 def read_bank(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +85,7 @@ def read_bank(spark: SparkSession, path: str) -> DataFrame:
     credit = filled("credit")
     amount = money.parse_paise(F.when(credit, F.col("credit")).otherwise(F.col("debit")))
     day = cal.statement_date("value_date")
-    problem = F.when(filled("credit") == filled("debit"), "one of debit and credit is needed").when(amount.isNull(), "amount").when(day.isNull(), "value_date").when(~filled("row_id"), "row_id")
+    problem = F.when(F.col("_broken"), "fields").when(filled("credit") == filled("debit"), "one of debit and credit is needed").when(amount.isNull(), "amount").when(day.isNull(), "value_date").when(~filled("row_id"), "row_id")
     parsed = text.parse_narration("narration")
     return _complete(
         rows, "bank", external_id=F.col("row_id"), kind=F.lit("bank_line"), amount_paise=F.abs(amount), currency=F.lit("INR"), direction=F.when(credit, "credit").otherwise("debit"),
@@ -79,7 +100,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Invoices; the order is their reference and their parent."""
     rows = read_csv(spark, path, ["invoice_no", "invoice_date", "counterparty", "amount", "order_id", "status"])
     amount, day = money.parse_paise("amount"), cal.statement_date("invoice_date")
-    problem = F.when(amount.isNull(), "amount").when(day.isNull(), "invoice_date").when(F.coalesce(F.col("invoice_no"), F.lit("")) == "", "invoice_no")
+    problem = F.when(F.col("_broken"), "fields").when(amount.isNull(), "amount").when(day.isNull(), "invoice_date").when(F.coalesce(F.col("invoice_no"), F.lit("")) == "", "invoice_no")
     return _complete(
         rows, "ledger", external_id=F.col("invoice_no"), kind=F.lit("invoice"), amount_paise=amount, currency=F.lit("INR"), direction=F.lit("credit"), occurred_on=day, method=F.lit("unknown"),
         raw_counterparty=F.col("counterparty"), counterparty=text.normal_name("counterparty"), raw_reference=F.col("order_id"), reference=F.col("order_id"), parent_id=F.col("order_id"), problem=problem, raw=F.col("_raw"),

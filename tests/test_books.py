@@ -38,6 +38,26 @@ def test_readers_and_quarantine(spark, tmp_path):
     assert gateway.select("txn_id").distinct().count() == 3
 
 
+def test_rows_are_numbered_over_many_splits(spark, tmp_path):
+    names = [f"{k:04d}" for k in range(900)]
+    lines = [f"INV-{n},{'2026-03-01' if k % 90 else 'soon'},Firm {n},{k}.50,order_{n}" + (",paid" if k % 100 != 7 else "") + (",more" if k % 100 == 8 else "") for k, n in enumerate(names)]
+    (tmp_path / "books").mkdir()
+    for part, own in (("a", lines[:600]), ("b", lines[600:])):
+        (tmp_path / "books" / f"{part}.csv").write_text("\n".join(["invoice_no,invoice_date,counterparty,amount,order_id,status", *own]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        rows = statements.read_ledger(spark, str(tmp_path / "books"))
+        assert rows.rdd.getNumPartitions() > 1
+        got = {r.external_id: (r.file[-5:], r.row_number) for r in rows.collect()}
+        bad = {r.external_id: r for r in statements.split(rows)[1].collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"INV-{n}": ("a.csv" if k < 600 else "b.csv", k % 600) for k, n in enumerate(names)}
+    assert {i: r.problem for i, r in bad.items()} == {f"INV-{n}": "fields" if k % 100 in (7, 8) else "invoice_date" for k, n in enumerate(names) if k % 100 in (7, 8) or k % 90 == 0}
+    assert bad["INV-0607"].raw == lines[607] and bad["INV-0607"].row_number == 7 and "soon" in bad["INV-0090"].raw
+
+
 def test_rail_only_reads(spark, tmp_path):
     books(tmp_path)
     files = rail.FileRail(spark, str(tmp_path))
