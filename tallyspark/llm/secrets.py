@@ -194,8 +194,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     asked = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = tuple(r for r in rules if frozenset() not in asked[r.kind])
-    rows = docs.select(packed(docs, "spans"), F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("whole"))
-    text = F.col("whole")
+    # The text moves once, inside its row.
+    rows = docs.select(packed(docs, "spans"), F.col("doc_id").alias("key"))
+    text = F.coalesce("row.text", F.lit(""))
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,own:int>>")
     if indexed:
         vocabulary = sorted({t for r in indexed for clause in asked[r.kind] for t in clause})
