@@ -206,7 +206,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for rank, rule in enumerate(rules):
         own = _spans(text, rule, rank)
         spans.append(F.when(F.array_contains("_rules", rule.kind), own).otherwise(none) if rule in indexed else own)
-    return rows.select("row.*", F.array_sort(F.concat(*spans)).alias("spans"))
+    # In two steps, as a column of the row may be called row.
+    return rows.select("row", F.array_sort(F.concat(*spans)).alias("_spans")).select("row.*", F.col("_spans").alias("spans"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
