@@ -105,8 +105,8 @@ def assign_one_to_one(weights: np.ndarray, abstain: float) -> list[tuple[int, in
     for each row to stay free in. NaN forbids a pair.
     """
     rows, columns = weights.shape
-    cost = np.full((rows, columns + rows), 1e6)
-    cost[:, :columns] = np.where(np.isnan(weights), 1e6, -weights)
+    cost = np.full((rows, columns + rows), np.inf)
+    cost[:, :columns] = np.where(np.isnan(weights), np.inf, -weights)
     cost[np.arange(rows), columns + np.arange(rows)] = -abstain
     size = columns + rows
     by_row, by_column = np.zeros(rows), np.zeros(size)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import attribution, audit, evaluation, matching
+from tallyspark.operators import assignment, attribution, audit, evaluation, linkage, matching
 from tallyspark.plans import adapters as ad
 from tallyspark.plans import reconcile
-from tallyspark.plans.catalogue import _TREE, query
+from tallyspark.plans.catalogue import _TREE, FIXED_WEIGHTS, _levels, query
 from tallyspark.session import cut
 
 
@@ -37,6 +37,14 @@ def attribution_searches(spark, d):
     return attribution.search_report(attribution.solve_dates(_due(spark, d), ad.credits(spark, d)))
 
 
+@query()
+def one_to_one_links(spark, d):
+    """Payments and invoices paired so that the bits of all pairs together are most; a pair below zero bits is none."""
+    scored = linkage.score(_levels(spark, d), FIXED_WEIGHTS)
+    pairs = scored.select(F.col("payment_id").alias("left_id"), F.col("invoice_id").alias("right_id"), F.col("bits").alias("weight"))
+    return assignment.one_to_one(pairs).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"), F.col("weight").alias("bits"))
+
+
 @query(f"""WITH l0 AS (SELECT o_orderkey - (SELECT min(o_orderkey) FROM orders) AS seq, sha256(unhex('00') || encode(o_orderkey || '|' || o_orderstatus)) AS h FROM orders), {_TREE},
 n AS (SELECT count(*) AS n FROM l0)
 SELECT seq, len([l FOR l IN range(0, 34) IF xor(seq >> l, 1) < (n.n + (1::BIGINT << l) - 1) >> l])::INT AS steps, (SELECT h FROM l34) AS root FROM l0, n""", books=False)

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyspark.functions import money
-from tallyspark.operators import attribution, audit, blocking, calibration, evaluation, exceptions, forecast, linkage, matching, policy, subsets, waterfall
+from tallyspark.operators import assignment, attribution, audit, blocking, calibration, evaluation, exceptions, forecast, linkage, matching, policy, subsets, waterfall
 from tallyspark.sources import sinks
 
 
@@ -33,6 +33,41 @@ def test_assignment_is_optimal(n, m, seed):
     assert value == pytest.approx(best)
 
 
+def scored_pairs(spark, weights):
+    rows = [(f"a{i}", f"b{j}", float(w), "x") for i, own in enumerate(weights) for j, w in enumerate(own)]
+    return spark.createDataFrame(rows, "left_id string, right_id string, weight double, gain string")
+
+
+@pytest.mark.parametrize("n, m, share, seed", [(25, 25, 0.2, 1), (40, 30, 0.1, 2)])
+def test_assignment_of_a_table(spark, n, m, share, seed):
+    rng = np.random.default_rng(seed)
+    weights = rng.normal(4, 4, (n, m)).round(4)
+    weights[rng.random((n, m)) > share] = np.nan
+    got = assignment.one_to_one(scored_pairs(spark, weights), 1.0).collect()
+    assert len({r.left_id for r in got}) == len(got) == len({r.right_id for r in got})
+    want = attribution.assign_one_to_one(weights, 1.0)
+    assert sum(r.weight - 1.0 for r in got) == pytest.approx(sum(weights[a, b] - 1.0 for a, b in want))
+    assert all(r.weight == weights[int(r.left_id[1:]), int(r.right_id[1:])] > 1.0 for r in got)
+
+
+def test_assignment_by_auction(spark):
+    weights = np.array([[7, 6, np.nan, 5], [7, 6, 4, np.nan], [6, 6, 5, 4], [np.nan, 3, 5, 3]])
+    edges = scored_pairs(spark, weights).drop("gain").where("NOT isnan(weight)").select("left_id", "right_id", F.col("weight").cast("long").alias("gain"))
+    found = {(r.left_id, r.right_id) for r in assignment.auction(edges).collect()}
+    assert len({a for a, _ in found}) == len({b for _, b in found}) == len(found)
+    assert sum(weights[int(a[1:]), int(b[1:])] for a, b in found) == sum(weights[a, b] for a, b in attribution.assign_one_to_one(weights, 0.0))
+
+
+def test_assignment_of_awkward_tables(spark):
+    none = scored_pairs(spark, np.zeros((0, 0)))
+    assert assignment.one_to_one(none).count() == 0
+    rows = [("a", "x", 2.0), ("a", "x", 3.0), ("b", "x", None), (None, "x", 9.0), ("b", None, 9.0), ("b", "y", float("nan")), ("b", "y", float("inf")), ("c", "y", 5.0), ("d", "z", 1.0)]
+    got = assignment.one_to_one(spark.createDataFrame(rows, "left_id string, right_id string, weight double"), 1.0)
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 3.0), ("c", "y", 5.0)]
+    tied = assignment.one_to_one(scored_pairs(spark, np.full((4, 4), 2.0)))
+    assert tied.count() == 4 and tied.select("right_id").distinct().count() == 4
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=11), st.integers(0, 200), st.integers(0, 6))
 def test_subset_sum_matches_brute_force(items, low, width):
