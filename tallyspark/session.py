@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,11 @@ def local_session(app: str, cores: str = "*", memory: str = "8g", shuffle_partit
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, ``spark.checkpoint.dir``, and read from there: its lineage ends. A temporary folder stands in where the setting is missing, as in tests."""
+    """``df`` written to the shared checkpoint folder, ``spark.checkpoint.dir``, and read from there: its lineage ends. Where the setting is missing a local session takes a temporary folder, and any other raises, since its machines share none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyspark-"))
     return df.checkpoint(eager=True)

@@ -85,3 +85,33 @@ class FileRail:
         if tool == "fetch_settlement_recon_details":
             rows = rows.select("external_id", "amount_paise", "metadata", "settled_on")
         return statements.within(rows, first, last) if first and last and by is None else rows
+
+
+class RemoteRail:
+    """The same tools over a client, read as a Spark data source: a range of dates is split among tasks.
+
+    Bad rows are in ``quarantine``; a detail call may give several rows of a settlement.
+    """
+
+    def __init__(self, spark: SparkSession, client: str, **options: int) -> None:
+        from tallyspark.sources import gateway
+
+        gateway.register(spark)
+        self.reader: Callable[[str], DataFrame] = lambda tool: spark.read.format(gateway.FORMAT).options(client=client, tool=tool, **options)
+
+    def items(self, tool: str, first: str | None = None, last: str | None = None, id: str | None = None) -> DataFrame:
+        by = FileRail.TOOLS[allowed(tool)][1]
+        if by is not None and id is None:
+            raise ValueError(f"{tool} asks for an id")
+        rows = (self.reader(tool).option("id", id) if by is not None else self.reader(tool)).load()
+        for day, inside in ((first, F.col("created_on") >= F.lit(first).cast("date")), (last, F.col("created_on") <= F.lit(last).cast("date"))):
+            if day is not None and by is None:
+                rows = rows.where(inside)
+        return rows
+
+    def call(self, tool: str, first: str | None = None, last: str | None = None, id: str | None = None) -> DataFrame:
+        rows = statements.split(statements.gateway_rows(self.items(tool, first, last, id), FileRail.TOOLS[allowed(tool)][0]))[0]
+        return rows.select("external_id", "amount_paise", "metadata", "settled_on") if tool == "fetch_settlement_recon_details" else rows
+
+    def quarantine(self, tool: str, first: str | None = None, last: str | None = None, id: str | None = None) -> DataFrame:
+        return statements.split(statements.gateway_rows(self.items(tool, first, last, id), FileRail.TOOLS[allowed(tool)][0]))[1]

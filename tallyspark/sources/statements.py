@@ -117,24 +117,30 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.coalesce(sound.cast("boolean"), F.lit(True))).select(F.explode("items").alias("i")).select("i.*")
 
 
-def read_gateway(spark: SparkSession, directory: str) -> DataFrame:
-    """Payments, refunds (debits) and settlements of a gateway, as one table."""
+def gateway_rows(items: DataFrame, kind: str) -> DataFrame:
+    """Items of a gateway as rows of a kind: payment, refund (debits), settlement, order or payout (debits)."""
     at = F.timestamp_seconds("created_at")
+    day, none = F.to_date(F.from_utc_timestamp(at, ZONE)), F.lit(None).cast("string")
     common = {
-        "external_id": F.col("id"), "amount_paise": F.col("amount"), "occurred_at": at, "occurred_on": F.to_date(F.from_utc_timestamp(at, ZONE)), "currency": F.coalesce("currency", F.lit("INR")),
-        "raw": F.to_json(F.struct("id", "amount", "created_at")),
+        "external_id": F.col("id"), "amount_paise": F.col("amount"), "occurred_at": at, "occurred_on": day, "currency": F.coalesce("currency", F.lit("INR")), "kind": F.lit(kind),
+        "direction": F.lit("debit" if kind in ("refund", "payout") else "credit"), "raw": F.to_json(F.struct("id", "amount", "created_at")),
         "problem": F.when(F.coalesce(F.col("id"), F.lit("")) == "", "id").when(F.col("amount").isNull(), "amount").when(F.col("created_at").isNull(), "created_at"),
     }
-    payments = _complete(
-        read_collection(spark, f"{directory}/gateway_payments.json"), "gateway", kind=F.lit("payment"), direction=F.lit("credit"), method=money.known_method("method"), reference=F.col("order_id"),
-        raw_reference=F.col("order_id"), parent_id=F.col("order_id"), raw_counterparty=F.element_at("notes", "counterparty"), counterparty=text.normal_name(F.element_at("notes", "counterparty")), **common,
-    )
-    refunds = _complete(read_collection(spark, f"{directory}/gateway_refunds.json"), "gateway", kind=F.lit("refund"), direction=F.lit("debit"), method=F.lit("unknown"), reference=F.col("payment_id"), parent_id=F.col("payment_id"), **common)
-    settlements = read_collection(spark, f"{directory}/gateway_settlements.json")
-    settlements = _complete(
-        settlements, "gateway", kind=F.lit("settlement"), direction=F.lit("credit"), method=F.lit("bank_transfer"), reference=text.normal_reference("utr"), raw_reference=F.col("utr"),
-        settled_on=F.to_date(F.from_utc_timestamp(at, ZONE)), metadata=F.create_map(F.lit("utr"), F.col("utr"), F.lit("fees"), F.col("fees").cast("string"), F.lit("tax"), F.col("tax").cast("string")), **common,
-    )
+    own = {"method": F.lit("unknown"), "reference": none, "parent_id": none}
+    if kind == "payment":
+        party = F.element_at("notes", "counterparty")
+        own = {"method": money.known_method("method"), "reference": F.col("order_id"), "raw_reference": F.col("order_id"), "parent_id": F.col("order_id"), "raw_counterparty": party, "counterparty": text.normal_name(party)}
+    elif kind == "refund":
+        own |= {"reference": F.col("payment_id"), "parent_id": F.col("payment_id")}
+    elif kind in ("settlement", "payout"):
+        fields = F.create_map(F.lit("utr"), F.col("utr"), F.lit("fees"), F.col("fees").cast("string"), F.lit("tax"), F.col("tax").cast("string"))
+        own = {"method": F.lit("bank_transfer"), "reference": text.normal_reference("utr"), "raw_reference": F.col("utr"), "settled_on": day, "metadata": fields}
+    return _complete(items, "gateway", **common, **own)
+
+
+def read_gateway(spark: SparkSession, directory: str) -> DataFrame:
+    """Payments, refunds (debits) and settlements of a gateway, as one table."""
+    payments, refunds, settlements = (gateway_rows(read_collection(spark, f"{directory}/gateway_{k}s.json"), k) for k in ("payment", "refund", "settlement"))
     return payments.unionByName(refunds).unionByName(settlements)
 
 

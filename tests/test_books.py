@@ -1,6 +1,7 @@
 import json
 import subprocess
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -70,6 +71,41 @@ def test_rail_only_reads(spark, tmp_path):
             files.call(tool)
 
 
+def payments_client(tool, given):
+    """A gateway with a payment every six hours from 1 March 2026, pages of 50 at most, and a row without an amount; every call leaves a file."""
+    begin = 1772303400
+    rows = [{"id": f"pay_{k}", "amount": None if k == 9 else 100 + k, "created_at": begin + 21600 * k, "order_id": f"order_{k}", "method": "upi"} for k in range(400)]
+    Path(tempfile.mkstemp(prefix="call-", dir=tempfile.gettempdir() + "/tallyspark-calls")[1]).write_text(json.dumps([tool, given]))
+    if "id" in given:
+        return next((r for r in rows if r["id"] == given["id"]), {})
+    own = [r for r in rows if given.get("from", 0) <= r["created_at"] <= given.get("to", 1 << 40)]
+    return {"items": own[given["skip"] : given["skip"] + min(given["count"], 50)]}
+
+
+def test_gateway_is_a_source_with_dates_pushed(spark, tmp_path):
+    calls = Path(tempfile.gettempdir()) / "tallyspark-calls"
+    calls.mkdir(exist_ok=True)
+    before = set(calls.iterdir())
+    made = lambda: [json.loads(p.read_text()) for p in set(calls.iterdir()) - before]
+    remote = rail.RemoteRail(spark, "tests.test_books:payments_client", days=5, count=20)
+    rows = remote.items("fetch_all_payments", "2026-03-02", "2026-03-20")
+    assert rows.rdd.getNumPartitions() == 4
+    assert sorted(int(r.id[4:]) for r in rows.collect()) == list(range(4, 80))
+    asked = made()
+    assert {g["from"] for _, g in asked} == {1772303400 + 86400 * k for k in (1, 6, 11, 16)} and max(g["to"] for _, g in asked) == 1772303400 + 86400 * 20 - 1
+    good = remote.call("fetch_all_payments", "2026-03-01", "2026-03-03")
+    assert good.count() == 11 and remote.quarantine("fetch_all_payments", "2026-03-01", "2026-03-03").first().external_id == "pay_9"
+    assert remote.call("fetch_all_payments").count() == 399 and remote.call("fetch_all_payments", "2026-03-03", "2026-03-01").count() == 0
+    assert remote.call("fetch_payment", id="pay_7").first().amount_paise == 107 and remote.call("fetch_payment", id="none").count() == 0
+    for tool in ("create_refund", "anything"):
+        with pytest.raises(rail.ToolRefused):
+            remote.call(tool)
+        with pytest.raises(Exception, match="ToolRefused"):
+            spark.read.format("gateway").options(client="tests.test_books:payments_client", tool=tool).load().count()
+    with pytest.raises(Exception, match="only read"):
+        rows.write.format("gateway").options(client="x:y", tool="fetch_all_payments").mode("append").save()
+
+
 @pytest.mark.parametrize("question", ["", "what is the weather", "will cash grow next month", "what should we do about fees", "tell me a joke"])
 def test_questions_that_are_refused(question):
     assert questions.compile_question(question).intent == "unsupported"
