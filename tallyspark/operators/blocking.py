@@ -56,12 +56,14 @@ def block_pairs(keys: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
     return left.join(right, "key").where("_ls < _rs").select("left_id", "right_id").distinct()
 
 
-def candidates(rows: DataFrame, strategies: dict[str, Column], most: int = MAX_BLOCK) -> DataFrame:
+def candidates(rows: DataFrame, strategies: dict[str, Column], most: int = MAX_BLOCK, between: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
     """(left_id, right_id, why): the union of all strategies' pairs, with the strategies that propose each one.
 
     ``rows`` has row_id and source; a strategy is an array of keys. All keys come
     from one scan and meet in one join, as blocks of a strategy and a key; see
-    ``block_pairs`` for their size.
+    ``block_pairs`` for their size. A strategy named in ``between`` only
+    proposes pairs of the two sources of one of its tuples, in either order; the
+    size of a block counts all its rows all the same.
     """
     each = F.array(*(F.struct(F.lit(name).alias("strategy"), F.array_distinct(keys).alias("keys")) for name, keys in strategies.items()))
     spread = rows.select("row_id", "source", F.explode(each).alias("_s")).select("row_id", "source", "_s.strategy", F.explode("_s.keys").alias("key")).where("key is not null and key != ''")
@@ -69,7 +71,11 @@ def candidates(rows: DataFrame, strategies: dict[str, Column], most: int = MAX_B
     spread = spread.join(fits, ["strategy", "key"], "left_semi")
     left = spread.select("strategy", "key", F.col("row_id").alias("left_id"), F.col("source").alias("_ls"))
     right = spread.select("strategy", "key", F.col("row_id").alias("right_id"), F.col("source").alias("_rs"))
-    pairs = left.join(right, ["strategy", "key"]).where("_ls < _rs")
+    meets = F.col("_ls") < F.col("_rs")
+    for name, sides in (between or {}).items():
+        inside = [F.array(*map(F.lit, sorted(pair))) for pair in sides]
+        meets &= (F.col("strategy") != name) | (F.array_contains(F.array(*inside), F.array("_ls", "_rs")) if inside else F.lit(False))
+    pairs = left.join(right, ["strategy", "key"]).where(meets)
     return pairs.groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("strategy")).alias("why"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 #: Fixed value: the fewest labelled claims a bound may rest on.
 LEAST_CLAIMS = 30
+#: The bounds that a coverage table shows.
+TABLE_ALPHAS = (0.01, 0.02, 0.05, 0.1, 0.2)
 #: The alpha grid starts here, grows by this factor, and ends at half.
 GRID_START, GRID_FACTOR, GRID_END = 0.002, 1.35, 0.5
 
@@ -81,3 +83,18 @@ def validate(claims: DataFrame, claim_id: str, alpha: float, splits: int = 40, s
     rows = rows.withColumn("_half", in_calibration_half(claim_id, F.col("seed")))
     found = calibrate(rows.where("_half"), [alpha], "split")
     return evaluate(rows.where("NOT _half"), found, "split").select("split", "threshold", "held_out", "admitted", "errors")
+
+
+def coverage_table(claims: DataFrame, claim_id: str, alphas: tuple[float, ...] = TABLE_ALPHAS, seed: int = 20260101) -> DataFrame:
+    """(alpha, threshold, held_out, posted, wrong, reviewed, realised, coverage, holds): each bound calibrated on one half of the claims and measured on the other.
+
+    Realised is the wrong share of what is posted, 0 where nothing is; holds is
+    null where no threshold is available, as nothing is promised there.
+    """
+    rows = claims.withColumn("_half", in_calibration_half(claim_id, seed))
+    seen = evaluate(rows.where("NOT _half"), calibrate(rows.where("_half"), list(alphas)))
+    realised = F.coalesce(F.try_divide("errors", "admitted"), F.lit(0.0))
+    return seen.select(
+        "alpha", "threshold", "held_out", F.col("admitted").alias("posted"), F.col("errors").alias("wrong"), (F.col("held_out") - F.col("admitted")).alias("reviewed"), F.round(realised, 6).alias("realised"),
+        F.round(F.try_divide("admitted", "held_out"), 6).alias("coverage"), F.when(F.col("threshold").isNotNull(), realised <= F.col("alpha")).alias("holds"),
+    )

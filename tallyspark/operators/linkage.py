@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyspark.functions.text import bucket_similarity, gram_buckets, name_key, name_tokens, normal_name
 
@@ -53,6 +54,22 @@ def settlement_level(landed: str, expected: str, low: str, high: str) -> Column:
     return F.when(gap.isNull(), MISSING).when(gap == 0, EXACT).when(day.between(F.col(low), F.col(high)), STRONG).when(gap <= 7, WEAK).otherwise(DIFFER)
 
 
+#: What a row needs besides its date for ``related_date_level``: whether it is dated at the bank, and where its payment is due.
+DUE = ("at_bank", "settles_on", "win_low", "win_high")
+
+
+def related_date_level(a: int, b: int) -> Column:
+    """Dates by what two rows are to each other, over d1 and d2 and the columns of DUE with 1 and 2 behind their names.
+
+    Rows on the same side of a settlement should have the same date; a row
+    before it is due when its payment settles. Rows without a due date are
+    missing one.
+    """
+    crosses = lambda payer, bank: settlement_level(f"d{bank}", *(f"{c}{payer}" for c in DUE[1:]))
+    same = F.col(f"at_bank{a}") == F.col(f"at_bank{b}")
+    return F.when(same.isNull(), MISSING).when(same, date_level(f"d{a}", f"d{b}")).when(F.col(f"at_bank{b}"), crosses(a, b)).otherwise(crosses(b, a))
+
+
 def name_level(a: str, b: str) -> Column:
     """Equal names, equal name keys, or a shared word."""
     x, y = F.trim(a), F.trim(b)
@@ -82,9 +99,12 @@ def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str,
     Both sides have reference, amount_paise, occurred_on and counterparty. Names
     are compared once for each two that meet, however many rows bear them: what
     a name needs for it is worked out once a name, and levels come back by a
-    join.
+    join. Where both sides have the columns of DUE, dates are compared by
+    ``related_date_level``.
     """
-    side = lambda df, own, k: df.select(own, F.col("reference").alias(f"r{k}"), F.col("amount_paise").alias(f"a{k}"), F.col("occurred_on").alias(f"d{k}"), F.col("counterparty").alias(f"x{k}"))
+    related = all(c in df.columns for df in (left, right) for c in DUE)
+    due = DUE if related else ()
+    side = lambda df, own, k: df.select(own, *(F.col(c).alias(f"{c}{k}") for c in due), F.col("reference").alias(f"r{k}"), F.col("amount_paise").alias(f"a{k}"), F.col("occurred_on").alias(f"d{k}"), F.col("counterparty").alias(f"x{k}"))
     rows = pairs.select(left_id, right_id).join(side(left, left_id, 1), left_id).join(side(right, right_id, 2), right_id)
     names = lambda df, k: df.select(F.col("counterparty").alias(f"y{k}")).distinct().select(f"y{k}", *named(f"y{k}", k), gram_buckets(f"y{k}").alias(f"n{k}"))
     meet = rows.select("x1", "x2").distinct()
@@ -92,7 +112,7 @@ def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str,
         meet = meet.join(names(df, k), F.col(f"x{k}").eqNullSafe(F.col(f"y{k}")))
     meet = meet.select(F.col("x1").alias("y1"), F.col("x2").alias("y2"), named_level(1, 2).alias("counterparty"), narration_level("n1", "n2").alias("narration"))
     rows = rows.join(meet, F.col("x1").eqNullSafe(F.col("y1")) & F.col("x2").eqNullSafe(F.col("y2")))
-    return rows.select(left_id, right_id, reference_level("r1", "r2").alias("reference"), amount_level("a1", "a2").alias("amount"), date_level("d1", "d2").alias("date"), "counterparty", "narration")
+    return rows.select(left_id, right_id, reference_level("r1", "r2").alias("reference"), amount_level("a1", "a2").alias("amount"), (related_date_level(1, 2) if related else date_level("d1", "d2")).alias("date"), "counterparty", "narration")
 
 
 def pattern_counts(levels: DataFrame) -> DataFrame:
@@ -171,6 +191,21 @@ def explain(scored: DataFrame, most: int = 3) -> DataFrame:
     return scored.withColumn("because", F.transform(top, lambda x: F.struct(x["field"].alias("field"), F.round(x["bits"], 4).alias("bits"))))
 
 
+#: Fixed value: candidates that a report on a row shows.
+SHOWN = 6
+
+
+def leading(scored: DataFrame, own: str, other: str, most: int = SHOWN) -> DataFrame:
+    """(own, leading): the ``most`` candidates of each row with the most bits, as structs of other, bits and probability; equals by the smaller id.
+
+    Tasks keep that many rows each before the shuffle, however many candidates a row has.
+    """
+    place = F.row_number().over(W.partitionBy(own).orderBy(F.col("bits").desc(), other))
+    kept = scored.withColumn("_place", place).where(F.col("_place") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_place", F.struct(other, "bits", "probability").alias("c"))))
+    return kept.groupBy(own).agg(F.transform(listed, lambda x: x["c"]).alias("leading"))
+
+
 #: Bits from which a pair links, and from which a person reviews it.
 LINK_BITS, REVIEW_BITS = 6.0, 0.0
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import MDR_BPS, with_fees
+from tallyspark.functions.money import GST_PERCENT, MDR_BPS, TDS_BPS, with_fees
 
 #: Fixed value: the largest part of gross that a settlement may withhold and still say something about rates.
 MOST_WITHHELD = 0.06
@@ -176,3 +176,15 @@ def fit_rates_over(rows: DataFrame) -> dict:
         "identifiable": [m for m, v in zip(used, shares, strict=True) if v >= LEAST_SHARE],
         "r2": 1 - lost / spread if spread else 1.0,
     }
+
+
+def fitted_card(fit: dict) -> list[tuple[str, int, float | None, float, int, bool]]:
+    """(method, contract_bps, effective_bps, share, card_bps, fitted) for every method of the contract.
+
+    A rate is taken from the fit where its method is identifiable, and stays the
+    contract's elsewhere. Fitted rates are of all that is withheld; the fee is
+    what is left without TDS, which is the same for all, and without GST.
+    """
+    rates, shares, sure = (fit.get(k, {}) for k in ("rates_bps", "shares", "identifiable"))
+    fee = lambda m: max(0, round((rates[m] - TDS_BPS) * 100 / (100 + GST_PERCENT)))
+    return [(m, bps, rates.get(m), shares.get(m, 0.0), fee(m) if m in sure else bps, m in sure) for m, bps in sorted(MDR_BPS.items())]

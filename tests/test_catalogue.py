@@ -2,7 +2,7 @@ import pytest
 
 from tallyspark.operators import forecast
 from tallyspark.plans import adapters as ad
-from tallyspark.plans import catalogue, closing, rounds  # noqa: F401
+from tallyspark.plans import catalogue, closing, reports, rounds  # noqa: F401
 from tests.oracle import SF_DIR, compare
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tallyspark.functions import money
+from tallyspark.functions import money, text
 from tallyspark.operators import assignment, attribution, audit, blocking, calibration, evaluation, exceptions, forecast, linkage, matching, policy, subsets, waterfall
 from tallyspark.sources import sinks
 
@@ -517,3 +517,34 @@ def test_break_even_rounds_once(spark):
     """268500 / 2334790 is 0.11499964: six places first would make it 0.115 and then 0.12."""
     rows = spark.createDataFrame([(537, 0, 0, 0, (2334790 - 45000) * 20)], "rows long, exceptions long, reviews long, missed long, exposed_paise long")
     assert evaluation.break_even(rows).first()["break_even"] == 0.11
+
+
+def test_fitted_card_falls_back_to_the_contract():
+    fit = {"rates_bps": {"card_credit": 246.0, "upi": 10.0, "wallet": 900.0}, "shares": {"card_credit": 0.6, "upi": 0.37, "wallet": 0.03}, "identifiable": ["card_credit", "upi"]}
+    card = {m: (bps, sure) for m, _, _, _, bps, sure in waterfall.fitted_card(fit)}
+    assert card["card_credit"] == (200, True) and card["upi"] == (0, True) and card["wallet"] == (money.MDR_BPS["wallet"], False)
+    assert {m: b for m, (b, _) in {m: (bps, 0) for m, _, _, _, bps, _ in waterfall.fitted_card({})}.items()} == money.MDR_BPS
+
+
+def test_dates_by_relation(spark):
+    day = datetime.date
+    rows = [(False, True, day(2026, 3, 2), day(2026, 3, 4)), (False, True, day(2026, 3, 2), day(2026, 3, 5)), (False, True, day(2026, 3, 2), day(2026, 3, 10)), (False, True, day(2026, 3, 2), day(2026, 3, 20)), (False, False, day(2026, 3, 2), day(2026, 3, 4)), (True, False, day(2026, 3, 4), day(2026, 3, 2)), (True, True, day(2026, 3, 4), day(2026, 3, 4)), (None, True, day(2026, 3, 4), day(2026, 3, 4))]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, b1 boolean, b2 boolean, x date, y date")
+    side = lambda n, d: df.select(F.concat(F.lit(f"{n}_"), "k").alias(f"id{n}"), F.col(f"b{n}").alias("at_bank"), F.lit(None).cast("string").alias("reference"), F.lit(5).cast("long").alias("amount_paise"), F.col(d).alias("occurred_on"), F.lit("A").alias("counterparty"), *(F.lit(v).cast("date").alias(c) for c, v in (("settles_on", "2026-03-04"), ("win_low", "2026-03-03"), ("win_high", "2026-03-05"))))
+    pairs = df.select(F.concat(F.lit("1_"), "k").alias("id1"), F.concat(F.lit("2_"), "k").alias("id2"))
+    got = {int(r.id1[2:]): r.date for r in linkage.compared(pairs, side(1, "x"), side(2, "y"), "id1", "id2").collect()}
+    assert got == {0: linkage.EXACT, 1: linkage.STRONG, 2: linkage.WEAK, 3: linkage.DIFFER, 4: linkage.WEAK, 5: linkage.EXACT, 6: linkage.EXACT, 7: linkage.MISSING}
+
+
+def test_blocks_between_named_sources_only(spark):
+    rows = spark.createDataFrame([("p", "gateway", "k"), ("i", "ledger", "k"), ("c", "bank", "k"), ("n", "bank", None)], "row_id string, source string, key string")
+    pairs = lambda between: {(r.left_id, r.right_id) for r in blocking.candidates(rows, {"s": F.array("key")}, between=between).collect()}
+    assert pairs(None) == {("p", "i"), ("c", "p"), ("c", "i")} and pairs({"s": [("ledger", "gateway")]}) == {("p", "i")} and pairs({"s": []}) == set()
+
+
+def test_canonical_text(spark):
+    df = spark.sql("SELECT 'ü\"x' AS b, 2L AS a, date'2026-03-01' AS d, timestamp'2026-03-01 05:30:00' AS t, 1.50BD AS m, map('z', 1, 'y', 2) AS n, CAST(NULL AS string) AS o, 1.5D AS f")
+    made = df.select(text.canonical_json(df, ["t", "b", "a", "d", "m", "n", "o"]).alias("x")).first().x
+    assert made == '{"a":2,"b":"ü\\"x","d":"2026-03-01","m":"1.50","n":{"y":2,"z":1},"o":null,"t":"2026-03-01T05:30:00.000000Z"}'
+    with pytest.raises(TypeError):
+        text.canonical_json(df, ["f"])
