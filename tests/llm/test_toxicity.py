@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import zstandard
 
 from tallyspark.llm import toxicity as tx
 
@@ -58,3 +60,35 @@ def test_every_window_is_compressed():
     gains = tx.train(sample(500, 1)).gains()
     found = gains([b"xscoundrel", b"archvillain", b"scoundrel", b"th", b"xscoundrel"])
     assert len(found) == 5 and (found[[0, 1, 2, 4]] > 0).all() and found[3] <= 0
+
+
+def test_scores_equal_brute_force(spark):
+    """Each letter run of a text compressed by itself, with new compressors and without what tasks remember or prepare."""
+    model = tx.train(sample(300, 1))
+    texts = [t for t, _ in sample(40, 7)] + ["", None, "xscoundrel! VILLAIN\nknave", "ünter Wretch 99 wretch", "th"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = zstandard.ZstdCompressionParameters.from_level(tx.LEVEL, window_log=20, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def size(window, dictionary):
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=settings).compress(window))
+
+    def by_hand(text):
+        runs, run = [], ""
+        for letter in (text or "").lower() + " ":
+            if letter.isascii() and not letter.isalpha():
+                runs, run = runs + [run] * bool(run), ""
+            else:
+                run += letter
+        marked = 0
+        for run in runs:
+            window = b"\n" + b"".join(bytes([b, b]) for b in run.encode()) + b"\n" + b"~" * 9
+            marked += size(window, model.ordinary) - size(window, model.toxic) >= model.least_gain
+        found = marked / len(runs) ** model.power if runs else 0.0
+        return len(runs), marked, 1 / (1 + math.exp(-model.slope * (found - model.middle)))
+
+    got = {r.doc_id: r for r in tx.score(rows, model).collect()}
+    assert len(got) == len(texts)
+    for k in [*range(0, 40, 3), *range(40, len(texts))]:
+        windows, toxic, score = by_hand(texts[k])
+        assert (got[k].n_windows, got[k].n_toxic) == (windows, toxic) and abs(got[k].score - score) < 1e-9
+    assert {got[k].score >= tx.THRESHOLD for k in range(40)} == {True, False}
