@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyspark.functions.text import bucket_similarity, gram_buckets, name_key, name_tokens, normal_name
+from tallyspark.operators import blocking
 
 FIELDS = ("reference", "amount", "date", "counterparty", "narration")
 DIFFER, WEAK, STRONG, EXACT, MISSING = range(5)
@@ -115,6 +119,145 @@ def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str,
     return rows.select(left_id, right_id, reference_level("r1", "r2").alias("reference"), amount_level("a1", "a2").alias("amount"), (related_date_level(1, 2) if related else date_level("d1", "d2")).alias("date"), "counterparty", "narration")
 
 
+#: Cosines that round to at least 0.75 and 0.40 in six places.
+STRONG_FROM, WEAK_FROM = 0.7499995, 0.3999995
+RUN = 9
+
+
+def _reference_levels(a: np.ndarray, b: np.ndarray, texts: list[str], grams: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``reference_level`` of numbered references, -1 for missing ones; ``grams`` has the numbers of each one's runs of RUN characters."""
+    missing, out = (a < 0) | (b < 0), np.full(len(a), DIFFER)
+    shared = np.zeros(len(a), bool)
+    theirs = [grams[b, k] for k in range(grams.shape[1])]
+    for k in range(grams.shape[1]):
+        own = grams[a, k]
+        for x in theirs:
+            shared |= (own == x) & (own >= 0)
+    out[shared] = WEAK
+    # One text that holds another shares its first run with it, unless that one is shorter than a run.
+    maybe = (a != b) & ~missing & (lengths[a] != lengths[b]) & (shared | (lengths[a] < RUN) | (lengths[b] < RUN))
+    for k in np.flatnonzero(maybe):
+        x, y = texts[a[k]], texts[b[k]]
+        if x in y or y in x:
+            out[k] = STRONG
+    out[a == b] = EXACT
+    out[missing] = MISSING
+    return out
+
+
+def _amount_levels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``amount_level`` of absolute amounts, 0 for missing ones."""
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    return np.select([low == 0, x == y, 100 * low >= 97 * high, 4 * low >= 3 * high], [MISSING, EXACT, STRONG, WEAK], DIFFER)
+
+
+def _date_levels(gap: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.select([~known, gap == 0, gap <= 1, gap <= 7], [MISSING, EXACT, STRONG, WEAK], DIFFER)
+
+
+def _compared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, pa.StructArray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(left rows, right rows, places, places, the level of each of FIELDS) of the pairs that blocks with the columns of ``features`` meet."""
+    for left, right, parts in blocking.met(batches):
+        sides = (left, right)
+        own = [pc.if_else(pc.equal(r.field("reference"), ""), pa.scalar(None, pa.string()), r.field("reference")) for r in sides]
+        references, at = _distinct(own)
+        runs = pa.array([[t[k : k + RUN] for k in range(len(t) - RUN + 1)] for t in references] or [[]], pa.list_(pa.string()))
+        grams = blocking.padded(blocking.relisted(runs, blocking.codes(runs.flatten())[0]), -1)
+        lengths = np.array([len(t) for t in references] or [0])
+        amounts = [np.abs(r.field("amount").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) for r in sides]
+        if max(int(x.max(initial=0)) for x in amounts) > np.iinfo(np.int64).max // 100:
+            raise OverflowError("amounts beyond a hundredth of a long")
+        dates = [r.field("date").cast(pa.int32()) for r in sides]
+        day, known = [x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in dates], [x.is_valid().to_numpy(zero_copy_only=False) for x in dates]
+        names, keys = ([pc.if_else(pc.equal(r.field(c), ""), pa.scalar(None, pa.string()), r.field(c)) for r in sides] for c in ("name", "key"))
+        name, key = blocking.codes(*names), blocking.codes(*keys)
+        words = [r.field("words") for r in sides]
+        tokens = [blocking.padded(blocking.relisted(w, c), absent) for w, c, absent in zip(words, blocking.codes(*(w.flatten() for w in words)), (-1, -2), strict=True)]
+        counts = _gram_counts([r.field("grams") for r in sides])
+        norms = [np.einsum("ij,ij->i", c, c).astype(np.int64) for c in counts]
+        for i, j, _ in parts:
+            reference = _reference_levels(at[0][i], at[1][j], references, grams, lengths)
+            amount = _amount_levels(amounts[0][i], amounts[1][j])
+            date = _date_levels(np.abs(day[0][i] - day[1][j]), known[0][i] & known[1][j])
+            overlap = np.zeros(len(i), bool)
+            theirs = [tokens[1][j, k] for k in range(tokens[1].shape[1])]
+            for k in range(tokens[0].shape[1]):
+                mine = tokens[0][i, k]
+                for x in theirs:
+                    overlap |= mine == x
+            a, b, ka, kb = name[0][i], name[1][j], key[0][i], key[1][j]
+            counterparty = np.select([(a < 0) | (b < 0), a == b, (ka >= 0) & (ka == kb), overlap], [MISSING, EXACT, STRONG, WEAK], DIFFER)
+            one, other = norms[0][i], norms[1][j]
+            dots = np.empty(len(i))
+            for begin in range(0, len(i), 10_000):
+                part = slice(begin, begin + 10_000)
+                dots[part] = np.einsum("ij,ij->i", counts[0][i[part]], counts[1][j[part]])
+            alike = dots / np.sqrt(np.maximum(one.astype(float) * other, 1))
+            narration = np.select([(one == 0) | (other == 0), alike >= STRONG_FROM, alike >= WEAK_FROM], [MISSING, STRONG, WEAK], DIFFER)
+            yield left, right, i, j, [reference, amount, date, counterparty, narration]
+
+
+def _distinct(columns: list[pa.Array]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct texts of all columns, and each column as places among them, -1 for null."""
+    whole = pa.concat_arrays(columns).dictionary_encode()
+    places = whole.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return whole.dictionary.to_pylist(), np.split(places, [len(columns[0])])
+
+
+def _gram_counts(lists: list[pa.ListArray]) -> list[np.ndarray]:
+    """Each row's counts of grams by dimension, over the dimensions that some row has. Counts are small, so that single precision is exact."""
+    numbers = blocking.codes(*(x.flatten() for x in lists))
+    width = 1 + max((int(n.max(initial=0)) for n in numbers), default=0)
+    out = []
+    for x, n in zip(lists, numbers, strict=True):
+        row = np.repeat(np.arange(len(x)), x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        out.append(np.bincount(row * width + n, minlength=len(x) * width).reshape(len(x), width).astype(np.float32))
+    return out
+
+
+def _met(rows: DataFrame, strategies: dict[str, Column], most: int) -> DataFrame:
+    """Blocks of ``rows`` with what comparing needs of each row; names are worked out once for each that there is."""
+    names = rows.select("counterparty").distinct().select(F.col("counterparty").alias("_y"), F.struct(normal_name("counterparty").alias("name"), name_key("counterparty").alias("key"), name_tokens("counterparty").alias("words"), gram_buckets("counterparty").cast("array<int>").alias("grams")).alias("_n"))
+    own = blocking._own(rows, strategies, most)
+    held = rows.select("row_id", "source", "reference", "amount_paise", "occurred_on", "counterparty").join(own, ["row_id", "source"])
+    held = held.join(names, F.col("counterparty").eqNullSafe(F.col("_y"))).drop("_y", "counterparty")
+    features = {"reference": F.col("reference"), "amount": F.col("amount_paise"), "date": F.col("occurred_on")} | {c: F.col(f"_n.{c}") for c in ("name", "key", "words", "grams")}
+    return blocking._blocks(held, strategies, None, features)
+
+
+def compared_candidates(rows: DataFrame, strategies: dict[str, Column], left_id: str, right_id: str, most: int = blocking.MAX_BLOCK) -> DataFrame:
+    """(left_id, right_id, and the level of each of FIELDS): ``compared`` for the ``candidates`` of ``rows``, worked out where a pair is met.
+
+    ``rows`` has row_id (text), source, reference, amount_paise, occurred_on and
+    counterparty; the alphabetically first source is left. Rows are shuffled
+    with what comparing needs of them, pairs are not. A block gives at most
+    ``most`` squared pairs, so their number stays in proportion to the rows.
+    """
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, i, j, found in _compared_parts(batches):
+            ids = [s.field("row_id").take(pa.array(k)) for s, k in ((left, i), (right, j))]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x.astype(np.int32)) for x in found)], names=[left_id, right_id, *FIELDS])
+
+    return _met(rows, strategies, most).mapInArrow(levels, f"{left_id} string, {right_id} string, " + ", ".join(f"{f} int" for f in FIELDS))
+
+
+def counted_candidates(rows: DataFrame, strategies: dict[str, Column], most: int = blocking.MAX_BLOCK) -> DataFrame:
+    """``pattern_counts`` of ``compared_candidates``, counted where pairs are met: no pair leaves its task."""
+    width = MISSING + 1
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width ** len(FIELDS), np.int64)
+        for *_, found in _compared_parts(batches):
+            total += np.bincount(np.ravel_multi_index(found, [width] * len(FIELDS)), minlength=len(total))
+        seen = np.flatnonzero(total)
+        levels = np.unravel_index(seen, [width] * len(FIELDS))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in levels), pa.array(total[seen])], names=[*FIELDS, "n"])
+
+    found = _met(rows, strategies, most).mapInArrow(patterns, ", ".join(f"{f} int" for f in FIELDS) + ", n long")
+    return found.groupBy(*FIELDS).agg(F.sum("n").alias("n"))
+
+
 def pattern_counts(levels: DataFrame) -> DataFrame:
     """How often each combination of levels occurs: all that fitting needs, and at most 5**5 rows."""
     return levels.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n"))
@@ -191,6 +334,14 @@ def explain(scored: DataFrame, most: int = 3) -> DataFrame:
     return scored.withColumn("because", F.transform(top, lambda x: F.struct(x["field"].alias("field"), F.round(x["bits"], 4).alias("bits"))))
 
 
+def scored(levels: DataFrame, model: Model) -> DataFrame:
+    """``levels`` with bits, probability, band and because: worked out once for each of the 5**5 patterns, which the pairs look up."""
+    place = F.col("id").cast("int")
+    patterns = levels.sparkSession.range((MISSING + 1) ** len(FIELDS)).select(*((F.floor(place / (MISSING + 1) ** k) % (MISSING + 1)).cast("int").alias(f) for k, f in enumerate(FIELDS)))
+    told = explain(score(patterns, model)).withColumn("band", band()).drop("bits_by_field")
+    return levels.join(F.broadcast(told), list(FIELDS))
+
+
 #: Fixed value: candidates that a report on a row shows.
 SHOWN = 6
 

@@ -63,7 +63,7 @@ def settlement_date_levels(spark, d):
 SELECT payment_id, string_agg(invoice_id, ',' ORDER BY place) AS invoices, max(bits) AS most_bits, count(*)::INT AS shown FROM k WHERE place <= 6 GROUP BY payment_id""")
 def leading_candidates(spark, d):
     """The six invoices that speak most for each payment, as a report on an open payment shows them."""
-    found = linkage.leading(linkage.score(_levels(spark, d), FIXED_WEIGHTS), "payment_id", "invoice_id")
+    found = linkage.leading(linkage.scored(_levels(spark, d), FIXED_WEIGHTS), "payment_id", "invoice_id")
     return found.select("payment_id", F.array_join(F.transform("leading", lambda c: c["invoice_id"]), ",").alias("invoices"), F.get("leading", F.lit(0))["bits"].alias("most_bits"), F.size("leading").alias("shown"))
 
 

@@ -40,7 +40,7 @@ def attribution_searches(spark, d):
 @query()
 def one_to_one_links(spark, d):
     """Payments and invoices paired so that the bits of all pairs together are most; a pair below zero bits is none."""
-    scored = linkage.score(_levels(spark, d), FIXED_WEIGHTS)
+    scored = linkage.scored(_levels(spark, d), FIXED_WEIGHTS)
     pairs = scored.select(F.col("payment_id").alias("left_id"), F.col("invoice_id").alias("right_id"), F.col("bits").alias("weight"))
     return assignment.one_to_one(pairs).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"), F.col("weight").alias("bits"))
 

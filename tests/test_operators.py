@@ -548,3 +548,49 @@ def test_canonical_text(spark):
     assert made == '{"a":2,"b":"ü\\"x","d":"2026-03-01","m":"1.50","n":{"y":2,"z":1},"o":null,"t":"2026-03-01T05:30:00.000000Z"}'
     with pytest.raises(TypeError):
         text.canonical_json(df, ["f"])
+
+
+def test_candidates_are_compared_and_counted_where_they_meet(spark):
+    names = ["M/S Bose Exports Pvt. Ltd.", "Bose Exports", "Basu Export", "", None, "Pillai Hardware"]
+    references = ["order_1", "order_12", "UTR000123456", "XUTR000123456", "UTR000123999", "", None]
+    rows = []
+    for k in range(60):
+        rows.append((f"r{k}", ("a", "b", "c")[k % 3], references[k % 7], (0, 100, 98, 80, None, -100)[k % 5 if k % 4 else 5], datetime.date(2026, 3, 1 + k % 11) if k % 13 else None, names[k % 6]))
+    rows = spark.createDataFrame(rows, "row_id string, source string, reference string, amount_paise long, occurred_on date, counterparty string")
+    keys = {"amount": F.array(F.abs("amount_paise").cast("string"), F.lit("zero")), "name": F.array("counterparty"), "day": F.array(F.dayofmonth("occurred_on").cast("string"), F.lit(None).cast("string"))}
+    found = blocking.candidates(rows, keys, 55)
+    pairs = {(r.left_id, r.right_id): tuple(r.why) for r in found.collect()}
+    source = {r.row_id: r for r in rows.collect()}
+    held = list(source.values())
+    size = {c: {v: sum(getattr(r, c) == v for r in held) for v in {getattr(r, c) for r in held}} for c in ("occurred_on", "counterparty")}
+    want = {}
+    for a in source.values():
+        for b in source.values():
+            why = []
+            if a.amount_paise is not None and b.amount_paise is not None and abs(a.amount_paise) == abs(b.amount_paise) and 1 < sum(abs(r.amount_paise) == abs(a.amount_paise) for r in held if r.amount_paise is not None) <= 55:
+                why.append("amount")
+            if a.occurred_on and a.occurred_on == b.occurred_on and size["occurred_on"][a.occurred_on] > 1:
+                why.append("day")
+            if a.counterparty and a.counterparty == b.counterparty and size["counterparty"][a.counterparty] > 1:
+                why.append("name")
+            if a.source < b.source and why:
+                want[a.row_id, b.row_id] = tuple(why)
+    assert pairs == want and len(pairs) == found.count()
+    counts = {tuple(r.why): r.candidates for r in blocking.candidate_counts(rows, keys, 55).collect()}
+    assert sum(counts.values()) == len(want) and all(n == sum(w == why for w in want.values()) for why, n in counts.items())
+    asked = spark.createDataFrame([*list(want)[:9], ("r0", "r0"), ("r1", "none")], "left_id string, right_id string")
+    assert {(r.left_id, r.right_id): tuple(r.why) for r in blocking.proposed(asked, rows, keys, 55).collect()} == {k: want[k] for k in list(want)[:9]}
+    ids = found.select("left_id", "right_id")
+    side = lambda name: rows.withColumnRenamed("row_id", name)
+    levels = sorted(map(tuple, linkage.compared_candidates(rows, keys, "left_id", "right_id", 55).collect()))
+    assert levels == sorted(map(tuple, linkage.compared(ids, side("left_id"), side("right_id"), "left_id", "right_id").collect()))
+    patterns = {}
+    for row in levels:
+        patterns[row[2:]] = patterns.get(row[2:], 0) + 1
+    assert {tuple(r[:5]): r.n for r in linkage.counted_candidates(rows, keys, 55).collect()} == patterns
+
+
+def test_pairs_are_not_shuffled(spark):
+    rows = spark.createDataFrame([("p", "a", "k"), ("i", "b", "k")], "row_id string, source string, key string")
+    plan = blocking.candidates(rows, {"s": F.array("key")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Aggregate") and plan.index("MapInArrow") < plan.index("Exchange")
