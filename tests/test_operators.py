@@ -594,3 +594,11 @@ def test_pairs_are_not_shuffled(spark):
     rows = spark.createDataFrame([("p", "a", "k"), ("i", "b", "k")], "row_id string, source string, key string")
     plan = blocking.candidates(rows, {"s": F.array("key")})._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Aggregate") and plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_credits_beyond_all_payments_are_told_at_once(monkeypatch):
+    monkeypatch.setattr(subsets, "MOST_TRIES", 200)
+    values, counts = np.arange(101, 131, dtype=np.int64), np.full(30, 2, np.int64)
+    total = int((values * counts).sum())
+    done = subsets.split(values, counts, [total // 2, total // 2 + 5000], 100)
+    assert done.status == "none" and done.tried == 0
