@@ -144,6 +144,9 @@ WINDOW_DATES = 10
 #: Parts into which the payments of one amount are dealt when they are numbered.
 SALTS = 64
 
+#: Tasks among which the groups of a search are dealt.
+SEARCH_TASKS = 96
+
 TAKES = "array<struct<low: date, high: date, net_paise: long, credit_id: string, first: long, n: long>>"
 
 
@@ -194,7 +197,9 @@ def _searched(groups: DataFrame) -> DataFrame:
                     rows.append((r.group, takes, met, len(parts), method, status, tried, subsets.space(counts)))
             yield pd.DataFrame(rows, columns=["group", "takes", "met", "asked", "method", "status", "tried", "space"])
 
-    return groups.select("group", "own", "credits", "reaching", "slack").mapInPandas(run, f"group string, takes {TAKES}, met array<string>, asked int, method string, status string, tried long, space double")
+    # Groups are few bytes and much work, so they are dealt out by number: by size they would all go to one task.
+    dealt = groups.select("group", "own", "credits", "reaching", "slack").repartition(SEARCH_TASKS, "group")
+    return dealt.mapInPandas(run, f"group string, takes {TAKES}, met array<string>, asked int, method string, status string, tried long, space double")
 
 
 def solve_dates(payments: DataFrame, credits: DataFrame) -> DataFrame:
@@ -208,7 +213,8 @@ def solve_dates(payments: DataFrame, credits: DataFrame) -> DataFrame:
     order = W.partitionBy("landed_on").orderBy("credit_id")
     ends = credits.select("landed_on", "credit_id", "amount_paise", F.sum("amount_paise").over(order).alias("end"))
     item = F.struct("credit_id", "amount_paise", "end", F.col("landed_on"))
-    plan = ends.groupBy("landed_on").agg(F.array_sort(F.collect_list(item)).alias("plan")).where(F.size("plan") > 1)
+    # A row for each date, which is asked for twice and is made from all payments or all of a bank's lines.
+    plan = cut(ends.groupBy("landed_on").agg(F.array_sort(F.collect_list(item)).alias("plan")).where(F.size("plan") > 1))
     own = payments.select(F.col("settles_on").alias("landed_on"), "net_paise").join(plan.select("landed_on"), "landed_on", "left_semi")
     amounts = own.groupBy("landed_on", "net_paise").agg(F.count(F.lit(1)).alias("n"))
     sizes = amounts.groupBy("landed_on").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("members"))
