@@ -326,6 +326,7 @@ def attribute(payments: DataFrame, credits: DataFrame) -> DataFrame:
     win_low, win_high and net_paise. A payment belongs to one credit at most.
     """
     columns = ["payment_id", "credit_id", "stage", "exact"]
+    credits = cut(credits.select("credit_id", "landed_on", "amount_paise"))
     whole = by_whole_dates(payments, credits)
     taken = cut(payments.join(whole.select("settles_on", "credit_id"), "settles_on").select("payment_id", "credit_id", F.lit("whole_date").alias("stage"), F.lit(True).alias("exact")))
 
