@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from math import lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,41 @@ def proportion_interval(hits: int, n: int, level: float = 0.95, resamples: int =
     return float(np.quantile(drawn, (1 - level) / 2)), float(np.quantile(drawn, (1 + level) / 2))
 
 
+#: Tasks that draw weights, rows that a task draws for at once, and the largest count whose weights come from a table.
+DRAWING_TASKS, DRAWN_ROWS, TABLED = 192, 128, 1000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well mixed 64 bits of each whole number (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(maxsize=64)
+def _poisson_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distribution function, the Poisson number of mean n for each 16 leading bits of a uniform one); -1 where 16 bits do not tell."""
+    k = np.arange(n + int(12 * n**0.5) + 30)
+    cdf = np.cumsum(np.exp([x * log(n) - n - lgamma(x + 1) for x in k.tolist()]))
+    ends = np.searchsorted(cdf, np.arange(65537) / 65536, "right")
+    return cdf, np.where(ends[:-1] == ends[1:], ends[:-1], -1).astype(np.float64)
+
+
+def poisson_weights(keys: np.ndarray, n: int, resamples: int, seed: int) -> np.ndarray:
+    """A row for each key: Poisson numbers of mean ``n``, which hang on key and seed alone."""
+    if n > TABLED:
+        return np.array([np.random.Generator(np.random.PCG64([seed, int(key)])).poisson(n, resamples) for key in keys], np.float64)
+    cdf, table = _poisson_table(n)
+    start = _mixed(keys ^ _mixed(np.array([seed], np.uint64)))[:, None]
+    step = np.uint64(0x9E3779B97F4A7C15)
+    bits = _mixed(start + np.arange(1, -(-resamples // 4) + 1, dtype=np.uint64) * step).view(np.uint16)[:, :resamples]
+    out = table[bits]
+    row, at = np.nonzero(out < 0)
+    more = _mixed(_mixed(start[row, 0]) + (at.astype(np.uint64) + np.uint64(1)) * step) >> np.uint64(16)
+    out[row, at] = np.searchsorted(cdf, (bits[row, at] + more / 2.0**48) / 65536, "right")
+    return out
+
+
 def ratio_interval(rows: DataFrame, part: str, whole: str, level: float = 0.95, resamples: int = 2000, seed: int = 20260101) -> tuple[float, float] | None:
     """A bootstrap interval of sum(part) / sum(whole) over rows of any kind; None without rows.
 
@@ -46,12 +83,14 @@ def ratio_interval(rows: DataFrame, part: str, whole: str, level: float = 0.95,
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, resamples))
         for batch in batches:
-            for a, b, n, key in batch.itertuples(index=False):
-                weight = np.random.Generator(np.random.PCG64([seed, key & (2**64 - 1)])).poisson(n, resamples)
-                total += np.outer([a, b], weight)
+            for n, own in batch.groupby("n"):
+                values, keys = own[["a", "b"]].to_numpy().T, own["key"].to_numpy().view(np.uint64)
+                for at in range(0, len(keys), DRAWN_ROWS):
+                    total += values[:, at : at + DRAWN_ROWS] @ poisson_weights(keys[at : at + DRAWN_ROWS], int(n), resamples, seed)
         yield pd.DataFrame({"slot": np.arange(resamples), "a": total[0], "b": total[1]})
 
-    sums = seeded.mapInPandas(draw, "slot int, a double, b double").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # Few bytes and much work: dealt out by number, as by size few tasks would draw.
+    sums = seeded.repartition(DRAWING_TASKS, "key").mapInPandas(draw, "slot int, a double, b double").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     drawn = np.array([r["a"] / r["b"] for r in sums.where("b != 0").collect()])
     if not len(drawn):
         return None
