@@ -113,6 +113,41 @@ def merged(groups: DataFrame, claimed: DataFrame, order: list[Column]) -> DataFr
     return out if refused is None else out.unionByName(refused.select("match_id", F.lit(False).alias("accepted")))
 
 
+#: Groups of one bundle that are decided in one array.
+FOLDED = 100
+
+
+def merged_within(groups: DataFrame, within: str, claims: str, order: list[Column]) -> DataFrame:
+    """``merged`` where groups can only share a claim inside a bundle, the value of ``within``: one shuffle and no rounds.
+
+    ``groups`` has a distinct match_id and ``claims``, an array of structs of
+    relation and row_id. A bundle's groups are taken in order over what is
+    claimed so far. Bundles of more than FOLDED groups go through the rounds.
+    """
+    own = F.filter(F.coalesce(F.col(claims), F.array().cast(dict(groups.dtypes)[claims])), lambda c: c["relation"].isNotNull() & c["row_id"].isNotNull())
+    groups = cut(groups.select("match_id", F.col(within).alias("_w"), own.alias("_c"), *(c.alias(f"_{k}") for k, c in enumerate(order))))
+    places = [f"_{k}" for k in range(len(order))]
+    large = cut(groups.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FOLDED).select("_w"))
+    some = large.limit(1).count()
+    same = groups["_w"].eqNullSafe(large["_w"])
+    small = groups.join(large, same, "left_anti") if some else groups
+    kind = dict(groups.dtypes)
+    begun = F.struct(F.array().cast(kind["_c"]).alias("held"), F.array().cast(f"array<struct<match_id: {kind['match_id']}, accepted: boolean>>").alias("out"))
+
+    def step(state: Column, g: Column) -> Column:
+        free = ~F.arrays_overlap(state["held"], g["_c"])
+        held = F.when(free, F.concat(state["held"], g["_c"])).otherwise(state["held"])
+        return F.struct(held.alias("held"), F.concat(state["out"], F.array(F.struct(g["match_id"].alias("match_id"), free.alias("accepted")))).alias("out"))
+
+    bundles = small.groupBy("_w").agg(F.array_sort(F.collect_list(F.struct(*places, "match_id", "_c"))).alias("own"))
+    out = bundles.select(F.explode(F.aggregate("own", begun, step)["out"]).alias("o")).select("o.*")
+    if not some:
+        return out
+    rest = cut(groups.join(large, same, "left_semi"))
+    claimed = rest.select("match_id", F.explode("_c").alias("c")).select("match_id", "c.*")
+    return out.unionByName(merged(rest.select("match_id", *places), claimed, [F.col(c) for c in places]))
+
+
 def claimed_pairs(groups: DataFrame) -> DataFrame:
     """(left_id, right_id) that groups claim: their links, and each member with its credit."""
     links = groups.select(F.explode("links").alias("l")).select(F.col("l.gateway_id").alias("a"), F.col("l.ledger_id").alias("b"))

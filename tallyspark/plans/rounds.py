@@ -66,10 +66,10 @@ SELECT match_id, accepted FROM f WHERE match_id IS NOT NULL""", books=False)
 def stage_merge(spark, d):
     """Lines of an order as groups of one stage that claim one of the order's flags and taxes: the dearest first, each claim once."""
     lines = ad.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_tax").cast("string").alias("tax"), F.max("l_extendedprice").alias("price"))
-    lines = cut(lines.withColumn("match_id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))))
-    claim = lambda prefix, c: F.struct(F.concat(F.lit(prefix), F.col("l_orderkey").cast("string")).alias("relation"), F.col(c).alias("row_id"))
-    claims = lines.select("match_id", F.explode(F.array(claim("as ", "flag"), claim("at ", "tax"))).alias("c")).select("match_id", "c.*")
-    return matching.merged(lines.select("match_id", "price"), claims, [-F.col("price")])
+    lines = lines.withColumn("match_id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    claim = lambda prefix, c: F.struct(F.lit(prefix).alias("relation"), F.col(c).alias("row_id"))
+    lines = lines.withColumn("claims", F.array(claim("as", "flag"), claim("at", "tax")))
+    return matching.merged_within(lines, "l_orderkey", "claims", [-F.col("price")])
 
 
 @query()
