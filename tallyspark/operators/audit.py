@@ -218,34 +218,103 @@ def root_of(tree: DataFrame, size: int) -> str:
     return _bagged([got[p] for p in places]).hex() if places else EMPTY_ROOT
 
 
+#: A path: on which side the other node stands, and its hash.
+PATH = "array<struct<side: string, hash: string>>"
+
+
+def _tails(tree: DataFrame, size: int) -> Column:
+    """By its level, what follows a whole subtree's root on the way to the root over ``size`` leaves: the subtrees to the right as one, then those to the left."""
+    places = _peak_nodes(0, size)
+    got = nodes_at(tree, set(places))
+    hashes, tails = [got[p] for p in places], {}
+    for k, (level, _) in enumerate(places):
+        right = [("right", _bagged(hashes[k + 1 :]).hex())] if k + 1 < len(places) else []
+        tails[level] = right + [("left", h.hex()) for h in reversed(hashes[:k])]
+    step = lambda side, h: F.struct(F.lit(side).alias("side"), F.lit(h).alias("hash"))
+    return F.array(*(F.array(*(step(*s) for s in tails.get(level, []))).cast(PATH) for level in range(size.bit_length())))
+
+
+def _met(tree: DataFrame, wanted: DataFrame, size: int, tails: Column, level: int = 0, gather=F.collect_list) -> DataFrame:
+    """(block, found, above, root_hash): what is ``wanted`` (index, and whatever else) of each 2**CLIMB neighbours on a level, with its path inside.
+
+    A node meets the tree as one of its block, whose nodes of CLIMB levels are
+    one row, so that the tree and what is wanted are shuffled once and no row is
+    made for a step. ``found`` has the node's own hash, the path to the block's
+    root, and ``top``, the level of the root of its whole subtree: where that is
+    inside the block, its tail follows, else ``above``, the path of the block's
+    root (``root_hash``), which is one for the block.
+    """
+    end = level + CLIMB
+    top = F.length(F.bin(F.shiftleft(F.col("index").cast("long"), level).bitwiseXOR(F.lit(size).cast("long")))) - 1
+    inside = (F.col("index") >= 0) & (F.col("index") < size >> level)
+    wanted = wanted.where(inside).withColumn("top", top)
+    blocks = wanted.groupBy(F.shiftright("index", CLIMB).alias("block")).agg(gather(F.struct(*wanted.columns)).alias("_wanted"))
+    nodes = tree.where((F.col("level") >= level) & (F.col("level") < end)).select(F.expr(f"shiftright(index, {end} - level)").alias("block"), F.col("level").cast("int").alias("level"), "index", "hash")
+    # The nodes of a level are there from the block's first on, so that a place in the array is a place in the block.
+    held = [F.transform(F.sort_array(F.collect_list(F.when(F.col("level") == level + k, F.struct("index", "hash")))), lambda x: x["hash"]).alias(f"l{k}") for k in range(CLIMB)]
+    blocks = blocks.join(nodes.groupBy("block").agg(*held), "block", "left")
+
+    if size >> end:
+        above = _met(tree, wanted.select(F.shiftright("index", CLIMB).alias("index")).distinct(), size, tails, end)
+        blocks = blocks.join(_whole(above, tails, end).select(F.col("index").alias("block"), F.col("path").alias("above"), F.col("hash").alias("root_hash")), "block", "left")
+    else:
+        blocks = blocks.withColumn("above", F.lit(None).cast(PATH)).withColumn("root_hash", F.lit(None).cast("string"))
+
+    def found(w: Column) -> Column:
+        at = w["index"].bitwiseAND(F.lit((1 << CLIMB) - 1)).cast("int")
+        steps = (F.struct(F.when(F.shiftright(at, k).bitwiseAND(F.lit(1)) == 1, "left").otherwise("right").alias("side"), F.get(F.col(f"l{k}"), F.shiftright(at, k).bitwiseXOR(F.lit(1))).alias("hash")) for k in range(CLIMB))
+        return F.struct(*(w[c].alias(c) for c in wanted.columns), F.get(F.col("l0"), at).alias("hash"), F.slice(F.array(*steps), F.lit(1), F.least(w["top"] - level, F.lit(CLIMB))).alias("path"))
+
+    return blocks.select("block", F.transform("_wanted", found).alias("found"), "above", "root_hash")
+
+
+def _rest(top: Column, tails: Column, level: int = 0) -> Column:
+    return F.when(top < level + CLIMB, F.get(tails, top)).otherwise(F.col("above"))
+
+
+def _whole(met: DataFrame, tails: Column, level: int = 0) -> DataFrame:
+    """(index, hash, path): each node's path to the root."""
+    rows = met.select(F.explode("found").alias("f"), "above")
+    return rows.select("f.index", "f.hash", F.concat("f.path", _rest(F.col("f.top"), tails, level)).alias("path"))
+
+
 def inclusion_proofs(tree: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(seq, path) for the leaves ``wanted`` (seq): the siblings up to the root over ``size`` leaves, structs of side and hash.
 
     Up to the root of its whole subtree, a leaf's siblings are stored nodes; then
     come the other whole subtrees, those to the right as one. Nothing is gathered
-    but a path for each leaf.
+    but the nodes of a block (see ``_met``); a sibling that the tree lacks has no hash.
     """
-    places = _peak_nodes(0, size)
-    got = nodes_at(tree, set(places))
-    hashes, tails = [got[p] for p in places], []
-    for k, (level, index) in enumerate(places):
-        right = [("right", _bagged(hashes[k + 1 :]).hex())] if k + 1 < len(places) else []
-        tails.append((index << level, (index + 1) << level, level, right + [("left", h.hex()) for h in reversed(hashes[:k])]))
-    spark = tree.sparkSession
-    peaks = spark.createDataFrame(tails, "_from long, _to long, _top int, _tail array<struct<side: string, hash: string>>")
-    rows = wanted.select("seq").distinct().join(F.broadcast(peaks), (F.col("seq") >= F.col("_from")) & (F.col("seq") < F.col("_to")))
-    steps = rows.where("_top > 0").select("seq", F.explode(F.sequence(F.lit(0), F.col("_top") - 1)).alias("level"))
-    steps = steps.select("seq", "level", F.expr("shiftright(seq, level) ^ 1").alias("index"), F.when(F.expr("shiftright(seq, level) & 1") == 1, "left").otherwise("right").alias("side"))
-    inner = steps.join(tree.select("level", "index", "hash"), ["level", "index"]).groupBy("seq")
-    inner = inner.agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "side", "hash"))), lambda x: F.struct(x["side"].alias("side"), x["hash"].alias("hash"))).alias("_inner"))
-    none = F.array().cast("array<struct<side: string, hash: string>>")
-    return rows.join(inner, "seq", "left").select("seq", F.concat(F.coalesce("_inner", none), "_tail").alias("path"))
+    tails = _tails(tree, size)
+    met = _met(tree, wanted.select(F.col("seq").alias("index")), size, tails, gather=F.collect_set)
+    return _whole(met, tails).select(F.col("index").alias("seq"), "path")
+
+
+def proven(tree: DataFrame, leaves: DataFrame, size: int) -> DataFrame:
+    """(seq, steps, root) for ``leaves`` (seq, leaf_hash): the length of each one's path, and the root that the path gives.
+
+    A path goes through the root of the leaf's block. Where it gives the hash
+    that the tree has there, the rest is what that hash gives, which is worked
+    out once for a block; where it gives another one, the rest is gone for it alone.
+    """
+    tails = _tails(tree, size)
+    met = _met(tree, leaves.select(F.col("seq").alias("index"), "leaf_hash"), size, tails)
+    inner = F.transform("found", lambda f: F.struct(f["index"].alias("seq"), f["top"].alias("top"), F.size(f["path"]).alias("steps"), _proven(f["leaf_hash"], f["path"]).alias("inner")))
+    # Beside explode, the block's root would be worked out for every leaf.
+    met = met.withColumn("above_root", proven_root("root_hash", "above")).select(F.explode(inner).alias("f"), "above", "root_hash", "above_root")
+    rest = _rest(F.col("f.top"), tails)
+    known = (F.col("f.top") >= CLIMB) & (F.col("f.inner") == F.col("root_hash"))
+    return met.select("f.seq", (F.col("f.steps") + F.size(rest)).alias("steps"), F.when(known, F.col("above_root")).otherwise(_proven(F.col("f.inner"), rest)).alias("root"))
+
+
+def _proven(leaf: Column, path: Column) -> Column:
+    step = lambda h, s: F.when(s["side"] == "right", _node(h, s["hash"])).otherwise(_node(s["hash"], h))
+    return F.aggregate(path, leaf, step)
 
 
 def proven_root(leaf: str, path: str) -> Column:
     """The root that a leaf and its path give."""
-    step = lambda h, s: F.when(s["side"] == "right", _node(h, s["hash"])).otherwise(_node(s["hash"], h))
-    return F.aggregate(path, F.col(leaf), step)
+    return _proven(F.col(leaf), F.col(path))
 
 
 def consistency_proof(tree: DataFrame, old: int, size: int) -> tuple[list[bytes], list[bytes]]:

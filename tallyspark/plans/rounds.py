@@ -8,7 +8,6 @@ from tallyspark.operators import assignment, attribution, audit, evaluation, lin
 from tallyspark.plans import adapters as ad
 from tallyspark.plans import reconcile
 from tallyspark.plans.catalogue import _TREE, FIXED_WEIGHTS, _levels, query
-from tallyspark.session import cut
 
 
 def _due(spark, d):
@@ -53,9 +52,7 @@ def merkle_proofs(spark, d):
     records = ad.table(spark, d, "orders").select("o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("record"))
     least = records.agg(F.min("o_orderkey").alias("_m"), F.count(F.lit(1)).alias("_n")).first()
     leaves = audit.leaves(records.withColumn("seq", F.col("o_orderkey") - F.lit(least["_m"] or 0)), "seq", "record")
-    tree = cut(audit.new_nodes(leaves, 0, least["_n"]))
-    proofs = audit.inclusion_proofs(tree, leaves, least["_n"]).join(leaves, "seq")
-    return proofs.select("seq", F.size("path").alias("steps"), audit.proven_root("leaf_hash", "path").alias("root"))
+    return audit.proven(audit.new_nodes(leaves, 0, least["_n"]), leaves, least["_n"])
 
 
 @query("""WITH RECURSIVE n AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber AS match_id, 'as ' || min(l_returnflag) AS m, 'at ' || min(l_tax) AS t, max(l_extendedprice) AS price FROM lineitem GROUP BY l_orderkey, l_linenumber),
