@@ -8,12 +8,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyspark.functions.text import bucket_similarity, gram_buckets, name_key, name_tokens, normal_name
+from tallyspark.functions.text import bucket_similarity, gram_bucket_of, gram_buckets, name_key, name_tokens, normal_name, normal_name_of, word_key_of
 from tallyspark.operators import blocking
 
 FIELDS = ("reference", "amount", "date", "counterparty", "narration")
@@ -155,74 +154,95 @@ def _date_levels(gap: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.select([~known, gap == 0, gap <= 1, gap <= 7], [MISSING, EXACT, STRONG, WEAK], DIFFER)
 
 
-def _compared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, pa.StructArray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(left rows, right rows, places, places, the level of each of FIELDS) of the pairs that blocks with the columns of ``features`` meet."""
-    for left, right, parts in blocking.met(batches):
-        sides = (left, right)
-        own = [pc.if_else(pc.equal(r.field("reference"), ""), pa.scalar(None, pa.string()), r.field("reference")) for r in sides]
-        references, at = _distinct(own)
+#: Columns of a row that comparing needs.
+COMPARED = ("reference", "amount_paise", "occurred_on", "counterparty")
+#: Words and grams whose key or dimension a task remembers, and the dimensions of ``gram_bucket``.
+REMEMBERED, GRAM_DIMENSIONS = 1 << 18, 256
+
+
+def _compared_parts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(rows, places left, places right, the level of each of FIELDS) of the pairs that blocks of rows with COMPARED meet."""
+    keys: dict[str, str] = {}
+    dimensions: dict[str, int] = {}
+    for rows, parts in blocking.met(batches, names):
+        references, reference_at = _distinct(rows.column("reference"))
+        reference_at = np.array([-1 if t == "" else k for k, t in enumerate(references)] + [-1])[reference_at]
         runs = pa.array([[t[k : k + RUN] for k in range(len(t) - RUN + 1)] for t in references] or [[]], pa.list_(pa.string()))
         grams = blocking.padded(blocking.relisted(runs, blocking.codes(runs.flatten())[0]), -1)
         lengths = np.array([len(t) for t in references] or [0])
-        amounts = [np.abs(r.field("amount").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) for r in sides]
-        if max(int(x.max(initial=0)) for x in amounts) > np.iinfo(np.int64).max // 100:
+        amounts = np.abs(rows.column("amount_paise").fill_null(0).to_numpy().astype(np.int64))
+        if int(amounts.max(initial=0)) > np.iinfo(np.int64).max // 100:
             raise OverflowError("amounts beyond a hundredth of a long")
-        dates = [r.field("date").cast(pa.int32()) for r in sides]
-        day, known = [x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in dates], [x.is_valid().to_numpy(zero_copy_only=False) for x in dates]
-        names, keys = ([pc.if_else(pc.equal(r.field(c), ""), pa.scalar(None, pa.string()), r.field(c)) for r in sides] for c in ("name", "key"))
-        name, key = blocking.codes(*names), blocking.codes(*keys)
-        words = [r.field("words") for r in sides]
-        tokens = [blocking.padded(blocking.relisted(w, c), absent) for w, c, absent in zip(words, blocking.codes(*(w.flatten() for w in words)), (-1, -2), strict=True)]
-        counts = _gram_counts([r.field("grams") for r in sides])
-        norms = [np.einsum("ij,ij->i", c, c).astype(np.int64) for c in counts]
+        dates = rows.column("occurred_on").cast(pa.int32())
+        day, known = dates.fill_null(0).to_numpy().astype(np.int64), dates.is_valid().to_numpy()
+        name, key, tokens, counts, norms, name_at = _name_features(rows.column("counterparty"), keys, dimensions)
         for i, j, _ in parts:
-            reference = _reference_levels(at[0][i], at[1][j], references, grams, lengths)
-            amount = _amount_levels(amounts[0][i], amounts[1][j])
-            date = _date_levels(np.abs(day[0][i] - day[1][j]), known[0][i] & known[1][j])
+            reference = _reference_levels(reference_at[i], reference_at[j], references, grams, lengths)
+            amount = _amount_levels(amounts[i], amounts[j])
+            date = _date_levels(np.abs(day[i] - day[j]), known[i] & known[j])
+            x, y = name_at[i], name_at[j]
             overlap = np.zeros(len(i), bool)
-            theirs = [tokens[1][j, k] for k in range(tokens[1].shape[1])]
-            for k in range(tokens[0].shape[1]):
-                mine = tokens[0][i, k]
-                for x in theirs:
-                    overlap |= mine == x
-            a, b, ka, kb = name[0][i], name[1][j], key[0][i], key[1][j]
+            theirs = [tokens[y, k] for k in range(tokens.shape[1])]
+            for k in range(tokens.shape[1]):
+                mine = tokens[x, k]
+                for other in theirs:
+                    overlap |= (mine == other) & (mine >= 0)
+            a, b, ka, kb = name[x], name[y], key[x], key[y]
             counterparty = np.select([(a < 0) | (b < 0), a == b, (ka >= 0) & (ka == kb), overlap], [MISSING, EXACT, STRONG, WEAK], DIFFER)
-            one, other = norms[0][i], norms[1][j]
+            one, other = norms[x], norms[y]
             dots = np.empty(len(i))
             for begin in range(0, len(i), 10_000):
                 part = slice(begin, begin + 10_000)
-                dots[part] = np.einsum("ij,ij->i", counts[0][i[part]], counts[1][j[part]])
+                dots[part] = np.einsum("ij,ij->i", counts[x[part]], counts[y[part]])
             alike = dots / np.sqrt(np.maximum(one.astype(float) * other, 1))
             narration = np.select([(one == 0) | (other == 0), alike >= STRONG_FROM, alike >= WEAK_FROM], [MISSING, STRONG, WEAK], DIFFER)
-            yield left, right, i, j, [reference, amount, date, counterparty, narration]
-
-
-def _distinct(columns: list[pa.Array]) -> tuple[list[str], list[np.ndarray]]:
-    """The distinct texts of all columns, and each column as places among them, -1 for null."""
-    whole = pa.concat_arrays(columns).dictionary_encode()
-    places = whole.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return whole.dictionary.to_pylist(), np.split(places, [len(columns[0])])
-
-
-def _gram_counts(lists: list[pa.ListArray]) -> list[np.ndarray]:
-    """Each row's counts of grams by dimension, over the dimensions that some row has. Counts are small, so that single precision is exact."""
-    numbers = blocking.codes(*(x.flatten() for x in lists))
-    width = 1 + max((int(n.max(initial=0)) for n in numbers), default=0)
-    out = []
-    for x, n in zip(lists, numbers, strict=True):
-        row = np.repeat(np.arange(len(x)), x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        out.append(np.bincount(row * width + n, minlength=len(x) * width).reshape(len(x), width).astype(np.float32))
-    return out
-
-
-def _met(rows: DataFrame, strategies: dict[str, Column], most: int) -> DataFrame:
-    """Blocks of ``rows`` with what comparing needs of each row; names are worked out once for each that there is."""
-    names = rows.select("counterparty").distinct().select(F.col("counterparty").alias("_y"), F.struct(normal_name("counterparty").alias("name"), name_key("counterparty").alias("key"), name_tokens("counterparty").alias("words"), gram_buckets("counterparty").cast("array<int>").alias("grams")).alias("_n"))
-    own = blocking._own(rows, strategies, most)
-    held = rows.select("row_id", "source", "reference", "amount_paise", "occurred_on", "counterparty").join(own, ["row_id", "source"])
-    held = held.join(names, F.col("counterparty").eqNullSafe(F.col("_y"))).drop("_y", "counterparty")
-    features = {"reference": F.col("reference"), "amount": F.col("amount_paise"), "date": F.col("occurred_on")} | {c: F.col(f"_n.{c}") for c in ("name", "key", "words", "grams")}
-    return blocking._blocks(held, strategies, None, features)
+            yield rows, i, j, [reference, amount, date, counterparty, narration]
+
+
+def _name_features(column: pa.ChunkedArray, keys: dict[str, str], dimensions: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """Of the distinct names: numbers of normal names and of name keys (-1 for none), of words, counts of grams by dimension and their squares' sums; and each row's place among the names. Names are taken apart once each."""
+    for held in (keys, dimensions):
+        if len(held) > REMEMBERED:
+            held.clear()
+    names, at = _distinct(column)
+    normal, key, words = [], [], []
+    for n in names:
+        x = normal_name_of(n)
+        split = x.split(" ") if x else []
+        for w in split:
+            if w not in keys:
+                keys[w] = word_key_of(w)
+        normal.append(x or None)
+        key.append(" ".join([keys[w] for w in split]) or None)
+        words.append([w for w in split if len(w) > 1])
+    # The last place is that of a missing name: the rows' -1.
+    tokens = pa.array([*words, []], pa.list_(pa.string()))
+    numbers = lambda texts: blocking.codes(pa.array([*texts, None], pa.string()))[0]
+    counts = _gram_counts(names, dimensions)
+    return numbers(normal), numbers(key), blocking.padded(blocking.relisted(tokens, blocking.codes(tokens.flatten())[0]), -1), counts, np.einsum("ij,ij->i", counts, counts).astype(np.int64), at
+
+
+def _distinct(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+    """The distinct texts, and each row's place among them, -1 for null."""
+    whole = column.combine_chunks().dictionary_encode()
+    return whole.dictionary.to_pylist(), whole.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _gram_counts(names: list[str], dimensions: dict[str, int]) -> np.ndarray:
+    """Each name's counts of grams by dimension, and a row without any at the end. Counts are small, so that single precision is exact."""
+    padded = [f"  {n.lower()}  " for n in names]
+    letters = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    grams = letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:]
+    row = np.repeat(np.arange(len(names)), [len(p) for p in padded])
+    # A gram ends where it began: in the same name.
+    inside = row[:-2] == row[2:]
+    distinct, place = np.unique(grams[inside], return_inverse=True)
+    texts = ["".join(chr(g >> shift & 0x1FFFFF) for shift in (42, 21, 0)) for g in distinct.tolist()]
+    for g in texts:
+        if g not in dimensions:
+            dimensions[g] = gram_bucket_of(g)
+    found = np.array([dimensions[g] for g in texts], np.int64)[place] if len(texts) else np.zeros(0, np.int64)
+    return np.bincount(row[:-2][inside] * GRAM_DIMENSIONS + found, minlength=(len(names) + 1) * GRAM_DIMENSIONS).reshape(len(names) + 1, GRAM_DIMENSIONS).astype(np.float32)
 
 
 def compared_candidates(rows: DataFrame, strategies: dict[str, Column], left_id: str, right_id: str, most: int = blocking.MAX_BLOCK) -> DataFrame:
@@ -230,31 +250,34 @@ def compared_candidates(rows: DataFrame, strategies: dict[str, Column], left_id:
 
     ``rows`` has row_id (text), source, reference, amount_paise, occurred_on and
     counterparty; the alphabetically first source is left. Rows are shuffled
-    with what comparing needs of them, pairs are not. A block gives at most
+    with these columns and no more, as names are taken apart where blocks are,
+    once each; pairs are not shuffled. A block gives at most
     ``most`` squared pairs, so their number stays in proportion to the rows.
     """
 
+    names = list(strategies)
+
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right, i, j, found in _compared_parts(batches):
-            ids = [s.field("row_id").take(pa.array(k)) for s, k in ((left, i), (right, j))]
+        for met, i, j, found in _compared_parts(batches, names):
+            ids = [met.column("row_id").combine_chunks().take(pa.array(k)) for k in (i, j)]
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x.astype(np.int32)) for x in found)], names=[left_id, right_id, *FIELDS])
 
-    return _met(rows, strategies, most).mapInArrow(levels, f"{left_id} string, {right_id} string, " + ", ".join(f"{f} int" for f in FIELDS))
+    return blocking._blocks(rows, strategies, most, COMPARED).mapInArrow(levels, f"{left_id} string, {right_id} string, " + ", ".join(f"{f} int" for f in FIELDS))
 
 
 def counted_candidates(rows: DataFrame, strategies: dict[str, Column], most: int = blocking.MAX_BLOCK) -> DataFrame:
     """``pattern_counts`` of ``compared_candidates``, counted where pairs are met: no pair leaves its task."""
-    width = MISSING + 1
+    width, names = MISSING + 1, list(strategies)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width ** len(FIELDS), np.int64)
-        for *_, found in _compared_parts(batches):
+        for *_, found in _compared_parts(batches, names):
             total += np.bincount(np.ravel_multi_index(found, [width] * len(FIELDS)), minlength=len(total))
         seen = np.flatnonzero(total)
         levels = np.unravel_index(seen, [width] * len(FIELDS))
         yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in levels), pa.array(total[seen])], names=[*FIELDS, "n"])
 
-    found = _met(rows, strategies, most).mapInArrow(patterns, ", ".join(f"{f} int" for f in FIELDS) + ", n long")
+    found = blocking._blocks(rows, strategies, most, COMPARED).mapInArrow(patterns, ", ".join(f"{f} int" for f in FIELDS) + ", n long")
     return found.groupBy(*FIELDS).agg(F.sum("n").alias("n"))
 
 
