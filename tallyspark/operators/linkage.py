@@ -7,8 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -245,7 +247,11 @@ def _gram_counts(names: list[str], dimensions: dict[str, int]) -> np.ndarray:
     return np.bincount(row[:-2][inside] * GRAM_DIMENSIONS + found, minlength=(len(names) + 1) * GRAM_DIMENSIONS).reshape(len(names) + 1, GRAM_DIMENSIONS).astype(np.float32)
 
 
-def compared_candidates(rows: DataFrame, strategies: dict[str, Column], left_id: str, right_id: str, most: int = blocking.MAX_BLOCK) -> DataFrame:
+def _held(only: str | None) -> tuple[str, ...]:
+    return COMPARED if only is None else (*COMPARED, only)
+
+
+def compared_candidates(rows: DataFrame, strategies: dict[str, Column], left_id: str, right_id: str, most: int = blocking.MAX_BLOCK, only: str | None = None) -> DataFrame:
     """(left_id, right_id, and the level of each of FIELDS): ``compared`` for the ``candidates`` of ``rows``, worked out where a pair is met.
 
     ``rows`` has row_id (text), source, reference, amount_paise, occurred_on and
@@ -259,14 +265,18 @@ def compared_candidates(rows: DataFrame, strategies: dict[str, Column], left_id:
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met, i, j, found in _compared_parts(batches, names):
+            if only is not None:
+                open_ = met.column(only).fill_null(False).to_numpy()
+                kept = np.flatnonzero(open_[i] & open_[j])
+                i, j, found = i[kept], j[kept], [x[kept] for x in found]
             ids = [met.column("row_id").combine_chunks().take(pa.array(k)) for k in (i, j)]
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x.astype(np.int32)) for x in found)], names=[left_id, right_id, *FIELDS])
 
-    return blocking._blocks(rows, strategies, most, COMPARED).mapInArrow(levels, f"{left_id} string, {right_id} string, " + ", ".join(f"{f} int" for f in FIELDS))
+    return blocking._blocks(rows, strategies, most, _held(only)).mapInArrow(levels, f"{left_id} string, {right_id} string, " + ", ".join(f"{f} int" for f in FIELDS))
 
 
-def counted_candidates(rows: DataFrame, strategies: dict[str, Column], most: int = blocking.MAX_BLOCK) -> DataFrame:
-    """``pattern_counts`` of ``compared_candidates``, counted where pairs are met: no pair leaves its task."""
+def counted_candidates(rows: DataFrame, strategies: dict[str, Column], most: int = blocking.MAX_BLOCK, only: str | None = None) -> DataFrame:
+    """``pattern_counts`` of ``compared_candidates``, of all pairs whatever ``only`` says, counted where pairs are met: no pair leaves its task. In one plan with those it shares their shuffles."""
     width, names = MISSING + 1, list(strategies)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +287,7 @@ def counted_candidates(rows: DataFrame, strategies: dict[str, Column], most: int
         levels = np.unravel_index(seen, [width] * len(FIELDS))
         yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in levels), pa.array(total[seen])], names=[*FIELDS, "n"])
 
-    found = blocking._blocks(rows, strategies, most, COMPARED).mapInArrow(patterns, ", ".join(f"{f} int" for f in FIELDS) + ", n long")
+    found = blocking._blocks(rows, strategies, most, _held(only)).mapInArrow(patterns, ", ".join(f"{f} int" for f in FIELDS) + ", n long")
     return found.groupBy(*FIELDS).agg(F.sum("n").alias("n"))
 
 
@@ -338,16 +348,30 @@ def fit(counts: list[tuple[tuple[int, ...], int]]) -> Model:
     return Model(m, u, share, rounds, done, likelihood)
 
 
-def score(levels: DataFrame, model: Model) -> DataFrame:
-    """``levels`` with each field's bits, their sum and the probability of a match."""
-    each = []
-    for at, name in enumerate(FIELDS):
-        table = F.array(*(F.lit(model.bits(at, level)) for level in range(5)))
-        each.append(F.get(table, F.col(name).cast("int")))
+def fitted(counts: DataFrame) -> DataFrame:
+    """One row of what ``fit`` makes of pattern counts, for plans that score by it: table (the bits of each level, missing too, of each of FIELDS) and prior."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = fit([(tuple(map(int, r[:-1])), int(r[-1])) for batch in batches for r in batch[[*FIELDS, "n"]].itertuples(index=False)])
+        yield pd.DataFrame({"table": [[[model.bits(at, level) for level in range(MISSING + 1)] for at in range(len(FIELDS))]], "prior": [model.prior_bits]})
+
+    # At most 5**5 rows.
+    return counts.select(*FIELDS, "n").repartition(1).mapInPandas(run, "table array<array<double>>, prior double")
+
+
+def score(levels: DataFrame, model: Model | DataFrame) -> DataFrame:
+    """``levels`` with each field's bits, their sum and the probability of a match; a DataFrame is a ``fitted`` one."""
+    if isinstance(model, Model):
+        tables = [F.array(*(F.lit(model.bits(at, level)) for level in range(MISSING + 1))) for at in range(len(FIELDS))]
+        prior = F.lit(model.prior_bits)
+    else:
+        levels = levels.crossJoin(F.broadcast(model.select(F.col("table").alias("_table"), F.col("prior").alias("_prior"))))
+        tables, prior = [F.get("_table", F.lit(at)) for at in range(len(FIELDS))], F.col("_prior")
+    each = [F.get(table, F.col(name).cast("int")) for name, table in zip(FIELDS, tables, strict=True)]
     levels = levels.withColumn("bits_by_field", F.array(*each)).withColumn("bits", F.round(sum(each[1:], each[0]), 6))
-    odds = F.col("bits") + F.lit(model.prior_bits)
+    odds = F.col("bits") + prior
     p = F.when(odds > MOST_ODDS, 1.0).when(odds < -MOST_ODDS, 0.0).otherwise(F.pow(F.lit(2.0), odds) / (1 + F.pow(F.lit(2.0), odds)))
-    return levels.withColumn("probability", F.round(p, 6))
+    return levels.withColumn("probability", F.round(p, 6)).drop("_table", "_prior")
 
 
 def explain(scored: DataFrame, most: int = 3) -> DataFrame:
@@ -357,11 +381,15 @@ def explain(scored: DataFrame, most: int = 3) -> DataFrame:
     return scored.withColumn("because", F.transform(top, lambda x: F.struct(x["field"].alias("field"), F.round(x["bits"], 4).alias("bits"))))
 
 
-def scored(levels: DataFrame, model: Model) -> DataFrame:
-    """``levels`` with bits, probability, band and because: worked out once for each of the 5**5 patterns, which the pairs look up."""
+def _patterns(spark: SparkSession) -> DataFrame:
+    """All 5**5 combinations of levels."""
     place = F.col("id").cast("int")
-    patterns = levels.sparkSession.range((MISSING + 1) ** len(FIELDS)).select(*((F.floor(place / (MISSING + 1) ** k) % (MISSING + 1)).cast("int").alias(f) for k, f in enumerate(FIELDS)))
-    told = explain(score(patterns, model)).withColumn("band", band()).drop("bits_by_field")
+    return spark.range((MISSING + 1) ** len(FIELDS)).select(*((F.floor(place / (MISSING + 1) ** k) % (MISSING + 1)).cast("int").alias(f) for k, f in enumerate(FIELDS)))
+
+
+def scored(levels: DataFrame, model: Model | DataFrame) -> DataFrame:
+    """``levels`` with bits, probability, band and because: worked out once for each of the 5**5 patterns, which the pairs look up."""
+    told = explain(score(_patterns(levels.sparkSession), model)).withColumn("band", band()).drop("bits_by_field")
     return levels.join(F.broadcast(told), list(FIELDS))
 
 
@@ -380,6 +408,41 @@ def leading(scored: DataFrame, own: str, other: str, most: int = SHOWN) -> DataF
     return kept.groupBy(own).agg(F.transform(listed, lambda x: x["c"]).alias("leading"))
 
 
+def leading_candidates(rows: DataFrame, strategies: dict[str, Column], model: Model, own: str, other: str, most: int = SHOWN, most_rows: int = blocking.MAX_BLOCK) -> DataFrame:
+    """``leading`` of ``scored`` ``compared_candidates``, the left ids being ``own``: a block hands on what leads there, as one list for a row.
+
+    In a list a pair is its other id and the place of its bits among those that
+    the 5**5 patterns have.
+    """
+    width, names = MISSING + 1, list(strategies)
+    told = score(_patterns(rows.sparkSession), model).select(*FIELDS, "bits", "probability").collect()
+    values = sorted({(-r["bits"], r["probability"]) for r in told})
+    ranks = np.zeros(width ** len(FIELDS), np.int64)
+    for r in told:
+        ranks[np.ravel_multi_index([r[f] for f in FIELDS], [width] * len(FIELDS))] = values.index((-r["bits"], r["probability"]))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met, i, j, found in _compared_parts(batches, names):
+            ids = met.column("row_id").combine_chunks()
+            turn = np.empty(len(ids), np.int64)
+            turn[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            rank = ranks[np.ravel_multi_index(found, [width] * len(FIELDS))] if len(i) else np.zeros(0, np.int64)
+            order = np.lexsort((turn[j], rank, i))
+            i, j, rank = i[order], j[order], rank[order]
+            begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])[: len(i)])
+            place = np.arange(len(i)) - np.repeat(begin, np.diff([*begin, len(i)]))
+            kept = place < most
+            ends = np.concatenate([[0], np.cumsum(np.add.reduceat(kept, begin, dtype=np.int64))]) if len(i) else np.zeros(1, np.int64)
+            items = pa.StructArray.from_arrays([pa.array(rank[kept].astype(np.int32)), ids.take(pa.array(j[kept]))], names=["rank", "id"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[begin])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=[own, "first"])
+
+    lists = blocking._blocks(rows, strategies, most_rows, COMPARED).mapInArrow(best, f"{own} string, first array<struct<rank: int, id: string>>")
+    merged = lists.groupBy(own).agg(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, most).alias("first"))
+    bits, chances = (F.array(*(F.lit(float(v)) for v in column)) for column in ([-b for b, _ in values], [p for _, p in values]))
+    named = F.transform("first", lambda x: F.struct(x["id"].alias(other), F.get(bits, x["rank"]).alias("bits"), F.get(chances, x["rank"]).alias("probability")))
+    return merged.select(own, named.alias("leading"))
+
+
 #: Bits from which a pair links, and from which a person reviews it.
 LINK_BITS, REVIEW_BITS = 6.0, 0.0
 

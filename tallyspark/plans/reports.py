@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text
 from tallyspark.operators import blocking, calibration, linkage, waterfall
 from tallyspark.plans import adapters as ad
-from tallyspark.plans.catalogue import _BITS, _LEVELS, FIXED_WEIGHTS, _levels, query
+from tallyspark.plans.catalogue import _BITS, _LEVELS, FIXED_WEIGHTS, _strategies, query
 
 
 @query(f"""WITH c AS (SELECT l.doc_id, (1 - (n_chars % 50) / 100)::DECIMAL(10, 2) AS confidence, quality = 1 AS correct, ('0x' || sha256('20260101:' || l.doc_id)[1:8])::BIGINT < 2147483648 AS half FROM labels l JOIN documents USING (doc_id)),
@@ -63,7 +63,7 @@ def settlement_date_levels(spark, d):
 SELECT payment_id, string_agg(invoice_id, ',' ORDER BY place) AS invoices, max(bits) AS most_bits, count(*)::INT AS shown FROM k WHERE place <= 6 GROUP BY payment_id""")
 def leading_candidates(spark, d):
     """The six invoices that speak most for each payment, as a report on an open payment shows them."""
-    found = linkage.leading(linkage.scored(_levels(spark, d), FIXED_WEIGHTS), "payment_id", "invoice_id")
+    found = linkage.leading_candidates(*_strategies(spark, d), FIXED_WEIGHTS, "payment_id", "invoice_id")
     return found.select("payment_id", F.array_join(F.transform("leading", lambda c: c["invoice_id"]), ",").alias("invoices"), F.get("leading", F.lit(0))["bits"].alias("most_bits"), F.size("leading").alias("shown"))
 
 

@@ -43,3 +43,41 @@ def test_pairs_of_rows_with_many_keys(spark):
     assert found == {(f"p{n}", "i9") for n in range(3)}
     with pytest.raises(Exception, match="too many keys"):
         blocking.candidates(rows.withColumn("keys", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: k.cast("string"))), {"s": F.col("keys")}).collect()
+
+
+def _books(spark):
+    columns = "row_id string, source string, reference string, amount_paise long, occurred_on date, counterparty string"
+    rows = [(f"{s}{k:02}", s, f"ref {k % 20}", 100 * (k % 7), None, f"Customer {k % 4}") for k in range(40) for s in ("a", "b")]
+    return spark.createDataFrame(rows, columns), {"reference": F.array("reference"), "amount": F.array(F.col("amount_paise").cast("string")), "name": F.array("counterparty")}
+
+
+def test_a_fit_shares_the_shuffles_of_what_it_scores(spark):
+    rows, keys = _books(spark)
+    levels, counts = linkage.compared_candidates(rows, keys, "left_id", "right_id"), linkage.counted_candidates(rows, keys)
+    model = linkage.fit([(tuple(r[f] for f in linkage.FIELDS), r["n"]) for r in counts.collect()])
+    found = linkage.scored(levels, linkage.fitted(counts))
+    got = sorted(map(tuple, found.drop("because").collect()))
+    assert got == sorted(map(tuple, linkage.scored(levels, model).drop("because").collect())) and len(got) > 100
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    none = linkage.fitted(counts.where("n < 0")).first()
+    assert none.prior == linkage.fit([]).prior_bits and len(none.table) == len(linkage.FIELDS)
+
+
+def test_what_leads_is_chosen_in_the_block(spark):
+    rows, keys = _books(spark)
+    model = linkage.Model([list(linkage.SEED_M)] * 5, [list(linkage.SEED_U)] * 5, linkage.SEED_SHARE)
+    want = linkage.leading(linkage.scored(linkage.compared_candidates(rows, keys, "left_id", "right_id"), model), "left_id", "right_id")
+    found = linkage.leading_candidates(rows, keys, model, "left_id", "right_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_open_rows_leave_as_pairs(spark):
+    rows, keys = _books(spark)
+    rows = rows.withColumn("open", F.col("row_id").isin("a01", "a02", "b01"))
+    every = linkage.compared_candidates(rows, keys, "left_id", "right_id")
+    found = linkage.compared_candidates(rows, keys, "left_id", "right_id", only="open")
+    want = every.where("left_id IN ('a01', 'a02') AND right_id = 'b01'")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count()
+    assert linkage.counted_candidates(rows, keys, only="open").agg(F.sum("n")).first()[0] == every.count()
