@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
@@ -11,17 +11,43 @@ from tallyspark.operators import attribution, blocking, evaluation, exceptions,
 from tallyspark.session import cut
 
 
-def candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    """(payment_id, invoice_id, why): pairs that share a reference, an amount or a name."""
-    rows = payments.select(F.col("payment_id").alias("row_id"), F.lit("gateway").alias("source"), "reference", "amount_paise", "counterparty").unionByName(
-        invoices.select(F.col("invoice_id").alias("row_id"), F.lit("ledger").alias("source"), "reference", "amount_paise", "counterparty")
-    )
-    keys = {
+def _strategies() -> dict[str, Column]:
+    """Rows that share a reference, an amount or a name are candidates."""
+    return {
         "reference": F.array(F.concat(F.lit("ref:"), text.normal_reference("reference"))),
         "amount": F.array(F.concat(F.lit("amt:"), F.abs("amount_paise").cast("string"))),
         "counterparty": F.array(F.concat(F.lit("cp:"), F.array_join(F.array_sort(text.name_tokens("counterparty")), " ")), F.concat(F.lit("ph:"), text.name_key("counterparty"))),
     }
-    return blocking.candidates(rows, keys).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"), "why")
+
+
+def _rows(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    side = lambda df, own, source: df.select(F.col(own).alias("row_id"), F.lit(source).alias("source"), *linkage.COMPARED, *(c for c in ("open",) if c in df.columns))
+    return side(payments, "payment_id", "gateway").unionByName(side(invoices, "invoice_id", "ledger"))
+
+
+def candidates(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """(payment_id, invoice_id, why): pairs that share a reference, an amount or a name."""
+    return blocking.candidates(_rows(payments, invoices), _strategies()).select(F.col("left_id").alias("payment_id"), F.col("right_id").alias("invoice_id"), "why")
+
+
+def _open_scored(payments: DataFrame, invoices: DataFrame, made: DataFrame) -> DataFrame:
+    """(payment_id, invoice_id, bits, probability, band) of the candidates, neither of them linked by ``made``, that link or are to be reviewed; the fit sees all pairs.
+
+    Pairs are compared and counted where they are met; those of linked rows and
+    those that are rejected, nearly all, leave no task. Dates that are compared
+    through the bank calendar need the pairs themselves.
+    """
+    if all(c in df.columns for df in (payments, invoices) for c in linkage.DUE):
+        compared = cut(linkage.compared(candidates(payments, invoices), payments, invoices, "payment_id", "invoice_id"))
+        model = linkage.fitted(linkage.pattern_counts(compared))
+        compared = compared.join(made.select("payment_id"), "payment_id", "left_anti").join(made.select("invoice_id"), "invoice_id", "left_anti")
+    else:
+        marked = lambda df, own: df.join(made.select(own, F.lit(False).alias("_linked")), own, "left").withColumn("open", F.col("_linked").isNull())
+        # Only what is compared: written once, for the counts of the blocks, the blocks and the fit.
+        rows = cut(_rows(marked(payments, "payment_id"), marked(invoices, "invoice_id")))
+        compared = linkage.compared_candidates(rows, _strategies(), "payment_id", "invoice_id", only="open")
+        model = linkage.fitted(linkage.counted_candidates(rows, _strategies(), only="open"))
+    return cut(linkage.scored(compared, model).where("band != 'reject'").select("payment_id", "invoice_id", "bits", "probability", "band"))
 
 
 def utr_stage(settlements: DataFrame, credits: DataFrame, days: DataFrame, most_days: int = 2) -> DataFrame:
@@ -82,10 +108,7 @@ def close(payments: DataFrame, invoices: DataFrame, credits: DataFrame, days: Da
     exact = matching.unique_matches(live.select("payment_id", "reference", "amount_paise"), invoices.select("invoice_id", "reference", "amount_paise"), "payment_id", "invoice_id", ["reference", "amount_paise"])
     made = add_stage(None, "exact", link(exact, F.lit(1.0)))
 
-    compared = cut(linkage.compared(candidates(live, invoices), live, invoices, "payment_id", "invoice_id"))
-    counts = [(tuple(r[f] for f in linkage.FIELDS), r["n"]) for r in linkage.pattern_counts(compared).collect()]
-    scored = linkage.score(compared, linkage.fit(counts)).withColumn("band", linkage.band())
-    open_pairs = scored.join(made.select("payment_id"), "payment_id", "left_anti").join(made.select("invoice_id"), "invoice_id", "left_anti")
+    open_pairs = _open_scored(live, invoices, made)
     linked = matching.mutual_best(open_pairs.where("band = 'link'"), "payment_id", "invoice_id", "bits")
     made = add_stage(made, "linkage", link(linked, F.col("probability")))
     review = open_pairs.where("band = 'review'").select("payment_id", "invoice_id", "bits", "probability")
