@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -137,8 +138,6 @@ def assign_one_to_one(weights: np.ndarray, abstain: float) -> list[tuple[int, in
     return sorted((int(owner[c]), c) for c in range(columns) if owner[c] >= 0)
 
 
-#: Distinct amounts of a date that are searched together, about; beyond, whole buckets of amounts are laid end to end over the credits.
-GATHERED = 50_000
 #: Open days with credits that are searched together where payments reach over several days; an even number of such windows never shares a payment with the next even one.
 WINDOW_DATES = 10
 #: Parts into which the payments of one amount are dealt when they are numbered.
@@ -146,6 +145,7 @@ SALTS = 64
 
 #: Tasks among which the groups of a search are dealt.
 SEARCH_TASKS = 96
+EPOCH = date(1970, 1, 1)
 
 TAKES = "array<struct<low: date, high: date, net_paise: long, credit_id: string, first: long, n: long>>"
 
@@ -175,65 +175,56 @@ def _searched(groups: DataFrame) -> DataFrame:
     (array of credit_id, amount_paise, landed_on and room, in order), reaching
     (whether payments are limited to the credits from low to high) and slack.
     Room is how much of the credit the group's payments stand for. Amounts of
-    zero or less are left out of the search.
+    zero or less are left out of the search. Amounts stay in columns, some
+    dozen bytes each, so that a group may have millions of them.
     """
+    item = pa.struct([("low", pa.date32()), ("high", pa.date32()), ("net_paise", pa.int64()), ("credit_id", pa.string()), ("first", pa.int64()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for r in batch.itertuples():
-                own = [p for p in r.own if p["net_paise"] > 0]
-                values, counts = (np.array([p[c] for p in own], np.int64) for c in ("net_paise", "n"))
-                allowed = [np.array([p["low"] <= c["landed_on"] <= p["high"] for p in own], bool) for c in r.credits] if r.reaching else None
+            for at in range(batch.num_rows):
+                group, reaching, slack = (batch.column(c)[at].as_py() for c in ("group", "reaching", "slack"))
+                credits = batch.column("credits")[at].as_py()
+                own = batch.column("own")[at].values
+                values, counts = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("net_paise", "n"))
+                lows, highs = (own.field(c).cast(pa.int32()).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+                values, counts, lows, highs = (x[values > 0] for x in (values, counts, lows, highs))
+                landed = [(c["landed_on"] - EPOCH).days for c in credits]
+                allowed = [(lows <= day) & (day <= highs) for day in landed] if reaching else None
                 first = np.zeros(len(values), np.int64)
-                for begin, parts, method, status, tried in subsets.attribute_in_windows(values, counts, [int(c["room"]) for c in r.credits], int(r.slack), allowed):
+                for begin, parts, method, status, tried in subsets.attribute_in_windows(values, counts, [int(c["room"]) for c in credits], int(slack), allowed):
                     takes = []
                     for k, part in enumerate(parts):
-                        for at in () if part is None else np.flatnonzero(part):
-                            p = own[at]
-                            takes.append({"low": p["low"], "high": p["high"], "net_paise": int(values[at]), "credit_id": r.credits[begin + k]["credit_id"], "first": int(first[at]), "n": int(part[at])})
-                            first[at] += part[at]
-                    met = [r.credits[begin + k]["credit_id"] for k, part in enumerate(parts) if part is not None]
-                    rows.append((r.group, takes, met, len(parts), method, status, tried, subsets.space(counts)))
-            yield pd.DataFrame(rows, columns=["group", "takes", "met", "asked", "method", "status", "tried", "space"])
+                        used = np.flatnonzero(part) if part is not None else np.zeros(0, np.int64)
+                        name = credits[begin + k]["credit_id"]
+                        columns = [pa.array(lows[used], pa.int32()).cast(pa.date32()), pa.array(highs[used], pa.int32()).cast(pa.date32()), pa.array(values[used]), pa.array([name] * len(used), pa.string()), pa.array(first[used]), pa.array(part[used] if len(used) else used)]
+                        takes.append(pa.StructArray.from_arrays(columns, fields=list(item)))
+                        if len(used):
+                            first[used] += part[used]
+                    met = [credits[begin + k]["credit_id"] for k, part in enumerate(parts) if part is not None]
+                    taken = pa.concat_arrays(takes) if takes else pa.array([], item)
+                    columns = [pa.array([group]), pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken), pa.array([met], pa.list_(pa.string())), pa.array([len(parts)], pa.int32()), pa.array([method]), pa.array([status]), pa.array([tried], pa.int64()), pa.array([subsets.space(counts)], pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["group", "takes", "met", "asked", "method", "status", "tried", "space"])
 
     # Groups are few bytes and much work, so they are dealt out by number: by size they would all go to one task.
     dealt = groups.select("group", "own", "credits", "reaching", "slack").repartition(SEARCH_TASKS, "group")
-    return dealt.mapInPandas(run, f"group string, takes {TAKES}, met array<string>, asked int, method string, status string, tried long, space double")
+    return dealt.mapInArrow(run, f"group string, takes {TAKES}, met array<string>, asked int, method string, status string, tried long, space double")
 
 
 def solve_dates(payments: DataFrame, credits: DataFrame) -> DataFrame:
     """The search on each date with several credits, over its amounts with their counts; see ``by_several_credits``.
 
-    Of a date with more than about GATHERED distinct amounts, amounts are dealt
-    into buckets whose sums are laid end to end over the credits: a bucket that
-    lies within one credit goes there whole, and only buckets across a credit's
-    end are searched, each for what the credits on it still miss.
+    A date is one search however many amounts it has: what it finds does not
+    hang on their number.
     """
-    order = W.partitionBy("landed_on").orderBy("credit_id")
-    ends = credits.select("landed_on", "credit_id", "amount_paise", F.sum("amount_paise").over(order).alias("end"))
-    item = F.struct("credit_id", "amount_paise", "end", F.col("landed_on"))
+    item = F.struct("credit_id", "amount_paise", "landed_on", F.col("amount_paise").alias("room"))
     # A row for each date, which is asked for twice and is made from all payments or all of a bank's lines.
-    plan = cut(ends.groupBy("landed_on").agg(F.array_sort(F.collect_list(item)).alias("plan")).where(F.size("plan") > 1))
+    plan = cut(credits.groupBy("landed_on").agg(F.array_sort(F.collect_list(item)).alias("credits")).where(F.size("credits") > 1))
     own = payments.select(F.col("settles_on").alias("landed_on"), "net_paise").join(plan.select("landed_on"), "landed_on", "left_semi")
     amounts = own.groupBy("landed_on", "net_paise").agg(F.count(F.lit(1)).alias("n"))
-    sizes = amounts.groupBy("landed_on").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("members"))
-    amounts = amounts.join(sizes, "landed_on").withColumn("bucket", F.pmod(F.xxhash64("net_paise"), F.ceil(F.col("distinct") / GATHERED)).cast("int"))
-    gathered = amounts.groupBy("landed_on", "bucket", "members").agg(
-        F.sum(F.col("net_paise") * F.col("n")).alias("sum"), F.array_sort(F.collect_list(F.struct("net_paise", F.col("landed_on").alias("low"), F.col("landed_on").alias("high"), "n"))).alias("own")
-    )
-    laid = gathered.withColumn("after", F.sum("sum").over(W.partitionBy("landed_on").orderBy("bucket"))).withColumn("before", F.col("after") - F.col("sum")).join(plan, "landed_on")
-    last = F.element_at("plan", -1)["credit_id"]
-    # Each credit's part of the bucket: where their stretches overlap; the last credit has all that is left.
-    room = lambda c: F.least(F.when(c["credit_id"] == last, F.greatest(c["end"], F.col("after"))).otherwise(c["end"]), F.col("after")) - F.greatest(c["end"] - c["amount_paise"], F.col("before"))
-    only = (F.col("before") == 0) & (F.col("sum") == F.sum("sum").over(W.partitionBy("landed_on")))
-    parts = F.filter(F.transform("plan", lambda c: F.struct(c["credit_id"].alias("credit_id"), c["amount_paise"].alias("amount_paise"), c["landed_on"].alias("landed_on"), room(c).alias("room"))), lambda c: c["room"] > 0)
-    every = F.transform("plan", lambda c: F.struct(c["credit_id"].alias("credit_id"), c["amount_paise"].alias("amount_paise"), c["landed_on"].alias("landed_on"), c["amount_paise"].alias("room")))
-    slack = SLACK_EACH * F.col("members") + SLACK
-    groups = laid.select(
-        F.concat_ws(" ", F.col("landed_on").cast("string"), F.col("bucket").cast("string")).alias("group"), "own", F.when(only, every).otherwise(parts).alias("credits"), F.lit(False).alias("reaching"), slack.alias("slack")
-    )
-    return _searched(groups)
+    listed = F.array_sort(F.collect_list(F.struct("net_paise", F.col("landed_on").alias("low"), F.col("landed_on").alias("high"), "n")))
+    gathered = amounts.groupBy("landed_on").agg(listed.alias("own"), (SLACK_EACH * F.sum("n") + SLACK).alias("slack")).join(plan, "landed_on")
+    return _searched(gathered.select(F.col("landed_on").cast("string").alias("group"), "own", "credits", F.lit(False).alias("reaching"), "slack"))
 
 
 def by_several_credits(payments: DataFrame, credits: DataFrame) -> DataFrame:

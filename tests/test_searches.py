@@ -3,6 +3,7 @@
 from datetime import date
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyspark.operators import attribution, subsets
 
@@ -54,3 +55,15 @@ def test_searches_are_dealt_out(spark):
     found = attribution._searched(groups)
     assert found.where("method = 'all' AND status = 'found'").count() == 40
     assert found.selectExpr("spark_partition_id() AS task").distinct().count() > 10
+
+
+def test_a_date_is_one_search_however_many_amounts_it_has(spark):
+    """60,000 different amounts: more than were searched together, when buckets of amounts were laid end to end over the credits."""
+    rows = spark.range(60_000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("payment_id"), F.lit(date(2024, 1, 1)).alias("settles_on"), (F.col("id") * 7 + 1_000_003).alias("net_paise"))
+    total = sum(k * 7 + 1_000_003 for k in range(60_000))
+    credits = spark.createDataFrame([("c1", date(2024, 1, 1), total // 3), ("c2", date(2024, 1, 1), total // 5), ("c3", date(2024, 1, 1), total - total // 3 - total // 5)], "credit_id string, landed_on date, amount_paise long")
+    found = attribution.solve_dates(rows, credits).collect()
+    assert [(r.group, r.method, r.status, r.asked, sorted(r.met)) for r in found] == [("2024-01-01", "all", "found", 3, ["c1", "c2", "c3"])]
+    taken = {c: sum(t.net_paise * t.n for t in found[0].takes if t.credit_id == c) for c in ("c1", "c2", "c3")}
+    assert sum(t.n for t in found[0].takes) == 60_000 and sum(taken.values()) == total
+    assert abs(taken["c1"] - total // 3) <= 4 * 60_000 + 200 and abs(taken["c2"] - total // 5) <= 4 * 60_000 + 200
